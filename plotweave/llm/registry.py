@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontaminate
-from plotweave.llm.bytekit import documents
+from plotweave.llm import decontaminate, mixing, rules
+from plotweave.llm.bytekit import documents, labels
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +13,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.digest(rules.judged(documents(spark, sf_dir), rules.trusted_ids(labels(spark, sf_dir))))
+
+
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op3_decontaminate": op3_decontaminate}
+    made = [op3_decontaminate, op5_quality_rules, op10_mixture]
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
