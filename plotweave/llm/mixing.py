@@ -109,7 +109,8 @@ def mixture(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, most: int
 
     # Slots of a source in their order, each mapped to a block; cut in runs so that a hot source is many rows.
     runs = per_draw.where("draws > 0").select("source", "blocks", "draws", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("draws") - 1, F.lit(RUN_SLOTS).cast("bigint"))).alias("from"))
-    slot = runs.repartition(F.hash("source", "from")).select("source", "blocks", F.explode(F.sequence("from", F.least(F.col("from") + RUN_SLOTS, F.col("draws")) - 1)).alias("q"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slot = runs.repartition(tasks, "source", "from").select("source", "blocks", F.explode(F.sequence("from", F.least(F.col("from") + RUN_SLOTS, F.col("draws")) - 1)).alias("q"))
     taken_blocks = slot.select("source", permuted(F.pmod("q", F.col("blocks")), F.col("blocks"), F.coalesce("source", F.lit("\x00"))).alias("block")).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
 
     # Documents cut at block edges.

@@ -19,7 +19,8 @@ WINDOW = 8
 BUCKETS = 1 << 16
 #: A document is rejected below this mean log ratio (natural logarithm, for each n-gram).
 THRESHOLD = -0.25
-ORDERS = (1, 2)
+#: Trusted rows that the target multinomial is fitted on, at most (those of smallest id hash).
+TRUSTED_ROWS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -61,28 +62,27 @@ def _covered(pairs: Column, window: int) -> Column:
 
 
 def buckets(hashes: Column, count: int = BUCKETS) -> Column:
-    """Bucket of each unigram and bigram, unigrams first."""
-    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(count)).cast("int"))
+    """Bucket of each unigram and bigram, unigrams first; count is a power of two."""
+    one = F.transform(hashes, lambda h: h.bitwiseAND(F.lit(count - 1)).cast("int"))
     two = F.transform(
         F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))),
-        lambda h, i: F.pmod(F.xxhash64(F.get(hashes, i), h), F.lit(count)).cast("int"),
+        lambda h, i: F.xxhash64(F.get(hashes, i), h).bitwiseAND(F.lit(count - 1)).cast("int"),
     )
     return F.concat(one, two)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS) -> DataFrame:
-    """One row: `llr`, `count` numbers of 6 decimals, comma-joined. Counts cover every n-gram of every document.
+    """One row: `llr`, `count` numbers of 6 decimals, comma-joined. Raw counts cover every n-gram of every document.
 
-    trusted: distinct ids (column doc_id) of the texts that count as the target.
+    trusted: distinct ids (column doc_id) of the texts that count as the target, TRUSTED_ROWS at
+    most, so they can be broadcast and no text is shuffled.
     """
     one = F.lit(1).cast("bigint")
-    flagged = docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    grams = lambda df: df.select(F.explode(buckets(F.col("h"), count)).alias("b")).groupBy("b").agg(F.sum(one).alias("n"))
-    target = grams(flagged.join(trusted, "doc_id", "left_semi")).withColumnRenamed("n", "t")
-    raw = grams(flagged)
-    every = docs.sparkSession.range(count).select(F.col("id").cast("int").alias("b"))
-    both = every.join(raw, "b", "left").join(target, "b", "left").select("b", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("t", F.lit(0)).alias("t"))
-    listed = both.agg(F.array_sort(F.collect_list(F.struct("b", "n", "t"))).alias("x"), F.sum("n").alias("nn"), F.sum("t").alias("tt"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", one.alias("good"))), "doc_id", "left")
+    grams = marked.select("good", F.explode(buckets(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), count)).alias("b"))
+    both = grams.groupBy("b").agg(F.sum(one).alias("n"), F.sum("good").alias("t"))
+    every = docs.sparkSession.range(count).select(F.col("id").cast("int").alias("b")).join(both, "b", "left").select("b", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("t", F.lit(0)).alias("t"))
+    listed = every.agg(F.array_sort(F.collect_list(F.struct("b", "n", "t"))).alias("x"), F.sum("n").alias("nn"), F.sum("t").alias("tt"))
     part = lambda x, n, total: F.log((x[n] + 1.0) / (F.col(total) + F.lit(float(count))))
     return listed.select(F.array_join(F.transform("x", lambda x: F.format_string("%.6f", part(x, "t", "tt") - part(x, "n", "nn"))), ",").alias("llr"))
 
@@ -102,8 +102,8 @@ def judged(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS, threshold:
     n = F.col("n_words")
     return (
         out.withColumn("n_words", F.size("_w").cast("bigint"))
-        .withColumn("word_chars", F.length(F.regexp_replace(text, SPACE, "")).cast("bigint"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint"))
+        .withColumn("word_chars", F.length(F.array_join("_w", "")).cast("bigint"))
+        .withColumn("n_symbols", F.regexp_count(text, F.lit(SYMBOL)).cast("bigint"))
         .withColumn("_l", blank)
         .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint"))
         .withColumn("n_repeat_words", repeated_words(F.col("_h")))
@@ -114,9 +114,9 @@ def judged(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS, threshold:
     )
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Ids that any row of the labels calls good."""
-    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
+    """Ids that any row of the labels calls good; of more than `rows`, those of smallest hash."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows)
 
 
 def digest(rows: DataFrame) -> DataFrame:
