@@ -121,7 +121,7 @@ def mixture(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, most: int
     streamed = written(streamed, "streams")
     part = streamed.where("size > 0").select("row", "source", "offset", "size", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))).alias("block"))
     part = part.select("row", "source", "block", (F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("offset", F.col("block") * block)).alias("words"))
-    got = part.alias("p").join(taken_blocks.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block"))).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    got = part.alias("p").join(taken_blocks.hint("merge").alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block"))).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     sources = F.broadcast(per_source) if _small(per_source) else per_source
     out = streamed.join(got, "row", "left")
     return out.alias("o").join(sources.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source"))).select("o.doc_id", "o.size", "s.source_size", "s.target", F.coalesce("o.taken", F.lit(0)).cast("bigint").alias("taken"))

@@ -4,25 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontaminate, mixing, rules
+from plotweave.llm import decontaminate, mixing, pii, quality, rules, toxicity
 from plotweave.llm.bytekit import documents, labels
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontaminate.digest(found)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(rules.judged(documents(spark, sf_dir), rules.trusted_ids(labels(spark, sf_dir))))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(documents(spark, sf_dir))
+
+
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    made = [op3_decontaminate, op5_quality_rules, op10_mixture]
+    made = [op1_toxicity, op3_decontaminate, op4_quality, op5_quality_rules, op9_pii, op10_mixture]
     return {f.__name__: f for f in made}
 
 
