@@ -36,7 +36,7 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     the words from p to the next repeat, `window` of them at most.
     """
     n = F.size(hashes) - (window - 1)
-    grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(hashes, i, window)))
+    grams = let(hashes, lambda hs: F.transform(F.sequence(F.lit(1), F.size(hs) - (window - 1)), lambda i: F.xxhash64(F.slice(hs, i, window))))
     found = let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(let(_by_hash(g), lambda s: _covered(s, window))))
     return F.when(n < 2, F.lit(0)).otherwise(found).cast("bigint")
 
@@ -63,12 +63,10 @@ def _covered(pairs: Column, window: int) -> Column:
 
 def buckets(hashes: Column, count: int = BUCKETS) -> Column:
     """Bucket of each unigram and bigram, unigrams first; count is a power of two."""
-    one = F.transform(hashes, lambda h: h.bitwiseAND(F.lit(count - 1)).cast("int"))
-    two = F.transform(
-        F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))),
-        lambda h, i: F.xxhash64(F.get(hashes, i), h).bitwiseAND(F.lit(count - 1)).cast("int"),
-    )
-    return F.concat(one, two)
+    at = lambda h: h.bitwiseAND(F.lit(count - 1)).cast("int")
+    one = lambda hs: F.transform(hs, at)
+    two = lambda hs: F.transform(F.slice(hs, 2, F.greatest(F.size(hs) - 1, F.lit(0))), lambda h, i: at(F.xxhash64(F.get(hs, i), h)))
+    return let(hashes, lambda hs: F.concat(one(hs), two(hs)))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS) -> DataFrame:

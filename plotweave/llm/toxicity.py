@@ -31,6 +31,8 @@ SEGMENT = 12
 FIT_ROWS, FIT_SEGMENTS = 3_000, 24
 #: Passes over the sample (more over a small one, so that STEPS batches are seen), and step size.
 EPOCHS, STEPS, RATE, SEED = 20, 1_000, 0.4, 11
+#: Training texts that a subword must occur in.
+SHARED = 4
 
 
 def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -113,12 +115,18 @@ def train(bags: list[list[np.ndarray]], labels: np.ndarray, odds: float) -> Subw
         order = np.arange(len(labels))
         flat = np.concatenate([s for bag in bags for s in bag])
         sizes = np.array([len(s) for bag in bags for s in bag])
-        begin = np.concatenate([[0], np.cumsum(sizes)])
         of_text = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+        # Subwords of fewer than SHARED texts could only be learned by heart: they count in the
+        # length of a bag, as unseen ones will, but have no embedding.
+        pairs = np.unique(np.repeat(of_text, sizes).astype(np.int64) << BITS | flat)
+        shared = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= SHARED
+        table[~shared] = 0
+        begin = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[shared[flat]], minlength=len(sizes)))])
+        flat = flat[shared[flat]]
         first = np.searchsorted(of_text, np.arange(len(bags) + 1))
         epochs = max(EPOCHS, STEPS * 32 // len(labels))
         for epoch in range(epochs):
-            if epoch < 2:
+            if epoch < max(2, epochs // 4):
                 chosen = first[:-1] + rng.integers(0, np.maximum(1, np.diff(first)))
             else:
                 weight = table @ (softmax[:, 1] - softmax[:, 0])
@@ -133,7 +141,7 @@ def train(bags: list[list[np.ndarray]], labels: np.ndarray, odds: float) -> Subw
                     continue
                 seg = chosen[some]
                 rows = np.concatenate([flat[begin[s] : begin[s + 1]] for s in seg])
-                owner = np.repeat(np.arange(len(seg)), sizes[seg])
+                owner = np.repeat(np.arange(len(seg)), begin[seg + 1] - begin[seg])
                 hidden = np.zeros((len(seg), DIM), np.float32)
                 np.add.at(hidden, owner, table[rows])
                 hidden /= sizes[seg][:, None]
