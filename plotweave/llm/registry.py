@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontaminate, mixing, pii, quality, rules, toxicity
+from plotweave.llm import decontaminate, hpylm, mixing, pii, quality, repeats, rules, toxicity
 from plotweave.llm.bytekit import documents, labels
 
 
@@ -25,6 +25,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(rules.judged(documents(spark, sf_dir), rules.trusted_ids(labels(spark, sf_dir))))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.scored(documents(spark, sf_dir))
+
+
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(documents(spark, sf_dir), keep_bytes=False)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(documents(spark, sf_dir))
 
@@ -34,7 +42,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    made = [op1_toxicity, op3_decontaminate, op4_quality, op5_quality_rules, op9_pii, op10_mixture]
+    made = [op1_toxicity, op3_decontaminate, op4_quality, op5_quality_rules, op7_language_model, op8_repeats, op9_pii, op10_mixture]
     return {f.__name__: f for f in made}
 
 

@@ -28,7 +28,7 @@ DIM = 12
 GRAMS = (3, 4, 5)
 SEGMENT = 12
 #: Labelled rows of each class in the training sample, and segments of one row, at most.
-FIT_ROWS, FIT_SEGMENTS = 3_000, 24
+FIT_ROWS, FIT_SEGMENTS = 2_000, 16
 #: Passes over the sample (more over a small one, so that STEPS batches are seen), and step size.
 EPOCHS, STEPS, RATE, SEED = 20, 1_000, 0.4, 11
 #: Training texts that a subword must occur in.
@@ -104,35 +104,37 @@ class Subwords:
         return 1 / (1 + np.exp(-np.clip(best + self.bias, -500, 500)))
 
 
-def train(bags: list[list[np.ndarray]], labels: np.ndarray, odds: float) -> Subwords:
-    """bags: for each text, the table rows of its segments; odds: log odds of label 1 where it is used."""
+def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, odds: float) -> Subwords:
+    """texts: table rows of all subwords of a text's segments, and subwords in each segment.
+
+    odds: log odds of label 1 where the model is used.
+    """
     rng = np.random.default_rng(SEED)
     table = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     softmax = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     positive = int((labels == 1).sum())
     if 0 < positive < len(labels):
-        order = np.arange(len(labels))
-        flat = np.concatenate([s for bag in bags for s in bag])
-        sizes = np.array([len(s) for bag in bags for s in bag])
-        of_text = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
         # Subwords of fewer than SHARED texts could only be learned by heart: they count in the
         # length of a bag, as unseen ones will, but have no embedding.
-        pairs = np.unique(np.repeat(of_text, sizes).astype(np.int64) << BITS | flat)
-        shared = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= SHARED
+        shared = np.zeros(1 << BITS, np.int32)
+        for rows, _ in texts:
+            shared[np.unique(rows)] += 1
+        shared = shared >= SHARED
         table[~shared] = 0
-        begin = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[shared[flat]], minlength=len(sizes)))])
-        flat = flat[shared[flat]]
-        first = np.searchsorted(of_text, np.arange(len(bags) + 1))
+        sizes = np.concatenate([n for _, n in texts])
+        first = np.concatenate([[0], np.cumsum([len(n) for _, n in texts])])
+        kept = [shared[rows] for rows, _ in texts]
+        begin = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(np.concatenate([[0], np.cumsum(k)])[np.concatenate([[0], np.cumsum(n)])]) for k, (_, n) in zip(kept, texts, strict=True)]))])
+        flat = np.concatenate([rows[k] for k, (rows, _) in zip(kept, texts, strict=True)])
+        del kept
+        order = np.arange(len(labels))
         epochs = max(EPOCHS, STEPS * 32 // len(labels))
         for epoch in range(epochs):
             if epoch < max(2, epochs // 4):
                 chosen = first[:-1] + rng.integers(0, np.maximum(1, np.diff(first)))
             else:
-                weight = table @ (softmax[:, 1] - softmax[:, 0])
-                total = np.concatenate([[0.0], np.cumsum(weight[flat], dtype=np.float64)])
-                mean = (total[begin[1:]] - total[begin[:-1]]) / np.maximum(sizes, 1)
-                chosen = np.array([first[i] + int(np.argmax(mean[first[i] : first[i + 1]])) if first[i] < first[i + 1] else -1 for i in range(len(bags))])
+                chosen = _most_toxic(table @ (softmax[:, 1] - softmax[:, 0]), flat, begin, sizes, first)
             rng.shuffle(order)
             rate = RATE * (1 - epoch / epochs) + 0.02
             for some in np.array_split(order, max(1, len(order) // 32)):
@@ -158,6 +160,18 @@ def train(bags: list[list[np.ndarray]], labels: np.ndarray, odds: float) -> Subw
     return Subwords(weight, float(bias[1] - bias[0]) + odds - used)
 
 
+def _most_toxic(weight, flat, begin, sizes, first, block: int = 256) -> np.ndarray:
+    """The segment of largest mean weight of each text, for `block` texts at a time."""
+    out = []
+    for i in range(0, len(first) - 1, block):
+        edge = first[i : i + block + 1]
+        at = begin[edge[0] : edge[-1] + 1]
+        total = np.concatenate([[0.0], np.cumsum(weight[flat[at[0] : at[-1]]], dtype=np.float64)])
+        mean = np.diff(total[at - at[0]]) / np.maximum(sizes[edge[0] : edge[-1]], 1)
+        out += [a + int(np.argmax(mean[a - edge[0] : b - edge[0]])) if a < b else 0 for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return np.array(out)
+
+
 def fitted(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = FIT_ROWS) -> Subwords:
     """Trains on the driver on at most 2 * rows texts, of FIT_SEGMENTS segments at most each (spread evenly over longer texts)."""
     sample, sizes = fit_sample(docs, labels, "toxic", learn, rows)
@@ -165,18 +179,24 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = FIT_RO
     def bags(data, offsets):
         table_rows, upto_word, upto = features(data, offsets)
         first, end, text = segments(upto)
-        out = [[] for _ in range(len(offsets) - 1)]
-        for i in range(len(out)):
+        out = []
+        for i in range(len(offsets) - 1):
             mine = np.flatnonzero(text == i)
             if len(mine) > FIT_SEGMENTS:
                 mine = mine[np.linspace(0, len(mine) - 1, FIT_SEGMENTS).astype(int)]
-            out[i] = [table_rows[upto_word[first[s]] : upto_word[end[s]]].astype(np.int32).tobytes() for s in mine]
-        return pa.array(out, pa.list_(pa.binary()))
-
-    made = by_text(sample, ["doc_id", "label"], bags, "array<binary>", "bags").collect()
-    made = sorted(made, key=lambda r: r["doc_id"])
+            cut = [table_rows[upto_word[first[s]] : upto_word[end[s]]] for s in mine]
+            sizes = np.array([len(c) for c in cut], np.int32)
+            out.append(np.concatenate([[len(cut)], sizes, *cut]).astype(np.int32).tobytes())
+        return pa.array(out, pa.binary())
+
+    made = by_text(sample, ["doc_id", "label"], bags, "binary", "bags").toArrow()
+    made = made.take(np.argsort(made["doc_id"].to_numpy(), kind="stable"))
+    texts = []
+    for blob in made["bags"]:
+        x = np.frombuffer(blob.as_buffer(), np.int32)
+        texts.append((x[1 + x[0] :], x[1 : 1 + x[0]]))
     odds = float(np.log((sizes.get(1, 0) + 1) / (sizes.get(0, 0) + 1)))
-    return train([[np.frombuffer(s, np.int32) for s in r["bags"]] for r in made], np.array([r["label"] for r in made], int), odds)
+    return train(texts, made["label"].to_numpy().astype(int), odds)
 
 
 def scored(docs: DataFrame, model: Subwords) -> DataFrame:
