@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.bytekit import LOWER, LOWER_ALNUM, RollingHash, gather_ranges, tokens, utf8
+from plotweave.llm.bytekit import LOWER, LOWER_ALNUM, RollingHash, gather_ranges, tokens, utf8, written
 
 #: Words in a window.
 WINDOW = 10
@@ -307,11 +307,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without those that hold benchmark text, with all their columns."""
-    from plotweave.llm.bytekit import written
+    """The documents without those that hold benchmark text, with all their columns.
 
-    bad = written(contamination(docs, benchmark, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    Rows are told apart by a hash of id and text, so rows with a null id go as well.
+    """
+    rows = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
+    found = contamination(rows, benchmark, id_column="_rid", **options)
+    bad = written(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_rid")).distinct(), "contaminated")
+    return rows.join(bad, "_rid", "left_anti").drop("_rid")
 
 
 ORACLE = r"""

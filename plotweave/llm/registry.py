@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontaminate, hpylm, mixing, pii, quality, repeats, rules, toxicity
+from plotweave.llm import decontaminate, hpylm, lines, mixing, neardup, pii, quality, repeats, rules, toxicity
 from plotweave.llm.bytekit import documents, labels
 
 
@@ -12,6 +12,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontaminate.digest(found)
@@ -25,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(rules.judged(documents(spark, sf_dir), rules.trusted_ids(labels(spark, sf_dir))))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.deduplicated(documents(spark, sf_dir)))
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.scored(documents(spark, sf_dir))
 
@@ -42,7 +50,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    made = [op1_toxicity, op3_decontaminate, op4_quality, op5_quality_rules, op7_language_model, op8_repeats, op9_pii, op10_mixture]
+    made = [op1_toxicity, op2_near_duplicates, op3_decontaminate, op4_quality, op5_quality_rules, op6_lines, op7_language_model, op8_repeats, op9_pii, op10_mixture]
     return {f.__name__: f for f in made}
 
 
