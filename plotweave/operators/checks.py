@@ -68,8 +68,8 @@ def integrity(scenes: DataFrame, dialogues: DataFrame, actions: DataFrame, chara
     row = lambda df, rule, subject, key="script_id": df.select(F.col(key).alias("script_id"), F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"))
     none = F.lit(None).cast("bigint")
     at = scenes.select("scene_id", "script_id")
-    said = dialogues.join(at, "scene_id", "left")
-    done = actions.join(at, "scene_id", "left")
+    said = dialogues.drop("script_id").join(at, "scene_id", "left")
+    done = actions.drop("script_id").join(at, "scene_id", "left")
     known = characters.select("script_id", "character_id")
     unknown = said.where("character_id IS NOT NULL AND script_id IS NOT NULL").join(known, ["script_id", "character_id"], "left_anti")
     numbers = scenes.groupBy("script_id").agg(F.max("scene_number").alias("most"))
