@@ -11,9 +11,13 @@ equal words are one node from the start. Groups are found without listing the pa
 
 1. Each document is aligned with one hub: among the members of its entries, the one that shares
    most entries with others.
-2. Where an entry's members are still in different components, they are aligned with the hub of
-   every other component there.
-3. What is then left apart is aligned pair by pair across components, so no link is lost.
+2. Where an entry's members are still in different components, those outside the largest one
+   there are aligned with its hub.
+3. What is then left apart is aligned across components, but only pairs that can be linked. A
+   pair's common shingles are those it shares with the hub, no more than the one of the two
+   that has fewer of those, and shingles that the hub does not have. So a pair must either have
+   enough in common with the hub, or share a shingle outside it, which an equi join finds. No
+   link is lost, and copies that stray from a large group are not paired with all of it.
 """
 
 from __future__ import annotations
@@ -140,65 +144,115 @@ def _sketched(batches):
             yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(same, pa.int64()), pa.array(entries, pa.list_(pa.int64()))], ["doc", "same", "entries"])
 
 
-def _verify(similarity: float):
+def need(a, b, similarity: float = SIMILARITY):
+    """Common shingles that texts of a and b shingles need to be linked."""
+    return similarity / (1 + similarity) * (a + b)
+
+
+_TESTED = "a bigint, b bigint, linked boolean, n bigint, common bigint, rest array<bigint>"
+
+
+def _test(similarity: float):
+    """For (a, b): linked; shingles of a, how many of them b has too, and the others unless linked."""
+
     def run(batches):
         for batch in batches:
-            a, b = (batch.column(k).to_pylist() for k in (2, 3))
-            kept, last = [], (None, None)
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                if last[0] != y:
-                    last = (y, shingles(_words((y or "").encode())))
-                if aligned(shingles(_words((x or "").encode())), last[1], similarity):
-                    kept.append(i)
-            yield pa.record_batch([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], ["a", "b"])
+            linked, n, common, rest, last = [], [], [], [], (None, None, None)
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if last[0] is None or last[0] != y:
+                    grams = shingles(_words((y or "").encode()))
+                    last = (y, grams, np.sort(occurrences(grams)) if len(grams) else grams)
+                own = shingles(_words((x or "").encode()))
+                ok = aligned(own, last[1], similarity)
+                labelled = occurrences(own) if len(own) else own
+                at = np.minimum(np.searchsorted(last[2], labelled), max(0, len(last[2]) - 1))
+                has = last[2][at] == labelled if len(last[2]) else np.zeros(len(labelled), bool)
+                linked.append(ok)
+                n.append(len(own))
+                common.append(int(has.sum()))
+                rest.append([] if ok else labelled[~has].view(np.int64))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(common, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "linked", "n", "common", "rest"])
 
     return run
 
 
-def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of doc ids whose texts align; written to the shared folder.
-
-    Joins are merge joins, whose large groups Spark splits: one hub may be in most pairs.
-    """
-    at_a = pairs.join(texts.hint("merge").withColumnsRenamed({"doc": "a", "text": "text_a"}), "a")
-    both = at_a.join(texts.hint("merge").withColumnsRenamed({"doc": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(_verify(similarity), "a bigint, b bigint"), "links")
+def _labelled_shingles(batches):
+    for batch in batches:
+        grams = [shingles(_words((t or "").encode())) for t in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array([len(g) for g in grams], pa.int64()), pa.array([occurrences(g).view(np.int64) if len(g) else [] for g in grams], pa.list_(pa.int64()))], ["node", "n", "grams"])
+
+
+class Aligned:
+    """Tests of candidate pairs, and which pairs outside the hub's component can be linked at all."""
+
+    def __init__(self, rows: DataFrame, candidates: DataFrame, similarity: float):
+        # The hint makes the join shuffle alike at every size; the built side is ids only.
+        nodes = candidates.withColumnRenamed("node", "doc").hint("shuffle_hash")
+        self.texts = written(rows.join(nodes, "doc", "left_semi"), "texts")
+        self.similarity = similarity
+
+    def test(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) with what `_test` finds. Merge joins: Spark splits the many pairs of one hub."""
+        at_a = pairs.join(self.texts.hint("merge").withColumnsRenamed({"doc": "a", "text": "text_a"}), "a")
+        both = at_a.join(self.texts.hint("merge").withColumnsRenamed({"doc": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
+        return written(both.mapInArrow(_test(self.similarity), _TESTED), "tested")
+
+    def residual(self, keys: DataFrame, strays: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components that share a key and can be linked.
+
+        keys: (key, node, root, hub) of keys whose members are apart; strays: tested pairs (a, hub b).
+        """
+        members = keys.select("hub", "node", "root").distinct()
+        shingled = written(self.texts.join(members.select(F.col("node").alias("doc")).distinct().hint("shuffle_hash"), "doc", "left_semi").mapInArrow(_labelled_shingles, "node bigint, n bigint, grams array<bigint>"), "shingles")
+        info = strays.where("NOT linked").select(F.col("a").alias("node"), F.col("b").alias("hub"), "common", "rest")
+        known = written(keys.join(shingled.select("node", "n"), "node").join(info.select("node", "hub", "common"), ["node", "hub"], "left"), "apart")
+        # Enough in common with the hub on both sides; who is with the hub has no bound of its own.
+        x = known.where("common IS NOT NULL").select("key", "node", "root", "n", "common")
+        y = known.select("key", F.col("node").alias("node_b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("common").alias("common_b"))
+        enough = F.least("common", F.coalesce("common_b", "common")) >= need(F.col("n"), F.col("n_b"), self.similarity) - 1e-9
+        near = F.least("n", "n_b") >= self.similarity * F.greatest("n", "n_b") - 1e-9
+        plain = x.join(y, (x["key"] == y["key"]) & (F.col("root") != F.col("root_b")) & near & enough).select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b"))
+        # Or a shingle outside the hub in common.
+        rest = info.join(members, ["hub", "node"]).select("hub", "node", "root", F.explode("rest").alias("gram"))
+        all_ = members.join(shingled.select("node", F.explode("grams").alias("gram")), "node").select("hub", F.col("node").alias("node_b"), F.col("root").alias("root_b"), "gram")
+        outside = rest.join(all_, ["hub", "gram"]).where("root <> root_b").select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b"))
+        return plain.unionByName(outside).distinct()
 
 
 def grouped(keys: DataFrame, prepare) -> DataFrame:
     """node and root of the nodes that verified links connect.
 
-    keys: (key, node) rows. prepare: from the table of nodes that share a key, gives the function
-    from candidate pairs (a, b) to those that are linked, as a written table.
+    keys: (key, node) rows. prepare: from the table of nodes that share a key, gives an object
+    like Aligned.
     """
     keys = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "key")
     weight = keys.groupBy("node").agg(F.sum("members").alias("weight"))
     keys = written(keys.drop("members").join(weight, "node"), "keys")
-    verify = prepare(keys.select("node").distinct())
-    # 1. One pair for each node: with the heaviest hub of its keys.
+    pairs_of = prepare(keys.select("node").distinct())
     hub = F.max(F.struct("weight", (-F.col("node")).alias("minus")))
+    # 1. One pair for each node: with the heaviest hub of its keys.
     hubs = keys.groupBy("key").agg(hub.alias("hub"))
     mine = keys.join(hubs, "key").groupBy("node").agg(F.max("hub").alias("hub")).select(F.col("node").alias("a"), (-F.col("hub.minus")).alias("b")).where("a <> b")
-    tried = written(mine.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "tried")
-    links = verify(tried)
+    tested = pairs_of.test(written(mine, "pairs"))
+    links = tested.where("linked").select("a", "b")
+    # 2. Outside the largest component of a key, one pair for each node: with that one's hub.
     labelled = _labelled(keys, links)
-    # 2. Hubs of the components that meet in a key. 3. All that is left apart.
-    for last in (False, True):
-        tops = labelled.groupBy("key", "root").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("hub"))
-        mixed = tops.join(tops.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1"), "key")
-        apart = labelled.join(mixed.select("key").distinct(), "key", "left_semi") if not last else labelled.join(mixed.select("key", "root"), ["key", "root"], "left_semi")
-        if last:
-            other = apart.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-        else:
-            other = mixed.select("key", (-F.col("hub.minus")).alias("b"), F.col("root").alias("root_b"))
-        pairs = apart.join(other, "key").where("root <> root_b" + (" AND node > b" if last else ""))
-        pairs = pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(verify(pairs))
-        tried = tried.unionByName(pairs)
-        if not last:
-            labelled = _labelled(keys, links)
-    return components(links)
+    tops = labelled.groupBy("key", "root").agg(hub.alias("hub"), F.count(F.lit(1)).alias("n"))
+    most = tops.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "hub")).alias("top")).where("roots > 1")
+    apart = written(labelled.select("key", "node", "root").join(most.select("key", (-F.col("top.hub.minus")).alias("hub")), "key"), "mixed")
+    heads = apart.where("node = hub").select("key", F.col("root").alias("head"))
+    asked = apart.join(heads, "key").where("root <> head").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    more = pairs_of.test(written(asked.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs"))
+    tested = tested.unionByName(more)
+    links = tested.where("linked").select("a", "b")
+    # 3. Pairs left that can be linked.
+    roots = components(links)
+    now = written(apart.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+    still = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left = written(now.join(still, "key"), "left")
+    pairs = pairs_of.residual(left, tested)
+    last = pairs_of.test(written(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs"))
+    return components(links.unionByName(last.where("linked").select("a", "b")))
 
 
 def _labelled(keys: DataFrame, links: DataFrame) -> DataFrame:
@@ -219,12 +273,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "d
     nodes = made.groupBy("same").agg(F.min(F.struct("doc", "entries")).alias("x")).select("same", "x.doc", "x.entries")
     nodes = written(nodes, "nodes")
     keys = nodes.select(F.col("doc").alias("node"), F.explode(F.array_distinct("entries")).alias("key"))
-
-    def prepare(candidates):
-        texts = written(rows.join(candidates.withColumnRenamed("node", "doc"), "doc", "left_semi"), "texts")
-        return lambda pairs: linked(pairs, texts, similarity)
-
-    roots = grouped(keys, prepare)
+    roots = grouped(keys, lambda candidates: Aligned(rows, candidates, similarity))
     found = nodes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("same", F.coalesce("root", "doc").alias("class_id"))
     out = made.select("doc", "same").join(found, "same").select(F.col("doc").alias(id_column), "class_id")
     return out.unionByName(rows.where("doc IS NULL").select(F.col("doc").alias(id_column), F.lit(None).cast("bigint").alias("class_id")))
