@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.llm.bytekit import CHUNK_BYTES, LOWER, NOT_SPACE, RollingHash, chunks, mix64, tokens, utf8, written
@@ -212,10 +212,14 @@ class Aligned:
         enough = F.least("common", F.coalesce("common_b", "common")) >= need(F.col("n"), F.col("n_b"), self.similarity) - 1e-9
         near = F.least("n", "n_b") >= self.similarity * F.greatest("n", "n_b") - 1e-9
         plain = x.join(y, (x["key"] == y["key"]) & (F.col("root") != F.col("root_b")) & near & enough).select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b"))
-        # Or a shingle outside the hub in common.
-        rest = info.join(members, ["hub", "node"]).select("hub", "node", "root", F.explode("rest").alias("gram"))
-        all_ = members.join(shingled.select("node", F.explode("grams").alias("gram")), "node").select("hub", F.col("node").alias("node_b"), F.col("root").alias("root_b"), "gram")
-        outside = rest.join(all_, ["hub", "gram"]).where("root <> root_b").select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b"))
+        # Or shingles outside the hub in common: t at least, so one of all but t - 1 of them; the rarest are asked for.
+        all_ = members.join(shingled.select("node", "n", F.explode("grams").alias("gram")), "node").select("hub", F.col("node").alias("node_b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), "gram")
+        rest = info.join(members, ["hub", "node"]).join(shingled.select("node", "n"), "node").select("hub", "node", "root", "n", "common", F.size("rest").alias("outside"), F.explode("rest").alias("gram"))
+        held = rest.join(all_.groupBy("hub", "gram").agg(F.count(F.lit(1)).alias("texts")), ["hub", "gram"])
+        held = held.withColumn("rank", F.row_number().over(Window.partitionBy("hub", "node").orderBy("texts", "gram")))
+        t = F.ceil(need(F.col("n"), F.col("n_b"), self.similarity) - F.col("common") - 1e-9)
+        found = held.join(all_, (held["hub"] == all_["hub"]) & (held["gram"] == all_["gram"]) & (F.col("root") != F.col("root_b")) & (t >= 1) & (F.col("rank") <= F.col("outside") - t + 1))
+        outside = found.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b"))
         return plain.unionByName(outside).distinct()
 
 
