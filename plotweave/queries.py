@@ -541,7 +541,7 @@ def script_statistics(spark, sf_dir):
     return scripts.statistics(fx.SCRIPTS.df(spark), fx.PEOPLE.df(spark), fx.SCENES.df(spark), fx.DIALOGUES.df(spark))
 
 
-@query("""SELECT d.source, CAST(count(*) FILTER (quality = 0) AS BIGINT) AS failed_dialogues, CAST(count(*) FILTER (toxic = 1) AS BIGINT) AS failed_actions, list(DISTINCT d.doc_id ORDER BY d.doc_id) FILTER (quality = 0 OR toxic = 1) AS failed_scenes,
+@query("""SELECT d.source, CAST(count(*) FILTER (quality = 0) AS BIGINT) AS failed_dialogues, CAST(count(*) FILTER (toxic = 1) AS BIGINT) AS failed_actions, coalesce(list(DISTINCT d.doc_id ORDER BY d.doc_id) FILTER (quality = 0 OR toxic = 1), []) AS failed_scenes,
  CASE WHEN count(*) FILTER (quality = 0 OR toxic = 1) > 0 THEN 'COMPLETED_WITH_WARNINGS' ELSE 'COMPLETED' END AS status FROM documents d JOIN labels l USING (doc_id) GROUP BY d.source""")
 def status_rollup(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
