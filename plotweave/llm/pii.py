@@ -53,11 +53,11 @@ _MAIL_AT = re.compile(rf"(?i){_AT}")
 _ANY_DOT = re.compile(rf"(?i){_DOT}")
 _DIGIT_DOT = re.compile(rf"(?i)(?<=[0-9]){_DOT}(?=[0-9])")
 _PLUS = re.compile(r"(?i)\bplus\s+(?=[0-9])")
-#: Where a text may hold a disguise (on lower-case bytes).
-_HINT = re.compile(rb"\bdot\b|[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\splus\s|\s@\s|\b(?:" + _ONE.encode() + rb")[\s,-]+(?:" + _ONE.encode() + rb")\b")
+#: Where an ASCII text may hold a disguise (on lower-case bytes of one row): all that the transducers need to begin with.
+_WHITE = rb"[\s\x1c-\x1f]"
+_HINT = re.compile(rb"\b(?:dot|" + _ONE.encode() + rb")\b|[\[({<]" + _WHITE + rb"*(?:at|@|\.)" + _WHITE + rb"*[\])}>]|\bplus" + _WHITE + rb"|" + _WHITE + rb"@" + _WHITE)
 _BYTES = np.arange(256)
 _PLAIN_HINT = ((_BYTES >= 48) & (_BYTES <= 57)) | (_BYTES == 64)
-_SCRIPT_HINT = np.isin(_BYTES, [0xC2, 0xCE, 0xCF, 0xD0, 0xD1, 0xD2, 0xD3, 0xD4, 0xD9, 0xDB, 0xE0, 0xE2, 0xE3, 0xEF, 0xF0])
 
 
 def luhn(digits: str) -> bool:
@@ -100,14 +100,15 @@ class Rewritten:
 
     def __init__(self, source: str):
         self.text = source
-        self.start = list(range(len(source)))
-        self.end = list(range(1, len(source) + 1))
-        self.changed = [False] * len(source)
+        self.changed: list[bool] | None = None  # until the first edit
 
     def edit(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces the given ranges, in order and apart from one another."""
         if not edits:
             return
+        if self.changed is None:
+            n = len(self.text)
+            self.start, self.end, self.changed = list(range(n)), list(range(1, n + 1)), [False] * n
         text, start, end, changed, at = [], [], [], [], 0
         for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
             text.append(self.text[at:a])
@@ -144,6 +145,12 @@ def _letters(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+#: What else a pattern takes for "i" or "s" where case is ignored, as str.lower leaves it.
+_CASED = {0x131: "i", 0x307: None, 0x17F: "s"}
+#: Lead bytes of all characters beyond ASCII that a transducer rewrites, takes for white space or for a letter.
+_SCRIPT_HINT = np.isin(_BYTES, [*{c.encode()[0] for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]) if _letters(c) or c.isspace() or c in "ıİſ"}, *range(0xF0, 0xF5)])
+
+
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     """Runs of spelled digits: two or more of them, or one beside a digit, a dot word or a plus."""
     edits = []
@@ -151,7 +158,7 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
         parts = re.split(r"[\s,-]+", m[0])
         near = re.search(r"(?i)(?:[0-9][\s-]?|\bdot\s+|\bplus\s+)$", text[max(0, m.start() - 8) : m.start()]) or re.match(r"(?i)[\s-]?[0-9]|\s+dot\s", text[m.end() : m.end() + 8])
         if len(parts) > 1 or near:
-            edits.append((m.start(), m.end(), "".join(_DIGITS[p.lower()] for p in parts)))
+            edits.append((m.start(), m.end(), "".join(_DIGITS[p.lower().translate(_CASED)] for p in parts)))
     return edits
 
 
@@ -181,7 +188,7 @@ def disguised(text: str, plain: list[Span]) -> list[Span]:
     made.edit([(m.start(), m.end(), ".") for m in _DIGIT_DOT.finditer(made.text)])
     made.edit([(m.start(), m.end(), "+") for m in _PLUS.finditer(made.text)])
     made.edit(_mail(made.text))
-    if True not in made.changed and made.text == text:
+    if made.changed is None:
         return []
     out = []
     for start, kind, end in detect(made.text):
@@ -212,10 +219,10 @@ def found(docs: DataFrame) -> DataFrame:
                 plain_at = np.flatnonzero(_PLAIN_HINT[part])
                 odd_at = np.flatnonzero(_SCRIPT_HINT[part])
                 low = LOWER[part].tobytes()
-                hint_at = np.array([m.start() for m in _HINT.finditer(low)], np.int64)
-                rows = [np.unique(np.searchsorted(at, x, "right") - 1) for x in (plain_at, odd_at, hint_at)]
-                plain, odd = set(rows[0].tolist()), set(rows[1].tolist()) | set(rows[2].tolist())
+                rows = [np.unique(np.searchsorted(at, x, "right") - 1) for x in (plain_at, odd_at)]
                 n = j - i
+                plain, odd = set(rows[0].tolist()), set(rows[1].tolist())
+                odd |= {r for r in range(n) if r not in odd and _HINT.search(low[at[r] : at[r + 1]])}  # a row must not look into its neighbours
                 counts = np.zeros((4, n), np.int64)
                 added = np.zeros(n, np.int64)
                 base, spans = [empty] * n, [""] * n

@@ -505,6 +505,19 @@ def test_pii_rows(docs, odd, none):
     assert pii.found(odd).count() == 9 and pii.found(none).count() == 0
 
 
+def test_pii_hints_skip_no_disguise(spark):
+    rng = random.Random(10)
+    fixed = ["+1 four 15 555 0134", "plus 44 20 7946 0958", "(plus 44 20 7946 0958)", "+၁ 456 555 2186", "+1 ４56 555 2186", "+៤4 456 555 2186", "+߁4 456 555 2186", "plus\x1c44 20 7946 0958", "+1 fıve 15 555 0134", "+1 ſix 15 555 0134"]
+    pieces = ["plus ", "+1 ", "four", "one", " ", "15", "555 0134", "-", "dot", " dot ", "[at]", " at ", "@", " @ ", "a", "ex.com", "é", "၁", "fİve", "\u00a0", "\x1d", "ſix", "(", ")", "."]
+    texts = ["ends in a word", *fixed, *("".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(3000))]
+    got = {r.doc_id: (r.spans, r.n_added) for r in pii.found(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for k, t in enumerate(texts):
+        plain = pii.detect(t)
+        more = pii.disguised(t, plain)
+        assert got[k] == (pii.joined(plain + more), len(more)), t
+        assert more or t not in fixed, t
+
+
 # --- 10 ----------------------------------------------------------------------------------------
 
 
