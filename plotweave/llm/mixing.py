@@ -6,12 +6,14 @@
 2. The stream is cut into blocks of `block` words.
 3. Targets share all words by weight; none is above `most` times its source, and what that
    leaves is shared again by weight (water filling over one row a source).
-4. Output slots of one block each are dealt to shards. In each shard a multinomial draw gives
-   the source of every slot by inversion of a uniform number from the slot's own stratum.
+4. Output slots of one block each are dealt to shards. In each shard a systematic draw gives
+   the source of every slot: a source has its part of the shard's slots, rounded up or down by
+   a uniform number at each edge between sources. A permutation puts the shard's slots in order.
 5. The q-th draw of a source takes the block that a pseudorandom permutation of the source's
    block indices (swap-or-not rounds) puts at q, so all blocks are used before any is repeated.
-6. Blocks and draws meet by (source, block index); a document has taken as many words as it
-   has in the drawn blocks.
+6. Blocks are packed from the words of the documents in them, and meet slots by (source, block
+   index): one row (shard, slot, source, block, words, text) for each slot.
+7. A document has taken as many words as it has in these rows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.llm.bytekit import written
+from plotweave.llm.rules import let, words
 
 BLOCK = 64
 SHARDS = 16
@@ -36,13 +39,19 @@ def _uniform(*parts):
     return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), *parts), 12).cast("double") / F.lit(float(1 << 52))
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, and the document's place in its source's stream."""
+def _key(source: str):
+    """A source as a string that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("key")
+
+
+def sizes(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, size, the document's place in its source's stream, and the columns to keep."""
     return docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.xxhash64(F.lit(SEED), "doc_id", "text").alias("place"),
+        *keep,
     ).withColumn("bucket", F.pmod("place", F.lit(BUCKETS)).cast("int"))
 
 
@@ -78,13 +87,8 @@ def permuted(index, size, key, rounds: int = ROUNDS):
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index, turn)
 
 
-def mixture(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target and taken of each document.
-
-    A null or empty text has size 0 and takes nothing; a null source is a source of its own,
-    last in order. Equal rows are counted as often as they occur. An empty table gives none.
-    Other columns are ignored. A source without words has target 0.
-    """
+def _dealt(docs: DataFrame, block: int, shards: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The streams (doc_id, source, size, offset), the targets of sources, and the rows of slots with their text and documents."""
     sized = written(sizes(docs), "sizes")
     per_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,8 +97,8 @@ def mixture(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, most: int
 
     # The draw: how many slots of each output shard take each source. A source's part of the
     # slots is its target in blocks of the length that its blocks have on average. A shard's
-    # slots lie in the order of sources when stratified uniforms are inverted, so a source's
-    # count is the difference of two numbers of slots below an edge.
+    # slots lie in the order of sources before they are permuted, so a source's count is the
+    # difference of two numbers of slots below an edge.
     blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("bigint")
     parts = per_source.where("target > 0").withColumn("blocks", blocks).withColumn("part", F.col("target") * F.col("blocks") / F.col("source_size"))
     upto = Window.orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -104,27 +108,71 @@ def mixture(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, most: int
     shard = shard.withColumn("n", F.floor((F.col("shard") + 1) * F.col("slots") / shards) - F.floor(F.col("shard") * F.col("slots") / shards))
     at = lambda edge: F.col("n") * F.least(F.lit(1.0), edge / F.col("all"))
     below = lambda edge: F.floor(at(edge)) + (_uniform("shard", F.floor(at(edge))) < at(edge) - F.floor(at(edge))).cast("bigint")
-    drawn = shard.withColumn("draws", below(F.col("hi")) - below(F.greatest(F.lit(0.0), F.lag("hi", 1, 0.0).over(Window.partitionBy("shard").orderBy("hi")))))
-    per_draw = drawn.groupBy("source", "blocks").agg(F.sum("draws").alias("draws")).withColumn("draws", F.least("draws", F.col("blocks") * most))
+    drawn = shard.withColumn("first", below(F.greatest(F.lit(0.0), F.lag("hi", 1, 0.0).over(Window.partitionBy("shard").orderBy("hi"))))).withColumn("draws", below(F.col("hi")) - F.col("first"))
+    # Draws of a source are numbered from shard to shard; none is beyond `most` times its blocks.
+    earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = drawn.withColumn("before", F.coalesce(F.sum("draws").over(earlier), F.lit(0))).withColumn("draws", F.least("draws", F.col("blocks") * most - F.col("before")))
 
-    # Slots of a source in their order, each mapped to a block; cut in runs so that a hot source is many rows.
-    runs = per_draw.where("draws > 0").select("source", "blocks", "draws", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("draws") - 1, F.lit(RUN_SLOTS).cast("bigint"))).alias("from"))
+    # Slots of a source and shard, each mapped to a block; cut in runs so that a hot source is many rows.
+    runs = drawn.where("draws > 0").select("shard", "n", "source", "blocks", "first", "before", "draws", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("draws") - 1, F.lit(RUN_SLOTS).cast("bigint"))).alias("from"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slot = runs.repartition(tasks, "source", "from").select("source", "blocks", F.explode(F.sequence("from", F.least(F.col("from") + RUN_SLOTS, F.col("draws")) - 1)).alias("q"))
-    taken_blocks = slot.select("source", permuted(F.pmod("q", F.col("blocks")), F.col("blocks"), F.coalesce("source", F.lit("\x00"))).alias("block")).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-
-    # Documents cut at block edges.
-    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    streamed = sized.withColumn("offset", F.coalesce(F.sum("size").over(inside), F.lit(0)).cast("bigint"))
-    streamed = streamed.alias("d").join(starts.alias("s"), same(streamed, starts) & (streamed["bucket"] == starts["bucket"])).select("d.doc_id", "d.source", "d.size", F.monotonically_increasing_id().alias("row"), (F.col("d.offset") + F.col("s.base")).alias("offset"))
-    streamed = written(streamed, "streams")
-    part = streamed.where("size > 0").select("row", "source", "offset", "size", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))).alias("block"))
-    part = part.select("row", "source", "block", (F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("offset", F.col("block") * block)).alias("words"))
-    got = part.alias("p").join(taken_blocks.hint("merge").alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block"))).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    slot = runs.repartition(tasks, "source", "shard", "from").select("*", F.explode(F.sequence("from", F.least(F.col("from") + RUN_SLOTS, F.col("draws")) - 1)).alias("i"))
+    drawn_block = permuted(F.pmod(F.col("before") + F.col("i"), F.col("blocks")), F.col("blocks"), F.coalesce("source", F.lit("\x00"))).alias("block")
+    slot = slot.select("shard", permuted(F.col("first") + F.col("i"), F.col("n"), F.col("shard")).alias("slot"), "source", drawn_block)
+
+    # Documents cut at block edges. A document's source and offset tell it from all others that have words.
+    inside = Window.partitionBy("key", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    begins = starts.select(_key("source"), "bucket", "base")
+
+    def placed(rows, *keep):
+        own = rows.select("*", _key("source")).withColumn("offset", F.coalesce(F.sum("size").over(inside), F.lit(0)).cast("bigint"))
+        return own.join(begins.hint("merge"), ["key", "bucket"]).select("doc_id", "source", "size", (F.col("offset") + F.col("base")).alias("offset"), *keep)
+
+    streamed = placed(sized)
+    offset, last = F.col("offset"), F.col("offset") + F.col("size")
+    def piece(all_words, b):
+        lo, hi = F.greatest(offset, b * block), F.least(last, (b + 1) * block)
+        text = F.array_join(F.slice(all_words, (lo - offset + 1).cast("int"), (hi - lo).cast("int")), " ")
+        return F.struct(b.alias("block"), (hi - lo).alias("words"), text.alias("text"))
+
+    cut = let(words(F.col("text")), lambda w: F.transform(F.sequence(F.floor(offset / block), F.floor((last - 1) / block)), lambda b: piece(w, b)))
+    part = placed(sizes(docs, "text").where("size > 0"), "text").select("doc_id", _key("source"), "offset", F.explode(cut).alias("p"))
+    held = F.array_sort(F.collect_list(F.struct("offset", "doc_id", F.col("p.words").alias("words"), F.col("p.text").alias("text"))))
+    # Grouped by the very key of the join, so that texts are not shuffled again.
+    packed = part.groupBy("key", F.col("p.block").alias("block")).agg(held.alias("held"))
+    packed = packed.select(
+        "key",
+        "block",
+        F.aggregate("held", F.lit(0).cast("bigint"), lambda n, x: n + x["words"]).alias("words"),
+        F.array_join(F.transform("held", lambda x: x["text"]), " ").alias("text"),
+        F.transform("held", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["offset"].alias("offset"), x["words"].alias("words"))).alias("documents"),
+    )
+    rows = packed.join(slot.withColumn("key", _key("source")).hint("merge"), ["key", "block"]).select("shard", "slot", "source", "block", "words", "text", "documents")
+    return streamed, per_source, written(rows, "mixed")
+
+
+def mixed(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, most: int = MOST) -> DataFrame:
+    """The mixture: shard, slot in it, source, block, words and text, with the documents (doc_id, offset, words) of each row.
+
+    A block's text is its words with a blank between them; only a source's last block may have
+    fewer than `block`. Slots number from 0 in each shard. A slot that a source cannot fill
+    without repeating its blocks more than `most` times is left out.
+    """
+    return _dealt(docs, block, shards, most)[2]
+
+
+def mixture(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, most: int = MOST) -> DataFrame:
+    """doc_id, size, source_size, target and taken of each document, counted from the rows of `mixed`, which are written.
+
+    A null or empty text has size 0 and takes nothing; a null source is a source of its own,
+    last in order. Equal rows are counted as often as they occur. An empty table gives none.
+    Other columns are ignored. A source without words has target 0.
+    """
+    streamed, per_source, rows = _dealt(docs, block, shards, most)
+    part = rows.select("source", F.explode("documents").alias("d")).groupBy("source", "d.offset").agg(F.sum("d.words").alias("taken"))
+    got = streamed.alias("o").join(part.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source")) & (F.col("o.offset") == F.col("g.offset")) & (F.col("o.size") > 0), "left").select("o.doc_id", "o.source", "o.size", "g.taken")
     sources = F.broadcast(per_source) if _small(per_source) else per_source
-    out = streamed.join(got, "row", "left")
-    return out.alias("o").join(sources.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source"))).select("o.doc_id", "o.size", "s.source_size", "s.target", F.coalesce("o.taken", F.lit(0)).cast("bigint").alias("taken"))
+    return got.alias("o").join(sources.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source"))).select("o.doc_id", "o.size", "s.source_size", "s.target", F.coalesce("o.taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
 #: Sources that may be broadcast; with more, the joins shuffle.

@@ -548,6 +548,26 @@ def test_mixture(spark, docs, odd, none):
     assert len(rows) == 9 and all(r.taken <= 3 * r["size"] for r in rows)
 
 
+def test_mixed_blocks_are_packed_and_dealt(spark, docs):
+    rows = mixing.mixed(docs).collect()
+    assert len({(r.shard, r.slot) for r in rows}) == len(rows) and {r.shard for r in rows} == set(range(mixing.SHARDS))
+    texts = {r.doc_id: SPACED.findall(r.text or "") for r in docs.select("doc_id", "text").collect()}
+    blocks, per_shard, taken = {}, Counter(), Counter()
+    for r in rows:
+        assert blocks.setdefault((r.source, r.block), r.text) == r.text and len(r.text.split(" ")) == r.words <= mixing.BLOCK
+        want = []
+        for d in sorted(r.documents, key=lambda d: d.offset):
+            lo = max(0, r.block * mixing.BLOCK - d.offset)
+            want += texts[d.doc_id][lo : lo + d.words]
+            taken[d.doc_id] += d.words
+        assert r.text == " ".join(want)
+        per_shard[r.shard] += 1
+    assert max(per_shard.values()) - min(per_shard.values()) <= 2
+    shard = [r.source for r in sorted(rows, key=lambda r: r.slot) if r.shard == 0]
+    assert shard != sorted(shard)
+    assert {r.doc_id: r.taken for r in mixing.mixture(docs).collect() if r.taken} == taken
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("bigint"), F.lit("k")).alias("p"))
