@@ -5,6 +5,10 @@ from the others. A sketch is, for each of SKETCHES hash functions, the PER_SKETC
 smallest hash in the order in which they stand in the text: documents with equal entries share
 shingles in the same order, so the sketch follows edit similarity and not just the set.
 
+Short texts also have entries for their whole sequence and for what is left of it without one
+or two shingles: any two that can be linked, the shorter of SHORT shingles or fewer, share one
+for certain. Of longer texts a pair is a candidate with the probability stated at SKETCHES.
+
 Two documents with an equal entry are candidates. They are linked if the alignment of their
 shingle sequences inside a band matches at least `similarity` of their union. Documents with
 equal words are one node from the start. Groups are found without listing the pairs of a group:
@@ -17,11 +21,13 @@ equal words are one node from the start. Groups are found without listing the pa
    pair's common shingles are those it shares with the hub, no more than the one of the two
    that has fewer of those, and shingles that the hub does not have. So a pair must either have
    enough in common with the hub, or share a shingle outside it, which an equi join finds. No
-   link is lost, and copies that stray from a large group are not paired with all of it.
+   candidate link is lost, and copies that stray from a large group are not paired with all of it.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,9 +37,16 @@ from plotweave.llm.bytekit import CHUNK_BYTES, LOWER, NOT_SPACE, RollingHash, ch
 from plotweave.llm.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: With similarity 0.8, two documents share an entry with probability 0.8^6, one of 24 with 0.9993.
+#: With similarity 0.8, two long documents share an entry with probability 0.8^6, one of 24 with 0.9993;
+#: shingles are drawn without replacement, so with few of them it is less.
 SKETCHES, PER_SKETCH = 24, 6
 
+#: Shingles of the shorter text up to which candidates are exact at similarity 0.8: the longer one
+#: has at most 11, the whole shorter text is in order in it but for the pair of 9 and 9 (8 in common).
+SHORT = 9
+#: Shingles left out, and of which numbers of shingles.
+_LEFT_OUT = ((0, range(4, 10)), (1, range(5, 11)), (2, range(10, 12)))
+
 _SALT = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -60,8 +73,21 @@ def occurrences(grams: np.ndarray) -> np.ndarray:
     return np.where(nth > 0, mix64(grams + nth * np.uint64(0xC2B2AE3D27D4EB4F)), grams)
 
 
+def short_entries(grams: np.ndarray) -> np.ndarray:
+    """Hashes of a short text's shingle sequence, whole and without one or two shingles."""
+    out = [np.zeros(0, np.uint64)]
+    for k, sizes in _LEFT_OUT:
+        if len(grams) in sizes:
+            kept = grams[np.array(list(combinations(range(len(grams)), len(grams) - k)))]
+            x = np.full(len(kept), len(grams) - k, np.uint64)
+            for column in kept.T:
+                x = mix64(x * np.uint64(0x100000001B3) + column)
+            out.append(x)
+    return np.concatenate(out).view(np.int64)
+
+
 def sketch(grams: np.ndarray) -> np.ndarray:
-    """SKETCHES entries of one document; a text without shingles has none."""
+    """SKETCHES entries of one document and those of short texts; a text without shingles has none."""
     if not len(grams):
         return np.zeros(0, np.int64)
     labelled = occurrences(grams)
@@ -73,7 +99,7 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     out = _SALT.copy()
     for k in range(few):
         out = mix64(out * np.uint64(0x100000001B3) + labelled[at[:, k]])
-    return out.view(np.int64)
+    return np.concatenate([out.view(np.int64), short_entries(grams)])
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:

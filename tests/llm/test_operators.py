@@ -172,6 +172,25 @@ def test_alignment_is_the_longest_common_subsequence():
         assert neardup.aligned(a.astype(np.uint64), b.astype(np.uint64)) == (n == 0 or (len(a) > 0 and len(b) > 0 and m >= 0.8 / 1.8 * n - 1e-9))
 
 
+def test_short_texts_that_can_be_linked_are_candidates(spark):
+    rng = np.random.default_rng(5)
+    seen = Counter()
+    for _ in range(4000):
+        a = rng.integers(0, 1 << 40, int(rng.integers(1, 10))).astype(np.uint64)
+        b = a.copy()
+        for _ in range(int(rng.integers(0, 4))):
+            at = int(rng.integers(0, len(b) + 1))
+            b = np.insert(b, at, np.uint64(rng.integers(0, 1 << 40))) if rng.random() < 0.7 or len(b) < 2 else np.delete(b, min(at, len(b) - 1))
+        if neardup.aligned(a, b):
+            assert set(neardup.sketch(a).tolist()) & set(neardup.sketch(b).tolist()), (len(a), len(b))
+            seen[min(len(a), len(b)), max(len(a), len(b))] += 1
+    assert {(4, 5), (5, 6), (7, 8), (8, 10), (9, 11)} <= set(seen)
+    words = [f"w{k}" for k in range(10)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:9])), (3, " ".join(words[1:9])), (4, "x " + " ".join(words[2:9]))]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_near_duplicate_edges(odd, none):
     got = [(r.doc_id, r.class_id) for r in neardup.classes(odd).collect()]
     assert sorted(got, key=str) == sorted([(1, 1), (1, 1), (2, 2), (3, 2), (6, 2), (4, 4), (5, 5), (7, 7), (None, None)], key=str)
