@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised pass handles at a time (a single longer text is one pass).
 CHUNK_BYTES = 1 << 20
@@ -130,21 +132,67 @@ LOWER = np.where((_ASCII >= 65) & (_ASCII <= 90), _ASCII + 32, _ASCII).astype(np
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset, a temporary one, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plotweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/plotweave-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing will read again."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path is not None:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """df with a bigint column that tells every row from all others.
+
+    It is the hash of the given columns, which any job computes alike, if one aggregate shows that
+    no two rows have the same; else rows are numbered, in a written table.
+    """
+    key = F.xxhash64(*columns)
+    if df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return df.withColumn(name, key)
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
+def dense(counts: DataFrame, index: str, size: int, *values: str) -> DataFrame:
+    """One row, `list`: an array of the structs of these columns (0 where null or missing) for index 0 to size - 1.
+
+    Used as a scalar subquery: `size` numbers whatever the input, evaluated once, and no literal in a plan.
+    """
+    every = counts.sparkSession.range(size).select(F.col("id").alias("_i")).join(counts, F.col("_i") == F.col(index), "left")
+    of = F.struct("_i", *(F.coalesce(v, F.lit(0)).alias(v) for v in values))
+    return every.agg(F.transform(F.array_sort(F.collect_list(of)), lambda x: F.struct(*(x[v].alias(v) for v in values))).alias("list"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ equal words are one node from the start. Groups are found without listing the pa
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from itertools import combinations
 
 import numpy as np
@@ -33,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotweave.llm.bytekit import CHUNK_BYTES, LOWER, NOT_SPACE, RollingHash, chunks, mix64, tokens, utf8, written
-from plotweave.llm.graph import components
+from plotweave.llm.bytekit import CHUNK_BYTES, LOWER, NOT_SPACE, RollingHash, chunks, fresh, keyed, mix64, tokens, utf8, written
+from plotweave.llm.graph import components, extended
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: With similarity 0.8, two long documents share an entry with probability 0.8^6, one of 24 with 0.9993;
@@ -129,19 +130,24 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     if matches + min(len(x), len(y)) < need - 1e-9:
         return False
     band = int(total - 2 * need) + 1
-    place: dict[int, int] = {}
+    place: dict[int, list[int]] = {}
     for i, v in enumerate(x.tolist()):
-        place[v] = place.get(v, 0) | (1 << i)
-    full = (1 << len(x)) - 1
-    window = (1 << (2 * band + 1)) - 1
-    grow = full  # a zero bit: the subsequence grows at that place
+        place.setdefault(v, []).append(i)
+    width = 2 * band + 1
+    full = (1 << width) - 1
+    grow = full  # bit b: place j - band + b of x; a zero bit: the subsequence grows there
     for j, v in enumerate(y.tolist()):
-        hit = place.get(v)
-        if hit is not None:
-            hit &= window << (j - band) if j >= band else window >> (band - j)
+        spots = place.get(v)
+        if spots is not None:
+            hit = 0
+            for i in spots if len(spots) == 1 else spots[bisect_left(spots, j - band) : bisect_left(spots, j + band + 1)]:
+                if -band <= i - j <= band:
+                    hit |= 1 << (i - j + band)
             step = grow & hit
             grow = ((grow + step) | (grow - step)) & full
-    return matches + len(x) - grow.bit_count() >= need - 1e-9
+        matches += not grow & 1
+        grow = grow >> 1 | 1 << (width - 1)
+    return matches + width - grow.bit_count() >= need - 1e-9
 
 
 def _words(text: bytes) -> np.ndarray:
@@ -152,22 +158,19 @@ def _words(text: bytes) -> np.ndarray:
 
 def _sketched(batches):
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
+        data, offsets = utf8(batch.column(2))
         for i, j in chunks(offsets, CHUNK_BYTES):
             low = LOWER[data[offsets[i] : offsets[j]]]
             at = offsets[i : j + 1] - offsets[i]
             start, end, upto = tokens(low, at, NOT_SPACE)
             words = RollingHash(low)(start, end)
-            same, entries = [], []
+            same, same_too, entries = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64), []
             for r in range(j - i):
                 own = words[upto[r] : upto[r + 1]]
-                grams = shingles(own)
-                entries.append(sketch(grams))
-                x = np.uint64(len(own))
-                with np.errstate(over="ignore"):
-                    y = mix64(np.array([x]))[0] + np.bitwise_xor.reduce(mix64(own + mix64(np.arange(len(own), dtype=np.uint64)))) if len(own) else x
-                same.append(int(np.uint64(y).astype(np.int64)))
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(same, pa.int64()), pa.array(entries, pa.list_(pa.int64()))], ["doc", "same", "entries"])
+                entries.append(sketch(shingles(own)))
+                placed = mix64(own + mix64(np.arange(len(own), dtype=np.uint64)))
+                same[r], same_too[r] = np.bitwise_xor.reduce(placed), np.add.reduce(placed)
+            yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(same.view(np.int64)), pa.array(same_too.view(np.int64)), pa.array(entries, pa.list_(pa.int64()))], ["row", "doc_id", "same", "same_too", "entries"])
 
 
 def need(a, b, similarity: float = SIMILARITY):
@@ -219,7 +222,7 @@ class Aligned:
 
     def test(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b) with what `_test` finds. Merge joins: Spark splits the many pairs of one hub."""
-        at_a = pairs.join(self.texts.hint("merge").withColumnsRenamed({"doc": "a", "text": "text_a"}), "a")
+        at_a = written(pairs.select("a", "b"), "pairs").join(self.texts.hint("merge").withColumnsRenamed({"doc": "a", "text": "text_a"}), "a")
         both = at_a.join(self.texts.hint("merge").withColumnsRenamed({"doc": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
         return written(both.mapInArrow(_test(self.similarity), _TESTED), "tested")
 
@@ -252,9 +255,10 @@ class Aligned:
 def grouped(keys: DataFrame, prepare) -> DataFrame:
     """node and root of the nodes that verified links connect.
 
-    keys: (key, node) rows. prepare: from the table of nodes that share a key, gives an object
-    like Aligned.
+    keys: (key, node) rows and what else `residual` wants of them. prepare: from the table of
+    nodes that share a key, gives an object like Aligned.
     """
+    more = [c for c in keys.columns if c not in ("key", "node")]
     keys = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "key")
     weight = keys.groupBy("node").agg(F.sum("members").alias("weight"))
     keys = written(keys.drop("members").join(weight, "node"), "keys")
@@ -263,53 +267,61 @@ def grouped(keys: DataFrame, prepare) -> DataFrame:
     # 1. One pair for each node: with the heaviest hub of its keys.
     hubs = keys.groupBy("key").agg(hub.alias("hub"))
     mine = keys.join(hubs, "key").groupBy("node").agg(F.max("hub").alias("hub")).select(F.col("node").alias("a"), (-F.col("hub.minus")).alias("b")).where("a <> b")
-    tested = pairs_of.test(written(mine, "pairs"))
-    links = tested.where("linked").select("a", "b")
+    tested = pairs_of.test(mine)
+    roots = written(components(tested.where("linked").select("a", "b")), "roots")
     # 2. Outside the largest component of a key, one pair for each node: with that one's hub.
-    labelled = _labelled(keys, links)
+    labelled = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tops = labelled.groupBy("key", "root").agg(hub.alias("hub"), F.count(F.lit(1)).alias("n"))
-    most = tops.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "hub")).alias("top")).where("roots > 1")
-    apart = written(labelled.select("key", "node", "root").join(most.select("key", (-F.col("top.hub.minus")).alias("hub")), "key"), "mixed")
-    heads = apart.where("node = hub").select("key", F.col("root").alias("head"))
-    asked = apart.join(heads, "key").where("root <> head").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    more = pairs_of.test(written(asked.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs"))
-    tested = tested.unionByName(more)
-    links = tested.where("linked").select("a", "b")
+    most = tops.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "hub", "root")).alias("top")).where("roots > 1")
+    apart = written(labelled.select("key", "node", "root", *more).join(most.select("key", (-F.col("top.hub.minus")).alias("hub"), F.col("top.root").alias("head")), "key"), "mixed")
+    asked = apart.where("root <> head").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    again = pairs_of.test(asked.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    tested = tested.unionByName(again)
+    roots = written(extended(roots, again.where("linked").select("a", "b")), "roots")
     # 3. Pairs left that can be linked.
-    roots = components(links)
-    now = written(apart.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+    now = apart.drop("root", "head").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     still = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     left = written(now.join(still, "key"), "left")
     pairs = pairs_of.residual(left, tested)
-    last = pairs_of.test(written(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs"))
-    return components(links.unionByName(last.where("linked").select("a", "b")))
+    last = pairs_of.test(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    return extended(roots, last.where("linked").select("a", "b"))
 
 
-def _labelled(keys: DataFrame, links: DataFrame) -> DataFrame:
-    roots = components(links)
-    return written(keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+def linked_rows(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """row, doc_id, group (any number that all rows of a group have) of the rows (row, doc_id, text)."""
+    made = written(rows.mapInArrow(_sketched, "row bigint, doc_id bigint, same bigint, same_too bigint, entries array<bigint>"), "sketches")
+    # Equal words: one node stands for all, told from 128 bits of hash.
+    nodes = written(made.groupBy("same", "same_too").agg(F.min_by(F.struct("row", "entries"), "row").alias("x")).select("same", "same_too", "x.row", "x.entries"), "nodes")
+    keys = nodes.select(F.col("row").alias("node"), F.explode(F.array_distinct("entries")).alias("key"))
+    roots = grouped(keys, lambda candidates: Aligned(rows.select(F.col("row").alias("doc"), "text"), candidates, similarity))
+    found = nodes.join(roots.withColumnRenamed("node", "row"), "row", "left").select("same", "same_too", F.coalesce("root", "row").alias("group"))
+    return made.select("row", "doc_id", "same", "same_too").join(found, ["same", "same_too"]).select("row", "doc_id", "group")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id") -> DataFrame:
-    """doc_id and class_id (the smallest doc_id of its group) of each row.
+    """The id and class_id (the smallest id of its group) of each row.
 
     Words are runs of anything but ASCII white space, lower-cased from A to Z. Texts without
     words are equal to one another; rows with fewer words than a shingle only match equal words.
-    Rows with equal ids and texts get the same class. A null id is a class of its own (null).
+    Every row is a document of its own, so rows of one id but different texts do not join their
+    groups. A null id has the class of its group, null if no row of the group has an id. Other
+    columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_column).cast("bigint").alias("doc"), "text")
-    made = written(rows.where("doc IS NOT NULL").mapInArrow(_sketched, "doc bigint, same bigint, entries array<bigint>"), "sketches")
-    # Equal words: one node, the smallest id, stands for all.
-    nodes = made.groupBy("same").agg(F.min(F.struct("doc", "entries")).alias("x")).select("same", "x.doc", "x.entries")
-    nodes = written(nodes, "nodes")
-    keys = nodes.select(F.col("doc").alias("node"), F.explode(F.array_distinct("entries")).alias("key"))
-    roots = grouped(keys, lambda candidates: Aligned(rows, candidates, similarity))
-    found = nodes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("same", F.coalesce("root", "doc").alias("class_id"))
-    out = made.select("doc", "same").join(found, "same").select(F.col("doc").alias(id_column), "class_id")
-    return out.unionByName(rows.where("doc IS NULL").select(F.col("doc").alias(id_column), F.lit(None).cast("bigint").alias("class_id")))
+    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), "text")
+    rows = keyed(rows, "row", "doc_id", "text")
+    found = linked_rows(rows.select("row", "doc_id", "text"), similarity)
+    least = found.groupBy("group").agg(F.min("doc_id").alias("class_id"))
+    return found.join(least, "group").select(F.col("doc_id").alias(id_column), "class_id")
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that stand for their group (smallest doc_id), with all their columns; null ids stay."""
-    gone = written(classes(docs, similarity).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each group, with all its columns: that of smallest doc_id, null last, and one of repeated rows.
+
+    Rows are told apart by their own number, so a row never goes because another one has its id.
+    """
+    row = fresh(docs, "_row")
+    rows = keyed(docs, row, "doc_id", "text")
+    found = written(linked_rows(rows.select(F.col(row).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"), similarity), "groups")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = found.join(first, "group").where("row <> head.row").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").drop(row)
