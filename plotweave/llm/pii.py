@@ -5,7 +5,11 @@ for each written character the source characters it stands for: look-alike lette
 other scripts and invisible characters; runs of spelled digits; "at", "dot" and "plus" in
 brackets or in a context that only an identifier has. The same detectors run on the rewritten
 text, and what they find is mapped back to source characters. A span is added if a rewrite
-touched it and no plain span overlaps it; plain spans always stay.
+touched it and no plain span holds it already; plain spans always stay, also those that are a
+rest of a wider disguised one.
+
+Look-alikes are those listed below (Cyrillic and Greek letters, full-width forms, decimal digits
+of any script, mathematical letters); letters of other scripts are left as they are.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 
 # Letters that look like Latin ones (Cyrillic, then Greek), and their Latin letters.
 _ALIKE = dict(zip("аеорсхуіјѕԁԛԝһӏАВЕКМНОРСТХУІЈЅ", "aeopcxyijsdqwhlABEKMHOPCTXYIJS", strict=True))
+_ALIKE |= dict(zip("пмктнгиьв", "nmkthrubb", strict=True))
 _ALIKE |= dict(zip("αοννρτυικχωεΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aovvptuikxweABEZHIKMNOPTYX", strict=True))
 _INVISIBLE = frozenset("​‌‍⁠﻿­")
 _SPECIAL = {"‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", "․": ".", "。": ".", "﹒": ".", "﹫": "@"}
@@ -194,7 +199,7 @@ def disguised(text: str, plain: list[Span]) -> list[Span]:
     for start, kind, end in detect(made.text):
         a, b = made.start[start], made.end[end - 1]
         touched = True in made.changed[start:end] or b - a != end - start
-        if touched and not any(s < b and a < e for s, _, e in plain):
+        if touched and not any(s <= a and b <= e for s, _, e in plain):
             out.append((a, kind, b))
     return out
 
