@@ -9,6 +9,7 @@ located by walking to sampled suffix positions.
 
 Test phrases are taken from the benchmark in blocks of at most `block_phrases` phrases, each
 sent to the executors in a broadcast; more phrases mean more blocks, never a larger broadcast.
+What several blocks find in a row is united by the row's own key.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.bytekit import LOWER, LOWER_ALNUM, RollingHash, gather_ranges, tokens, utf8, written
+from plotweave.llm.bytekit import LOWER, LOWER_ALNUM, RollingHash, fresh, gather_ranges, keyed, tokens, utf8, written
 
 #: Words in a window.
 WINDOW = 10
@@ -202,26 +203,27 @@ def _shard(ids: list, phrases: Phrases, out: list) -> None:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def spans_of(docs: DataFrame, phrases, id_column: str, text_column: str) -> DataFrame:
-    """One pass over the documents against one broadcast block of phrases."""
+def spans_of(rows: DataFrame, phrases) -> DataFrame:
+    """One pass over rows (row, doc_id, text) against one broadcast block of phrases."""
 
     def run(batches):
-        held: list[pa.Array] = []
+        held: list[pa.RecordBatch] = []
         ids: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush():
             out: list = []
             _shard(ids, phrases.value, out)
+            ids_of = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             yield pa.record_batch(
-                [pa.chunked_array(held).combine_chunks(), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], _SPANS), pa.array([x[2] for x in out], pa.list_(pa.string()))],
-                ["doc_id", "n_words", "spans", "items"],
+                [*ids_of.columns, pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], _SPANS), pa.array([x[2] for x in out], pa.list_(pa.string()))],
+                ["row", "doc_id", "n_words", "spans", "items"],
             )
 
         vocabulary = phrases.value.words
         for batch in batches:
             at = 0
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             while at < batch.num_rows:
                 stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SHARD_BYTES - size, "right")) - 1)
                 stop = min(stop, batch.num_rows)
@@ -231,7 +233,7 @@ def spans_of(docs: DataFrame, phrases, id_column: str, text_column: str) -> Data
                     found = np.where(vocabulary[slot] == words, slot + 1, 0)
                 else:
                     found = np.zeros(len(words), np.int64)
-                held.append(batch.column(0).slice(at, stop - at))
+                held.append(batch.select([0, 1]).slice(at, stop - at))
                 ids.append((found.astype(np.int32), upto))
                 size += int(offsets[stop] - offsets[at])
                 at = stop
@@ -241,8 +243,8 @@ def spans_of(docs: DataFrame, phrases, id_column: str, text_column: str) -> Data
         if held:
             yield from flush()
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words bigint, {SPANS}")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("row", "doc_id", "text").mapInArrow(run, f"row bigint, doc_id {kind}, n_words bigint, {SPANS}")
 
 
 def merged(spans):
@@ -262,35 +264,34 @@ def merged(spans):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_phrases: int = BLOCK_PHRASES) -> DataFrame:
     """Per document: doc_id, n_words, removal spans (word offsets, merged), and the items found.
 
-    A null or empty text has no words. An item without words is never found. A benchmark
-    without phrases finds nothing. Equal items are all reported. Other columns are ignored;
-    rows with equal or null ids stay apart as long as one block holds the phrases.
+    A null or empty text has no words. An item without words, or without an id, is never found. A
+    benchmark without phrases finds nothing. Equal items are all reported. Rows with equal or null
+    ids stay apart, in however many blocks the phrases come. Other columns are ignored.
     """
     spark = docs.sparkSession
+    rows = docs.select(F.lit(0).cast("bigint").alias("row"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     block: list[tuple[str, np.ndarray]] = []
-    made, held = [], 0
-
-    def search():
-        return spans_of(docs, spark.sparkContext.broadcast(Phrases.of(block, window)), id_column, text_column)
-
-    for row in benchmark.select(F.col(item_column).cast("string"), F.col(item_text)).toLocalIterator():
-        text = (row[1] or "").encode()
+    blocks, held = [], 0
+    for item in benchmark.select(F.col(item_column).cast("string"), F.col(item_text)).toLocalIterator():
+        text = (item[1] or "").encode()
         words, _ = words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        if not len(words) or row[0] is None:
-            continue
-        if block and held + len(words) > block_phrases:
-            made.append(search())
-            block, held = [], 0
-        block.append((row[0], words))
-        held += len(words)
-    made.append(search())
-    if len(made) == 1:
-        return made[0]
-    both = made[0]
-    for more in made[1:]:
-        both = both.unionByName(more)
-    grouped = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return grouped.withColumn("spans", merged(F.col("spans")))
+        # An item of more phrases than a block holds is cut into parts that share window - 1 words.
+        for at in range(0, max(1, len(words) - window + 1) if len(words) and item[0] is not None else 0, block_phrases):
+            part = words[at : at + block_phrases + window - 1]
+            if block and held + len(part) > block_phrases:
+                blocks.append(spark.sparkContext.broadcast(Phrases.of(block, window)))
+                block, held = [], 0
+            block.append((item[0], part))
+            held += len(part)
+    blocks.append(spark.sparkContext.broadcast(Phrases.of(block, window)))
+    if len(blocks) == 1:
+        return spans_of(rows, blocks[0]).drop("row")
+    rows = keyed(rows.drop("row"), "row", "doc_id", "text")
+    both = spans_of(rows, blocks[0])
+    for phrases in blocks[1:]:
+        both = both.unionByName(spans_of(rows, phrases))
+    grouped = both.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return grouped.drop("row").withColumn("spans", merged(F.col("spans")))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -309,12 +310,14 @@ def digest(found: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without those that hold benchmark text, with all their columns.
 
-    Rows are told apart by a hash of id and text, so rows with a null id go as well.
+    Rows are told apart by a hash of id and text, so rows with a null id go as well, and of rows
+    equal in both all go or all stay.
     """
-    rows = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
-    found = contamination(rows, benchmark, id_column="_rid", **options)
-    bad = written(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_rid")).distinct(), "contaminated")
-    return rows.join(bad, "_rid", "left_anti").drop("_rid")
+    rid = fresh(docs, "_rid")
+    rows = docs.withColumn(rid, F.xxhash64("doc_id", "text"))
+    found = contamination(rows, benchmark, id_column=rid, **options)
+    bad = written(found.where(F.size("spans") > 0).select(F.col("doc_id").alias(rid)).distinct(), "contaminated")
+    return rows.join(bad, rid, "left_anti").drop(rid)
 
 
 ORACLE = r"""
