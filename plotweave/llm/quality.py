@@ -169,6 +169,11 @@ def digest(scores: DataFrame, held_out: Column, threshold: float = 0.3) -> DataF
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The contract's rows: learned where the remainder by 5 is not 0."""
+    """The contract's rows: learned where the remainder by 5 is not 0.
+
+    Null and empty texts have the statistics of an empty text; a row with a null id counts as
+    learned from, but has no label. Repeated rows get equal scores. Without labels of both classes
+    all texts score alike; an empty table gives no rows. Other columns are ignored.
+    """
     model = fitted(docs, labels, remainder(5) != 0)
     return digest(scored(docs, model), remainder(5) == 0)

@@ -17,18 +17,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotweave.llm.bytekit import LOWER, LOWER_ALNUM, RollingHash, gather_ranges, mix64, tokens
+from plotweave.llm.bytekit import LOWER, LOWER_ALNUM, RollingHash, gather_ranges, mix64, tokens, written
 from plotweave.llm.quality import by_text, digest, fit_sample, remainder
 
 BITS = 17
 DIM = 12
 GRAMS = (3, 4, 5)
 SEGMENT = 12
-#: Labelled rows of each class in the training sample, and segments of one row, at most.
-FIT_ROWS, FIT_SEGMENTS = 2_000, 16
+#: Labelled rows of each class in the training sample, and bytes of text of each class, at most; texts are always whole.
+FIT_ROWS, FIT_BYTES = 2_000, 16 << 20
 #: Passes over the sample (more over a small one, so that STEPS batches are seen), and step size.
 EPOCHS, STEPS, RATE, SEED = 20, 1_000, 0.4, 11
 #: Training texts that a subword must occur in.
@@ -104,8 +105,8 @@ class Subwords:
         return 1 / (1 + np.exp(-np.clip(best + self.bias, -500, 500)))
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, odds: float) -> Subwords:
-    """texts: table rows of all subwords of a text's segments, and subwords in each segment.
+def train(texts, labels: np.ndarray, odds: float) -> Subwords:
+    """texts: table rows of all subwords of a text's segments, and subwords in each segment; gone through twice.
 
     odds: log odds of label 1 where the model is used.
     """
@@ -122,12 +123,15 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, odds:
             shared[np.unique(rows)] += 1
         shared = shared >= SHARED
         table[~shared] = 0
-        sizes = np.concatenate([n for _, n in texts])
-        first = np.concatenate([[0], np.cumsum([len(n) for _, n in texts])])
-        kept = [shared[rows] for rows, _ in texts]
-        begin = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(np.concatenate([[0], np.cumsum(k)])[np.concatenate([[0], np.cumsum(n)])]) for k, (_, n) in zip(kept, texts, strict=True)]))])
-        flat = np.concatenate([rows[k] for k, (rows, _) in zip(kept, texts, strict=True)])
-        del kept
+        sizes, first, begin, flat = [], [0], [], []
+        for rows, n in texts:
+            kept = shared[rows]
+            sizes.append(n)
+            first.append(first[-1] + len(n))
+            begin.append(np.diff(np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(n)])]))
+            flat.append(rows[kept])
+        sizes, first, flat = np.concatenate(sizes), np.array(first), np.concatenate(flat)
+        begin = np.concatenate([[0], np.cumsum(np.concatenate(begin))])
         order = np.arange(len(labels))
         epochs = max(EPOCHS, STEPS * 32 // len(labels))
         for epoch in range(epochs):
@@ -172,31 +176,33 @@ def _most_toxic(weight, flat, begin, sizes, first, block: int = 256) -> np.ndarr
     return np.array(out)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = FIT_ROWS) -> Subwords:
-    """Trains on the driver on at most 2 * rows texts, of FIT_SEGMENTS segments at most each (spread evenly over longer texts)."""
-    sample, sizes = fit_sample(docs, labels, "toxic", learn, rows)
+class Bags:
+    """What `train` needs of whole texts, made anew each time it is gone through: texts are much smaller."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts = texts
+
+    def __iter__(self):
+        for text in self.texts:
+            data = np.frombuffer(text, np.uint8)
+            rows, upto_word, upto = features(data, np.array([0, len(data)]))
+            first, end, _ = segments(upto)
+            size = upto_word[end] - upto_word[first]
+            yield rows[gather_ranges(upto_word[first], size)], size.astype(np.int32)
+
 
-    def bags(data, offsets):
-        table_rows, upto_word, upto = features(data, offsets)
-        first, end, text = segments(upto)
-        out = []
-        for i in range(len(offsets) - 1):
-            mine = np.flatnonzero(text == i)
-            if len(mine) > FIT_SEGMENTS:
-                mine = mine[np.linspace(0, len(mine) - 1, FIT_SEGMENTS).astype(int)]
-            cut = [table_rows[upto_word[first[s]] : upto_word[end[s]]] for s in mine]
-            sizes = np.array([len(c) for c in cut], np.int32)
-            out.append(np.concatenate([[len(cut)], sizes, *cut]).astype(np.int32).tobytes())
-        return pa.array(out, pa.binary())
-
-    made = by_text(sample, ["doc_id", "label"], bags, "binary", "bags").toArrow()
-    made = made.take(np.argsort(made["doc_id"].to_numpy(), kind="stable"))
-    texts = []
-    for blob in made["bags"]:
-        x = np.frombuffer(blob.as_buffer(), np.int32)
-        texts.append((x[1 + x[0] :], x[1 : 1 + x[0]]))
+def fitted(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> Subwords:
+    """Trains on the driver on whole texts: `rows` of each class at most, and `most_bytes` of each class at most (in the order of a hash of the id)."""
+    sample, sizes = fit_sample(docs, labels, "toxic", learn, rows)
+    sample = written(sample, "sample")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lengths = sample.select("doc_id", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    some = lengths.withColumn("upto", F.sum("bytes").over(order)).where(F.col("upto") <= most_bytes).select("doc_id").distinct()
+    made = sample.join(some, "doc_id", "left_semi").toArrow()
+    made = made.take(np.lexsort((pc.binary_length(made["text"].fill_null("")).to_numpy(), made["doc_id"].to_numpy())))
+    texts = [(x or "").encode() for x in made["text"].to_pylist()]
     odds = float(np.log((sizes.get(1, 0) + 1) / (sizes.get(0, 0) + 1)))
-    return train(texts, made["label"].to_numpy().astype(int), odds)
+    return train(Bags(texts), made["label"].to_numpy().astype(int), odds)
 
 
 def scored(docs: DataFrame, model: Subwords) -> DataFrame:
@@ -206,6 +212,11 @@ def scored(docs: DataFrame, model: Subwords) -> DataFrame:
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The contract's rows: learned where the remainder by 4 is not 2."""
+    """The contract's rows: learned where the remainder by 4 is not 2.
+
+    Null and empty texts score as the bias alone does; a row with a null id counts as learned
+    from, but has no label. Repeated rows get equal scores. Without labels of both classes all
+    texts score alike; an empty table gives no rows. Other columns are ignored.
+    """
     model = fitted(docs, labels, remainder(4) != 2)
     return digest(scored(docs, model), remainder(4) == 2)
