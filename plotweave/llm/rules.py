@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotweave.llm.bytekit import dense, fresh, written
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -19,8 +21,8 @@ WINDOW = 8
 BUCKETS = 1 << 16
 #: A document is rejected below this mean log ratio (natural logarithm, for each n-gram).
 THRESHOLD = -0.25
-#: Trusted rows that the target multinomial is fitted on, at most (those of smallest id hash).
-TRUSTED_ROWS = 100_000
+#: Ids of trusted texts that are broadcast (16 MB or so); with more, texts are shuffled to them. The counts are the same.
+BROADCAST_IDS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -70,51 +72,53 @@ def buckets(hashes: Column, count: int = BUCKETS) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS) -> DataFrame:
-    """One row: `llr`, `count` numbers of 6 decimals, comma-joined. Raw counts cover every n-gram of every document.
+    """One row: `llr`, `count` numbers of 6 decimals. Counts cover every n-gram of every document and of every trusted one.
 
-    trusted: distinct ids (column doc_id) of the texts that count as the target, TRUSTED_ROWS at
-    most, so they can be broadcast and no text is shuffled.
+    trusted: distinct ids (column doc_id) of the texts that count as the target.
     """
     one = F.lit(1).cast("bigint")
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", one.alias("good"))), "doc_id", "left")
+    good = trusted.select("doc_id", one.alias("good"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(good) if good.count() <= BROADCAST_IDS else good, "doc_id", "left")
     grams = marked.select("good", F.explode(buckets(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), count)).alias("b"))
-    both = grams.groupBy("b").agg(F.sum(one).alias("n"), F.sum("good").alias("t"))
-    every = docs.sparkSession.range(count).select(F.col("id").cast("int").alias("b")).join(both, "b", "left").select("b", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("t", F.lit(0)).alias("t"))
-    listed = every.agg(F.array_sort(F.collect_list(F.struct("b", "n", "t"))).alias("x"), F.sum("n").alias("nn"), F.sum("t").alias("tt"))
-    part = lambda x, n, total: F.log((x[n] + 1.0) / (F.col(total) + F.lit(float(count))))
-    return listed.select(F.array_join(F.transform("x", lambda x: F.format_string("%.6f", part(x, "t", "tt") - part(x, "n", "nn"))), ",").alias("llr"))
+    both = written(grams.groupBy("b").agg(F.sum(one).alias("n"), F.sum("good").alias("t")), "grams")  # `count` rows
+    totals = both.agg(F.sum("n").alias("nn"), F.sum("t").alias("tt"))
+    part = lambda n, total: F.log((n + 1.0) / (F.coalesce(total, F.lit(0)) + F.lit(float(count))))
+    ratio = lambda x: F.round(part(x["t"], F.col("tt")) - part(x["n"], F.col("nn")), 6)
+    return totals.join(dense(both, "b", count, "n", "t"), F.lit(True)).select(F.transform("list", ratio).alias("llr"))
 
 
 def judged(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """The documents' columns, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
-    A null or empty text has no words and fails the base rules. Equal rows are judged alike.
-    Columns of the documents that have one of these names are replaced by the rules' own.
+    A null or empty text has no words and fails the base rules. Equal rows are judged alike. An
+    empty table gives none. Columns of the documents that have one of these names are replaced by
+    the rules' own; all others are kept.
     """
-    # `count` numbers, whatever the input: they enter the plan as one constant array, which
-    # lambdas can index (a subquery they cannot).
-    llr = F.split(F.lit(log_ratios(docs, trusted, count).first()[0]), ",").cast("array<double>")
+    # A scalar subquery: `count` numbers, whatever the input, of which no plan holds a copy.
+    llr = log_ratios(docs, trusted, count).scalar()
+    w, h, lines = (fresh(docs, c) for c in ("_w", "_h", "_l"))
     text = F.coalesce(F.col("text"), F.lit(""))
     blank = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
-    out = docs.withColumn("_w", words(F.col("text"))).withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    out = docs.withColumn(w, words(F.col("text"))).withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
     n = F.col("n_words")
+    total = let(llr, lambda r: F.aggregate(buckets(F.col(h), count), F.lit(0.0), lambda acc, b: acc + F.get(r, b)))
     return (
-        out.withColumn("n_words", F.size("_w").cast("bigint"))
-        .withColumn("word_chars", F.length(F.array_join("_w", "")).cast("bigint"))
+        out.withColumn("n_words", F.size(w).cast("bigint"))
+        .withColumn("word_chars", F.length(F.array_join(w, "")).cast("bigint"))
         .withColumn("n_symbols", F.regexp_count(text, F.lit(SYMBOL)).cast("bigint"))
-        .withColumn("_l", blank)
-        .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint"))
-        .withColumn("n_repeat_words", repeated_words(F.col("_h")))
+        .withColumn(lines, blank)
+        .withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"))
+        .withColumn("n_repeat_words", repeated_words(F.col(h)))
         .withColumn("base_failed", (n < 20) | (100 * F.col("n_repeat_words") > 30 * n))
-        .withColumn("llr", F.aggregate(buckets(F.col("_h"), count), F.lit(0.0), lambda acc, b: acc + F.get(llr, b)) / F.greatest(F.lit(1), 2 * n - 1))
+        .withColumn("llr", total / F.greatest(F.lit(1), 2 * n - 1))
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-        .drop("_w", "_h", "_l")
+        .drop(w, h, lines)
     )
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids that any row of the labels calls good; of more than `rows`, those of smallest hash."""
-    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids that any row of the labels calls good."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def digest(rows: DataFrame) -> DataFrame:
