@@ -264,9 +264,10 @@ def grouped(keys: DataFrame, prepare) -> DataFrame:
     keys = written(keys.drop("members").join(weight, "node"), "keys")
     pairs_of = prepare(keys.select("node").distinct())
     hub = F.max(F.struct("weight", (-F.col("node")).alias("minus")))
-    # 1. One pair for each node: with the heaviest hub of its keys.
+    # 1. One pair for each node: with the hub of most of its keys, the heaviest of those.
     hubs = keys.groupBy("key").agg(hub.alias("hub"))
-    mine = keys.join(hubs, "key").groupBy("node").agg(F.max("hub").alias("hub")).select(F.col("node").alias("a"), (-F.col("hub.minus")).alias("b")).where("a <> b")
+    each = keys.join(hubs, "key").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+    mine = each.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("x")).select(F.col("node").alias("a"), (-F.col("x.hub.minus")).alias("b")).where("a <> b")
     tested = pairs_of.test(mine)
     roots = written(components(tested.where("linked").select("a", "b")), "roots")
     # 2. Outside the largest component of a key, one pair for each node: with that one's hub.
