@@ -163,7 +163,7 @@ def _dealt(docs: DataFrame, block: int, shards: int, most: int, texts: bool) ->
         cut = let(words(F.col("text")), lambda w: F.transform(spans, lambda b: piece(b, w)))
         part = placed(sizes(docs, "text").where("size > 0"), "text")
     else:
-        cut = F.transform(spans, piece)
+        cut = F.transform(spans, lambda b: piece(b))
         part = streamed.where("size > 0")
     part = part.select("doc_id", _key("source"), "offset", F.explode(cut).alias("p"))
     held = F.array_sort(F.collect_list(F.struct("offset", "doc_id", F.col("p.words").alias("words"), *([F.col("p.text").alias("text")] if texts else []))))
