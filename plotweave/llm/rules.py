@@ -94,14 +94,15 @@ def judged(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS, threshold:
     empty table gives none. Columns of the documents that have one of these names are replaced by
     the rules' own; all others are kept.
     """
-    # A scalar subquery: `count` numbers, whatever the input, of which no plan holds a copy.
+    # A scalar subquery: `count` numbers, whatever the input, of which no plan holds a copy. It is a
+    # column first, since lambdas may not hold a subquery.
     llr = log_ratios(docs, trusted, count).scalar()
-    w, h, lines = (fresh(docs, c) for c in ("_w", "_h", "_l"))
+    w, h, lines, ratios = (fresh(docs, c) for c in ("_w", "_h", "_l", "_r"))
     text = F.coalesce(F.col("text"), F.lit(""))
     blank = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
     out = docs.withColumn(w, words(F.col("text"))).withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
     n = F.col("n_words")
-    total = let(llr, lambda r: F.aggregate(buckets(F.col(h), count), F.lit(0.0), lambda acc, b: acc + F.get(r, b)))
+    total = F.aggregate(buckets(F.col(h), count), F.lit(0.0), lambda acc, b: acc + F.get(F.col(ratios), b))
     return (
         out.withColumn("n_words", F.size(w).cast("bigint"))
         .withColumn("word_chars", F.length(F.array_join(w, "")).cast("bigint"))
@@ -110,9 +111,10 @@ def judged(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS, threshold:
         .withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"))
         .withColumn("n_repeat_words", repeated_words(F.col(h)))
         .withColumn("base_failed", (n < 20) | (100 * F.col("n_repeat_words") > 30 * n))
+        .withColumn(ratios, llr)
         .withColumn("llr", total / F.greatest(F.lit(1), 2 * n - 1))
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-        .drop(w, h, lines)
+        .drop(w, h, lines, ratios)
     )
 
 
