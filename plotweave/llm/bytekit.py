@@ -145,12 +145,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/plotweave-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(schema).parquet(path)
     _PATHS[out] = path
     return out

@@ -446,10 +446,10 @@ def near_lines(x, y):
 
 
 def keys_of(spark, texts):
-    rows = spark.createDataFrame([(k, t.split(" ")) for k, t in enumerate(texts)], "id int, words array<string>")
+    rows = spark.createDataFrame([(k, t.split(" ")) for k, t in enumerate(texts)], "h int, words array<string>")
     out = {}
-    for r in lines.with_blocks(rows, ["id"]).where("key IS NOT NULL").collect():
-        out.setdefault(r.id, set()).add(r.key)
+    for r in lines.with_blocks(rows, ["h"]).where("key IS NOT NULL").collect():
+        out.setdefault(r.h, set()).add(r.key)
     return out
 
 
@@ -618,9 +618,10 @@ def brute_repeats(rows, n=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [2, 5000])
-def test_repeats_match_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "crowd"), [(2, 64), (5000, 64), (5000, 2), (3, 1), (5000, 0)])
+def test_repeats_match_brute_force(spark, hot, crowd, monkeypatch):
     monkeypatch.setattr(repeats, "HOT_RUNS", hot)
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     rng = random.Random(1)
     text = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
     base = [text(rng.randint(50, 600)) for _ in range(8)]
