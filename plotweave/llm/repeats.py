@@ -13,7 +13,9 @@ id, or same document and earlier start). What is compared is always the input.
 3. Different runs with the same anchor may share some windows. Their bytes are brought together
    and suffix-sorted; the longest previous factor of each window's start, from the previous and
    next smaller position in suffix order, shows windows that occur earlier. An anchor with more
-   than HOT_RUNS different runs is split: each of its windows goes to the task of its own bytes.
+   than HOT_RUNS different runs, or of more than CROWD in one fold of a task, is split: each of its
+   windows goes to the task of its own bytes. Such a fold sends the anchor's runs to buckets of
+   their content, so they do not meet in one task before the anchor is known to be hot.
 4. Windows found are joined to the documents, and what they cover is cut out.
 """
 
@@ -33,7 +35,8 @@ LENGTH, K = 100, 32
 FOLD = 1_000_000
 #: Bytes of input for each bucket of anchors, and the fewest buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
-HOT_RUNS = 5_000
+#: Different runs of an anchor that are compared in one task, and that one fold sends to the anchor's bucket.
+HOT_RUNS, CROWD = 5_000, 64
 
 _FOUND = "doc bigint, kind int, start int, windows int, bucket int"
 _RUN, _REQUEST, _HOT = 0, 1, 2
@@ -104,27 +107,44 @@ def _firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) ->
     return order, fresh
 
 
-def _map_anchors(n_buckets: int, length: int):
-    types = ["doc", "start", "windows", "anchor", "content"]
+_ANCHORS = "bucket int, runs binary, repeats binary, crowd binary, crowded binary"
+_RUNS = [np.int64, np.int32, np.int32, np.uint64, np.uint64]
+
+
+def _map_anchors(n_buckets: int, length: int, crowd: int):
+    """Runs by bucket of their anchors, equal ones of a fold once, and what repeats in the fold.
+
+    An anchor of more than `crowd` different runs in one fold does not bring them to its bucket:
+    they go to buckets of their content, and the anchor's bucket is only told of it.
+    """
 
     def fold(held):
         doc, start, windows, anchor, content = (np.concatenate(x) for x in zip(*held, strict=True))
         order, fresh = _firsts((anchor, content), doc, start)
-        again = order[~fresh]
-        keep = np.sort(order[fresh])
-        bucket = (anchor[keep] % np.uint64(n_buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        keep, cut = keep[by], np.searchsorted(bucket[by], np.arange(n_buckets + 1))
+        again, first = order[~fresh], order[fresh]
+        _, group, n = np.unique(anchor[first], return_inverse=True, return_counts=True)
+        many = n[group] > crowd
         runs = merged_runs(doc[again], start[again], windows[again])
         share = np.linspace(0, len(runs[0]), n_buckets + 1).astype(int)
-        ids, blobs, more = [], [], []
+        narrow = lambda d, s, w: (d, s.astype(np.int32), w.astype(np.int32))
+
+        def dealt(rows, hashed):
+            bucket = (hashed % np.uint64(n_buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            return rows[by], np.searchsorted(bucket[by], np.arange(n_buckets + 1))
+
+        kept, salted = np.sort(first[~many]), np.sort(first[many])
+        (kept, cut), (salted, cut_salted) = dealt(kept, anchor[kept]), dealt(salted, content[salted])
+        told = np.unique(anchor[salted])
+        told, cut_told = dealt(told, told)
+        ids, blobs = [], []
         for b in range(n_buckets):
-            mine, some = keep[cut[b] : cut[b + 1]], slice(share[b], share[b + 1])
-            if len(mine) or share[b] < share[b + 1]:
+            mine, others, hot, some = kept[cut[b] : cut[b + 1]], salted[cut_salted[b] : cut_salted[b + 1]], told[cut_told[b] : cut_told[b + 1]], slice(share[b], share[b + 1])
+            if len(mine) or len(others) or len(hot) or share[b] < share[b + 1]:
                 ids.append(b)
-                blobs.append(_packed(doc[mine], start[mine].astype(np.int32), windows[mine].astype(np.int32), anchor[mine], content[mine]))
-                more.append(_packed(runs[0][some], runs[1][some].astype(np.int32), runs[2][some].astype(np.int32)))
-        return pa.record_batch([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary()), pa.array(more, pa.binary())], ["bucket", "runs", "repeats"])
+                packed = [_packed(*narrow(doc[x], start[x], windows[x]), anchor[x], content[x]) for x in (mine, others)]
+                blobs.append((packed[0], _packed(*narrow(*(x[some] for x in runs))), packed[1], _packed(hot)))
+        return pa.record_batch([pa.array(ids, pa.int32()), *(pa.array([x[k] for x in blobs], pa.binary()) for k in range(4))], ["bucket", "runs", "repeats", "crowd", "crowded"])
 
     def run(batches):
         held, size = [], 0
@@ -141,32 +161,35 @@ def _map_anchors(n_buckets: int, length: int):
         if size:
             yield fold(held)
 
-    assert types
     return run
 
 
 def _reduce_anchors(hot: int):
-    kinds = [np.int64, np.int32, np.int32, np.uint64, np.uint64]
-
     def run(table: pa.Table) -> pa.Table:
-        doc, start, windows, anchor, content = _unpacked(table["runs"].to_pylist(), kinds)
-        again = _unpacked(table["repeats"].to_pylist(), kinds[:3])
-        order, fresh = _firsts((anchor, content), doc, start)
-        later, firsts = order[~fresh], order[fresh]
-        group = np.cumsum(np.concatenate([[0], anchor[firsts][1:] != anchor[firsts][:-1]])) if len(firsts) else firsts
-        sizes = np.bincount(group)[group] if len(firsts) else firsts
-        asked = firsts[sizes > 1]
-        kind = np.where(sizes[sizes > 1] > hot, _HOT, _REQUEST)
-        runs = merged_runs(*(np.concatenate([a, b[later]]) for a, b in zip(again, (doc, start, windows), strict=True)))
+        again = _unpacked(table["repeats"].to_pylist(), _RUNS[:3])
+        crowded = np.unique(_unpacked(table["crowded"].to_pylist(), [np.uint64])[0])
+        asked, kinds, repeated = [], [], [again]
+        for name in ("runs", "crowd"):
+            doc, start, windows, anchor, content = _unpacked(table[name].to_pylist(), _RUNS)
+            order, fresh = _firsts((anchor, content), doc, start)
+            later, firsts = order[~fresh], order[fresh]
+            _, group, n = np.unique(anchor[firsts], return_inverse=True, return_counts=True)
+            many = np.isin(anchor[firsts], crowded) if name == "runs" else np.ones(len(firsts), bool)
+            some = many | (n[group] > 1)
+            asked.append([x[firsts[some]] for x in (doc, start, windows)])
+            kinds.append(np.where(many | (n[group] > hot), _HOT, _REQUEST)[some])
+            repeated.append([x[later] for x in (doc, start, windows)])
+        runs = merged_runs(*(np.concatenate(x) for x in zip(*repeated, strict=True)))
+        doc, start, windows = (np.concatenate(x) for x in zip(*asked, strict=True))
         bucket = table["bucket"][0].as_py() if table.num_rows else 0
-        n, m = len(runs[0]), len(asked)
+        n = len(runs[0])
         return pa.table(
             {
-                "doc": np.concatenate([runs[0], doc[asked]]).astype(np.int64),
-                "kind": np.concatenate([np.full(n, _RUN), kind]).astype(np.int32),
-                "start": np.concatenate([runs[1], start[asked]]).astype(np.int32),
-                "windows": np.concatenate([runs[2], windows[asked]]).astype(np.int32),
-                "bucket": np.full(n + m, bucket, np.int32),
+                "doc": np.concatenate([runs[0], doc]).astype(np.int64),
+                "kind": np.concatenate([np.full(n, _RUN), *kinds]).astype(np.int32),
+                "start": np.concatenate([runs[1], start]).astype(np.int32),
+                "windows": np.concatenate([runs[2], windows]).astype(np.int32),
+                "bucket": np.full(n + len(doc), bucket, np.int32),
             }
         )
 
@@ -331,7 +354,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = True)
     else:  # order-preserving ids; they stay as they are, since the table is written
         rows = written(rows.orderBy(F.col("doc_id").isNull(), "doc_id", "text").withColumn("doc", F.monotonically_increasing_id()), "ordered")
     n_buckets = max(LEAST_BUCKETS, -(-int(facts[1] or 0) // BUCKET_BYTES))
-    mapped = rows.select("doc", "text").mapInArrow(_map_anchors(n_buckets, length), "bucket int, runs binary, repeats binary")
+    mapped = rows.select("doc", "text").mapInArrow(_map_anchors(n_buckets, length, CROWD), _ANCHORS)
     found = written(mapped.groupBy("bucket").applyInArrow(_reduce_anchors(HOT_RUNS), _FOUND), "runs")
     requests = found.where(f"kind <> {_RUN}").groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "bucket", "kind")).alias("asked"))
     texts = rows.join(requests.hint("shuffle_hash"), "doc").select("doc", "text", "asked")
