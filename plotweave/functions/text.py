@@ -72,6 +72,10 @@ def scene_header(interior: Column, location: Column, time: Column) -> Column:
     return F.concat(F.when(interior, "INT").otherwise("EXT"), F.lit(". "), F.coalesce(location, F.lit("未知地点")), F.lit(" - "), F.coalesce(time, F.lit("UNKNOWN")))
 
 
+def full_header(interior: Column, location: Column, time: Column, number: Column) -> Column:
+    return F.concat(scene_header(interior, location, time), F.lit(" - "), number.cast("string"))
+
+
 def storyboard_line(number: Column, header: Column, title: Column, summary: Column) -> Column:
     short = F.when(F.length(summary) > 60, F.concat(F.substring(summary, 1, 57), F.lit("..."))).otherwise(summary)
     return F.concat_ws(" | ", F.concat(F.lit("S"), F.lpad(number.cast("string"), 3, "0")), header, F.when(~blank(title), title), F.when(~blank(summary), short))

@@ -63,6 +63,10 @@ def issue_summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("type").agg(F.count(F.lit(1)).alias("n"), n("ERROR").alias("errors"), n("WARNING").alias("warnings"), n("INFO").alias("infos"))
 
 
+#: Missing numbers of a gap that are told one by one; the others are told as a range.
+GAP = 1000
+
+
 def integrity(scenes: DataFrame, dialogues: DataFrame, actions: DataFrame, characters: DataFrame) -> DataFrame:
     """script_id, rule, subject of each break of the composition's integrity."""
     row = lambda df, rule, subject, key="script_id": df.select(F.col(key).alias("script_id"), F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"))
@@ -72,8 +76,11 @@ def integrity(scenes: DataFrame, dialogues: DataFrame, actions: DataFrame, chara
     done = actions.drop("script_id").join(at, "scene_id", "left")
     known = characters.select("script_id", "character_id")
     unknown = said.where("character_id IS NOT NULL AND script_id IS NOT NULL").join(known, ["script_id", "character_id"], "left_anti")
-    numbers = scenes.groupBy("script_id").agg(F.max("scene_number").alias("most"))
-    every = numbers.select("script_id", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("scene_number"))
+    # Gaps between a number and the one before it; a stray large number is one gap of GAP rows at most, then one row for the rest.
+    order = Window.partitionBy("script_id").orderBy("scene_number")
+    gaps = scenes.where("scene_number >= 1").select("script_id", "scene_number").distinct().withColumn("below", F.lag("scene_number", 1, 0).over(order)).where("scene_number > below + 1")
+    missing = gaps.select("script_id", F.explode(F.sequence(F.col("below") + 1, F.least(F.col("scene_number") - 1, F.col("below") + GAP))).alias("scene_number")).withColumn("scene_number", F.col("scene_number").cast("string"))
+    rest = gaps.where(F.col("scene_number") - 1 > F.col("below") + GAP).select("script_id", F.concat_ws("-", F.col("below") + GAP + 1, F.col("scene_number") - 1).alias("scene_number"))
     cast = scenes.select("script_id", "scene_id", F.explode("character_ids").alias("character_id")).join(known, ["script_id", "character_id"], "left_anti")
     return _all(
         [
@@ -84,7 +91,7 @@ def integrity(scenes: DataFrame, dialogues: DataFrame, actions: DataFrame, chara
             row(said.where("script_id IS NULL").withColumn("script_id", none), "orphan_dialogue", "dialogue_id"),
             row(done.where("script_id IS NULL").withColumn("script_id", none), "orphan_action", "action_id"),
             row(scenes.groupBy("script_id", "scene_number").count().where("count > 1"), "duplicate_scene_number", "scene_number"),
-            row(every.join(scenes, ["script_id", "scene_number"], "left_anti"), "missing_scene_number", "scene_number"),
+            row(missing.unionByName(rest), "missing_scene_number", "scene_number"),
             row(cast, "unknown_scene_character", "character_id"),
         ]
     )

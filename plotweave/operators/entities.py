@@ -27,18 +27,33 @@ def pairs(people: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def components(people: DataFrame, links: DataFrame) -> DataFrame:
-    """script_id, pos, root: the smallest position that links reach. Ends when nothing changes."""
-    both = links.unionByName(links.select("script_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    both = both.persist()
-    state = people.select("script_id", "pos", F.col("pos").alias("root")).persist()
-    while True:
-        seen = state.withColumnRenamed("pos", "b").join(both, ["script_id", "b"]).groupBy("script_id", F.col("a").alias("pos")).agg(F.min("root").alias("near"))
-        after = state.join(seen, ["script_id", "pos"], "left").select("script_id", "pos", F.least("root", F.coalesce("near", "root")).alias("root")).persist()
-        changed = after.alias("x").join(state.alias("y"), ["script_id", "pos"]).where("x.root <> y.root").limit(1).count()
-        state.unpersist()
-        state = after
-        if not changed:
-            return state
+    """script_id, pos, root: the smallest position that links reach.
+
+    Alternating stars: neighbours are linked to the smallest one, first the larger ones, then the
+    others, so rounds grow with the logarithm of a component. Each round cuts its lineage in
+    `spark.checkpoint.dir` (or, on a local master without one, in memory and disk).
+    """
+    script = "script_id"
+    edges = _cut(links.where("a <> b").select(script, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = None
+    while (now := tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(script, "a", "b"))).first())) != state and now[0]:
+        state = now
+        both = edges.unionByName(edges.select(script, F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy(script, "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.where("b > a").join(low, [script, "a"]).select(script, F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy(script, "a").agg(F.min("b").alias("m"))
+        small = large.join(least, [script, "a"]).where("b <> m").select(script, F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = _cut(small.unionByName(least.select(script, "a", F.col("m").alias("b"))).distinct())
+    roots = edges.groupBy(script, F.col("a").alias("pos")).agg(F.min("b").alias("root"))
+    return people.select(script, "pos").join(roots, [script, "pos"], "left").select(script, "pos", F.coalesce("root", "pos").alias("root"))
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        return df.checkpoint()
+    return df.persist()
 
 
 def resolved(people: DataFrame, roots: DataFrame) -> DataFrame:

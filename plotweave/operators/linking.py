@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions.names import strip_honorific, strip_prefix
+from plotweave.functions.rules import EXTERIOR, INTERIOR, hits, time_from_content
 
 _NONE = "array<string>"
 
@@ -82,6 +83,40 @@ def scene_people(scenes: DataFrame, chapters: DataFrame, people: DataFrame) -> D
     return _listed(each.where(hit), "scene_id")
 
 
+def scene_time(scenes: DataFrame, chapters: DataFrame) -> DataFrame:
+    """scene_id, time_of_day: told by the first of its chapters that tells one, else by its summary, else UNKNOWN.
+
+    Chapters are labelled before the join, so their text is not shuffled.
+    """
+    told = chapters.select("chapter_id", "chapter_number", time_from_content(F.col("content")).alias("told")).where("told <> 'UNKNOWN'")
+    asked = scenes.select("scene_id", F.explode(F.array_distinct("chapter_ids")).alias("chapter_id"))
+    first = asked.join(told, "chapter_id").groupBy("scene_id").agg(F.min_by("told", F.struct("chapter_number", "chapter_id")).alias("told"))
+    return scenes.select("scene_id", "summary").join(first, "scene_id", "left").select("scene_id", F.coalesce("told", time_from_content(F.col("summary"))).alias("time_of_day"))
+
+
+def scene_interior(scenes: DataFrame, chapters: DataFrame) -> DataFrame:
+    """scene_id, interior: keywords of the chapters' texts one after another, the summary and the location; two more for those in the location.
+
+    Each chapter gives a bit for each keyword that it has, and its ends, where a keyword may begin
+    in one chapter and end in the next; bits are united by an aggregate, and no text is shuffled.
+    """
+    words = INTERIOR + EXTERIOR
+    reach = max(map(len, words)) - 1
+    bits = lambda text: sum((F.shiftleft(F.coalesce(text.contains(w), F.lit(False)).cast("bigint"), k) for k, w in enumerate(words)), F.lit(0).cast("bigint"))
+    c = F.coalesce("content", F.lit(""))
+    ends = F.when(F.length(c) <= 2 * reach, c).otherwise(F.concat(F.substring(c, 1, reach), F.lit("\n"), F.right(c, F.lit(reach))))
+    seen = chapters.select("chapter_id", "chapter_number", bits(c).alias("bits"), ends.alias("ends"))
+    asked = scenes.select("scene_id", F.explode(F.array_distinct("chapter_ids")).alias("chapter_id"))
+    per = asked.join(seen, "chapter_id").groupBy("scene_id").agg(F.bit_or("bits").alias("bits"), F.array_sort(F.collect_list(F.struct("chapter_number", "chapter_id", "ends"))).alias("all"))
+    told = scenes.select("scene_id", "summary", "location").join(per, "scene_id", "left")
+    rest = F.concat(F.array_join(F.transform("all", lambda x: x["ends"]), ""), F.coalesce(F.concat(F.lit(" "), "summary"), F.lit("")), F.coalesce(F.concat(F.lit(" "), "location"), F.lit("")))
+    found = F.coalesce("bits", F.lit(0)).bitwiseOR(bits(F.coalesce(rest, F.concat_ws(" ", "summary", "location"))))
+    inside = (1 << len(INTERIOR)) - 1
+    outside = ((1 << len(words)) - 1) ^ inside
+    score = lambda mask, own: F.bit_count(found.bitwiseAND(F.lit(mask))) + 2 * hits(F.col("location"), own)
+    return told.select("scene_id", (score(inside, INTERIOR) >= score(outside, EXTERIOR)).alias("interior"))
+
+
 def _listed(rows: DataFrame, key: str) -> DataFrame:
     first = rows.groupBy(key, "character_id").agg(F.min("pos").alias("pos"))
     return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "character_id"))), lambda x: x["character_id"]).alias("character_ids"))

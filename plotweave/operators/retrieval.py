@@ -27,18 +27,21 @@ def index_stats(index: DataFrame, docs: DataFrame, text: str = "text") -> DataFr
 def keyword_scores(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc and score: sum over the query's tokens of tf * ln(1 + (N - df + 0.5) / (df + 0.5)); a repeated token adds again.
 
-    Only the query's tokens are counted, so the scan filters them before any shuffle.
+    A document's counts of the query's tokens are one array, made in its scan and not shuffled.
+    One scan sums up in how many documents each token is, and in how many there is anything;
+    another one weighs the counts with that one row.
     """
-    spark = docs.sparkSession
-    asked = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times"))
-    found = docs.select(F.col(doc).alias("doc"), F.explode(F.filter(tokens(F.col(text)), lambda w: F.array_contains(tokens(F.lit(query)), w))).alias("token"))
-    tf = found.groupBy("token", "doc").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.where(F.trim(F.col(text)) != "").agg(F.count(F.lit(1)).alias("n"))
-    weights = df.join(F.broadcast(asked), "token").crossJoin(F.broadcast(n))  # the query's tokens by one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("times")
-    weights = weights.select("token", idf.alias("w"))
-    return tf.join(F.broadcast(weights), "token").groupBy("doc").agg(F.sum(F.col("tf") * F.col("w")).alias("score"))
+    asked = F.array_distinct(tokens(F.lit(query)))
+    times = F.transform(asked, lambda q: F.size(F.filter(tokens(F.lit(query)), lambda w: w == q)))
+    held = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.filter(tokens(F.col(text)), lambda w: F.array_contains(asked, w)).alias("held"))
+    counted = held.select("doc", "text", F.when(F.size("held") > 0, F.transform(asked, lambda q: F.size(F.filter("held", lambda w: w == q)))).alias("tf"))
+    per_token = counted.select("tf", F.posexplode_outer("tf").alias("k", "c")).groupBy("k").agg(F.count_if(F.col("c") > 0).alias("df")).where("k IS NOT NULL")
+    df = per_token.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "df"))), lambda x: x["df"]).alias("df"))
+    weights = df.join(docs.agg(F.count_if(F.trim(F.col(text)) != "").alias("n")), F.lit(True))  # one row by one row
+    idf = F.zip_with("df", times, lambda d, t: F.log(1 + (F.col("n") - d + 0.5) / (d + 0.5)) * t)
+    known = weights.select(idf.alias("idf"))  # one row
+    found = counted.where("tf IS NOT NULL").join(F.broadcast(known), F.lit(True)).select("doc", F.aggregate(F.zip_with("tf", "idf", lambda c, w: c * w), F.lit(0.0), lambda acc, x: acc + x).alias("score"))
+    return found.groupBy("doc").agg(F.sum("score").alias("score"))
 
 
 def top(scores: DataFrame, k: int, id_column: str = "doc") -> DataFrame:
@@ -81,6 +84,17 @@ def budgeted(rows: DataFrame, budget: int, order: str = "doc", text: str = "text
     return each.where((F.col("running") <= budget) | cut).withColumn(text, F.when(cut, short).otherwise(F.col(text))).drop("nth")
 
 
+def first_within(rows: DataFrame, budget: int, order: str = "doc", text: str = "text", step: int = 1000) -> DataFrame:
+    """The first rows, enough of them to use up the budget: a top-k whose k grows until it is, so no task sorts them all."""
+    k = step
+    while True:
+        some = rows.orderBy(order).limit(k)
+        n, cost = some.select(estimate_tokens(F.col(text)).alias("tokens")).agg(F.count(F.lit(1)), F.sum("tokens")).first()
+        if n < k or (cost or 0) > budget:
+            return some
+        k *= 4
+
+
 def context(rows: DataFrame, order: str = "doc", text: str = "text") -> DataFrame:
     """One row: the texts in order, a blank line between them."""
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n\n").alias("context"), F.count(F.lit(1)).alias("parts"))
@@ -104,6 +118,7 @@ def chunk_context(chunks: DataFrame, vectors: DataFrame, query: DataFrame, budge
         best = hybrid(vectors, query, chunks.withColumnRenamed("doc", "doc_id"), text_query, k, least, weight)
     else:
         best = top(vector_scores(vectors, query, least), k)
-    hits = chunks.join(F.broadcast(best.select("doc")), "doc", "left_semi")
-    none = hits.limit(1).count() == 0
-    return budgeted(chunks if none else hits, budget)
+    ids = [r[0] for r in best.select("doc").collect()]  # k of them
+    hits = chunks.where(F.col("doc").isin(ids)) if ids else chunks.where("false")
+    none = hits.select("doc").isEmpty()
+    return budgeted(first_within(chunks, budget) if none else hits, budget)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plotweave import fixtures as fx
 from plotweave.fixtures import duck
-from plotweave.functions import extract, names, rules, text
+from plotweave.functions import display, extract, names, outline, rules, text
 from plotweave.operators import chapters, checks, chunks, entities, events, linking, retrieval, scripts
 from plotweave.plans import flow
 from plotweave.sources import export
@@ -121,12 +121,37 @@ def chunk_context(spark, sf_dir):
     return retrieval.chunk_context(made, table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 20000).select("doc", "tokens")
 
 
+@query(f"""WITH {_VECTORS},
+ hit AS (SELECT doc FROM v WHERE score >= 0.20 ORDER BY round(score, 9) DESC, doc LIMIT 50),
+ t AS (SELECT doc_id AS doc, text, {_ESTIMATE} AS tokens FROM documents WHERE doc_id IN (SELECT doc FROM hit) OR NOT EXISTS (SELECT 1 FROM documents d JOIN hit ON d.doc_id = hit.doc)),
+ r AS (SELECT *, sum(tokens) OVER (ORDER BY doc) AS running, row_number() OVER (ORDER BY doc) AS nth FROM t)
+ SELECT md5(string_agg(text, chr(10) || chr(10) ORDER BY doc)) AS context, count(*) AS parts FROM r WHERE running <= 30000""")
+def broad_context(spark, sf_dir):
+    made = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    found = retrieval.chunk_context(made, table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 30000, mode="broad")
+    return retrieval.context(found).select(F.md5("context").alias("context"), "parts")
+
+
+@query(f"""WITH {_VECTORS}, {_SCORES},
+ a AS (SELECT doc, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS r FROM v WHERE score >= 0.25 QUALIFY r <= 100),
+ b AS (SELECT doc, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS r FROM sc QUALIFY r <= 100),
+ f AS (SELECT coalesce(a.doc, b.doc) AS doc, coalesce(0.6 / (60 + a.r), 0) + coalesce(0.4 / (60 + b.r), 0) AS score FROM a FULL JOIN b ON a.doc = b.doc),
+ hit AS (SELECT doc FROM f ORDER BY round(score, 9) DESC, doc LIMIT 50),
+ t AS (SELECT doc_id AS doc, {_ESTIMATE} AS tokens FROM documents WHERE doc_id IN (SELECT doc FROM hit)),
+ r AS (SELECT doc, tokens, sum(tokens) OVER (ORDER BY doc) AS running, row_number() OVER (ORDER BY doc) AS nth FROM t)
+ SELECT doc, tokens FROM r WHERE running <= 20000 OR (nth = 1 AND tokens > 20000)""")
+def hybrid_context(spark, sf_dir):
+    made = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return retrieval.chunk_context(made, table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 20000, mode="hybrid", text_query=WORDS).select("doc", "tokens")
+
+
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
- FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id <= a.vec_id + 10""")
+ FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0""")
 def cosine_pairs(spark, sf_dir):
+    """Every twentieth vector, as a query, against all vectors of its label."""
     e = table(spark, sf_dir, "embeddings")
-    a, b = e.alias("a"), e.alias("b")
-    near = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")) & (F.col("b.vec_id") <= F.col("a.vec_id") + 10))
+    a, b = e.where("vec_id % 20 = 0").alias("a"), e.alias("b")
+    near = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") != F.col("b.vec_id")))
     return near.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(text.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("score"))
 
 
@@ -156,12 +181,13 @@ def text_scalars(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.spoken_length(t).cast("bigint").alias("spoken"), text.cache_key(t, F.lit("m"), F.lit(0.7)).alias("key"), text.safe_file_name(t).alias("name"), text.escaped(t).alias("escaped"))
 
 
-@query("""WITH c AS (SELECT item_id, left(text, 60) AS t FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, a.t AS x, b.t AS y FROM c a JOIN c b ON b.item_id > a.item_id AND b.item_id <= a.item_id + 3)
- SELECT a, b, round(CASE WHEN x = y THEN 1.0 ELSE len(list_intersect(list_distinct(string_split(x, '')), list_distinct(string_split(y, '')))) / len(list_distinct(list_concat(string_split(x, ''), string_split(y, '')))) END, 9) AS j FROM p""")
+@query("""SELECT a.item_id AS a, b.item_id AS b, round(CASE WHEN a.text = b.text THEN 1.0 ELSE len(list_intersect(list_distinct(string_split(a.text, '')), list_distinct(string_split(b.text, '')))) / len(list_distinct(list_concat(string_split(a.text, ''), string_split(b.text, '')))) END, 9) AS j
+ FROM benchmark a JOIN benchmark b ON a.item_id <> b.item_id WHERE a.item_id % 20 = 0""")
 def character_jaccard(spark, sf_dir):
-    c = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("t"))
-    a, b = c.withColumnsRenamed({"item_id": "a", "t": "x"}), c.withColumnsRenamed({"item_id": "b", "t": "y"})
-    return a.join(b, (F.col("b") > F.col("a")) & (F.col("b") <= F.col("a") + 3)).select("a", "b", F.round(text.character_jaccard(F.col("x"), F.col("y")), 9).alias("j"))
+    """Every twentieth item, as a query, against all items, by their whole texts."""
+    c = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
+    a, b = c.where("item_id % 20 = 0").withColumnsRenamed({"item_id": "a", "t": "x"}), c.withColumnsRenamed({"item_id": "b", "t": "y"})
+    return b.join(F.broadcast(a) if a.count() <= 100_000 else a, F.col("a") != F.col("b")).select("a", "b", F.round(text.character_jaccard(F.col("x"), F.col("y")), 9).alias("j"))
 
 
 @query("SELECT c_custkey, '[' || '\"' || c_mktsegment || '\"' || ']' AS j, [c_mktsegment] AS l, 1 AS n FROM customer UNION ALL SELECT 0 - n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE 'null' END, CAST([] AS VARCHAR[]), 0 FROM nation WHERE n_nationkey > 0")
@@ -220,35 +246,78 @@ def novel_totals(spark, sf_dir):
 
 
 def _as_chapters(spark, sf_dir):
-    n = F.abs(F.xxhash64("source") % 1000)
+    """Each document as a novel of one chapter."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(n.alias("novel_id"), F.col("doc_id").alias("chapter_id"), F.col("doc_id").cast("int").alias("chapter_number"), F.col("text").alias("content"))
+    return docs.select(F.col("doc_id").alias("novel_id"), F.col("doc_id").alias("chapter_id"), F.lit(1).alias("chapter_number"), F.col("text").alias("content"))
 
 
-@query()
+def _estimated(column: str) -> str:
+    return _ESTIMATE.replace("text", column)
+
+
+_ENDS = "[" + "".join(sorted(chunks.ENDS)).replace("\n", "\\n") + "]"
+_SIZE, _REACH = chunks.CHUNK_CHARS, chunks.SEARCH
+#: Chunks with overlap: a chunk is cut after the last sentence end before its size, or the first one behind it.
+_OVERLAP = f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS z FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '^\\s*$')),
+ c(doc_id, k, a, b, last) AS (
+  SELECT doc_id, -1, 0, 0, false FROM d
+  UNION ALL
+  SELECT doc_id, k + 1, a, CAST(a + cut AS INTEGER), z - a < {_SIZE} FROM (
+   SELECT doc_id, k, a, z, CASE WHEN z - a <= {_SIZE} THEN z - a WHEN back > 0 THEN {_SIZE - _REACH} + back WHEN ahead > 0 THEN {_SIZE} + ahead ELSE {_SIZE} END AS cut FROM (
+    SELECT c.doc_id, k, z, CASE WHEN k < 0 THEN 0 ELSE greatest(b - {chunks.OVERLAP_CHARS}, a) END AS a,
+     length(regexp_extract(substr(text, CASE WHEN k < 0 THEN 0 ELSE greatest(b - {chunks.OVERLAP_CHARS}, a) END + {_SIZE - _REACH} + 1, {_REACH}), '(?s)^.*{_ENDS}')) AS back,
+     length(regexp_extract(substr(text, CASE WHEN k < 0 THEN 0 ELSE greatest(b - {chunks.OVERLAP_CHARS}, a) END + {_SIZE} + 1, {_REACH}), '(?s)^.*?{_ENDS}')) AS ahead
+    FROM c JOIN d USING (doc_id) WHERE NOT last))),
+ chunk AS (SELECT doc_id AS novel_id, k AS chunk_index, [doc_id] AS chapter_ids, a::BIGINT AS start_offset, b::BIGINT AS end_offset, substr(text, a + 1, b - a) AS raw FROM c JOIN d USING (doc_id) WHERE k >= 0),
+ made AS (SELECT novel_id, chunk_index, chapter_ids, start_offset, end_offset, trim(raw) AS content, {_estimated("raw")} AS token_count FROM chunk)"""
+
+
+@query(f"{_OVERLAP} SELECT * FROM made")
 def chunk_overlap(spark, sf_dir):
     return chunks.chunks(_as_chapters(spark, sf_dir))
 
 
-@query()
+@query(f"""{_OVERLAP} SELECT count(*) AS chunks, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS total_tokens, coalesce(avg(token_count), 0)::DOUBLE AS avg_tokens,
+ (SELECT count(DISTINCT x) FROM (SELECT unnest(chapter_ids) AS x FROM made)) AS chapters, CAST(floor(coalesce(sum(length(content)), 0) * 2 / 1048576) AS BIGINT) AS approx_mb FROM made""")
 def chunk_report(spark, sf_dir):
     return chunks.report(chunks.chunks(_as_chapters(spark, sf_dir)))
 
 
-@query()
+@query(rf"""WITH RECURSIVE q AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\n\s*\n'), lambda x: NOT regexp_matches(x, '^\s*$')) AS ps FROM documents),
+ p AS (SELECT doc_id, i, ps[i] AS part, length(ps[i]) + 2 AS n FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM q)),
+ f(doc_id, i, k, held) AS (
+  SELECT doc_id, 1, 0, n FROM p WHERE i = 1
+  UNION ALL
+  SELECT p.doc_id, CAST(p.i AS INTEGER), CASE WHEN held + n - 2 > {chunks.CHUNK_CHARS} THEN k + 1 ELSE k END, CASE WHEN held + n - 2 > {chunks.CHUNK_CHARS} THEN n ELSE held + n END FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1),
+ g AS (SELECT doc_id, k, regexp_replace(string_agg(part, chr(10) || chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS raw, max(till) AS till
+  FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS till FROM f JOIN p USING (doc_id, i)) GROUP BY doc_id, k)
+ SELECT doc_id AS novel_id, k AS chunk_index, CAST([] AS BIGINT[]) AS chapter_ids, CAST(till - length(raw) AS BIGINT) AS start_offset, CAST(till AS BIGINT) AS end_offset, trim(raw) AS content, {_estimated("raw")} AS token_count FROM g""")
 def chunk_paragraphs(spark, sf_dir):
     return chunks.paragraph_chunks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("novel_id"), F.col("text").alias("content")))
 
 
-@query()
+@query(f"""WITH RECURSIVE src AS (SELECT doc_id AS k, text AS t FROM documents), {_LINES},
+ p AS (SELECT k, line_no, line || chr(10) AS body, "offset" AS start, {_estimated("(line || chr(10))")} AS cost FROM ln),
+ f(k, i, n, total) AS (
+  SELECT k, 0, 0, cost FROM p WHERE line_no = 0
+  UNION ALL
+  SELECT p.k, CAST(p.line_no AS INTEGER), CASE WHEN total >= {chunks.CHUNK_TOKENS} THEN n + 1 ELSE n END, CASE WHEN total >= {chunks.CHUNK_TOKENS} THEN cost ELSE total + cost END FROM f JOIN p ON p.k = f.k AND p.line_no = f.i + 1),
+ g AS (SELECT f.k, n, min(start) AS a, max(start + length(body)) AS b, string_agg(body, '' ORDER BY i) AS raw FROM f JOIN p ON p.k = f.k AND p.line_no = f.i GROUP BY f.k, n)
+ SELECT k AS novel_id, n AS chunk_index, CAST([] AS BIGINT[]) AS chapter_ids, a AS start_offset, b AS end_offset, trim(raw) AS content, {_estimated("raw")} AS token_count FROM g""")
 def chunk_lines(spark, sf_dir):
     rows = chapters.lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("novel_id"), F.col("text").alias("content")))
     return chunks.line_chunks(rows)
 
 
-@query()
+@query(f"""WITH t AS (SELECT item_id, regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g') AS s FROM benchmark),
+ u AS (SELECT item_id, unicode(substr(s, CAST(i AS BIGINT), 1))::HUGEINT * 65536 + (i - 1) % 65536 AS x0 FROM (SELECT item_id, s, unnest(range(1, length(s) + 1)) AS i FROM t)),
+ v AS (SELECT item_id, (x0 * {sources.MULTIPLIER} + {sources.INCREMENT}) % 18446744073709551616::HUGEINT AS x1 FROM u),
+ w AS (SELECT item_id, CAST(((x1 * {sources.MULTIPLIER} + {sources.INCREMENT}) % 9223372036854775808::HUGEINT) % {sources.DIMENSIONS} AS INTEGER) AS place FROM v),
+ n AS (SELECT item_id, place, count(*) AS c FROM w GROUP BY 1, 2)
+ SELECT item_id, place, round(c / sqrt(sum(c * c) OVER (PARTITION BY item_id)), 5) AS value FROM n""")
 def hash_embeddings(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", sources.embedded("text").alias("embedding"))
+    each = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(sources.embedded("text")).alias("place", "value"))
+    return each.where("value <> 0").select("item_id", "place", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 @query(f"WITH {duck('texts')} SELECT id, text AS decoded FROM fx_texts")
@@ -518,10 +587,11 @@ def previous_lines(spark, sf_dir):
     return scripts.previous_scene_lines(fx.SCENES.df(spark).where("scene_id <> 104"), fx.DIALOGUES.df(spark), 2).select("scene_id", "dialogue_id", "back").unionByName(scripts.previous_scene_lines(fx.SCENES.df(spark).where("scene_id >= 103").withColumn("scene_number", F.col("scene_id")), fx.DIALOGUES.df(spark), 2).select("scene_id", "dialogue_id", "back"))
 
 
-@query("SELECT conv_id, turn, CAST(nth AS INTEGER) AS nth FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, regexp_replace(text, '[，。！？：；、\"“”''‘’（）—…\\s]', '', 'g') ORDER BY turn) AS nth FROM conversations) WHERE nth > 1")
+@query("SELECT conv_id, turn, CAST(nth AS INTEGER) AS nth FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY role, regexp_replace(text, '[，。！？：；、\"“”''‘’（）—…\\s]', '', 'g') ORDER BY conv_id, turn) AS nth FROM conversations) WHERE nth > 1")
 def repetition(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return scripts.repeated(c, "conv_id", "turn", text.normalised_line(F.col("text"))).select("conv_id", "turn", "nth")
+    """All turns of a role as one scene, in the order of conversations."""
+    c = table(spark, sf_dir, "conversations").withColumn("place", F.struct("conv_id", "turn"))
+    return scripts.repeated(c, "role", "place", text.normalised_line(F.col("text"))).select("conv_id", "turn", "nth")
 
 
 @query("SELECT conv_id, count(*) AS lines, list(struct_pack(turn := turn, role := role) ORDER BY turn)[1].role AS first_role, CAST(max(length(text)) AS INTEGER) AS longest FROM conversations GROUP BY conv_id")
@@ -686,6 +756,44 @@ def storyboard(spark, sf_dir):
     return fx.SCENES.df(spark).select("scene_id", head.alias("header"), text.storyboard_line(F.col("scene_number"), head, F.col("title"), F.col("summary")).alias("line"))
 
 
+@query(r"""SELECT o_orderkey, rpad(upper(o_orderpriority), CAST(greatest(length(o_orderpriority), 15) AS INTEGER), ' ') || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE chr(10) || repeat(' ', 15) || o_orderpriority END || chr(10) || repeat(' ', 15) || o_orderstatus AS said,
+ 'Shot ' || o_orderkey || ' — ' || o_orderstatus || ' (' || o_orderpriority || ')' AS shot, '第' || o_orderkey || '章' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' ' || o_orderpriority END AS chapter,
+ CASE WHEN o_orderkey < 10000 THEN o_orderkey || ' 字' ELSE CAST(CAST(round(o_orderkey / 10000.0, 1) AS DECIMAL(20, 1)) AS VARCHAR) || ' 万字' END AS chars,
+ regexp_replace(CAST(CAST(round(o_orderkey * 37.0 / pow(1024, u), 1) AS DECIMAL(20, 1)) AS VARCHAR), '\.0$', '') || ' ' || ['B', 'KB', 'MB', 'GB'][u + 1] AS bytes
+ FROM (SELECT *, CASE WHEN o_orderkey * 37 >= 1048576 THEN 2 WHEN o_orderkey * 37 >= 1024 THEN 1 ELSE 0 END AS u FROM orders)""")
+def display_texts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    aside = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority"))
+    key = F.col("o_orderkey")
+    return o.select("o_orderkey", display.dialogue_line(F.col("o_orderpriority"), aside, F.col("o_orderstatus")).alias("said"), display.shot_label(key, F.col("o_orderstatus"), F.col("o_orderpriority")).alias("shot"), display.chapter_name(key, aside).alias("chapter"), display.char_count(key).alias("chars"), display.byte_size(key * 37).alias("bytes"))
+
+
+@query(r"""WITH h AS (SELECT n_nationkey AS k, CASE n_nationkey % 5 WHEN 0 THEN 'INT. ' || n_name || ' - UNKNOWN' WHEN 1 THEN 'ext.' || n_name || ' -  未知 ' WHEN 2 THEN n_name || ' - NIGHT' WHEN 3 THEN ' - unknown' END AS heading, CASE n_nationkey % 3 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'NIGHT' END AS time FROM nation)
+ SELECT k, CASE k % 5 WHEN 0 THEN n_name WHEN 1 THEN n_name WHEN 2 THEN n_name || ' - NIGHT' ELSE '未知地点' END AS heading, CASE WHEN time = 'NIGHT' THEN 'NIGHT' ELSE '' END AS time, n_name || CASE WHEN time = 'NIGHT' THEN ' - NIGHT' ELSE '' END AS place,
+  'INT. ' || n_name || ' - ' || coalesce(time, 'UNKNOWN') || ' - ' || k AS full_header, coalesce(time = 'NIGHT', false) AS night FROM h JOIN nation ON k = n_nationkey""")
+def headings(spark, sf_dir):
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    heading = F.when(k % 5 == 0, F.concat(F.lit("INT. "), name, F.lit(" - UNKNOWN"))).when(k % 5 == 1, F.concat(F.lit("ext."), name, F.lit(" -  未知 "))).when(k % 5 == 2, F.concat(name, F.lit(" - NIGHT"))).when(k % 5 == 3, F.lit(" - unknown"))
+    time = F.when(k % 3 == 0, F.lit("UNKNOWN")).when(k % 3 == 1, F.lit("NIGHT"))
+    return table(spark, sf_dir, "nation").select(k.alias("k"), display.clean_heading(heading).alias("heading"), display.time_text(time).alias("time"), display.place_and_time(name, time).alias("place"), text.full_header(F.lit(True), name, time, k).alias("full_header"), F.coalesce(rules.is_nighttime(time), F.lit(False)).alias("night"))
+
+
+@query(f"""WITH {duck('scenes', 'chapters')}, told AS (SELECT chapter_id, chapter_number, {case('content', rules.TIME_CONTENT, "'UNKNOWN'")} AS t FROM fx_chapters),
+ a AS (SELECT scene_id, arg_min(t, chapter_number) AS t FROM (SELECT scene_id, unnest(chapter_ids) AS chapter_id FROM fx_scenes) JOIN told USING (chapter_id) WHERE t <> 'UNKNOWN' GROUP BY 1)
+ SELECT scene_id, coalesce(a.t, CASE WHEN summary IS NULL THEN 'UNKNOWN' ELSE {case('summary', rules.TIME_CONTENT, "'UNKNOWN'")} END) AS time_of_day FROM fx_scenes LEFT JOIN a USING (scene_id)""")
+def scene_time(spark, sf_dir):
+    return linking.scene_time(fx.SCENES.df(spark), fx.CHAPTERS.df(spark))
+
+
+_SCENE_TEXT = "(coalesce(t, '') || coalesce(' ' || summary, '') || coalesce(' ' || location, ''))"
+
+
+@query(f"""WITH {duck('scenes', 'chapters')}, a AS (SELECT scene_id, string_agg(content, '' ORDER BY chapter_number) AS t FROM (SELECT scene_id, unnest(chapter_ids) AS chapter_id FROM fx_scenes) JOIN fx_chapters USING (chapter_id) GROUP BY 1)
+ SELECT scene_id, {_hits(_SCENE_TEXT, rules.INTERIOR)} + 2 * {_hits("coalesce(location, '')", rules.INTERIOR)} >= {_hits(_SCENE_TEXT, rules.EXTERIOR)} + 2 * {_hits("coalesce(location, '')", rules.EXTERIOR)} AS interior FROM fx_scenes LEFT JOIN a USING (scene_id)""")
+def scene_interior(spark, sf_dir):
+    return linking.scene_interior(fx.SCENES.df(spark), fx.CHAPTERS.df(spark))
+
+
 # --- events ------------------------------------------------------------------------------------
 
 _EV = f"WITH {duck('events')}"
@@ -751,6 +859,23 @@ def json_decode(spark, sf_dir):
     return extract.actions(fx.RESPONSES.df(spark))
 
 
+def _outlines(spark, sf_dir):
+    """A completion for each order: fenced or bare, its script under one of three keys or at the root, with one or the other name of each field."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").cast("string").alias("who"), "o_orderpriority", "o_orderstatus")
+    k = F.col("k")
+    scene = F.concat(F.lit('{"'), F.when(k % 2 == 0, "scene_id").otherwise("index"), F.lit('":"'), k.cast("string"), F.lit('","'), F.when(k % 3 == 0, "narration").otherwise("summary"), F.lit('":"'), F.col("o_orderpriority"), F.lit('","'), F.when(k % 4 == 0, "lines").when(k % 4 == 1, "conversations").otherwise("dialogues"), F.lit('":[{"'), F.when(k % 5 == 0, "character").otherwise("speaker"), F.lit('":"'), F.col("who"), F.lit('","line":"'), F.col("o_orderstatus"), F.lit('"}]}'))
+    body = F.concat(F.lit('{"title":"'), F.col("o_orderstatus"), F.lit('","characters":[{"name":"'), F.col("who"), F.lit('","role":"EXTRAS"}],"scenes":['), scene, F.lit("]}"))
+    wrapped = F.when(k % 3 == 0, F.concat(F.lit('{"script":'), body, F.lit("}"))).when(k % 3 == 1, F.concat(F.lit('{"data":'), body, F.lit("}"))).otherwise(body)
+    return outline.decoded(o.select(k.alias("script_id"), F.when(k % 7 == 0, F.concat(F.lit("Here:\n```json\n"), wrapped, F.lit("\n```"))).when(k % 11 == 0, F.lit("none")).otherwise(wrapped).alias("text")))
+
+
+@query("SELECT o_orderkey AS script_id, o_orderstatus AS title, CAST(o_orderkey AS INTEGER) AS scene_number, o_orderpriority AS summary, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS speaker, o_orderstatus AS content, 'MINOR' AS role_type FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 <> 0")
+def script_outline(spark, sf_dir):
+    scripts = _outlines(spark, sf_dir)
+    told = outline.scenes(scripts).select("script_id", "scene_number", "summary").join(outline.lines(scripts).select("script_id", "speaker", "content"), "script_id")
+    return scripts.select("script_id", "title").join(told, "script_id").join(outline.people(scripts).select("script_id", F.col("canonical_name").alias("speaker"), "role_type"), ["script_id", "speaker"])
+
+
 @query(f"""WITH {duck('scenes')} SELECT scene_id, CASE scene_id WHEN 101 THEN 'AI' WHEN 102 THEN 'AI' WHEN 103 THEN 'AI' END AS source, CASE WHEN scene_id = 104 THEN 'FAILED' ELSE 'COMPLETED' END AS action_status FROM fx_scenes""")
 def content_fallback(spark, sf_dir):
     scenes = fx.SCENES.df(spark)

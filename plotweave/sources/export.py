@@ -138,5 +138,5 @@ def markdown(scripts: DataFrame) -> DataFrame:
 
 
 def write(texts: DataFrame, column: str, path: str) -> None:
-    """A folder for each script, named by its title made safe."""
-    texts.select(safe_file_name(F.col("title")).alias("name"), F.col(column).alias("value")).write.partitionBy("name").mode("overwrite").text(path)
+    """A folder for each script, named by its title made safe and its id, since titles may be equal."""
+    texts.select(F.concat_ws("-", safe_file_name(F.coalesce("title", F.lit(""))), F.col("script_id").cast("string")).alias("name"), F.col(column).alias("value")).write.partitionBy("name").mode("overwrite").text(path)

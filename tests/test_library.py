@@ -212,6 +212,48 @@ def test_library_does_not_import_the_llm_package():
 
 
 def test_exports_are_written(spark, tmp_path):
-    rows = spark.createDataFrame([("a/b:c", "text")], "title string, txt string")
+    rows = spark.createDataFrame([(7, "a/b:c", "text"), (8, "a/b:c", "other")], "script_id bigint, title string, txt string")
     export.write(rows, "txt", str(tmp_path / "out"))
-    assert (tmp_path / "out" / "name=a_b_c").is_dir()
+    assert (tmp_path / "out" / "name=a_b_c-7").is_dir() and (tmp_path / "out" / "name=a_b_c-8").is_dir()
+
+
+def test_a_stray_scene_number_is_one_range(spark):
+    from plotweave.operators import checks
+
+    scenes = spark.createDataFrame([(1, 1, 1, [1], [1]), (1, 2, 2**31 - 1, [1], [1]), (1, 3, 3, [1], [1])], "script_id bigint, scene_id bigint, scene_number int, character_ids array<bigint>, chapter_ids array<bigint>")
+    none = spark.createDataFrame([], "script_id bigint, scene_id bigint, dialogue_id bigint, action_id bigint, character_id bigint")
+    got = {r.subject for r in checks.integrity(scenes, none, none, none).where("rule = 'missing_scene_number'").collect()}
+    assert len(got) == 1 + checks.GAP + 1 and {"2", "4", f"{3 + checks.GAP + 1}-{2**31 - 2}"} <= got
+
+
+def test_interior_sees_words_that_run_from_chapter_to_chapter(spark):
+    from plotweave.operators import linking
+
+    chapters = spark.createDataFrame([(1, 1, "人在地下"), (2, 2, "x"), (3, 3, "天空，上街上街上的教"), (4, 4, "室内")], "chapter_id bigint, chapter_number int, content string")
+    scenes = spark.createDataFrame([(1, [3, 4], None, None), (2, [1, 4], "x", None), (3, [], None, None), (4, [2, 3], "y", "教室")], "scene_id bigint, chapter_ids array<bigint>, summary string, location string")
+    texts = {1: "人在地下", 2: "x", 3: "天空，上街上街上的教", 4: "室内"}
+    from plotweave.functions.rules import EXTERIOR, INTERIOR
+
+    want = {}
+    for s, ids, summary, place in [(1, [3, 4], None, None), (2, [1, 4], "x", None), (3, [], None, None), (4, [2, 3], "y", "教室")]:
+        t = "".join(texts[i] for i in ids) + (" " + summary if summary else "") + (" " + place if place else "")
+        score = lambda words: sum(w in t for w in words) + 2 * sum(w in (place or "") for w in words)  # noqa: B023, E731
+        want[s] = score(INTERIOR) >= score(EXTERIOR)
+    assert {r.scene_id: r.interior for r in linking.scene_interior(scenes, chapters).collect()} == want
+
+
+def test_whole_scripts_are_decoded_under_any_field_names(spark):
+    from plotweave.functions import outline
+
+    texts = [
+        (1, '{"script":{"title":"甲","characters":[{"name":"林川","role":"PROTAGONIST"},{"canonicalName":"李雪","type":"EXTRAS","gender":"FEMALE"}],"scenes":[{"scene_id":"S07","narration":"夜","timeOfDay":"夜晚","lines":[{"character":"林川","line":"走吧"},{"speaker":"王磊"}],"characters":[{"name":"王磊"},{"name":"林川"}],"actions":[{"description":"跑"}]},{"index":3,"title":"二"}]}}'),
+        (2, '```json\n{"choices":[{"message":{"content":"{\\"data\\":{\\"scenes\\":[{\\"interior\\":false,\\"conversations\\":[]}]}}"}}]}\n```'),
+        (3, "no script"),
+        (4, '{"other": {"title": "x"}}'),
+    ]
+    scripts = outline.decoded(spark.createDataFrame(texts, "script_id bigint, text string")).cache()
+    assert sorted((r.script_id, r.title, r.people, r.scenes, r.lines) for r in outline.counts(scripts).collect()) == [(1, "甲", 3, 2, 2), (2, "未命名剧本", 0, 1, 0)]
+    assert [(r.pos, r.canonical_name, r.role_type, r.gender) for r in outline.people(scripts).orderBy("script_id", "pos").collect()] == [(0, "林川", "PROTAGONIST", "未知"), (1, "李雪", "MINOR", "FEMALE"), (2, "王磊", "SUPPORTING", "未知")]
+    assert [(r.script_id, r.nth, r.scene_number, r.title, r.summary, r.time_of_day, r.interior) for r in outline.scenes(scripts).orderBy("script_id", "nth").collect()] == [(1, 1, 7, "场景7", "夜", "NIGHT", True), (1, 2, 3, "二", "二", "UNKNOWN", True), (2, 1, 1, "场景1", "", "UNKNOWN", False)]
+    assert [(r.sequence, r.speaker, r.content) for r in outline.lines(scripts).collect()] == [(1, "林川", "走吧"), (2, "王磊", "")]
+    assert [(r.sequence, r.action_type, r.description) for r in outline.actions(scripts).collect()] == [(1, "ACTION", "跑")]
