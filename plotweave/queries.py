@@ -325,6 +325,15 @@ def upload_decoding(spark, sf_dir):
     return fx.TEXTS.df(spark).select("id", sources.decoded(F.encode("text", "UTF-8")).alias("decoded"))
 
 
+@query("SELECT n_nationkey AS novel_id, n_nationkey AS chunk_index, CAST(25 * 1000.0 * n_nationkey / (n_regionkey * 10) AS DOUBLE) AS chars FROM nation WHERE n_regionkey BETWEEN 1 AND 2 OR n_nationkey % 5 BETWEEN 1 AND 2")
+def chunk_range(spark, sf_dir):
+    """Chunks that hold a chapter of a range, with characters a second."""
+    n = table(spark, sf_dir, "nation")
+    made = n.select(F.col("n_nationkey").alias("novel_id"), F.col("n_nationkey").alias("chunk_index"), F.array(F.col("n_regionkey").cast("bigint"), (F.col("n_nationkey") % 5).cast("bigint")).alias("chapter_ids"), "n_regionkey")
+    rate = chunks.throughput(F.col("novel_id") * 25, F.lit(1), F.col("n_regionkey") * 10)[0]
+    return chunks.by_chapters(made, 1, 2).select("novel_id", "chunk_index", F.when(F.col("n_regionkey") > 0, rate).alias("chars"))
+
+
 # --- rules -------------------------------------------------------------------------------------
 
 _S = "regexp_replace(text, '^[\\s　]+|[\\s　]+$', '', 'g')"
@@ -837,15 +846,35 @@ def event_merge(spark, sf_dir):
     return events.merged(fx.EVENTS.df(spark))
 
 
-@query("SELECT event_id, coalesce(value >= 50, false) AS critical, coalesce(value <= 20, false) AS minor FROM events")
+@query("""SELECT event_id, coalesce(value >= 50, false) AS critical, coalesce(value <= 20, false) AS minor, event_type = 'click' AS rising, event_type = 'view' AS falling, user_id % 3 = 2 AS crossing FROM events""")
 def event_predicates(spark, sf_dir):
     v = F.col("value") / 12.5
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(events.is_critical(v), F.lit(False)).alias("critical"), F.coalesce(events.is_minor(v + 0.4), F.lit(False)).alias("minor"))
+    arc = F.when(F.col("event_type") == "click", "↗").when(F.col("event_type") == "view", "↓")
+    ids = F.when(F.col("user_id") % 3 > 0, F.slice(F.array(F.lit(1), F.lit(2)), 1, (F.col("user_id") % 3).cast("int")))
+    each = table(spark, sf_dir, "events").select("event_id", F.coalesce(events.is_critical(v), F.lit(False)).alias("critical"), F.coalesce(events.is_minor(v + 0.4), F.lit(False)).alias("minor"), events.is_rising(arc).alias("rising"), events.is_falling(arc).alias("falling"), events.is_cross_chapter(ids).alias("crossing"))
+    return each
 
 
 # --- extraction --------------------------------------------------------------------------------
 
 
+_SAID = lambda pattern: f"unnest(list_zip(regexp_extract_all(summary, {quoted([pattern])}, 1), regexp_extract_all(summary, {quoted([pattern])}, 2), range(1, len(regexp_extract_all(summary, {quoted([pattern])}, 1)) + 1))) AS x"
+
+
+@query(f"""WITH {duck('scenes', 'people')}, m AS (SELECT scene_id, trim(x[1]) AS who, trim(x[2]) AS said, x[3] AS nth FROM (SELECT scene_id, {_SAID(extract.SPEECH)} FROM fx_scenes WHERE summary IS NOT NULL)),
+ k AS (SELECT scene_id, nth, said, arg_min(canonical_name, pos) AS speaker FROM m JOIN fx_people ON contains(canonical_name, who) OR contains(who, canonical_name) WHERE length(who) > 1 AND who NOT IN ({quoted(extract.NOBODY)}) GROUP BY 1, 2, 3)
+ SELECT scene_id, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY nth) AS INTEGER) AS sequence, speaker, said AS content FROM k""")
+def speech_matched(spark, sf_dir):
+    return extract.matched_lines(fx.SCENES.df(spark), fx.PEOPLE.df(spark)).select("scene_id", "sequence", "speaker", "content")
+
+
+@query(f"""WITH {duck('scenes', 'people')}, q AS (SELECT scene_id, unnest(regexp_extract_all(summary || '「好的」', {quoted([extract.QUOTED])}, 1)) AS c, unnest(range(1, len(regexp_extract_all(summary || '「好的」', {quoted([extract.QUOTED])}, 1)) + 1)) AS n FROM fx_scenes WHERE summary IS NOT NULL)
+ SELECT scene_id, CAST(n AS INTEGER) AS sequence, (SELECT canonical_name FROM fx_people ORDER BY pos LIMIT 1) AS speaker, trim(c) AS content FROM q WHERE n <= {extract.MOST}""")
+def speech_quoted(spark, sf_dir):
+    scenes = fx.SCENES.df(spark).withColumn("summary", F.concat("summary", F.lit("「好的」")))
+    return extract.quoted_lines(scenes, fx.PEOPLE.df(spark)).select("scene_id", "sequence", "speaker", "content")
+
+
 @query()
 def speech_extract(spark, sf_dir):
     scenes = fx.SCENES.df(spark)
