@@ -138,7 +138,8 @@ def _dealt(docs: DataFrame, block: int, shards: int, most: int, texts: bool) ->
     runs = numbered.withColumn("draws", F.least("draws", F.col("blocks") * most - F.col("before"))).where("draws > 0")
 
     # Slots of a source and run, each mapped to a block.
-    slot = runs.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("draws") - 1)).alias("i"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slot = runs.repartition(tasks, "key", "shard", "first").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("draws") - 1)).alias("i"))
     drawn_block = permuted(F.pmod(F.col("before") + F.col("i"), F.col("blocks")), F.col("blocks"), F.coalesce("source", F.lit("\x00"))).alias("block")
     slot = slot.select("shard", permuted(F.col("place") + F.col("i"), F.col("n"), F.col("shard")).alias("slot"), "key", "source", drawn_block)
 
