@@ -596,11 +596,12 @@ def previous_lines(spark, sf_dir):
     return scripts.previous_scene_lines(fx.SCENES.df(spark).where("scene_id <> 104"), fx.DIALOGUES.df(spark), 2).select("scene_id", "dialogue_id", "back").unionByName(scripts.previous_scene_lines(fx.SCENES.df(spark).where("scene_id >= 103").withColumn("scene_number", F.col("scene_id")), fx.DIALOGUES.df(spark), 2).select("scene_id", "dialogue_id", "back"))
 
 
-@query("SELECT conv_id, turn, CAST(nth AS INTEGER) AS nth FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY role, regexp_replace(text, '[，。！？：；、\"“”''‘’（）—…\\s]', '', 'g') ORDER BY conv_id, turn) AS nth FROM conversations) WHERE nth > 1")
+@query(f"""WITH src AS (SELECT doc_id AS k, text AS t FROM documents), {_LINES}
+ SELECT k AS doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(nth AS INTEGER) AS nth FROM (SELECT k, line_no, row_number() OVER (PARTITION BY k, regexp_replace(line, '[，。！？：；、"“”''‘’（）—…\\s]', '', 'g') ORDER BY line_no) AS nth FROM ln) WHERE nth > 1""")
 def repetition(spark, sf_dir):
-    """All turns of a role as one scene, in the order of conversations."""
-    c = table(spark, sf_dir, "conversations").withColumn("place", F.struct("conv_id", "turn"))
-    return scripts.repeated(c, "role", "place", text.normalised_line(F.col("text"))).select("conv_id", "turn", "nth")
+    """Lines of a document that an earlier line of it has said, whatever the punctuation."""
+    rows = chapters.lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return scripts.repeated(rows, "doc_id", "line_no", text.normalised_line(F.col("line"))).select("doc_id", F.col("line_no").cast("int").alias("line_no"), "nth")
 
 
 @query("SELECT conv_id, count(*) AS lines, list(struct_pack(turn := turn, role := role) ORDER BY turn)[1].role AS first_role, CAST(max(length(text)) AS INTEGER) AS longest FROM conversations GROUP BY conv_id")
