@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontaminate, hpylm, lines, mixing, neardup, pii, quality, repeats, rules, toxicity
+from plotweave.llm import decontaminate, hpylm, lines, mixing, neardup, pii, quality, repeats, rules, toxicity, vectors
 from plotweave.llm.bytekit import documents, labels
 
 
@@ -49,10 +49,14 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
 
+def op11_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.digest(vectors.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def queries() -> dict:
-    made = [op1_toxicity, op2_near_duplicates, op3_decontaminate, op4_quality, op5_quality_rules, op6_lines, op7_language_model, op8_repeats, op9_pii, op10_mixture]
+    made = [op1_toxicity, op2_near_duplicates, op3_decontaminate, op4_quality, op5_quality_rules, op6_lines, op7_language_model, op8_repeats, op9_pii, op10_mixture, op11_vector_links]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op11_vector_links": vectors.ORACLE}
