@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontaminate, hpylm, importance, lines, mixing, neardup, pii, quality, repeats, rules, toxicity, vectors
+from plotweave.llm import decontaminate, hpylm, importance, lines, mixing, neardup, pii, prefixes, quality, repeats, rules, toxicity, vectors
 from plotweave.llm.bytekit import documents, labels
 
 
@@ -53,14 +53,18 @@ def op11_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.digest(vectors.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.digest(importance.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def queries() -> dict:
-    made = [op1_toxicity, op2_near_duplicates, op3_decontaminate, op4_quality, op5_quality_rules, op6_lines, op7_language_model, op8_repeats, op9_pii, op10_mixture, op11_vector_links, op13_importance]
+    made = [op1_toxicity, op2_near_duplicates, op3_decontaminate, op4_quality, op5_quality_rules, op6_lines, op7_language_model, op8_repeats, op9_pii, op10_mixture, op11_vector_links, op12_prefix_trie, op13_importance]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE, "op11_vector_links": vectors.ORACLE, "op13_importance": importance.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op11_vector_links": vectors.ORACLE, "op12_prefix_trie": prefixes.ORACLE, "op13_importance": importance.ORACLE}
