@@ -31,7 +31,7 @@ from plotweave.llm.bytekit import LOWER, LOWER_ALNUM, chunks, dropped, fresh, to
 #: Buckets, longest run of words, least words of a document that may be drawn, and the part that is drawn.
 BUCKETS, LEAST_WORDS, RATE = 10_000, 20, 5 / 100
 #: Bytes of text that one SQL statement gets, and MB that DuckDB may take in a task.
-CHUNK, MEMORY_MB = 1 << 20, 256
+CHUNK, MEMORY_MB = 1 << 20, 192
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 #: texts: row, text, and how many of its words may begin a run (those after them are another piece's).
@@ -46,10 +46,11 @@ SELECT row, bucket, count(*) AS n FROM (SELECT row, unnest([h, hh, hhh]) % $buck
 
 
 def _crc(words: pa.ChunkedArray, start: pa.ChunkedArray) -> pa.Array:
-    parts = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (words, start)]
-    ok = pa.compute.is_valid(parts[0])
-    found = map(zlib.crc32, parts[0].fill_null("").cast(pa.binary()).to_pylist(), parts[1].fill_null(0).to_pylist())
-    return pa.compute.if_else(ok, pa.array(found, pa.uint32()), pa.scalar(None, pa.uint32()))
+    """crc32 of each text, going on from a given value; on the bytes of the column, without a Python string for each text."""
+    words, start = (pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in (words, start))
+    data, at = utf8(words)
+    data, at, crc32 = bytes(data), at.tolist(), zlib.crc32
+    return pa.array([crc32(data[i:j], h) for i, j, h in zip(at, at[1:], start.to_numpy().tolist(), strict=False)], pa.uint32())
 
 
 def connection():
@@ -57,7 +58,7 @@ def connection():
     import duckdb
 
     con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
-    con.create_function("crc", _crc, ["VARCHAR", "UINTEGER"], "UINTEGER", type="arrow", null_handling="special")
+    con.create_function("crc", _crc, ["VARCHAR", "UINTEGER"], "UINTEGER", type="arrow")
     return con
 
 
@@ -71,7 +72,7 @@ def _pieces(text: bytes, words: int):
 
 
 def counted(batches, buckets: int, chunk: int = CHUNK):
-    """For each row of the batches (column text): number of words, buckets and their counts; then one row, the sum of all."""
+    """Slices of the batches (column text) with each row's number of words, buckets and their counts; at last the sums of all buckets."""
     con = connection()
     total = np.zeros(buckets, np.int64)
 
@@ -84,25 +85,22 @@ def counted(batches, buckets: int, chunk: int = CHUNK):
     for batch in batches:
         column = batch.column("text")
         data, offsets = utf8(column)
-        places, sums, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(column) + 1, np.int64)
         for i, j in chunks(offsets, chunk):
-            if offsets[j] - offsets[i] > chunk:  # one long text
-                own = np.zeros(buckets, np.int64)
-                for text, n in _pieces(bytes(data[offsets[i] : offsets[j]]), max(1, chunk // 16)):
+            own = data[offsets[i] : offsets[j]]
+            if len(own) > chunk:  # one long text
+                sums = np.zeros(buckets, np.int64)
+                for text, n in _pieces(bytes(own), max(1, chunk // 16)):
                     _, b, n = ask([0], [text], [n])
-                    own[b] += n
-                bucket = np.flatnonzero(own)
-                row, n = np.zeros(len(bucket), np.int64), own[bucket]
+                    sums[b] += n
+                bucket = np.flatnonzero(sums)
+                row, n = np.zeros(len(bucket), np.int64), sums[bucket]
             else:
                 row, bucket, n = ask(np.arange(j - i), column.slice(i, j - i), np.full(j - i, 1 << 62))
             total += np.bincount(bucket, n, buckets).astype(np.int64)
-            places.append(bucket)
-            sums.append(n)
-            starts[i + 1 : j + 1] = np.bincount(row, minlength=j - i)
-        at = pa.array(np.cumsum(starts).astype(np.int32))
-        lists = lambda parts: pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts).astype(np.int32)))  # noqa: E731, B023
-        _, _, upto = tokens(LOWER[data], offsets, LOWER_ALNUM)
-        yield batch, pa.array(np.diff(upto).astype(np.int64)), lists(places), lists(sums)
+            at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (bucket, n)]
+            _, _, upto = tokens(LOWER[own], offsets[i : j + 1] - offsets[i], LOWER_ALNUM)
+            yield batch.slice(i, j - i), pa.array(np.diff(upto).astype(np.int64)), *lists
     con.close()
     yield None, None, None, total
 
@@ -172,8 +170,9 @@ def weighed(docs: DataFrame, target: DataFrame, keep: list[str], buckets: int =
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), batch.column("n_words"), *sums], schema.names)
 
     out = raw.where("total IS NULL").select(*names, "n_words", "buckets", "counts").mapInArrow(run, schema)
-    out = out.withColumnsRenamed(dict(zip(names, keep, strict=True))) if keep else out
-    return out.withColumn("score", F.col("weight") + noise(F.col(id_column), seed))
+    key = names[keep.index(id_column)]
+    out = out.withColumn("score", F.col("weight") + noise(F.col(key), seed))
+    return out.toDF(*keep, *out.columns[len(keep) :])
 
 
 def placed(rows: DataFrame, *order: Column) -> tuple[DataFrame, DataFrame]:
@@ -191,14 +190,17 @@ def resampled(docs: DataFrame, target: DataFrame, rate: float = RATE, least_word
     """
     results = ("n_words", "n_features", "weight", "score", "rank")
     keep = [c for c in (keep or [id_column]) if c.lower() not in results]
-    rows = written(weighed(docs, target, keep, buckets, seed, id_column), "weights")
-    order = (F.desc("score"), F.col(id_column).isNull(), F.col(id_column), F.desc("weight"))
-    slots = rows.where(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("bigint"))
-    able, before = placed(rows.where(F.col("n_words") >= least_words), *order)
-    most = int(able.count() * round(rate * 1_000_000) // 1_000_000)
+    safe = [f"k{i}" for i in range(len(keep))]
+    key = safe[keep.index(id_column)]
+    rows = weighed(docs, target, keep, buckets, seed, id_column)
+    rows = written(rows.toDF(*safe, *rows.columns[len(keep) :]), "weights")
+    short = rows.where(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("bigint"))
+    able, before = placed(rows.where(F.col("n_words") >= least_words), F.desc("score"), F.col(key).isNull(), F.col(key), F.desc("weight"))
+    most = able.count() * round(rate * 1_000_000) // 1_000_000
     place = F.col("before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     drawn = able.withColumn("part", F.shiftright("_m", 33)).join(F.broadcast(before), "part").withColumn("rank", F.when(place <= most, place)).drop("_m", "part", "before")
-    return drawn.unionByName(slots)
+    out = drawn.unionByName(short)
+    return out.toDF(*keep, *out.columns[len(keep) :])
 
 
 def digest(rows: DataFrame) -> DataFrame:
