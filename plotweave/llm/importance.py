@@ -162,12 +162,14 @@ def weighed(docs: DataFrame, target: DataFrame, keep: list[str], buckets: int =
 
     def run(batches):
         for batch in batches:
-            counts = batch.column("counts")
-            at = counts.offsets.to_numpy()
-            n = counts.values.to_numpy().astype(np.int64)
-            parts = [n, n * gain[batch.column("buckets").values.to_numpy()]]
-            sums = [pa.array(np.diff(np.concatenate([[0], np.cumsum(x)])[at])) for x in parts]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), batch.column("n_words"), *sums], schema.names)
+            at = batch.column("counts").offsets.to_numpy()
+            n, bucket = (batch.column(c).values.to_numpy() for c in ("counts", "buckets"))
+            for i, j in chunks(at.astype(np.int64), CHUNK // 4):
+                part = batch.slice(i, j - i)
+                own = n[at[i] : at[j]].astype(np.int64)
+                edges = at[i : j + 1] - at[i]
+                sums = [pa.array(np.diff(np.concatenate([[0], np.cumsum(x)])[edges])) for x in (own, own * gain[bucket[at[i] : at[j]]])]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), part.column("n_words"), *sums], schema.names)
 
     out = raw.where("total IS NULL").select(*names, "n_words", "buckets", "counts").mapInArrow(run, schema)
     key = names[keep.index(id_column)]
