@@ -1,7 +1,7 @@
 """Links between lines, actions, events, scenes and people.
 
-Exact matches are equi joins; only what they leave goes on to the containment rules, joined
-within its script to the people of the script.
+Exact matches are equi joins. Names in texts are found by one automaton for all names of a script
+(mentions.py), names in names by equi joins on their substrings (`within`).
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plotweave.functions.names import strip_honorific, strip_prefix
 from plotweave.functions.rules import EXTERIOR, INTERIOR, hits, time_from_content
+from plotweave.operators.mentions import mentions
 
 _NONE = "array<string>"
 
@@ -31,56 +32,107 @@ def _best(rows: DataFrame, key: list[str], *order) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def substrings(text: Column) -> Column:
+    """All distinct substrings, the text itself included; for names, which are short."""
+    n = F.length(text)
+    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))), lambda k: F.substring(text, i, k)))))
+
+
+#: Names of more characters than this are searched as texts, not cut into substrings.
+LONGEST = 24
+
+
+def within(short: DataFrame, long: DataFrame) -> DataFrame:
+    """script_id, inner, outer: pairs of a script in which the one name contains the other; short: script_id, inner; long: script_id, outer.
+
+    An outer name of up to `LONGEST` characters gives a row for each of its substrings, and meets
+    inner names in an equi join; longer ones, of which speakers may have any, are searched like texts.
+    """
+    inner, outer = short.where("inner IS NOT NULL").distinct(), long.where("outer IS NOT NULL").distinct()
+    cut = outer.where(F.length("outer") <= LONGEST).select("script_id", "outer", F.explode(substrings(F.col("outer"))).alias("inner"))
+    # The substring of an empty name is itself; an empty inner name is in every outer one.
+    near = cut.where("inner <> ''").join(inner, ["script_id", "inner"])
+    far = outer.where(F.length("outer") > LONGEST).select("script_id", F.col("outer").alias("text_id"), F.col("outer").alias("text"))
+    found = mentions(far, inner.where("inner <> ''").select("script_id", F.col("inner").alias("name"))).select("script_id", F.col("name").alias("inner"), F.col("text_id").alias("outer"))
+    empty = outer.join(inner.where("inner = ''"), "script_id").select("script_id", "inner", "outer")
+    return near.select("script_id", "inner", "outer").unionByName(found).unionByName(empty)
+
+
+def either_way(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """script_id, x, y: pairs of a name of ours (script_id, x) and one of theirs (script_id, y) of which one contains the other."""
+    a = within(ours.select("script_id", F.col("x").alias("inner")), theirs.select("script_id", F.col("y").alias("outer"))).select("script_id", F.col("inner").alias("x"), F.col("outer").alias("y"))
+    b = within(theirs.select("script_id", F.col("y").alias("inner")), ours.select("script_id", F.col("x").alias("outer"))).select("script_id", F.col("outer").alias("x"), F.col("inner").alias("y"))
+    return a.unionByName(b).distinct()
+
+
 def speakers(lines: DataFrame, people: DataFrame) -> DataFrame:
     """line_id, character_id, level of each line whose speaker is known.
 
     Levels: 1 name or alias; 2 the same without honorific; 3 without prefix, contained either
     way; 4 contained either way, two characters or more. First person in order within a level.
+    Rules are tried on a script's distinct speakers, of which lines then take the person.
     """
-    exact = people.select("script_id", "pos", "character_id", "canonical_name", F.explode(F.array_distinct(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast(_NONE))))).alias("name"))
-    base = lines.select("script_id", "line_id", "speaker", strip_honorific(F.col("speaker")).alias("bare")).where("trim(speaker) <> ''")
-    one = base.join(exact, (base["speaker"] == exact["name"]) & (base["script_id"] == exact["script_id"])).select("line_id", "pos", "character_id", F.lit(1).alias("level"))
-    two = base.where("bare <> speaker").join(exact, (F.col("bare") == exact["name"]) & (base["script_id"] == exact["script_id"])).select("line_id", "pos", "character_id", F.lit(2).alias("level"))
+    first = F.struct("pos", "character_id")
+    exact = people.select("script_id", "pos", "character_id", F.explode(F.array_distinct(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast(_NONE))))).alias("name"))
+    exact = exact.where("name IS NOT NULL").groupBy("script_id", "name").agg(F.min(first).alias("first"))
+    said = lines.where("trim(speaker) <> ''").select("script_id", "speaker").distinct()
+    said = said.withColumn("bare", strip_honorific(F.col("speaker"))).withColumn("plain", strip_prefix(F.col("speaker")))
+    level = lambda n: F.struct(F.lit(n).alias("level"), "first.pos", "first.character_id").alias("best")
+    one = said.join(exact, (said["speaker"] == exact["name"]) & (said["script_id"] == exact["script_id"])).select(said["script_id"], "speaker", level(1))
+    two = said.where("bare <> speaker").join(exact, (said["bare"] == exact["name"]) & (said["script_id"] == exact["script_id"])).select(said["script_id"], "speaker", level(2))
     sure = one.unionByName(two)
-    rest = base.join(sure.select("line_id").distinct(), "line_id", "left_anti").withColumn("plain", strip_prefix(F.col("speaker")))
-    c = F.col("canonical_name")
-    either = lambda a: c.contains(a) | a.contains(c)
-    three = (F.col("plain") != F.col("speaker")) & either(F.col("plain"))
-    four = (F.length("speaker") >= 2) & (F.length(c) >= 2) & either(F.col("speaker"))
-    people_ = people.select("script_id", "pos", "character_id", "canonical_name")
-    loose = rest.join(people_, "script_id").where(three | four).select("line_id", "pos", "character_id", F.when(three, 3).otherwise(4).alias("level"))
-    return _best(sure.unionByName(loose), ["line_id"], "level", "pos").select("line_id", "character_id", "level")
+    rest = said.join(sure.select("script_id", "speaker").distinct(), ["script_id", "speaker"], "left_anti")
+    canon = people.where("canonical_name IS NOT NULL").groupBy("script_id", F.col("canonical_name").alias("y")).agg(F.min(first).alias("first"))
+    asked = rest.where("plain <> speaker").select("script_id", "speaker", F.col("plain").alias("x"), F.lit(3).alias("n"))
+    asked = asked.unionByName(rest.where(F.length("speaker") >= 2).select("script_id", "speaker", F.col("speaker").alias("x"), F.lit(4).alias("n")))
+    met = asked.join(either_way(asked.select("script_id", "x"), canon.select("script_id", "y")), ["script_id", "x"]).where((F.col("n") == 3) | (F.length("y") >= 2))
+    loose = met.join(canon, ["script_id", "y"]).select("script_id", "speaker", F.struct(F.col("n").alias("level"), "first.pos", "first.character_id").alias("best"))
+    best = sure.unionByName(loose).groupBy("script_id", "speaker").agg(F.min("best").alias("best"))
+    return lines.select("script_id", "speaker", "line_id").join(best, ["script_id", "speaker"]).select("line_id", "best.character_id", "best.level")
 
 
 def linked_lines(lines: DataFrame, people: DataFrame) -> DataFrame:
     """Lines with character_id by name, else by containment in the order of people; others keep a null. `source` stays."""
     known = names(people)
     exact = lines.drop("character_id").join(known.select("script_id", F.col("name").alias("speaker"), "character_id"), ["script_id", "speaker"], "left")
-    loose = exact.where("character_id IS NULL AND trim(speaker) <> ''").select("script_id", "line_id", "speaker").join(known.select("script_id", "name", F.col("character_id").alias("found"), "pos"), "script_id")
-    loose = loose.where(F.col("name").contains(F.col("speaker")) | F.col("speaker").contains(F.col("name")))
-    loose = _best(loose, ["line_id"], "pos", "name").select("line_id", "found")
-    return exact.join(loose, "line_id", "left").withColumn("character_id", F.coalesce("character_id", "found")).drop("found")
+    open_ = exact.where("character_id IS NULL AND trim(speaker) <> ''").select("script_id", F.col("speaker").alias("x")).distinct()
+    pairs = either_way(open_, known.select("script_id", F.col("name").alias("y"))).join(known.withColumnRenamed("name", "y"), ["script_id", "y"])
+    loose = pairs.groupBy("script_id", F.col("x").alias("speaker")).agg(F.min(F.struct("pos", "y", "character_id")).alias("best")).select("script_id", "speaker", F.col("best.character_id").alias("found"))
+    return exact.join(loose, ["script_id", "speaker"], "left").withColumn("character_id", F.coalesce("character_id", "found")).drop("found")
+
+
+def _told(people: DataFrame, aliases: bool = True) -> DataFrame:
+    """script_id, name, level (1 canonical, 2 alias), pos and character_id of each name of each person."""
+    own = people.select("script_id", F.col("canonical_name").alias("name"), F.lit(1).alias("level"), "pos", "character_id")
+    if not aliases:
+        return own
+    return own.unionByName(people.select("script_id", F.explode(F.coalesce("aliases", F.array().cast(_NONE))).alias("name"), F.lit(2).alias("level"), "pos", "character_id"))
 
 
 def performers(actions: DataFrame, people: DataFrame) -> DataFrame:
-    """action_id, character_id: the one given, else the first whose name, then whose alias, the description has."""
+    """action_id, character_id: the one given, else the first whose name, then whose alias, the description has.
+
+    A description is searched once for all names of its script (see mentions).
+    """
     given = actions.where("character_id IS NOT NULL").select("action_id", "character_id")
-    open_ = actions.where("character_id IS NULL").select("script_id", "action_id", "description")
-    d = F.col("description")
-    each = open_.join(people.select("script_id", "pos", F.col("character_id"), "canonical_name", F.coalesce("aliases", F.array().cast(_NONE)).alias("aliases")), "script_id")
-    by_name = d.contains(F.col("canonical_name"))
-    by_alias = F.exists("aliases", lambda a: d.contains(a))
-    found = _best(each.where(by_name | by_alias).withColumn("level", F.when(by_name, 1).otherwise(2)), ["action_id"], "level", "pos")
-    return given.unionByName(found.select("action_id", "character_id"))
+    open_ = actions.where("character_id IS NULL").select("script_id", F.col("action_id").alias("text_id"), F.col("description").alias("text"))
+    bearer = _told(people).groupBy("script_id", "name").agg(F.min(F.struct("level", "pos", "character_id")).alias("first"))
+    hits = mentions(open_, bearer).join(bearer, ["script_id", "name"])
+    return given.unionByName(hits.groupBy(F.col("text_id").alias("action_id")).agg(F.min("first").alias("first")).select("action_id", "first.character_id"))
 
 
 def scene_people(scenes: DataFrame, chapters: DataFrame, people: DataFrame) -> DataFrame:
-    """scene_id and the ids, in order, of people whose name or alias its chapters' text has."""
-    text = scenes.select("script_id", "scene_id", F.explode("chapter_ids").alias("chapter_id")).join(chapters.select("chapter_id", "content"), "chapter_id")
-    each = text.join(people.select("script_id", "pos", "character_id", "canonical_name", F.coalesce("aliases", F.array().cast(_NONE)).alias("aliases")), "script_id")
-    c = F.col("content")
-    hit = c.contains(F.col("canonical_name")) | F.exists("aliases", lambda a: c.contains(a))
-    return _listed(each.where(hit), "scene_id")
+    """scene_id and the ids, in order, of people whose name or alias its chapters' text has.
+
+    A chapter is searched once for each script that has a scene of it, whatever the number of people and scenes.
+    """
+    asked = scenes.select("script_id", "scene_id", F.explode(F.array_distinct("chapter_ids")).alias("chapter_id"))
+    text = asked.select("script_id", "chapter_id").distinct().join(chapters.select("chapter_id", "content"), "chapter_id")
+    told = _told(people).select("script_id", "name", "pos", "character_id").distinct()
+    hits = mentions(text.select("script_id", F.col("chapter_id").alias("text_id"), F.col("content").alias("text")), told)
+    present = hits.join(told, ["script_id", "name"]).groupBy("script_id", F.col("text_id").alias("chapter_id"), "character_id").agg(F.min("pos").alias("pos"))
+    return _listed(asked.join(present, ["script_id", "chapter_id"]), "scene_id")
 
 
 def scene_time(scenes: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -126,9 +178,9 @@ def presence(scenes: DataFrame, lines: DataFrame, actions: DataFrame, people: Da
     """scene_id, character_ids: speakers, then performers, then names in summary or location; aliases do not count."""
     said = lines.where("character_id IS NOT NULL").select("scene_id", "character_id", F.struct(F.lit(0), F.col("sequence").cast("bigint")).alias("pos"))
     done = actions.where("character_id IS NOT NULL").select("scene_id", "character_id", F.struct(F.lit(1), F.col("sequence").cast("bigint")).alias("pos"))
-    text = F.concat_ws(" ", "summary", "location")
-    told = scenes.select("script_id", "scene_id", text.alias("t")).join(people.select("script_id", F.col("pos").alias("p"), "character_id", "canonical_name"), "script_id")
-    told = told.where(F.col("t").contains(F.col("canonical_name"))).select("scene_id", "character_id", F.struct(F.lit(2), F.col("p").cast("bigint")).alias("pos"))
+    own = _told(people, aliases=False)
+    hits = mentions(scenes.select("script_id", F.col("scene_id").alias("text_id"), F.concat_ws(" ", "summary", "location").alias("text")), own)
+    told = hits.join(own, ["script_id", "name"]).select(F.col("text_id").alias("scene_id"), "character_id", F.struct(F.lit(2), F.col("pos").cast("bigint")).alias("pos"))
     return _listed(said.union(done).union(told), "scene_id")
 
 

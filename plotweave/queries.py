@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave import fixtures as fx
+from plotweave import story
 from plotweave.fixtures import duck
 from plotweave.functions import display, extract, names, outline, rules, text
 from plotweave.operators import chapters, checks, chunks, entities, events, linking, retrieval, scripts
@@ -497,6 +498,62 @@ def action_link(spark, sf_dir):
     return linking.performers(fx.ACTIONS.df(spark), fx.PEOPLE.df(spark))
 
 
+_CAST = f"WITH p AS ({story.CAST.sql()})"
+_HAS = "(contains({0}, canonical_name) OR len(list_filter(aliases, lambda x: contains({0}, x))) > 0)"
+
+
+@query(f"""{_CAST}, c AS (SELECT d.doc_id, p.character_id, p.pos, CASE WHEN contains(d.text, canonical_name) THEN 1 WHEN len(list_filter(aliases, lambda x: contains(d.text, x))) > 0 THEN 2 END AS level FROM documents d JOIN p ON d.doc_id % 4 = p.script_id)
+ SELECT doc_id AS action_id, character_id FROM c WHERE level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level, pos) = 1""")
+def document_performers(spark, sf_dir):
+    """The first of the cast whom a document names."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("script_id"), F.col("doc_id").alias("action_id"), F.lit(None).cast("bigint").alias("character_id"), F.col("text").alias("description"))
+    return linking.performers(docs, story.CAST.df(spark, sf_dir))
+
+
+@query(f"""{_CAST}, h AS (SELECT DISTINCT CAST(floor(doc_id / 32) * 4 + doc_id % 4 AS BIGINT) AS scene_id, p.pos, p.character_id FROM documents d JOIN p ON d.doc_id % 4 = p.script_id AND {_HAS.format("d.text")})
+ SELECT scene_id, list(character_id ORDER BY pos) AS character_ids FROM h GROUP BY scene_id""")
+def document_people(spark, sf_dir):
+    """Everyone of the cast whom the documents of a scene, its chapters, name."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("script_id"), F.col("doc_id").alias("chapter_id"), F.col("text").alias("content"))
+    scenes = docs.groupBy("script_id", (F.floor(F.col("chapter_id") / 32) * 4 + F.col("script_id")).cast("bigint").alias("scene_id")).agg(F.collect_list("chapter_id").alias("chapter_ids"))
+    return linking.scene_people(scenes, docs, story.CAST.df(spark, sf_dir))
+
+
+@query(f"""{_CAST}, k AS (SELECT conv_id AS scene_id, conv_id % 40 + 1000 AS character_id, turn AS o, 0 AS g FROM conversations WHERE turn % 3 = 0
+  UNION ALL SELECT conv_id, turn % 40 + 1000, turn, 1 FROM conversations WHERE turn % 3 = 1
+  UNION ALL SELECT c.conv_id, p.character_id, p.pos, 2 FROM (SELECT conv_id, concat_ws(' ', max(text) FILTER (turn = 0), max(text) FILTER (turn = 1)) AS t FROM conversations GROUP BY conv_id) c JOIN p ON p.script_id = c.conv_id % 4 AND contains(c.t, canonical_name)),
+ f AS (SELECT scene_id, character_id, min(g * 1000000 + o) AS o FROM k GROUP BY 1, 2) SELECT scene_id, list(character_id ORDER BY o, character_id) AS character_ids FROM f GROUP BY scene_id""")
+def conversation_presence(spark, sf_dir):
+    """Who is in a conversation: who speaks, who acts, and whom its first turns name."""
+    c = table(spark, sf_dir, "conversations")
+    told = lambda n, who: c.where(F.col("turn") % 3 == n).select(F.col("conv_id").alias("scene_id"), (F.col(who) % 40 + 1000).alias("character_id"), F.col("turn").alias("sequence"))
+    first = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
+    scenes = c.groupBy(F.col("conv_id").alias("scene_id")).agg(first(0).alias("summary"), first(1).alias("location")).withColumn("script_id", F.col("scene_id") % 4)
+    return linking.presence(scenes, told(0, "conv_id"), told(1, "turn"), story.CAST.df(spark, sf_dir))
+
+
+_SAID_BY = f"""{_CAST}, d AS ({story.SAID.sql()})"""
+
+
+@query(f"""{_SAID_BY}, l AS (SELECT line_id, script_id, speaker, {_STRIP} AS bare, regexp_replace(speaker, '^[{names.PREFIXES}](.+)$', '\\1') AS plain FROM d WHERE trim(speaker) <> ''),
+ c AS (SELECT l.line_id, p.pos, p.character_id, CASE WHEN speaker = canonical_name OR list_contains(aliases, speaker) THEN 1 WHEN bare <> speaker AND (bare = canonical_name OR list_contains(aliases, bare)) THEN 2
+   WHEN plain <> speaker AND (contains(canonical_name, plain) OR contains(plain, canonical_name)) THEN 3 WHEN length(speaker) >= 2 AND length(canonical_name) >= 2 AND (contains(canonical_name, speaker) OR contains(speaker, canonical_name)) THEN 4 END AS level FROM l JOIN p USING (script_id))
+ SELECT line_id, character_id, level FROM c WHERE level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY level, pos) = 1""")
+def turn_speakers(spark, sf_dir):
+    """Who says the turns of conversations, by any of the four rules."""
+    return linking.speakers(story.SAID.df(spark, sf_dir), story.CAST.df(spark, sf_dir))
+
+
+@query(f"""{_SAID_BY}, every AS (SELECT script_id, canonical_name AS name, character_id, pos, 1 AS kind FROM p UNION ALL SELECT script_id, unnest(aliases), character_id, pos, 0 FROM p),
+ nm AS (SELECT script_id, name, coalesce(arg_max(character_id, pos) FILTER (kind = 1), arg_min(character_id, pos)) AS character_id, min(pos) AS pos FROM every WHERE name IS NOT NULL GROUP BY 1, 2),
+ c AS (SELECT d.line_id, n.character_id, CASE WHEN n.name = d.speaker THEN 0 ELSE 1 END AS level, n.pos, n.name FROM d JOIN nm n ON n.script_id = d.script_id AND trim(d.speaker) <> '' AND (contains(n.name, d.speaker) OR contains(d.speaker, n.name))),
+ b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY level, pos, name) = 1)
+ SELECT d.line_id, d.source, b.character_id FROM d LEFT JOIN b USING (line_id)""")
+def turn_links(spark, sf_dir):
+    """Turns with the person whose name, or a name that contains it or is contained in it, the speaker has."""
+    return linking.linked_lines(story.SAID.df(spark, sf_dir), story.CAST.df(spark, sf_dir)).select("line_id", "source", "character_id")
+
+
 @query(f"""{_FX}, h AS (SELECT DISTINCT s.scene_id, p.pos, p.character_id FROM fx_scenes s JOIN fx_chapters c ON list_contains(s.chapter_ids, c.chapter_id) JOIN fx_people p ON contains(c.content, p.canonical_name) OR len(list_filter(aliases, lambda x: contains(c.content, x))) > 0)
  SELECT scene_id, list(character_id ORDER BY pos) AS character_ids FROM h GROUP BY scene_id""")
 def scene_people(spark, sf_dir):
