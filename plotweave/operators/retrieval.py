@@ -5,43 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotweave.functions.text import cosine, estimate_tokens, tokens
+from plotweave.functions.text import cosine, estimate_tokens
+from plotweave.operators.inverted import Index, kept
 
 RRF_K, LEAST = 60, 50
 #: Ratio of tokens to characters when a chunk is cut to a budget.
 TOKENS_PER_CHAR, CUT = 0.7, "\n..."
 
 
-def keyword_index(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """token, doc, tf: one shuffle, partial counts first."""
-    return docs.select(F.col(doc).alias("doc"), F.explode(tokens(F.col(text))).alias("token")).groupBy("token", "doc").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def index_stats(index: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct tokens, indexed documents, mean postings of a token."""
-    per = index.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    n = docs.where(F.trim(F.col(text)) != "").agg(F.count(F.lit(1)).alias("total_docs"))
-    return per.agg(F.count(F.lit(1)).alias("unique_tokens"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avg_postings")).crossJoin(F.broadcast(n)).select("unique_tokens", "total_docs", "avg_postings")  # two single rows
-
-
-def keyword_scores(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc and score: sum over the query's tokens of tf * ln(1 + (N - df + 0.5) / (df + 0.5)); a repeated token adds again.
-
-    A document's counts of the query's tokens are one array, made in its scan and not shuffled.
-    One scan sums up in how many documents each token is, and in how many there is anything;
-    another one weighs the counts with that one row.
-    """
-    asked = F.array_distinct(tokens(F.lit(query)))
-    times = F.transform(asked, lambda q: F.size(F.filter(tokens(F.lit(query)), lambda w: w == q)))
-    held = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.filter(tokens(F.col(text)), lambda w: F.array_contains(asked, w)).alias("held"))
-    counted = held.select("doc", "text", F.when(F.size("held") > 0, F.transform(asked, lambda q: F.size(F.filter("held", lambda w: w == q)))).alias("tf"))
-    per_token = counted.select("tf", F.posexplode_outer("tf").alias("k", "c")).groupBy("k").agg(F.count_if(F.col("c") > 0).alias("df")).where("k IS NOT NULL")
-    df = per_token.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "df"))), lambda x: x["df"]).alias("df"))
-    weights = df.join(docs.agg(F.count_if(F.trim(F.col(text)) != "").alias("n")), F.lit(True))  # one row by one row
-    idf = F.zip_with("df", times, lambda d, t: F.log(1 + (F.col("n") - d + 0.5) / (d + 0.5)) * t)
-    known = weights.select(idf.alias("idf"))  # one row
-    found = counted.where("tf IS NOT NULL").join(F.broadcast(known), F.lit(True)).select("doc", F.aggregate(F.zip_with("tf", "idf", lambda c, w: c * w), F.lit(0.0), lambda acc, x: acc + x).alias("score"))
-    return found.groupBy("doc").agg(F.sum("score").alias("score"))
+def keyword_scores(index: Index, query: str) -> DataFrame:
+    """doc and score of each document that has a token of the query, from the kept index (see inverted)."""
+    return index.scores(query)
 
 
 def top(scores: DataFrame, k: int, id_column: str = "doc") -> DataFrame:
@@ -64,10 +38,10 @@ def fused(vector_top: DataFrame, keyword_top: DataFrame, k: int, vector_weight:
     return top(both.select("doc", (part("v", vector_weight) + part("w", 1 - vector_weight)).alias("score")), k)
 
 
-def hybrid(vectors: DataFrame, query: DataFrame, docs: DataFrame, text_query: str, k: int, least: float = 0.0, vector_weight: float = 0.6) -> DataFrame:
+def hybrid(vectors: DataFrame, query: DataFrame, index: Index, text_query: str, k: int, least: float = 0.0, vector_weight: float = 0.6) -> DataFrame:
     """Top k of both lists fused; each gives twice as many, 50 at least."""
     most = max(2 * k, LEAST)
-    return fused(top(vector_scores(vectors, query, least), most), top(keyword_scores(docs, text_query), most), k, vector_weight)
+    return fused(top(vector_scores(vectors, query, least), most), top(keyword_scores(index, text_query), most), k, vector_weight)
 
 
 def budgeted(rows: DataFrame, budget: int, order: str = "doc", text: str = "text", cost: str | None = None) -> DataFrame:
@@ -100,9 +74,9 @@ def context(rows: DataFrame, order: str = "doc", text: str = "text") -> DataFram
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n\n").alias("context"), F.count(F.lit(1)).alias("parts"))
 
 
-def keyword_context(docs: DataFrame, query: str, k: int, budget: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def keyword_context(docs: DataFrame, query: str, k: int, budget: int, doc: str = "doc_id", text: str = "text", index: Index | None = None) -> DataFrame:
     """The flagship: best documents for the words of a query, in document order, within a token budget."""
-    best = top(keyword_scores(docs, query, doc, text), k)
+    best = top(keyword_scores(index or kept(docs, doc, text), query), k)
     hits = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(F.broadcast(best), "doc")  # k rows
     return budgeted(hits, budget).select("doc", F.round("score", 6).alias("score"), "tokens", "running")
 
@@ -111,14 +85,17 @@ def keyword_context(docs: DataFrame, query: str, k: int, budget: int, doc: str =
 MODES = {"normal": (25, 0.35, 1.0), "hybrid": (50, 0.25, 0.6), "broad": (50, 0.20, 1.0)}
 
 
-def chunk_context(chunks: DataFrame, vectors: DataFrame, query: DataFrame, budget: int, mode: str = "normal", text_query: str = "") -> DataFrame:
-    """Chunks (doc, text) found by vectors (vec_id = doc), in order within the budget; nothing found: the first chunks."""
+def chunk_context(chunks: DataFrame, vectors: DataFrame, query: DataFrame, budget: int, mode: str = "normal", text_query: str = "", index: Index | None = None) -> DataFrame:
+    """Chunks (doc, text) found by vectors (vec_id = doc), in order within the budget; nothing found: the first chunks.
+
+    The search runs once: its k hits are a small local table, which is broadcast.
+    """
     k, least, weight = MODES[mode]
     if mode == "hybrid":
-        best = hybrid(vectors, query, chunks.withColumnRenamed("doc", "doc_id"), text_query, k, least, weight)
+        best = hybrid(vectors, query, index or kept(chunks, "doc"), text_query, k, least, weight)
     else:
         best = top(vector_scores(vectors, query, least), k)
-    ids = [r[0] for r in best.select("doc").collect()]  # k of them
-    hits = chunks.where(F.col("doc").isin(ids)) if ids else chunks.where("false")
-    none = hits.select("doc").isEmpty()
+    ids = chunks.sparkSession.createDataFrame(best.select("doc").collect(), best.select("doc").schema)  # k of them
+    hits = chunks.join(F.broadcast(ids), "doc")
+    none = hits.select("doc").isEmpty()  # of the chunks it reads no text
     return budgeted(first_within(chunks, budget) if none else hits, budget)

@@ -11,7 +11,7 @@ from plotweave import fixtures as fx
 from plotweave import story
 from plotweave.fixtures import duck
 from plotweave.functions import display, extract, names, outline, rules, text
-from plotweave.operators import chapters, checks, chunks, entities, events, linking, retrieval, scripts
+from plotweave.operators import chapters, checks, chunks, entities, events, inverted, linking, retrieval, scripts
 from plotweave.plans import flow
 from plotweave.sources import export
 from plotweave.sources import text as sources
@@ -78,14 +78,13 @@ def keyword_context(spark, sf_dir):
 
 @query(f"""WITH {_SCORES} SELECT doc, round(score, 6) AS score FROM (SELECT * FROM sc ORDER BY round(score, 9) DESC, doc LIMIT 50)""")
 def keyword_topk(spark, sf_dir):
-    return retrieval.top(retrieval.keyword_scores(table(spark, sf_dir, "documents"), WORDS), 50).select("doc", F.round("score", 6).alias("score"))
+    return retrieval.top(inverted.kept(table(spark, sf_dir, "documents")).scores(WORDS), 50).select("doc", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH tok AS (SELECT DISTINCT doc_id AS doc, unnest({_TOK}) AS token FROM documents), p AS (SELECT token, count(*) AS n FROM tok GROUP BY 1)
  SELECT count(*) AS unique_tokens, (SELECT count(*) FROM documents WHERE trim(text) <> '') AS total_docs, avg(n) AS avg_postings FROM p""")
 def keyword_index_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return retrieval.index_stats(retrieval.keyword_index(docs), docs)
+    return inverted.kept(table(spark, sf_dir, "documents")).stats()
 
 
 _VECTORS = """q AS (SELECT embedding AS qv FROM embeddings ORDER BY vec_id LIMIT 1),
@@ -108,8 +107,8 @@ def vector_topk(spark, sf_dir):
  f AS (SELECT coalesce(a.doc, b.doc) AS doc, coalesce(0.6 / (60 + a.r), 0) + coalesce(0.4 / (60 + b.r), 0) AS score FROM a FULL JOIN b ON a.doc = b.doc)
  SELECT doc, round(score, 9) AS score FROM f ORDER BY round(score, 9) DESC, doc LIMIT 30""")
 def hybrid_rrf(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return retrieval.hybrid(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), docs, WORDS, 30).select("doc", F.round("score", 9).alias("score"))
+    index = inverted.kept(table(spark, sf_dir, "documents"))
+    return retrieval.hybrid(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), index, WORDS, 30).select("doc", F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH {_VECTORS},
@@ -143,7 +142,7 @@ def broad_context(spark, sf_dir):
  SELECT doc, tokens FROM r WHERE running <= 20000 OR (nth = 1 AND tokens > 20000)""")
 def hybrid_context(spark, sf_dir):
     made = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    return retrieval.chunk_context(made, table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 20000, mode="hybrid", text_query=WORDS).select("doc", "tokens")
+    return retrieval.chunk_context(made, table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 20000, mode="hybrid", text_query=WORDS, index=inverted.kept(table(spark, sf_dir, "documents"))).select("doc", "tokens")
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
