@@ -64,7 +64,12 @@ class Index:
     path: str
 
     def _read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}")
+        """A table of the index; one of no rows has no files, so its columns are told here."""
+        if table == "stats":
+            return self.spark.read.parquet(f"{self.path}/stats")
+        doc = self._read("stats").schema["doc"].dataType.simpleString()
+        columns = {"terms": "token string, df bigint, bucket int", "postings": f"token string, doc {doc}, tf bigint, bucket int"}
+        return self.spark.read.schema(columns[table]).parquet(f"{self.path}/{table}")
 
     def _asked(self, table: str, wanted: list[str]) -> DataFrame:
         """Rows of these tokens, from their buckets alone."""
@@ -109,10 +114,11 @@ def build(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text") -
     spread = postings(docs, doc, text).withColumn("bucket", _bucket(F.col("token"))).withColumn("_s", F.pmod(F.xxhash64("doc"), F.lit(SPREAD)))
     spread = spread.repartition("bucket", "_s").sortWithinPartitions("bucket", "token").drop("_s")
     spread.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
-    terms = spark.read.parquet(f"{path}/postings").groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("df"))
+    written = spark.read.schema("token string, bucket int").parquet(f"{path}/postings")
+    terms = written.groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("df"))
     terms.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/terms")
     # The row that says that the index is whole is written last.
-    docs.where(F.trim(F.col(text)) != "").agg(F.count(F.lit(1)).alias("documents")).write.mode("overwrite").parquet(f"{path}/stats")
+    docs.where(F.trim(F.col(text)) != "").agg(F.count(F.lit(1)).alias("documents"), F.max(F.when(F.lit(False), F.col(doc))).alias("doc")).write.mode("overwrite").parquet(f"{path}/stats")
     return Index(spark, path)
 
 
