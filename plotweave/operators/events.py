@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions.text import character_jaccard
+from plotweave.operators.linking import within
 
 SIMILAR = 0.70
 #: Positions at which a stage ends.
@@ -41,14 +42,73 @@ def same_event(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.coalesce(titles, F.lit(False)) | F.coalesce(place, F.lit(False))
 
 
+def titles(events: DataFrame) -> DataFrame:
+    """script_id, x, chars: the distinct titles without white space, with their distinct characters, rarest in the script first."""
+    x = events.where("title IS NOT NULL").select("script_id", F.regexp_replace("title", r"\s+", "").alias("x")).distinct()
+    each = x.select("script_id", "x", F.explode(F.array_distinct(F.split("x", ""))).alias("c")).where("c <> ''")
+    df = each.groupBy("script_id", "c").agg(F.count(F.lit(1)).alias("n"))
+    ranked = each.join(df, ["script_id", "c"]).groupBy("script_id", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "c"))), lambda v: v["c"]).alias("chars"))
+    return ranked  # an empty title has no characters, and is contained in every other
+
+
+def similar_titles(titles: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """script_id, x, y (x < y): distinct titles whose characters have a Jaccard similarity above `similarity`.
+
+    Similar sets share one of their rarest characters: of n characters an overlap needs more than
+    similarity * n, so the first n - floor(similarity * n) of them, in an order that all titles of a
+    script have, hold one in common. Titles meet on those alone, with where they have it: what is
+    left behind the place, and the sizes, bound the overlap before characters are compared.
+    """
+    n = F.size("chars")
+    prefix = n - F.floor(n * F.lit(similarity) + F.lit(1e-9)).cast("int")
+    keys = titles.select("script_id", "x", "chars", n.alias("n"), F.posexplode(F.slice("chars", F.lit(1), prefix)).alias("at", "c"))
+    a, b = keys.alias("a"), keys.alias("b")
+    c = F.col
+    rest = F.least(c("a.n") - c("a.at"), c("b.n") - c("b.at"))
+    possible = (c("a.x") < c("b.x")) & (F.least("a.n", "b.n") > similarity * F.greatest("a.n", "b.n") - 1e-9)
+    met = a.join(b, (c("a.script_id") == c("b.script_id")) & (c("a.c") == c("b.c")) & possible)
+    # Only the first common character of a pair tells it, so no pair is compared twice.
+    before = F.size(F.array_intersect(F.slice("a.chars", F.lit(1), c("a.at")), F.slice("b.chars", F.lit(1), c("b.at")))) == 0
+    met = met.where(before & (rest >= similarity / (1 + similarity) * (c("a.n") + c("b.n")) - 1e-9))
+    both = F.size(F.array_intersect("a.chars", "b.chars"))
+    return met.where(both / (c("a.n") + c("b.n") - both) > similarity).select(c("a.script_id").alias("script_id"), c("a.x").alias("x"), c("b.x").alias("y"))
+
+
+def same_titles(events: DataFrame) -> DataFrame:
+    """script_id, x, y: pairs of titles (without white space) of a script that tell the same event, each title with itself, in both orders."""
+    every = titles(events)
+    bare = events.where("title IS NOT NULL").select("script_id", F.regexp_replace("title", r"\s+", "").alias("x")).distinct()
+    similar = similar_titles(every)
+    inside = within(bare.select("script_id", F.col("x").alias("inner")), bare.select("script_id", F.col("x").alias("outer"))).select("script_id", F.col("inner").alias("x"), F.col("outer").alias("y"))
+    one = similar.unionByName(inside)
+    return one.unionByName(one.select("script_id", F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+
+
+def _links(a: DataFrame, b: DataFrame) -> DataFrame:
+    """script_id, a, b: events of a and of b (script_id, event_order, title, location, time_point) that are the same."""
+    side = lambda df, order, x: df.select("script_id", F.col("event_order").alias(order), F.regexp_replace("title", r"\s+", "").alias(x), "location", "time_point")
+    left, right = side(a, "a", "x"), side(b, "b", "y")
+    both = a.select("script_id", "title").unionByName(b.select("script_id", "title")) if a is not b else a
+    by_title = left.join(same_titles(both), ["script_id", "x"]).join(right.select("script_id", "b", "y"), ["script_id", "y"]).select("script_id", "a", "b")
+    by_place = left.where("location IS NOT NULL AND time_point IS NOT NULL").join(right.select("script_id", "b", "location", "time_point"), ["script_id", "location", "time_point"]).select("script_id", "a", "b")
+    return by_title.unionByName(by_place).distinct()
+
+
 def same_pairs(events: DataFrame) -> DataFrame:
-    """script_id, a, b (event orders a < b) of events told twice; compared within a script."""
+    """script_id, a, b (event orders a < b) of events told twice; compared within a script.
+
+    Titles are compared, not events: each distinct one once, by characters (similar_titles) and
+    by containment (linking.within). The same place and time is an equi join of its own.
+    """
     slim = events.select("script_id", "event_order", "title", "location", "time_point")
-    a, b = slim.alias("a"), slim.alias("b")
-    names = ("title", "location", "time_point")
-    side = lambda s: {n: F.col(f"{s}.{n}") for n in names}
-    pairs = a.join(b, (F.col("a.script_id") == F.col("b.script_id")) & (F.col("a.event_order") < F.col("b.event_order")) & same_event(side("a"), side("b")))
-    return pairs.select(F.col("a.script_id").alias("script_id"), F.col("a.event_order").alias("a"), F.col("b.event_order").alias("b"))
+    return _links(slim, slim).where("a < b")
+
+
+def first_same(existing: DataFrame, found: DataFrame) -> DataFrame:
+    """script_id, a, b: of each new event (order b) the first existing one (order a) that is the same, or null."""
+    links = _links(existing.select("script_id", "event_order", "title", "location", "time_point"), found.select("script_id", "event_order", "title", "location", "time_point"))
+    best = links.groupBy("script_id", "b").agg(F.min("a").alias("a"))
+    return found.select("script_id", F.col("event_order").alias("b")).join(best, ["script_id", "b"], "left").select("script_id", "a", "b")
 
 
 _MERGED = "script_id bigint, event_order int, title string, description string, location string, time_point string, conflict_type string, importance int, emotional_arc string, chapter_ids array<bigint>, character_ids array<bigint>"
@@ -107,11 +167,42 @@ def merged(events: DataFrame) -> DataFrame:
     return events.select(*columns).groupBy("script_id").applyInPandas(run, _MERGED)
 
 
+def told_again(a: str, b: str) -> list[Column]:
+    """The columns of the event that struct a, told again as struct b, makes: what a lacks is b's, lists are united, the importance is the higher one."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    none = F.array().cast("array<bigint>")
+    ids = lambda e, c: F.coalesce(e(c), none)
+    both = F.filter(F.array(x("description"), y("description")), lambda d: d.isNotNull() & (d != ""))
+    description = F.when(F.size(both) > 0, F.array_join(both, "；"))
+    return [
+        x("title").alias("title"),
+        description.alias("description"),
+        *(F.coalesce(x(c), y(c)).alias(c) for c in _FIRST),
+        F.greatest(x("importance"), y("importance")).alias("importance"),
+        F.array_sort(F.array_distinct(F.concat(ids(x, "chapter_ids"), ids(y, "chapter_ids")))).alias("chapter_ids"),
+        F.array_distinct(F.concat(ids(x, "character_ids"), ids(y, "character_ids"))).alias("character_ids"),
+    ]
+
+
 def merged_into(existing: DataFrame, found: DataFrame) -> DataFrame:
-    """New events merged into a script's existing ones, which come first."""
-    shift = existing.groupBy("script_id").agg(F.max("event_order").alias("_last"))
-    later = found.join(shift, "script_id", "left").withColumn("event_order", (F.col("event_order") + F.coalesce("_last", F.lit(0))).cast("int")).drop("_last")
-    return merged(existing.unionByName(later))
+    """New events taken into a script's existing ones, renumbered by their orders, existing ones first of equals.
+
+    A new event goes into the first existing one that is the same, compared as both were told; of
+    several that go into one, the first does and the others are left out. All others are added.
+    Joins within scripts, no fold: a script may have any number of events.
+    """
+    columns = [x.split()[0] for x in _MERGED.split(", ")]
+    body = [c for c in columns if c not in ("script_id", "event_order")]
+    links = first_same(existing, found)
+    taken = links.where("a IS NOT NULL").groupBy("script_id", "a").agg(F.min("b").alias("b"))
+    new = found.select("script_id", F.col("event_order").alias("b"), F.struct(*body).alias("y"))
+    old = existing.select("script_id", F.col("event_order").alias("a"), F.struct(*body).alias("x")).join(taken, ["script_id", "a"], "left").join(new, ["script_id", "b"], "left")
+    again = old.where("b IS NOT NULL").select("script_id", F.col("a").alias("event_order"), *told_again("x", "y"))
+    alone = old.where("b IS NULL").select("script_id", F.col("a").alias("event_order"), "x.*")
+    added = new.join(links.where("a IS NULL").select("script_id", "b"), ["script_id", "b"]).select("script_id", F.col("b").alias("event_order"), "y.*")
+    every = again.unionByName(alone).withColumn("_new", F.lit(0)).unionByName(added.withColumn("_new", F.lit(1)))
+    order = Window.partitionBy("script_id").orderBy("event_order", "_new")
+    return every.withColumn("event_order", F.row_number().over(order)).select(*columns)
 
 
 def staged(events: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plotweave import fixtures as fx
 from plotweave import story
 from plotweave.fixtures import duck
-from plotweave.functions import display, extract, names, outline, rules, text
+from plotweave.functions import display, distance, extract, names, outline, rules, text
 from plotweave.operators import chapters, checks, chunks, entities, events, inverted, linking, retrieval, scripts
 from plotweave.plans import flow
 from plotweave.sources import export
@@ -469,6 +469,23 @@ def merge_decisions(spark, sf_dir):
     return entities.merged_by_list(fx.PEOPLE.df(spark), told).select("canonical_name", "aliases")
 
 
+@query("""WITH a AS (SELECT c_name AS x FROM customer WHERE c_custkey % 20 = 0), b AS (SELECT c_name AS y FROM customer UNION SELECT p_name FROM part UNION SELECT s_name FROM supplier UNION SELECT substr(c_name, 1, 5) || substr(c_name, 7, 1) || substr(c_name, 6, 1) || substr(c_name, 8) FROM customer)
+ SELECT x, y, CAST(damerau_levenshtein(x, y) AS INTEGER) AS distance FROM a JOIN b ON abs(length(x) - length(y)) <= 1 AND damerau_levenshtein(x, y) <= 1""")
+def close_names(spark, sf_dir):
+    """Every twentieth customer, as a query, against the names of all customers, of which some are misspelt, parts and suppliers."""
+    c = table(spark, sf_dir, "customer")
+    swapped = F.expr("substr(c_name, 1, 5) || substr(c_name, 7, 1) || substr(c_name, 6, 1) || substr(c_name, 8)")
+    every = c.select(F.col("c_name").alias("y")).unionByName(c.select(swapped.alias("y"))).unionByName(table(spark, sf_dir, "part").select(F.col("p_name").alias("y"))).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("y")))
+    return distance.close_names(c.where("c_custkey % 20 = 0").select(F.col("c_name").alias("x")), every)
+
+
+@query("""SELECT c_custkey, x, y, CAST(damerau_levenshtein(x, y) AS INTEGER) AS distance FROM (SELECT c_custkey, reverse(c_name) AS x, p_name AS y FROM customer JOIN part ON p_partkey = c_custkey)""")
+def name_distance(spark, sf_dir):
+    """The distance of names as a table has them side by side."""
+    both = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("c_custkey"))
+    return both.select("c_custkey", F.reverse("c_name").alias("x"), F.col("p_name").alias("y")).withColumn("distance", distance.osa(F.col("x"), F.col("y")))
+
+
 # --- links -------------------------------------------------------------------------------------
 
 _FX = f"WITH {duck('people', 'scenes', 'dialogues', 'actions', 'chapters', 'events', 'scripts')}"
@@ -898,6 +915,41 @@ def event_pairs(spark, sf_dir):
     return events.same_pairs(fx.EVENTS.df(spark))
 
 
+_PLOT = f"""WITH e AS ({story.PLOT.sql()}), t AS (SELECT *, regexp_replace(title, '\\s+', '', 'g') AS x FROM e)"""
+_SAME = """coalesce(a.title = b.title OR contains(a.x, b.x) OR contains(b.x, a.x)
+ OR len(list_intersect(list_distinct(string_split(a.x, '')), list_distinct(string_split(b.x, '')))) / len(list_distinct(list_concat(string_split(a.x, ''), string_split(b.x, '')))) > 0.7, false) OR coalesce(a.location = b.location AND a.time_point = b.time_point, false)"""
+
+
+@query(f"{_PLOT} SELECT a.script_id, a.event_order AS a, b.event_order AS b FROM t a JOIN t b ON a.script_id = b.script_id AND a.event_order < b.event_order WHERE {_SAME}")
+def plot_pairs(spark, sf_dir):
+    """Events of each user that are the same by title, or by place and time."""
+    return events.same_pairs(story.PLOT.df(spark, sf_dir))
+
+
+@query(f"""{_PLOT}, link AS (SELECT b.script_id, min(a.event_order) AS a, b.event_order AS b FROM t a JOIN t b ON a.script_id = b.script_id AND a.event_order % 2 = 0 AND b.event_order % 2 = 1 WHERE {_SAME} GROUP BY b.script_id, b.event_order)
+ SELECT t.script_id, a, t.event_order AS b FROM t LEFT JOIN link ON link.script_id = t.script_id AND link.b = t.event_order WHERE t.event_order % 2 = 1""")
+def plot_firsts(spark, sf_dir):
+    """For each new event (odd numbers) the existing one (even numbers) that it goes into, if any."""
+    plot = story.PLOT.df(spark, sf_dir)
+    return events.first_same(plot.where("event_order % 2 = 0"), plot.where("event_order % 2 = 1"))
+
+
+@query(f"""{_PLOT}, old AS (SELECT * FROM t WHERE event_order % 2 = 0), new AS (SELECT * FROM t WHERE event_order % 2 = 1),
+ link AS (SELECT b.script_id, min(a.event_order) AS a, b.event_order AS b FROM old a JOIN new b ON a.script_id = b.script_id WHERE {_SAME} GROUP BY b.script_id, b.event_order),
+ taken AS (SELECT script_id, a, min(b) AS b FROM link GROUP BY 1, 2),
+ every AS (SELECT x.script_id, x.event_order AS o, 0 AS new, x.title, CASE WHEN y.script_id IS NULL THEN x.description ELSE nullif(concat_ws('；', nullif(x.description, ''), nullif(y.description, '')), '') END AS description,
+   coalesce(x.location, y.location) AS location, coalesce(x.time_point, y.time_point) AS time_point, coalesce(x.conflict_type, y.conflict_type) AS conflict_type, greatest(x.importance, y.importance) AS importance, coalesce(x.emotional_arc, y.emotional_arc) AS emotional_arc,
+   CASE WHEN y.script_id IS NULL THEN x.chapter_ids ELSE list_sort(list_distinct(list_concat(x.chapter_ids, y.chapter_ids))) END AS chapter_ids,
+   CASE WHEN y.script_id IS NULL THEN x.character_ids ELSE list_transform(list_filter(list_zip(list_concat(x.character_ids, y.character_ids), range(1, 99)), lambda p: p[1] IS NOT NULL AND list_position(list_concat(x.character_ids, y.character_ids), p[1]) = p[2]), lambda p: p[1]) END AS character_ids
+  FROM old x LEFT JOIN taken k ON k.script_id = x.script_id AND k.a = x.event_order LEFT JOIN new y ON y.script_id = k.script_id AND y.event_order = k.b
+  UNION ALL SELECT script_id, event_order, 1, title, description, location, time_point, conflict_type, importance, emotional_arc, chapter_ids, character_ids FROM new n WHERE NOT EXISTS (SELECT 1 FROM link WHERE link.script_id = n.script_id AND link.b = n.event_order))
+ SELECT * EXCLUDE (o, new), CAST(row_number() OVER (PARTITION BY script_id ORDER BY o, new) AS INTEGER) AS event_order FROM every""")
+def plot_merged(spark, sf_dir):
+    """The new events (odd numbers) taken into the existing ones (even numbers)."""
+    plot = story.PLOT.df(spark, sf_dir)
+    return events.merged_into(plot.where("event_order % 2 = 0"), plot.where("event_order % 2 = 1"))
+
+
 @query()
 def event_merge(spark, sf_dir):
     return events.merged(fx.EVENTS.df(spark))

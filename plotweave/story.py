@@ -49,3 +49,10 @@ SAID = Story("""SELECT script_id, conv_id * 1000 + turn AS line_id, conv_id AS s
   WHEN 0 THEN name WHEN 1 THEN alias WHEN 2 THEN name || '师兄' WHEN 3 THEN '小' || substr(name, 2) WHEN 4 THEN substr(name, 2, 3) WHEN 5 THEN 'old ' || name || ' and the others of the long way' WHEN 6 THEN substr(text, 1, 4) WHEN 7 THEN NULL ELSE ' ' END AS speaker
  FROM (SELECT b.item_id % 4 AS script_id, c.conv_id, c.turn, c.text, CASE WHEN c.turn % 2 = 0 THEN 'AI' ELSE 'REGEX' END AS source, nullif(regexp_extract(b.text, '[A-Z][a-z]{{3,}}', 0), '') AS name, nullif(regexp_extract(b.text, '[a-z]{{6,}}', 0), '') AS alias
   FROM {conversations} c JOIN {benchmark} b ON b.item_id = (c.conv_id * 13 + c.turn * 7) % 40)""")
+#: Plot events of a user, in order: titles of a few syllables picked by the event's values, some of them spelled apart, short or missing.
+PLOT = Story(f"""SELECT user_id AS script_id, event_id AS event_order, CASE CAST(floor(value) AS BIGINT) % 11 WHEN 0 THEN NULL WHEN 1 THEN a WHEN 2 THEN a || ' ' || b WHEN 3 THEN b || a ELSE a || b || c || d END AS title,
+  CASE WHEN event_id % 3 = 0 THEN b END AS location, CASE WHEN event_id % 5 < 4 THEN c || CAST(floor(value) AS BIGINT) % 7 END AS time_point,
+  CASE WHEN event_id % 5 > 0 THEN a || d END AS description, CASE WHEN event_id % 4 > 0 THEN event_type END AS conflict_type, CAST(CAST(floor(value) AS BIGINT) % 5 + 1 AS INT) AS importance, CASE WHEN event_id % 7 > 1 THEN c END AS emotional_arc,
+  @list(event_id % 6, event_id % 4) AS chapter_ids, @list(user_id, event_id % 9, event_id % 5) AS character_ids
+ FROM (SELECT *, {picked("floor(event_id / 3) + user_id", ["开端", "转折", "决战", "重逢", "离别", "密谋", "背叛", "觉醒"])} AS a, {picked("floor(value * 10)", ["城门", "教室", "雪山", "码头", "宫殿", "森林", "街道", "古墓", "客栈"])} AS b,
+  {picked("floor(value * 100)", ["清晨", "黄昏", "深夜", "正午", "雨后"])} AS c, {picked("event_id", ["之战", "之约", "风云", "的秘密", "归来", "余波", "起"])} AS d FROM {{events}})""")

@@ -82,4 +82,4 @@ def test_context_of_no_hits_is_the_first_chunks(spark):
     chunks = spark.createDataFrame([(k, f"text {k} " * 20) for k in range(5)], "doc bigint, text string")
     vectors = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(5)], "vec_id bigint, embedding array<double>")
     query = spark.createDataFrame([([-1.0, 0.0],)], "query array<double>")
-    assert [r.doc for r in retrieval.chunk_context(chunks, vectors, query, 60).collect()] == [0]
+    assert [r.doc for r in retrieval.chunk_context(chunks, vectors, query, 60).collect()] == [0, 1]
