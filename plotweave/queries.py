@@ -11,7 +11,7 @@ from plotweave import fixtures as fx
 from plotweave import story
 from plotweave.fixtures import duck
 from plotweave.functions import display, distance, extract, names, outline, rules, text
-from plotweave.operators import chapters, checks, chunks, entities, events, inverted, linking, retrieval, scripts
+from plotweave.operators import chapters, checks, chunks, entities, events, inverted, linking, nearest, retrieval, scripts
 from plotweave.plans import flow
 from plotweave.sources import export
 from plotweave.sources import text as sources
@@ -101,6 +101,15 @@ def vector_topk(spark, sf_dir):
     return retrieval.top(found, 25).select("doc", F.round("score", 6).alias("score"))
 
 
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id AS doc, list_cosine_similarity(e.v, q.v) AS score FROM e q JOIN e ON q.vec_id % 20 = 0)
+ SELECT query_id, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS INTEGER) AS rank FROM s WHERE score >= 0.05 QUALIFY rank <= 10""")
+def vector_neighbours(spark, sf_dir):
+    """The ten nearest of all vectors for every twentieth, as a query."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return nearest.nearest(e, asked, 10, 0.05).select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"""WITH {_VECTORS}, {_SCORES},
  a AS (SELECT doc, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS r FROM v WHERE score >= 0 QUALIFY r <= 60),
  b AS (SELECT doc, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS r FROM sc QUALIFY r <= 60),
