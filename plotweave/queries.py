@@ -13,9 +13,9 @@ from plotweave.fixtures import duck
 from plotweave.functions import display, distance, extract, names, outline, rules, text
 from plotweave.operators import chapters, checks, chunks, entities, events, inverted, linking, nearest, retrieval, scripts
 from plotweave.plans import flow
-from plotweave.sources import export
+from plotweave.sources import export, shared
 from plotweave.sources import text as sources
-from plotweave.streaming import progress
+from plotweave.streaming import progress, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1038,6 +1038,29 @@ def progress_monotone(spark, sf_dir):
     return progress.monotone(ev, order=("ts", "event_id")).select("run_id", "event_id", "progress")
 
 
+def _streamed(spark, sf_dir):
+    """The events as a stream; a table of one file is found by its name in its folder."""
+    path = f"{sf_dir}/events.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema)
+    return rows.parquet(path) if shared.is_folder(spark, path) else rows.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+@query("SELECT user_id AS run_id, event_id, value AS progress FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) WHERE b IS NULL OR value > b")
+def progress_stream(spark, sf_dir):
+    """The events of each user that are above all before them, by a stream with a state for each user."""
+    ev = _streamed(spark, sf_dir).select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("progress"))
+    return state.replay(state.rising(ev)).select("run_id", "event_id", "progress")
+
+
+@query("""WITH e AS (SELECT md5(concat_ws('|', user_id, props)) AS key, event_id, epoch_us(ts) AS t, CASE WHEN event_type = 'click' THEN 'answer ' || event_id END AS answer FROM events),
+ p AS (SELECT *, last_value(answer IGNORE NULLS) OVER w AS held, last_value(CASE WHEN answer IS NOT NULL THEN t END IGNORE NULLS) OVER w AS made FROM e WINDOW w AS (PARTITION BY key ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+ SELECT key, event_id, made IS NOT NULL AND floor(t / 1000) - floor(made / 1000) <= 604800000 AS hit, CASE WHEN made IS NOT NULL AND floor(t / 1000) - floor(made / 1000) <= 604800000 THEN held END AS answer FROM p WHERE answer IS NULL""")
+def answer_stream(spark, sf_dir):
+    """Questions of users (other events) answered from what was put under their keys (clicks) within a week."""
+    ev = _streamed(spark, sf_dir).select(F.md5(F.concat_ws("|", "user_id", "props")).alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "click", F.concat(F.lit("answer "), "event_id")).alias("answer"))
+    return state.replay(state.answered(ev, 604_800_000))
+
+
 @query("""WITH l AS (SELECT user_id, event_type, arg_max(value, epoch_us(ts)) AS v FROM events GROUP BY 1, 2) SELECT user_id AS run_id, count(*) FILTER (v >= 50) * 100.0::DOUBLE / count(*) AS progress FROM l GROUP BY 1""")
 def progress_pct(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("step"), "ts", F.when(F.col("value") >= 50, "COMPLETED").otherwise("RUNNING").alias("status"))
