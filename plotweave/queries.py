@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plotweave import fixtures as fx
 from plotweave import story
@@ -13,7 +15,7 @@ from plotweave.fixtures import duck
 from plotweave.functions import display, distance, extract, names, outline, rules, text
 from plotweave.operators import chapters, checks, chunks, entities, events, inverted, linking, nearest, retrieval, scripts
 from plotweave.plans import flow
-from plotweave.sources import export, shared
+from plotweave.sources import export, shared, uploads
 from plotweave.sources import text as sources
 from plotweave.streaming import progress, state
 
@@ -329,9 +331,30 @@ def hash_embeddings(spark, sf_dir):
     return each.where("value <> 0").select("item_id", "place", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
-@query(f"WITH {duck('texts')} SELECT id, text AS decoded FROM fx_texts")
+@F.pandas_udf(T.BinaryType())
+def _encoded(line: pd.Series, kind: pd.Series) -> pd.Series:
+    """Lines as an upload has them: in an encoding, or in one that was taken for another."""
+    raw = lambda x, k: x.encode("gb18030").decode("latin-1").encode() if k == "doubled" else x.encode(k)
+    return pd.Series([raw(x, k) for x, k in zip(line, kind, strict=True)], dtype=object)
+
+
+@query(f"SELECT conv_id, kind, string_agg(line, chr(10) ORDER BY turn) AS decoded FROM ({story.UPLOAD.sql()}) GROUP BY 1, 2")
 def upload_decoding(spark, sf_dir):
-    return fx.TEXTS.df(spark).select("id", sources.decoded(F.encode("text", "UTF-8")).alias("decoded"))
+    """Conversations as texts in UTF-8, GB18030, GBK, or encoded twice, each decoded as a whole."""
+    each = story.UPLOAD.df(spark, sf_dir).groupBy("conv_id", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return each.select("conv_id", "kind", sources.decoded(_encoded("text", "kind")).alias("decoded"))
+
+
+@query(f"""SELECT file, CASE WHEN kind = 'gbk' THEN 'gb18030' ELSE kind END AS encoding, row_number() OVER (PARTITION BY file ORDER BY conv_id, turn) - 1 AS line_no, line FROM ({story.UPLOAD.sql()})""")
+def upload_lines(spark, sf_dir):
+    """Files of conversations written in each encoding, and their lines read back from byte ranges."""
+    rows = story.UPLOAD.df(spark, sf_dir)
+    path = shared.fresh_path(spark, "uploads")
+    # The bytes of a line, which are a string only to the text sink.
+    raw = rows.repartition("file").sortWithinPartitions("file", "conv_id", "turn").select("file", _encoded("line", "kind").cast("string").alias("value"))
+    raw.write.partitionBy("file").option("lineSep", "\n").text(path)
+    found = uploads.lines(spark, f"{path}/*/*")
+    return found.select(F.regexp_extract("file", "file=([0-9]+)/", 1).cast("bigint").alias("file"), "encoding", "line_no", "line")
 
 
 @query("SELECT n_nationkey AS novel_id, n_nationkey AS chunk_index, CAST(25 * 1000.0 * n_nationkey / (n_regionkey * 10) AS DOUBLE) AS chars FROM nation WHERE n_regionkey BETWEEN 1 AND 2 OR n_nationkey % 5 BETWEEN 1 AND 2")

@@ -56,3 +56,7 @@ PLOT = Story(f"""SELECT user_id AS script_id, event_id AS event_order, CASE CAST
   @list(event_id % 6, event_id % 4) AS chapter_ids, @list(user_id, event_id % 9, event_id % 5) AS character_ids
  FROM (SELECT *, {picked("floor(event_id / 3) + user_id", ["开端", "转折", "决战", "重逢", "离别", "密谋", "背叛", "觉醒"])} AS a, {picked("floor(value * 10)", ["城门", "教室", "雪山", "码头", "宫殿", "森林", "街道", "古墓", "客栈"])} AS b,
   {picked("floor(value * 100)", ["清晨", "黄昏", "深夜", "正午", "雨后"])} AS c, {picked("event_id", ["之战", "之约", "风云", "的秘密", "归来", "余波", "起"])} AS d FROM {{events}})""")
+#: Lines of uploads, by file and place: Han phrases with a word of a conversation between them; `kind` is the encoding that a file is written in (one that was encoded twice is only told from GB18030 by its control characters).
+UPLOAD = Story(f"""SELECT conv_id % 64 AS file, conv_id, turn, {picked("conv_id % 64", ["utf-8", "gb18030", "gbk", "doubled"])} AS kind, a || regexp_extract(text, '[A-Za-z]{{{{3,6}}}}', 0) || b || c || CASE WHEN conv_id % 4 = 3 THEN repeat(chr(11), 5) ELSE '' END AS line
+ FROM (SELECT *, {picked("conv_id + turn", ["清晨的阳光洒在脸上", "下午的会议开始了", "他握紧拳头", "窗外传来音乐", "夜晚的星空璀璨"])} AS a, {picked("conv_id * 3 + turn * 5", ["，他说：", "。然后", "……", "！", "，", "", "？"])} AS b,
+  {picked("length(text)", ["片刻之后转身离开", "什么也没说", "她猛地回头", "仿佛过了很久", "", "教室里一片寂静"])} AS c FROM {{conversations}})""")
