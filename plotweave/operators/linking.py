@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plotweave.functions.names import strip_honorific, strip_prefix
 from plotweave.functions.rules import EXTERIOR, INTERIOR, hits, time_from_content
 from plotweave.operators.mentions import mentions
+from plotweave.sources.shared import stored
 
 _NONE = "array<string>"
 
@@ -77,7 +78,7 @@ def speakers(lines: DataFrame, people: DataFrame) -> DataFrame:
     exact = people.select("script_id", "pos", "character_id", F.explode(F.array_distinct(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast(_NONE))))).alias("name"))
     exact = exact.where("name IS NOT NULL").groupBy("script_id", "name").agg(F.min(first).alias("first"))
     said = lines.where("trim(speaker) <> ''").select("script_id", "speaker").distinct()
-    said = said.withColumn("bare", strip_honorific(F.col("speaker"))).withColumn("plain", strip_prefix(F.col("speaker")))
+    said = stored(said.withColumn("bare", strip_honorific(F.col("speaker"))).withColumn("plain", strip_prefix(F.col("speaker"))), "speakers")
     level = lambda n: F.struct(F.lit(n).alias("level"), "first.pos", "first.character_id").alias("best")
     one = said.join(exact, (said["speaker"] == exact["name"]) & (said["script_id"] == exact["script_id"])).select(said["script_id"], "speaker", level(1))
     two = said.where("bare <> speaker").join(exact, (said["bare"] == exact["name"]) & (said["script_id"] == exact["script_id"])).select(said["script_id"], "speaker", level(2))
@@ -86,7 +87,9 @@ def speakers(lines: DataFrame, people: DataFrame) -> DataFrame:
     canon = people.where("canonical_name IS NOT NULL").groupBy("script_id", F.col("canonical_name").alias("y")).agg(F.min(first).alias("first"))
     asked = rest.where("plain <> speaker").select("script_id", "speaker", F.col("plain").alias("x"), F.lit(3).alias("n"))
     asked = asked.unionByName(rest.where(F.length("speaker") >= 2).select("script_id", "speaker", F.col("speaker").alias("x"), F.lit(4).alias("n")))
-    met = asked.join(either_way(asked.select("script_id", "x"), canon.select("script_id", "y")), ["script_id", "x"]).where((F.col("n") == 3) | (F.length("y") >= 2))
+    asked = stored(asked, "asked-speakers")
+    near = stored(either_way(asked.select("script_id", "x"), canon.select("script_id", "y")), "near-names")
+    met = asked.join(near, ["script_id", "x"]).where((F.col("n") == 3) | (F.length("y") >= 2))
     loose = met.join(canon, ["script_id", "y"]).select("script_id", "speaker", F.struct(F.col("n").alias("level"), "first.pos", "first.character_id").alias("best"))
     best = sure.unionByName(loose).groupBy("script_id", "speaker").agg(F.min("best").alias("best"))
     return lines.select("script_id", "speaker", "line_id").join(best, ["script_id", "speaker"]).select("line_id", "best.character_id", "best.level")
@@ -94,10 +97,10 @@ def speakers(lines: DataFrame, people: DataFrame) -> DataFrame:
 
 def linked_lines(lines: DataFrame, people: DataFrame) -> DataFrame:
     """Lines with character_id by name, else by containment in the order of people; others keep a null. `source` stays."""
-    known = names(people)
+    known = stored(names(people), "names")
     exact = lines.drop("character_id").join(known.select("script_id", F.col("name").alias("speaker"), "character_id"), ["script_id", "speaker"], "left")
-    open_ = exact.where("character_id IS NULL AND trim(speaker) <> ''").select("script_id", F.col("speaker").alias("x")).distinct()
-    pairs = either_way(open_, known.select("script_id", F.col("name").alias("y"))).join(known.withColumnRenamed("name", "y"), ["script_id", "y"])
+    open_ = stored(exact.where("character_id IS NULL AND trim(speaker) <> ''").select("script_id", F.col("speaker").alias("x")).distinct(), "asked-speakers")
+    pairs = stored(either_way(open_, known.select("script_id", F.col("name").alias("y"))), "near-names").join(known.withColumnRenamed("name", "y"), ["script_id", "y"])
     loose = pairs.groupBy("script_id", F.col("x").alias("speaker")).agg(F.min(F.struct("pos", "y", "character_id")).alias("best")).select("script_id", "speaker", F.col("best.character_id").alias("found"))
     return exact.join(loose, ["script_id", "speaker"], "left").withColumn("character_id", F.coalesce("character_id", "found")).drop("found")
 

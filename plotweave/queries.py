@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotweave import fixtures as fx
-from plotweave import story
-from plotweave.fixtures import duck
+from plotweave import fixtures, story
+from plotweave import story as fx
+from plotweave.story import duck
 from plotweave.functions import display, distance, extract, names, outline, rules, text
 from plotweave.operators import chapters, checks, chunks, entities, events, inverted, linking, nearest, retrieval, scripts
 from plotweave.plans import flow
@@ -237,7 +237,7 @@ _TYPE = "CASE WHEN regexp_matches(lower(s), '^(序|楔|引|前|prologue|foreword
 
 @query(f"WITH {duck('novels')}, src AS (SELECT novel_id AS k, content AS t FROM fx_novels), {_LINES}, {_HEAD} SELECT k AS novel_id, CAST(line_no AS INTEGER) AS line_no, s AS title, {_TYPE} AS type, \"offset\" FROM h WHERE head")
 def toc(spark, sf_dir):
-    return chapters.contents(fx.NOVELS.df(spark))
+    return chapters.contents(fx.NOVELS.df(spark, sf_dir))
 
 
 @query(f"""WITH {duck('novels')}, src AS (SELECT novel_id AS k, content AS t FROM fx_novels), {_LINES}, {_HEAD},
@@ -247,7 +247,7 @@ def toc(spark, sf_dir):
  SELECT k AS novel_id, CAST(row_number() OVER (PARTITION BY k ORDER BY part) AS INTEGER) AS chapter_number, CASE WHEN part > 0 THEN s WHEN parts > 0 THEN '序章' ELSE '第1章' END AS title,
   CASE WHEN part > 0 THEN {_TYPE} WHEN parts > 0 THEN 'PROLOGUE' ELSE 'NORMAL' END AS type, content, CAST(length(content) AS INTEGER) AS char_count, start_offset, start_offset + length(content) AS end_offset FROM f""")
 def chapters_headers(spark, sf_dir):
-    return chapters.chapters(fx.NOVELS.df(spark))
+    return chapters.chapters(fx.NOVELS.df(spark, sf_dir))
 
 
 @query("SELECT source, count(*)::INTEGER AS chapter_count, CAST(sum(length(text) + CASE WHEN right(text, 1) = chr(10) THEN 0 ELSE 1 END) AS BIGINT) AS total_chars, 'PARSED' AS status FROM documents GROUP BY source HAVING count(*) >= 3")
@@ -376,7 +376,7 @@ _T = f"WITH {duck('texts')}, t AS (SELECT id, text, {_S} AS s, {_B} AS b FROM fx
 @query(f"""{_T} SELECT id, CASE WHEN b THEN NULL ELSE {exact('s', rules.ACTION_NAMES)} END AS named, CASE WHEN b THEN 'ACTION' ELSE {case('text', rules.ACTION_RULES, "'ACTION'")} END AS kind FROM t""")
 def action_class(spark, sf_dir):
     t = F.col("text")
-    return fx.TEXTS.df(spark).select("id", rules.action_type(t).alias("named"), rules.classify_action(t).alias("kind"))
+    return fx.TEXTS.df(spark, sf_dir).select("id", rules.action_type(t).alias("named"), rules.classify_action(t).alias("kind"))
 
 
 @query(f"""{_T} SELECT id,
@@ -387,7 +387,7 @@ def action_class(spark, sf_dir):
  CASE WHEN b THEN 'UNKNOWN' ELSE {case('text', rules.TIME_CONTENT, "'UNKNOWN'")} END AS told FROM t""")
 def enum_infer(spark, sf_dir):
     t = F.col("text")
-    return fx.TEXTS.df(spark).select("id", rules.conflict_type(t).alias("conflict"), rules.emotion(t).alias("emotion"), rules.source_reason(t).alias("reason"), rules.time_of_day(t).alias("time"), rules.time_from_content(t).alias("told"))
+    return fx.TEXTS.df(spark, sf_dir).select("id", rules.conflict_type(t).alias("conflict"), rules.emotion(t).alias("emotion"), rules.source_reason(t).alias("reason"), rules.time_of_day(t).alias("time"), rules.time_from_content(t).alias("told"))
 
 
 @query(f"""{_T} SELECT id, NOT b AND NOT {contains_any("coalesce(text, '')", rules.INNER_STATE + rules.NARRATION)} AS visible, NOT {contains_any("coalesce(text, '')", rules.NARRATION)} AS free,
@@ -397,7 +397,7 @@ def enum_infer(spark, sf_dir):
  CASE WHEN b THEN '' WHEN regexp_extract(text, '(?:走进|来到|到达|回到|前往)([^，。；]{{2,10}})', 1) <> '' THEN regexp_extract(text, '(?:走进|来到|到达|回到|前往)([^，。；]{{2,10}})', 1) ELSE left(text, 50) END AS place FROM t""")
 def visual_rules(spark, sf_dir):
     t = F.col("text")
-    return fx.TEXTS.df(spark).select("id", rules.visualizable(t).alias("visible"), rules.narration_free(t).alias("free"), rules.violation(t).alias("violation"), rules.relation_class(t).alias("relation"), rules.relation_colour(t).alias("colour"), rules.time_jump(t).alias("jump"), rules.location_of(t).alias("place"))
+    return fx.TEXTS.df(spark, sf_dir).select("id", rules.visualizable(t).alias("visible"), rules.narration_free(t).alias("free"), rules.violation(t).alias("violation"), rules.relation_class(t).alias("relation"), rules.relation_colour(t).alias("colour"), rules.time_jump(t).alias("jump"), rules.location_of(t).alias("place"))
 
 
 def _hits(expr: str, words: list[str]) -> str:
@@ -411,13 +411,13 @@ _OUTSIDE = " + 2 * ".join([_hits(_WHOLE, rules.EXTERIOR), _hits("coalesce(locati
 
 @query(f"WITH {duck('places')} SELECT id, {_INSIDE} >= {_OUTSIDE} AS interior FROM fx_places")
 def interior(spark, sf_dir):
-    return fx.PLACES.df(spark).select("id", rules.interior(F.col("summary"), F.col("location")).alias("interior"))
+    return fx.PLACES.df(spark, sf_dir).select("id", rules.interior(F.col("summary"), F.col("location")).alias("interior"))
 
 
 @query(f"""WITH {duck('people')} SELECT character_id, CASE WHEN len(personality) = 0 THEN '{rules.STYLE_NONE}' ELSE {case("array_to_string(personality, ' ')", rules.STYLE_RULES, "'" + rules.STYLE_DEFAULT + "'")} END AS style,
  CASE WHEN upper(role_type) IN ('PROTAGONIST', 'DEUTERAGONIST', 'ANTAGONIST', 'SUPPORTING', 'MINOR') THEN upper(role_type) ELSE 'SUPPORTING' END AS role FROM fx_people""")
 def speech_style(spark, sf_dir):
-    return fx.PEOPLE.df(spark).select("character_id", rules.speech_style(F.col("personality")).alias("style"), rules.role_type(F.col("role_type")).alias("role"))
+    return fx.PEOPLE.df(spark, sf_dir).select("character_id", rules.speech_style(F.col("personality")).alias("style"), rules.role_type(F.col("role_type")).alias("role"))
 
 
 # --- names and people --------------------------------------------------------------------------
@@ -441,14 +441,14 @@ _WORDY = f"IN ({quoted(names.ADJECTIVES + names.VERBS)})"
  WHEN z >= 3 AND NOT known AND regexp_matches(n, '[{names.BODY}]') THEN 'body_part' WHEN z BETWEEN 4 AND 5 AND NOT known AND weak THEN 'long_weak'
  WHEN z BETWEEN 2 AND 3 AND left(n, 1) IN ({quoted(names.ADVERB_STARTS)}) AND NOT known AND weak THEN 'adverb_weak' WHEN z = 1 AND weak AND length(coalesce(d, '')) < 10 THEN 'single_weak' END AS reason FROM ns""")
 def name_noise(spark, sf_dir):
-    return fx.NAMES.df(spark).select("pos", names.noise_reason(F.col("name"), F.col("description")).alias("reason"))
+    return fx.NAMES.df(spark, sf_dir).select("pos", names.noise_reason(F.col("name"), F.col("description")).alias("reason"))
 
 
 @query(f"""WITH {duck('names')}, {_NAME} SELECT pos, blank OR punct OR z >= 6 OR (z >= 2 AND left(n, 1) IN ({quoted(names.QUICK_ADVERBS)})) OR left(n, 1) IN ({quoted(names.NUMERALS)})
  OR (z BETWEEN 2 AND 5 AND right(n, 1) IN ({quoted(names.SPEECH)}) AND bare {_WORDY}) OR (z >= 3 AND NOT known AND regexp_matches(n, '[{names.BODY}]'))
  OR n IN ({quoted(names.VERBS + names.ADJECTIVES + names.FUNCTION_WORDS + names.NOUNS)}) AS noise FROM ns""")
 def quick_noise(spark, sf_dir):
-    return fx.NAMES.df(spark).select("pos", names.is_quick_noise(F.col("name")).alias("noise"))
+    return fx.NAMES.df(spark, sf_dir).select("pos", names.is_quick_noise(F.col("name")).alias("noise"))
 
 
 def _base(c: str) -> str:
@@ -467,10 +467,10 @@ _SAME = f"""pb AS (SELECT *, {_base('a')} AS x, {_base('b')} AS y FROM fx_pairs)
  OR (sa = sb AND (contains(substr(a, 2), substr(b, 2)) OR contains(substr(b, 2), substr(a, 2)))) OR (length(a) = 2 AND length(b) = 2 AND (CAST(left(a, 1) <> left(b, 1) AS INTEGER) + CAST(right(a, 1) <> right(b, 1) AS INTEGER) = 1 OR (reverse(a) = b AND a <> b))))), false) AS same FROM pc""")
 def same_person(spark, sf_dir):
     a, b = F.col("a"), F.col("b")
-    return fx.PAIRS.df(spark).select("id", names.base_name(a).alias("base_a"), names.base_name(b).alias("base_b"), names.same_person(a, b).alias("same"))
+    return fx.PAIRS.df(spark, sf_dir).select("id", names.base_name(a).alias("base_a"), names.base_name(b).alias("base_b"), names.same_person(a, b).alias("same"))
 
 
-_RESOLVE = fx.Fixture("script_id bigint, pos int, name string, description string, aliases array<string>, personality array<string>, relationships array<struct<target:string,relation:string>>", [
+_RESOLVE = fixtures.Fixture("script_id bigint, pos int, name string, description string, aliases array<string>, personality array<string>, relationships array<struct<target:string,relation:string>>", [
     (1, 0, "林川", "大学生穿越者", ["小林"], ["冷静"], []), (1, 1, "川哥", "大家都这样叫他，年轻有为，很有威望的人", [], [], []), (1, 2, "小川", None, ["川儿"], [], []), (1, 3, "李雪", "女孩", [], [], []), (1, 4, "王磊", None, [], [], []), (1, 5, "平静地说", None, [], [], []), (2, 0, "林川", "另一部书里的人", [], [], []),
 ])
 
@@ -492,13 +492,13 @@ def entity_components(spark, sf_dir):
 @query(f"WITH {duck('people')} SELECT canonical_name AS name FROM fx_people WHERE canonical_name NOT IN ('林川', '王磊') AND NOT list_contains(aliases, '大壮')")
 def new_people(spark, sf_dir):
     known = spark.createDataFrame([("林川",), ("王磊",), ("大壮",)], "name string")
-    return entities.new_people(fx.PEOPLE.df(spark), known).select("name")
+    return entities.new_people(fx.PEOPLE.df(spark, sf_dir), known).select("name")
 
 
 @query(f"WITH {duck('people')} SELECT canonical_name, CASE canonical_name WHEN '林川' THEN list_concat(aliases, ['王磊']) ELSE aliases END AS aliases FROM fx_people WHERE canonical_name <> '王磊'")
 def merge_decisions(spark, sf_dir):
     told = spark.createDataFrame([("林川", "王磊"), ("无此人", "李雪")], "canonical string, merged string")
-    return entities.merged_by_list(fx.PEOPLE.df(spark), told).select("canonical_name", "aliases")
+    return entities.merged_by_list(fx.PEOPLE.df(spark, sf_dir), told).select("canonical_name", "aliases")
 
 
 @query("""WITH a AS (SELECT c_name AS x FROM customer WHERE c_custkey % 20 = 0), b AS (SELECT c_name AS y FROM customer UNION SELECT p_name FROM part UNION SELECT s_name FROM supplier UNION SELECT substr(c_name, 1, 5) || substr(c_name, 7, 1) || substr(c_name, 6, 1) || substr(c_name, 8) FROM customer)
@@ -521,6 +521,9 @@ def name_distance(spark, sf_dir):
 # --- links -------------------------------------------------------------------------------------
 
 _FX = f"WITH {duck('people', 'scenes', 'dialogues', 'actions', 'chapters', 'events', 'scripts')}"
+#: Names of each script: of a canonical name the last bearer, of an alias the first.
+_NM = """every AS (SELECT script_id, canonical_name AS name, character_id, pos, 1 AS kind FROM fx_people UNION ALL SELECT script_id, unnest(aliases), character_id, pos, 0 FROM fx_people),
+ nm AS (SELECT script_id, name, coalesce(arg_max(character_id, pos) FILTER (kind = 1), arg_min(character_id, pos)) AS character_id, min(pos) AS pos FROM every WHERE name IS NOT NULL GROUP BY 1, 2)"""
 _STRIP = "regexp_replace(speaker, '^(.+?)(" + "|".join(names.HONORIFICS) + ")$', '\\1')"
 
 
@@ -529,21 +532,21 @@ _STRIP = "regexp_replace(speaker, '^(.+?)(" + "|".join(names.HONORIFICS) + ")$',
    WHEN plain <> speaker AND (contains(canonical_name, plain) OR contains(plain, canonical_name)) THEN 3 WHEN length(speaker) >= 2 AND length(canonical_name) >= 2 AND (contains(canonical_name, speaker) OR contains(speaker, canonical_name)) THEN 4 END AS level FROM l JOIN fx_people p USING (script_id))
  SELECT line_id, character_id, level FROM c WHERE level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY level, pos) = 1""")
 def speaker_link(spark, sf_dir):
-    return linking.speakers(fx.DIALOGUES.df(spark), fx.PEOPLE.df(spark))
+    return linking.speakers(fx.DIALOGUES.df(spark, sf_dir), fx.PEOPLE.df(spark, sf_dir))
 
 
-@query(f"""{_FX}, nm AS (SELECT canonical_name AS name, character_id, pos FROM fx_people UNION ALL SELECT unnest(aliases), character_id, pos FROM fx_people),
- c AS (SELECT d.line_id, n.character_id, CASE WHEN n.name = d.speaker THEN 0 ELSE 1 END AS level, n.pos, n.name FROM fx_dialogues d JOIN nm n ON trim(d.speaker) <> '' AND (contains(n.name, d.speaker) OR contains(d.speaker, n.name))),
+@query(f"""{_FX}, {_NM},
+ c AS (SELECT d.line_id, n.character_id, CASE WHEN n.name = d.speaker THEN 0 ELSE 1 END AS level, n.pos, n.name FROM fx_dialogues d JOIN nm n ON n.script_id = d.script_id AND trim(d.speaker) <> '' AND (contains(n.name, d.speaker) OR contains(d.speaker, n.name))),
  b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY level, pos, name) = 1)
  SELECT d.line_id, d.source, b.character_id FROM fx_dialogues d LEFT JOIN b USING (line_id)""")
 def dialogue_link(spark, sf_dir):
-    return linking.linked_lines(fx.DIALOGUES.df(spark), fx.PEOPLE.df(spark)).select("line_id", "source", "character_id")
+    return linking.linked_lines(fx.DIALOGUES.df(spark, sf_dir), fx.PEOPLE.df(spark, sf_dir)).select("line_id", "source", "character_id")
 
 
 @query(f"""{_FX}, c AS (SELECT a.action_id, p.character_id, p.pos, CASE WHEN contains(a.description, canonical_name) THEN 1 WHEN len(list_filter(aliases, lambda x: contains(a.description, x))) > 0 THEN 2 END AS level FROM fx_actions a JOIN fx_people p USING (script_id) WHERE a.character_id IS NULL)
  SELECT action_id, character_id FROM fx_actions WHERE character_id IS NOT NULL UNION ALL SELECT action_id, character_id FROM (SELECT * FROM c WHERE level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY action_id ORDER BY level, pos) = 1)""")
 def action_link(spark, sf_dir):
-    return linking.performers(fx.ACTIONS.df(spark), fx.PEOPLE.df(spark))
+    return linking.performers(fx.ACTIONS.df(spark, sf_dir), fx.PEOPLE.df(spark, sf_dir))
 
 
 _CAST = f"WITH p AS ({story.CAST.sql()})"
@@ -602,58 +605,59 @@ def turn_links(spark, sf_dir):
     return linking.linked_lines(story.SAID.df(spark, sf_dir), story.CAST.df(spark, sf_dir)).select("line_id", "source", "character_id")
 
 
-@query(f"""{_FX}, h AS (SELECT DISTINCT s.scene_id, p.pos, p.character_id FROM fx_scenes s JOIN fx_chapters c ON list_contains(s.chapter_ids, c.chapter_id) JOIN fx_people p ON contains(c.content, p.canonical_name) OR len(list_filter(aliases, lambda x: contains(c.content, x))) > 0)
+@query(f"""{_FX}, h AS (SELECT DISTINCT s.scene_id, p.pos, p.character_id FROM fx_scenes s JOIN fx_chapters c ON list_contains(s.chapter_ids, c.chapter_id) JOIN fx_people p ON p.script_id = s.script_id AND (contains(c.content, p.canonical_name) OR len(list_filter(aliases, lambda x: contains(c.content, x))) > 0))
  SELECT scene_id, list(character_id ORDER BY pos) AS character_ids FROM h GROUP BY scene_id""")
 def scene_people(spark, sf_dir):
-    return linking.scene_people(fx.SCENES.df(spark), fx.CHAPTERS.df(spark), fx.PEOPLE.df(spark))
+    return linking.scene_people(fx.SCENES.df(spark, sf_dir), fx.CHAPTERS.df(spark, sf_dir), fx.PEOPLE.df(spark, sf_dir))
 
 
-@query(f"""{_FX}, k AS (SELECT d.scene_id, p.character_id, d.sequence AS o, 0 AS g FROM fx_dialogues d JOIN fx_people p ON d.speaker = p.canonical_name OR list_contains(p.aliases, d.speaker)
+@query(f"""{_FX}, {_NM}, k AS (SELECT d.scene_id, n.character_id, d.sequence AS o, 0 AS g FROM fx_dialogues d JOIN nm n ON n.script_id = d.script_id AND n.name = d.speaker
   UNION ALL SELECT scene_id, character_id, sequence, 1 FROM fx_actions WHERE character_id IS NOT NULL
-  UNION ALL SELECT s.scene_id, p.character_id, p.pos, 2 FROM fx_scenes s JOIN fx_people p ON contains(concat_ws(' ', summary, location), canonical_name)),
- f AS (SELECT scene_id, character_id, min(g * 1000 + o) AS o FROM k GROUP BY 1, 2) SELECT scene_id, list(character_id ORDER BY o) AS character_ids FROM f GROUP BY scene_id""")
+  UNION ALL SELECT s.scene_id, p.character_id, p.pos, 2 FROM fx_scenes s JOIN fx_people p ON p.script_id = s.script_id AND contains(concat_ws(' ', summary, location), canonical_name)),
+ f AS (SELECT scene_id, character_id, min(g * 1000000 + o) AS o FROM k GROUP BY 1, 2) SELECT scene_id, list(character_id ORDER BY o, character_id) AS character_ids FROM f GROUP BY scene_id""")
 def scene_presence(spark, sf_dir):
-    people = fx.PEOPLE.df(spark)
-    lines = fx.DIALOGUES.df(spark).drop("character_id").join(linking.names(people).select("script_id", F.col("name").alias("speaker"), "character_id"), ["script_id", "speaker"])
-    return linking.presence(fx.SCENES.df(spark), lines, fx.ACTIONS.df(spark), people)
+    people = fx.PEOPLE.df(spark, sf_dir)
+    lines = fx.DIALOGUES.df(spark, sf_dir).drop("character_id").join(linking.names(people).select("script_id", F.col("name").alias("speaker"), "character_id"), ["script_id", "speaker"])
+    return linking.presence(fx.SCENES.df(spark, sf_dir), lines, fx.ACTIONS.df(spark, sf_dir), people)
 
 
-@query(f"""{_FX}, o AS (SELECT scene_id, c AS character_id FROM (SELECT scene_id, unnest(character_ids) AS c FROM fx_scenes) WHERE c IN (SELECT character_id FROM fx_people))
- SELECT * FROM o UNION ALL SELECT s.scene_id, p.character_id FROM fx_scenes s, fx_people p WHERE s.scene_id NOT IN (SELECT scene_id FROM o)""")
+@query(f"""{_FX}, o AS (SELECT s.scene_id, p.character_id FROM (SELECT script_id, scene_id, unnest(character_ids) AS c FROM fx_scenes) s JOIN fx_people p ON p.script_id = s.script_id AND p.character_id = s.c)
+ SELECT * FROM o UNION ALL SELECT s.scene_id, p.character_id FROM fx_scenes s JOIN fx_people p USING (script_id) WHERE s.scene_id NOT IN (SELECT scene_id FROM o)""")
 def people_or_all(spark, sf_dir):
-    return linking.people_or_all(fx.SCENES.df(spark), fx.PEOPLE.df(spark))
+    return linking.people_or_all(fx.SCENES.df(spark, sf_dir), fx.PEOPLE.df(spark, sf_dir))
 
 
 @query(f"""{_FX} SELECT s.scene_id, e.event_id FROM fx_scenes s JOIN fx_events e USING (script_id) WHERE len(s.chapter_ids) = 0 OR list_has_any(s.chapter_ids, e.chapter_ids)""")
 def scene_events(spark, sf_dir):
-    return linking.scene_events(fx.SCENES.df(spark), fx.EVENTS.df(spark))
+    return linking.scene_events(fx.SCENES.df(spark, sf_dir), fx.EVENTS.df(spark, sf_dir))
 
 
-@query(f"""{_FX}, p AS (SELECT event_id, i, participants[i] AS name FROM (SELECT event_id, participants, unnest(range(1, len(participants) + 1)) AS i FROM fx_events WHERE script_id = 1)),
- h AS (SELECT event_id, character_id, min(i) AS i FROM p JOIN fx_people c ON p.name = c.canonical_name OR list_contains(c.aliases, p.name) GROUP BY 1, 2) SELECT event_id, list(character_id ORDER BY i) AS character_ids FROM h GROUP BY 1""")
+@query(f"""{_FX}, {_NM}, p AS (SELECT script_id, event_id, i, participants[i] AS name FROM (SELECT script_id, event_id, participants, unnest(range(1, len(participants) + 1)) AS i FROM fx_events)),
+ h AS (SELECT event_id, character_id, min(i) AS i FROM p JOIN nm USING (script_id, name) GROUP BY 1, 2) SELECT event_id, list(character_id ORDER BY i) AS character_ids FROM h GROUP BY 1""")
 def event_participants(spark, sf_dir):
-    return linking.participants(fx.EVENTS.df(spark), fx.PEOPLE.df(spark))
+    return linking.participants(fx.EVENTS.df(spark, sf_dir), fx.PEOPLE.df(spark, sf_dir))
 
 
-@query(f"""{_FX}, r AS (SELECT p.pos, p.character_id AS a, t.character_id AS b, p.i, p.rel, t.pos AS tpos FROM (SELECT pos, character_id, i, relationships[i].target AS tg, relationships[i].relation AS rel FROM (SELECT *, unnest(range(1, len(relationships) + 1)) AS i FROM fx_people)) p JOIN fx_people t ON t.canonical_name = p.tg OR list_contains(t.aliases, p.tg))
- SELECT CAST(1 AS BIGINT) AS script_id, least(a, b) AS low, greatest(a, b) AS high, rel AS relation FROM r QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY pos, i) = 1""")
+@query(f"""{_FX}, told AS (SELECT script_id, pos, character_id AS a, i, relationships[i].target AS tg, relationships[i].relation AS rel FROM (SELECT *, unnest(range(1, len(relationships) + 1)) AS i FROM fx_people)),
+ r AS (SELECT p.script_id, p.pos, p.i, p.a, t.character_id AS b, p.rel FROM told p JOIN fx_people t ON t.script_id = p.script_id AND (t.canonical_name = p.tg OR list_contains(t.aliases, p.tg)) WHERE tg <> '' AND rel <> '' QUALIFY row_number() OVER (PARTITION BY p.script_id, p.pos, p.i ORDER BY t.pos) = 1)
+ SELECT script_id, least(a, b) AS low, greatest(a, b) AS high, rel AS relation FROM r QUALIFY row_number() OVER (PARTITION BY script_id, least(a, b), greatest(a, b) ORDER BY pos, i) = 1""")
 def relationship_edges(spark, sf_dir):
-    return linking.relationship_edges(fx.PEOPLE.df(spark))
+    return linking.relationship_edges(fx.PEOPLE.df(spark, sf_dir))
 
 
-@query(f"{_FX} SELECT script_id, character_id, round(200 + 150 * cos(2 * pi() * pos / 5 - pi() / 2), 6) + 0.0 AS x, round(200 + 150 * sin(2 * pi() * pos / 5 - pi() / 2), 6) AS y FROM fx_people")
+@query(f"{_FX} SELECT script_id, character_id, round(200 + 150 * cos(2 * pi() * pos / n - pi() / 2), 6) + 0.0 AS x, round(200 + 150 * sin(2 * pi() * pos / n - pi() / 2), 6) AS y FROM (SELECT *, count(*) OVER (PARTITION BY script_id) AS n FROM fx_people)")
 def circular_layout(spark, sf_dir):
-    return linking.circular(fx.PEOPLE.df(spark)).select("script_id", "character_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return linking.circular(fx.PEOPLE.df(spark, sf_dir)).select("script_id", "character_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query(f"{_FX} SELECT line_id, CASE WHEN speaker = '林川' OR character_id = 11 THEN '林大川' ELSE speaker END AS speaker FROM fx_dialogues")
 def rename_speaker(spark, sf_dir):
-    return linking.renamed(fx.DIALOGUES.df(spark), 11, "林川", "林大川").select("line_id", "speaker")
+    return linking.renamed(fx.DIALOGUES.df(spark, sf_dir), 11, "林川", "林大川").select("line_id", "speaker")
 
 
 @query(f"{_FX} SELECT d.line_id, d.scene_id FROM fx_dialogues d JOIN fx_scenes s USING (scene_id) WHERE s.script_id = 1")
 def owning_scene(spark, sf_dir):
-    return linking.owning_scene(fx.DIALOGUES.df(spark), fx.SCENES.df(spark), 1).select("line_id", "scene_id")
+    return linking.owning_scene(fx.DIALOGUES.df(spark, sf_dir), fx.SCENES.df(spark, sf_dir), 1).select("line_id", "scene_id")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey + 1000000 END AS o_custkey FROM orders")
@@ -698,7 +702,7 @@ def last_lines(spark, sf_dir):
 @query(f"""{_FX}, p AS (SELECT scene_id, lag(scene_id) OVER (PARTITION BY script_id ORDER BY scene_number, scene_id) AS previous FROM fx_scenes)
  SELECT p.scene_id, d.dialogue_id, CAST(row_number() OVER (PARTITION BY p.scene_id ORDER BY d.sequence DESC) AS INTEGER) AS back FROM p JOIN fx_dialogues d ON d.scene_id = p.previous WHERE previous IS NOT NULL QUALIFY back <= 2""")
 def previous_lines(spark, sf_dir):
-    return scripts.previous_scene_lines(fx.SCENES.df(spark).where("scene_id <> 104"), fx.DIALOGUES.df(spark), 2).select("scene_id", "dialogue_id", "back").unionByName(scripts.previous_scene_lines(fx.SCENES.df(spark).where("scene_id >= 103").withColumn("scene_number", F.col("scene_id")), fx.DIALOGUES.df(spark), 2).select("scene_id", "dialogue_id", "back"))
+    return scripts.previous_scene_lines(fx.SCENES.df(spark, sf_dir), fx.DIALOGUES.df(spark, sf_dir), 2).select("scene_id", "dialogue_id", "back")
 
 
 @query(f"""WITH src AS (SELECT doc_id AS k, text AS t FROM documents), {_LINES}
@@ -723,7 +727,7 @@ def script_assemble(spark, sf_dir):
 
 @query(f"{_FX} SELECT s.script_id, (SELECT count(*) FROM fx_scenes c WHERE c.script_id = s.script_id) AS scene_count, (SELECT count(*) FROM fx_people c WHERE c.script_id = s.script_id) AS character_count, (SELECT count(*) FROM fx_dialogues d JOIN fx_scenes c USING (scene_id) WHERE c.script_id = s.script_id) AS dialogue_count FROM fx_scripts s")
 def script_statistics(spark, sf_dir):
-    return scripts.statistics(fx.SCRIPTS.df(spark), fx.PEOPLE.df(spark), fx.SCENES.df(spark), fx.DIALOGUES.df(spark))
+    return scripts.statistics(fx.SCRIPTS.df(spark, sf_dir), fx.PEOPLE.df(spark, sf_dir), fx.SCENES.df(spark, sf_dir), fx.DIALOGUES.df(spark, sf_dir))
 
 
 @query("""SELECT d.source, CAST(count(*) FILTER (quality = 0) AS BIGINT) AS failed_dialogues, CAST(count(*) FILTER (toxic = 1) AS BIGINT) AS failed_actions, coalesce(list(DISTINCT d.doc_id ORDER BY d.doc_id) FILTER (quality = 0 OR toxic = 1), []) AS failed_scenes,
@@ -738,17 +742,17 @@ def status_rollup(spark, sf_dir):
 @query(f"""{_FX}, m AS (SELECT scene_id, count(*) FILTER (source = 'MANUAL') AS manual FROM fx_dialogues GROUP BY 1)
  SELECT s.scene_id, coalesce(manual, 0) AS manual, CASE WHEN dialogue_status = 'FAILED' THEN CASE WHEN coalesce(manual, 0) > 0 THEN 'patched' ELSE 'open' END ELSE 'none' END AS state FROM fx_scenes s LEFT JOIN m USING (scene_id)""")
 def pending_state(spark, sf_dir):
-    return scripts.pending_state(fx.SCENES.df(spark), fx.DIALOGUES.df(spark), "dialogue")
+    return scripts.pending_state(fx.SCENES.df(spark, sf_dir), fx.DIALOGUES.df(spark, sf_dir), "dialogue")
 
 
 @query(f"{_FX} SELECT script_id FROM fx_scripts WHERE status IN ('COMPLETED', 'COMPLETED_WITH_WARNINGS')")
 def exportable(spark, sf_dir):
-    return scripts.exportable(fx.SCRIPTS.df(spark)).select("script_id")
+    return scripts.exportable(fx.SCRIPTS.df(spark, sf_dir)).select("script_id")
 
 
 @query(f"{_FX} SELECT count(*) FILTER (source = 'AI') * 100.0::DOUBLE / count(*) AS ai_share, count(*)::DOUBLE / count(DISTINCT scene_id) AS lines_a_scene FROM fx_dialogues")
 def dialogue_quality(spark, sf_dir):
-    return scripts.quality(fx.DIALOGUES.df(spark))
+    return scripts.quality(fx.DIALOGUES.df(spark, sf_dir))
 
 
 @query("SELECT n_nationkey FROM nation WHERE n_regionkey = 2")
@@ -760,7 +764,7 @@ def insertion_slots(spark, sf_dir):
 @query(f"""{_FX}, b AS (SELECT *, lag(location) OVER w AS pl, lag(time_of_day) OVER w AS pt, lag(character_ids) OVER w AS pi, row_number() OVER w AS n FROM fx_scenes WHERE scene_id <> 104 WINDOW w AS (PARTITION BY script_id ORDER BY scene_number))
  SELECT scene_id, CASE WHEN n = 1 THEN source_reason WHEN location <> pl THEN 'LOCATION' WHEN time_of_day IS DISTINCT FROM pt THEN 'TIME' WHEN len(list_intersect(character_ids, pi)) / greatest(len(character_ids), len(pi)) < 0.5 THEN 'CHARACTER' ELSE 'CONFLICT' END AS source_reason FROM b""")
 def split_reasons(spark, sf_dir):
-    return scripts.split_reasons(fx.SCENES.df(spark).where("scene_id <> 104"), fx.EVENTS.df(spark)).select("scene_id", "source_reason")
+    return scripts.split_reasons(fx.SCENES.df(spark, sf_dir).where("scene_id <> 104"), fx.EVENTS.df(spark, sf_dir)).select("scene_id", "source_reason")
 
 
 @query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'patched' ELSE n_name END AS n_name, CASE WHEN n_regionkey = 1 THEN 'MANUAL' ELSE 'AI' END AS source FROM nation")
@@ -784,8 +788,8 @@ def replace_group(spark, sf_dir):
 
 # --- checks ------------------------------------------------------------------------------------
 
-_CHECK = f"""{_FX}, pr AS (SELECT canonical_name AS speaker, gender, personality FROM fx_people UNION ALL SELECT unnest(aliases), gender, personality FROM fx_people),
- l AS (SELECT d.scene_id, d.sequence, d.speaker, d.content AS c, d.emotion, p.gender, coalesce(array_to_string(p.personality, ' '), '') AS t FROM fx_dialogues d LEFT JOIN pr p USING (speaker) WHERE trim(d.content) <> ''),
+_CHECK = f"""{_FX}, pr AS (SELECT script_id, speaker, arg_max({{'g': gender, 'p': personality}}, pos * 2 + kind) AS w FROM (SELECT script_id, canonical_name AS speaker, gender, personality, pos, 1 AS kind FROM fx_people UNION ALL SELECT script_id, unnest(aliases), gender, personality, pos, 0 FROM fx_people) GROUP BY 1, 2),
+ l AS (SELECT d.scene_id, d.sequence, d.speaker, d.content AS c, d.emotion, p.w.g AS gender, coalesce(array_to_string(p.w.p, ' '), '') AS t FROM fx_dialogues d LEFT JOIN pr p USING (script_id, speaker) WHERE trim(d.content) <> ''),
  iss AS (
   SELECT scene_id, sequence, speaker, 'ERROR' AS severity, 'GENDER_MISMATCH' AS type, w AS fragment FROM l, (SELECT unnest([{quoted(checks.MALE)}]) AS w) WHERE gender = 'FEMALE' AND contains(c, w)
   UNION ALL SELECT scene_id, sequence, speaker, 'ERROR', 'GENDER_MISMATCH', w FROM l, (SELECT unnest([{quoted(checks.FEMALE)}]) AS w) WHERE gender = 'MALE' AND contains(c, w)
@@ -798,18 +802,18 @@ _CHECK = f"""{_FX}, pr AS (SELECT canonical_name AS speaker, gender, personality
   UNION ALL SELECT scene_id, sequence, speaker, 'WARNING', 'REPETITION', CASE WHEN length(c) > 30 THEN left(c, 30) || '...' ELSE c END FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, regexp_replace(c, '[，。！？：；、"“”''‘’（）—…\\s]', '', 'g') ORDER BY sequence) AS nth FROM l) WHERE nth > 1)"""
 
 
-def _issues(spark):
-    return checks.dialogue_issues(linking.with_profile(fx.DIALOGUES.df(spark), fx.PEOPLE.df(spark)))
+def _issues(spark, sf_dir):
+    return checks.dialogue_issues(linking.with_profile(fx.DIALOGUES.df(spark, sf_dir), fx.PEOPLE.df(spark, sf_dir)))
 
 
 @query(f"{_CHECK} SELECT * FROM iss")
 def dialogue_issues(spark, sf_dir):
-    return _issues(spark)
+    return _issues(spark, sf_dir)
 
 
 @query(f"{_CHECK} SELECT type, count(*) AS n, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings, count(*) FILTER (severity = 'INFO') AS infos FROM iss WHERE severity IN ('ERROR', 'WARNING') GROUP BY type")
 def issue_summary(spark, sf_dir):
-    return checks.issue_summary(checks.actionable(_issues(spark)))
+    return checks.issue_summary(checks.actionable(_issues(spark, sf_dir)))
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE length(regexp_replace(text, '[，。！？：；、\"“”''‘’（）\\[\\]…—\\s]', '', 'g')) > 50")
@@ -822,10 +826,10 @@ def long_lines(spark, sf_dir):
  UNION ALL SELECT script_id, 'scene_without_characters', CAST(scene_id AS VARCHAR) FROM fx_scenes WHERE len(character_ids) = 0 UNION ALL SELECT script_id, 'scene_without_chapters', CAST(scene_id AS VARCHAR) FROM fx_scenes WHERE len(chapter_ids) = 0
  UNION ALL SELECT NULL, 'orphan_dialogue', CAST(dialogue_id AS VARCHAR) FROM fx_dialogues WHERE scene_id NOT IN (SELECT scene_id FROM fx_scenes) UNION ALL SELECT NULL, 'orphan_action', CAST(action_id AS VARCHAR) FROM fx_actions WHERE scene_id NOT IN (SELECT scene_id FROM fx_scenes)
  UNION ALL SELECT script_id, 'duplicate_scene_number', CAST(scene_number AS VARCHAR) FROM fx_scenes GROUP BY script_id, scene_number HAVING count(*) > 1
- UNION ALL SELECT 1, 'missing_scene_number', CAST(g AS VARCHAR) FROM range(1, 5) t(g) WHERE g NOT IN (SELECT scene_number FROM fx_scenes)
- UNION ALL SELECT script_id, 'unknown_scene_character', CAST(c AS VARCHAR) FROM (SELECT script_id, unnest(character_ids) AS c FROM fx_scenes) WHERE c NOT IN (SELECT character_id FROM fx_people)""")
+ UNION ALL SELECT script_id, 'missing_scene_number', CAST(g AS VARCHAR) FROM (SELECT script_id, unnest(range(1, max(scene_number) + 1)) AS g FROM fx_scenes GROUP BY 1) m WHERE NOT EXISTS (SELECT 1 FROM fx_scenes s WHERE s.script_id = m.script_id AND s.scene_number = m.g)
+ UNION ALL SELECT script_id, 'unknown_scene_character', CAST(c AS VARCHAR) FROM (SELECT script_id, unnest(character_ids) AS c FROM fx_scenes) u WHERE NOT EXISTS (SELECT 1 FROM fx_people p WHERE p.script_id = u.script_id AND p.character_id = u.c)""")
 def integrity_report(spark, sf_dir):
-    return checks.integrity(fx.SCENES.df(spark), fx.DIALOGUES.df(spark), fx.ACTIONS.df(spark), fx.PEOPLE.df(spark))
+    return checks.integrity(fx.SCENES.df(spark, sf_dir), fx.DIALOGUES.df(spark, sf_dir), fx.ACTIONS.df(spark, sf_dir), fx.PEOPLE.df(spark, sf_dir))
 
 
 @query("SELECT c_custkey AS row_id, 'c_mktsegment' AS field, 'enum_match' AS rule FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') UNION ALL SELECT c_custkey, 'n', 'notNull' FROM customer WHERE c_nationkey = 4")
@@ -841,34 +845,34 @@ def request_rules(spark, sf_dir):
     return checks.requests(rows).select("p_partkey", "wrong")
 
 
-def _assembled(spark):
-    return scripts.assembled(fx.SCRIPTS.df(spark), fx.PEOPLE.df(spark), fx.SCENES.df(spark), fx.DIALOGUES.df(spark).drop("script_id"), fx.ACTIONS.df(spark).drop("script_id"))
+def _assembled(spark, sf_dir):
+    return scripts.assembled(fx.SCRIPTS.df(spark, sf_dir), fx.PEOPLE.df(spark, sf_dir), fx.SCENES.df(spark, sf_dir), fx.DIALOGUES.df(spark, sf_dir).drop("script_id"), fx.ACTIONS.df(spark, sf_dir).drop("script_id"))
 
 
 @query("SELECT * FROM (VALUES (1::BIGINT, 'scene_sequence'), (2, 'title'), (2, 'characters'), (2, 'scenes')) t(script_id, issue)")
 def export_issues(spark, sf_dir):
-    return checks.export_issues(_assembled(spark))
+    return checks.export_issues(_assembled(spark, sf_dir))
 
 
 @query()
 def export_yaml(spark, sf_dir):
-    return export.yaml(_assembled(spark))
+    return export.yaml(_assembled(spark, sf_dir))
 
 
 @query()
 def export_txt(spark, sf_dir):
-    return export.txt(_assembled(spark))
+    return export.txt(_assembled(spark, sf_dir))
 
 
 @query()
 def export_markdown(spark, sf_dir):
-    return export.markdown(_assembled(spark))
+    return export.markdown(_assembled(spark, sf_dir))
 
 
-@query(f"""{_FX} SELECT scene_id, CASE WHEN interior THEN 'INT' ELSE 'EXT' END || '. ' || location || ' - ' || time_of_day AS header, 'S' || lpad(CAST(scene_number AS VARCHAR), 3, '0') || ' | ' || CASE WHEN interior THEN 'INT' ELSE 'EXT' END || '. ' || location || ' - ' || time_of_day || ' | ' || title || coalesce(' | ' || summary, '') AS line FROM fx_scenes""")
+@query(f"""{_FX} SELECT scene_id, CASE WHEN interior THEN 'INT' ELSE 'EXT' END || '. ' || coalesce(location, '未知地点') || ' - ' || time_of_day AS header, concat_ws(' | ', 'S' || lpad(CAST(scene_number AS VARCHAR), 3, '0'), CASE WHEN interior THEN 'INT' ELSE 'EXT' END || '. ' || coalesce(location, '未知地点') || ' - ' || time_of_day, title, summary) AS line FROM fx_scenes""")
 def storyboard(spark, sf_dir):
     head = text.scene_header(F.col("interior"), F.col("location"), F.col("time_of_day"))
-    return fx.SCENES.df(spark).select("scene_id", head.alias("header"), text.storyboard_line(F.col("scene_number"), head, F.col("title"), F.col("summary")).alias("line"))
+    return fx.SCENES.df(spark, sf_dir).select("scene_id", head.alias("header"), text.storyboard_line(F.col("scene_number"), head, F.col("title"), F.col("summary")).alias("line"))
 
 
 @query(r"""SELECT o_orderkey, rpad(upper(o_orderpriority), CAST(greatest(length(o_orderpriority), 15) AS INTEGER), ' ') || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE chr(10) || repeat(' ', 15) || o_orderpriority END || chr(10) || repeat(' ', 15) || o_orderstatus AS said,
@@ -897,7 +901,7 @@ def headings(spark, sf_dir):
  a AS (SELECT scene_id, arg_min(t, chapter_number) AS t FROM (SELECT scene_id, unnest(chapter_ids) AS chapter_id FROM fx_scenes) JOIN told USING (chapter_id) WHERE t <> 'UNKNOWN' GROUP BY 1)
  SELECT scene_id, coalesce(a.t, CASE WHEN summary IS NULL THEN 'UNKNOWN' ELSE {case('summary', rules.TIME_CONTENT, "'UNKNOWN'")} END) AS time_of_day FROM fx_scenes LEFT JOIN a USING (scene_id)""")
 def scene_time(spark, sf_dir):
-    return linking.scene_time(fx.SCENES.df(spark), fx.CHAPTERS.df(spark))
+    return linking.scene_time(fx.SCENES.df(spark, sf_dir), fx.CHAPTERS.df(spark, sf_dir))
 
 
 _SCENE_TEXT = "(coalesce(t, '') || coalesce(' ' || summary, '') || coalesce(' ' || location, ''))"
@@ -906,7 +910,7 @@ _SCENE_TEXT = "(coalesce(t, '') || coalesce(' ' || summary, '') || coalesce(' '
 @query(f"""WITH {duck('scenes', 'chapters')}, a AS (SELECT scene_id, string_agg(content, '' ORDER BY chapter_number) AS t FROM (SELECT scene_id, unnest(chapter_ids) AS chapter_id FROM fx_scenes) JOIN fx_chapters USING (chapter_id) GROUP BY 1)
  SELECT scene_id, {_hits(_SCENE_TEXT, rules.INTERIOR)} + 2 * {_hits("coalesce(location, '')", rules.INTERIOR)} >= {_hits(_SCENE_TEXT, rules.EXTERIOR)} + 2 * {_hits("coalesce(location, '')", rules.EXTERIOR)} AS interior FROM fx_scenes LEFT JOIN a USING (scene_id)""")
 def scene_interior(spark, sf_dir):
-    return linking.scene_interior(fx.SCENES.df(spark), fx.CHAPTERS.df(spark))
+    return linking.scene_interior(fx.SCENES.df(spark, sf_dir), fx.CHAPTERS.df(spark, sf_dir))
 
 
 # --- events ------------------------------------------------------------------------------------
@@ -929,22 +933,22 @@ def timeline_stage(spark, sf_dir):
 
 @query(f"{_EV}, {_stage_sql('fx_events')} SELECT script_id, stage, count(*) AS n FROM st GROUP BY 1, 2")
 def stage_counts(spark, sf_dir):
-    return events.stage_counts(fx.EVENTS.df(spark))
+    return events.stage_counts(fx.EVENTS.df(spark, sf_dir))
 
 
 @query(f"""{_EV}, m AS (SELECT script_id, conflict_type, count(*) AS n FROM fx_events WHERE conflict_type IS NOT NULL GROUP BY 1, 2),
  c AS (SELECT script_id, count(DISTINCT x) AS chapters FROM (SELECT script_id, unnest(chapter_ids) AS x FROM fx_events) GROUP BY 1)
- SELECT e.script_id, count(*) AS events, count(*) FILTER (importance >= 4) AS critical, any_value(chapters) AS chapters, arg_max(title, importance * 100000 + CASE WHEN regexp_matches(coalesce(emotional_arc, ''), '[↑↗]') THEN 10000 ELSE 0 END + event_order) AS climax,
+ SELECT e.script_id, count(*) AS events, count(*) FILTER (importance >= 4) AS critical, any_value(chapters) AS chapters, arg_max_null(title, importance::BIGINT * 2000000000000 + CASE WHEN regexp_matches(coalesce(emotional_arc, ''), '[↑↗]') THEN 1000000000000 ELSE 0 END + event_order) AS climax,
  (SELECT conflict_type FROM m WHERE m.script_id = e.script_id ORDER BY n DESC, conflict_type LIMIT 1) AS dominant_conflict FROM fx_events e JOIN c USING (script_id) GROUP BY e.script_id""")
 def timeline_summary(spark, sf_dir):
-    return events.summary(fx.EVENTS.df(spark))
+    return events.summary(fx.EVENTS.df(spark, sf_dir))
 
 
 @query(f"""{_EV}, t AS (SELECT *, regexp_replace(title, '\\s+', '', 'g') AS x FROM fx_events)
  SELECT a.script_id, a.event_order AS a, b.event_order AS b FROM t a JOIN t b ON a.script_id = b.script_id AND a.event_order < b.event_order WHERE a.title = b.title OR contains(a.x, b.x) OR contains(b.x, a.x)
  OR len(list_intersect(list_distinct(string_split(a.x, '')), list_distinct(string_split(b.x, '')))) / len(list_distinct(list_concat(string_split(a.x, ''), string_split(b.x, '')))) > 0.7 OR coalesce(a.location = b.location AND a.time_point = b.time_point, false)""")
 def event_pairs(spark, sf_dir):
-    return events.same_pairs(fx.EVENTS.df(spark))
+    return events.same_pairs(fx.EVENTS.df(spark, sf_dir))
 
 
 _PLOT = f"""WITH e AS ({story.PLOT.sql()}), t AS (SELECT *, regexp_replace(title, '\\s+', '', 'g') AS x FROM e)"""
@@ -984,7 +988,7 @@ def plot_merged(spark, sf_dir):
 
 @query()
 def event_merge(spark, sf_dir):
-    return events.merged(fx.EVENTS.df(spark))
+    return events.merged(fx.EVENTS.df(spark, sf_dir))
 
 
 @query("""SELECT event_id, coalesce(value >= 50, false) AS critical, coalesce(value <= 20, false) AS minor, event_type = 'click' AS rising, event_type = 'view' AS falling, user_id % 3 = 2 AS crossing FROM events""")
@@ -1006,27 +1010,27 @@ _SAID = lambda pattern: f"unnest(list_zip(regexp_extract_all(summary, {quoted([p
  k AS (SELECT scene_id, nth, said, arg_min(canonical_name, pos) AS speaker FROM m JOIN fx_people ON contains(canonical_name, who) OR contains(who, canonical_name) WHERE length(who) > 1 AND who NOT IN ({quoted(extract.NOBODY)}) GROUP BY 1, 2, 3)
  SELECT scene_id, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY nth) AS INTEGER) AS sequence, speaker, said AS content FROM k""")
 def speech_matched(spark, sf_dir):
-    return extract.matched_lines(fx.SCENES.df(spark), fx.PEOPLE.df(spark)).select("scene_id", "sequence", "speaker", "content")
+    return extract.matched_lines(fx.SCENES.df(spark, sf_dir), fx.PEOPLE.df(spark, sf_dir)).select("scene_id", "sequence", "speaker", "content")
 
 
-@query(f"""WITH {duck('scenes', 'people')}, q AS (SELECT scene_id, unnest(regexp_extract_all(summary || '「好的」', {quoted([extract.QUOTED])}, 1)) AS c, unnest(range(1, len(regexp_extract_all(summary || '「好的」', {quoted([extract.QUOTED])}, 1)) + 1)) AS n FROM fx_scenes WHERE summary IS NOT NULL)
- SELECT scene_id, CAST(n AS INTEGER) AS sequence, (SELECT canonical_name FROM fx_people ORDER BY pos LIMIT 1) AS speaker, trim(c) AS content FROM q WHERE n <= {extract.MOST}""")
+@query(f"""WITH {duck('scenes', 'people')}, q AS (SELECT script_id, scene_id, unnest(regexp_extract_all(summary || '「好的」', {quoted([extract.QUOTED])}, 1)) AS c, unnest(range(1, len(regexp_extract_all(summary || '「好的」', {quoted([extract.QUOTED])}, 1)) + 1)) AS n FROM fx_scenes WHERE summary IS NOT NULL)
+ SELECT scene_id, CAST(n AS INTEGER) AS sequence, (SELECT canonical_name FROM fx_people p WHERE p.script_id = q.script_id ORDER BY pos LIMIT 1) AS speaker, trim(c) AS content FROM q WHERE n <= {extract.MOST}""")
 def speech_quoted(spark, sf_dir):
-    scenes = fx.SCENES.df(spark).withColumn("summary", F.concat("summary", F.lit("「好的」")))
-    return extract.quoted_lines(scenes, fx.PEOPLE.df(spark)).select("scene_id", "sequence", "speaker", "content")
+    scenes = fx.SCENES.df(spark, sf_dir).withColumn("summary", F.concat("summary", F.lit("「好的」")))
+    return extract.quoted_lines(scenes, fx.PEOPLE.df(spark, sf_dir)).select("scene_id", "sequence", "speaker", "content")
 
 
 @query()
 def speech_extract(spark, sf_dir):
-    scenes = fx.SCENES.df(spark)
-    people = fx.PEOPLE.df(spark)
+    scenes = fx.SCENES.df(spark, sf_dir)
+    people = fx.PEOPLE.df(spark, sf_dir)
     known = extract.matched_lines(scenes, people).select("scene_id", "sequence", "speaker", "content")
     return known.unionByName(extract.with_speakers(extract.narrated_lines(scenes), people).select("scene_id", "sequence", "speaker", "content"))
 
 
 @query("""SELECT * FROM (VALUES (101::BIGINT, 1, '林川', 'ACTION', '林川握紧拳头，指节发白', 1500), (101, 2, '李雪', 'REACTION', '李雪猛地回头，瞳孔微缩', 800), (101, 3, NULL, 'BEAT', '一阵沉默笼罩了房间', 2000), (102, 1, NULL, 'BEAT', '他愣住了', 1500), (102, 3, NULL, 'BUSINESS', '窗外有风', NULL), (103, 7, NULL, 'ACTION', 'a ] b { " c', 1500)) t(scene_id, sequence, name, action_type, description, duration_ms)""")
 def json_decode(spark, sf_dir):
-    return extract.actions(fx.RESPONSES.df(spark))
+    return extract.actions(fixtures.RESPONSES.df(spark))
 
 
 def _outlines(spark, sf_dir):
@@ -1048,8 +1052,8 @@ def script_outline(spark, sf_dir):
 
 @query(f"""WITH {duck('scenes')} SELECT scene_id, CASE scene_id WHEN 101 THEN 'AI' WHEN 102 THEN 'AI' WHEN 103 THEN 'AI' END AS source, CASE WHEN scene_id = 104 THEN 'FAILED' ELSE 'COMPLETED' END AS action_status FROM fx_scenes""")
 def content_fallback(spark, sf_dir):
-    scenes = fx.SCENES.df(spark)
-    return extract.with_fallback(scenes, extract.actions(fx.RESPONSES.df(spark)), extract.narrated_lines(scenes), "action")
+    scenes = fx.SCENES.df(spark, sf_dir)
+    return extract.with_fallback(scenes, extract.actions(fixtures.RESPONSES.df(spark)), extract.narrated_lines(scenes), "action")
 
 
 # --- flow --------------------------------------------------------------------------------------
@@ -1093,16 +1097,16 @@ def progress_pct(spark, sf_dir):
 _GRAPH = f"WITH RECURSIVE {duck('steps')}"
 
 
-@query(f"{_GRAPH}, w(step, wave) AS (SELECT 'a', 1 UNION SELECT s.step, w.wave + 1 FROM fx_steps s JOIN w ON s.dep = w.step) SELECT step, max(wave) AS wave FROM w GROUP BY step")
+@query(f"{_GRAPH}, w(step, wave) AS (SELECT 's0', 1 UNION SELECT s.step, w.wave + 1 FROM fx_steps s JOIN w ON s.dep = w.step) SELECT step, max(wave) AS wave FROM w GROUP BY step")
 def wave_number(spark, sf_dir):
-    edges = fx.STEPS.df(spark)
+    edges = fx.STEPS.df(spark, sf_dir)
     steps = edges.select("step").unionByName(edges.select(F.col("dep").alias("step"))).distinct()
     return flow.waves(edges, steps)
 
 
-@query(f"{_GRAPH}, g(step) AS (SELECT step FROM fx_steps WHERE dep = 'd' UNION SELECT s.step FROM fx_steps s JOIN g ON s.dep = g.step) SELECT step FROM g")
+@query(f"{_GRAPH}, g(step) AS (SELECT step FROM fx_steps WHERE dep = 's1' UNION SELECT s.step FROM fx_steps s JOIN g ON s.dep = g.step) SELECT step FROM g")
 def skip_propagation(spark, sf_dir):
-    return flow.skipped(fx.STEPS.df(spark), spark.createDataFrame([("d",)], "step string"))
+    return flow.skipped(fx.STEPS.df(spark, sf_dir), spark.createDataFrame([("s1",)], "step string"))
 
 
 @query("SELECT user_id AS run_id, max(value) AS progress FROM events GROUP BY 1")
