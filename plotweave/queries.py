@@ -470,14 +470,23 @@ def same_person(spark, sf_dir):
     return fx.PAIRS.df(spark, sf_dir).select("id", names.base_name(a).alias("base_a"), names.base_name(b).alias("base_b"), names.same_person(a, b).alias("same"))
 
 
-_RESOLVE = fixtures.Fixture("script_id bigint, pos int, name string, description string, aliases array<string>, personality array<string>, relationships array<struct<target:string,relation:string>>", [
-    (1, 0, "林川", "大学生穿越者", ["小林"], ["冷静"], []), (1, 1, "川哥", "大家都这样叫他，年轻有为，很有威望的人", [], [], []), (1, 2, "小川", None, ["川儿"], [], []), (1, 3, "李雪", "女孩", [], [], []), (1, 4, "王磊", None, [], [], []), (1, 5, "平静地说", None, [], [], []), (2, 0, "林川", "另一部书里的人", [], [], []),
-])
+def _sql_of(f) -> str:
+    return ORACLES[f.__name__]
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, '川哥', ['林川', '小林', '小川', '川儿'], 3), (1, '李雪', CAST([] AS VARCHAR[]), 1), (1, '王磊', CAST([] AS VARCHAR[]), 1), (2, '林川', CAST([] AS VARCHAR[]), 1)) t(script_id, canonical_name, aliases, merged)")
+_REASON = _sql_of(name_noise).split("SELECT pos, ", 1)[1].split(" AS reason FROM ns")[0]
+_SAME_NAME = _sql_of(same_person).split("SELECT id, x AS base_a, y AS base_b, ", 1)[1].rsplit(" AS same FROM pc", 1)[0]
+
+
+@query(f"""WITH RECURSIVE {duck('people')}, fx_names AS (SELECT * FROM fx_people), {_NAME}, kept AS (SELECT * FROM (SELECT *, {_REASON} AS reason FROM ns) WHERE reason IS NULL),
+ fx_pairs AS (SELECT a.script_id, a.pos AS pa, b.pos AS pb, a.n AS a, b.n AS b FROM kept a JOIN kept b ON a.script_id = b.script_id AND a.pos < b.pos), {_SAME}, one AS (SELECT script_id, pa, pb FROM (SELECT *, {_SAME_NAME} AS same FROM pc) WHERE same),
+ link AS (SELECT * FROM one UNION SELECT script_id, pb, pa FROM one), reach(script_id, pos, root) AS (SELECT script_id, pos, pos FROM kept UNION SELECT l.script_id, l.pb, r.root FROM reach r JOIN link l ON l.script_id = r.script_id AND l.pa = r.pos AND r.root < l.pb),
+ root AS (SELECT script_id, pos, min(root) AS root FROM reach GROUP BY 1, 2),
+ said AS (SELECT k.*, root.root, row_number() OVER (PARTITION BY k.script_id, root.root ORDER BY coalesce(length(k.description), 0) + 10 * len(k.personality) + 5 * len(k.relationships) DESC, k.pos DESC) AS nth FROM kept k JOIN root USING (script_id, pos))
+ SELECT script_id, min(name) FILTER (nth = 1) AS canonical_name, count(*)::INTEGER AS merged FROM said GROUP BY script_id, root""")
 def entity_resolve(spark, sf_dir):
-    return entities.resolve(_RESOLVE.df(spark)).drop("root")
+    """Everyone of each script, names that are one person's merged."""
+    return entities.resolve(fx.PEOPLE.df(spark, sf_dir)).select("script_id", "canonical_name", "merged")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey + 5 AS b FROM nation WHERE n_nationkey < 15 AND n_nationkey % 7 <> 3),
@@ -849,7 +858,9 @@ def _assembled(spark, sf_dir):
     return scripts.assembled(fx.SCRIPTS.df(spark, sf_dir), fx.PEOPLE.df(spark, sf_dir), fx.SCENES.df(spark, sf_dir), fx.DIALOGUES.df(spark, sf_dir).drop("script_id"), fx.ACTIONS.df(spark, sf_dir).drop("script_id"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'scene_sequence'), (2, 'title'), (2, 'characters'), (2, 'scenes')) t(script_id, issue)")
+@query(f"""{_FX}, n AS (SELECT s.script_id, s.title, (SELECT count(*) FROM fx_people p WHERE p.script_id = s.script_id) AS people, (SELECT count(*) FROM fx_scenes c WHERE c.script_id = s.script_id) AS scenes FROM fx_scripts s)
+ SELECT script_id, 'title' AS issue FROM n WHERE coalesce(trim(title), '') = '' UNION ALL SELECT script_id, 'characters' FROM n WHERE people = 0 UNION ALL SELECT script_id, 'scenes' FROM n WHERE scenes = 0
+ UNION ALL SELECT script_id, 'scene_location' FROM fx_scenes WHERE location IS NULL UNION ALL SELECT script_id, 'scene_sequence' FROM fx_scenes c WHERE scene_id NOT IN (SELECT scene_id FROM fx_dialogues) AND scene_id NOT IN (SELECT scene_id FROM fx_actions)""")
 def export_issues(spark, sf_dir):
     return checks.export_issues(_assembled(spark, sf_dir))
 
@@ -1028,9 +1039,11 @@ def speech_extract(spark, sf_dir):
     return known.unionByName(extract.with_speakers(extract.narrated_lines(scenes), people).select("scene_id", "sequence", "speaker", "content"))
 
 
-@query("""SELECT * FROM (VALUES (101::BIGINT, 1, '林川', 'ACTION', '林川握紧拳头，指节发白', 1500), (101, 2, '李雪', 'REACTION', '李雪猛地回头，瞳孔微缩', 800), (101, 3, NULL, 'BEAT', '一阵沉默笼罩了房间', 2000), (102, 1, NULL, 'BEAT', '他愣住了', 1500), (102, 3, NULL, 'BUSINESS', '窗外有风', NULL), (103, 7, NULL, 'ACTION', 'a ] b { " c', 1500)) t(scene_id, sequence, name, action_type, description, duration_ms)""")
+@query(f"""WITH r AS ({story.RESPONDED}) SELECT scene_id, sequence, who AS name, coalesce(kind, {case('description', rules.ACTION_RULES, "'ACTION'")}) AS action_type, description, ms AS duration_ms FROM (SELECT *, CASE WHEN scene_id % 9 = 0 AND sequence = 2 THEN 'REACTION' END AS given FROM r) x WHERE given IS NULL
+ UNION ALL SELECT scene_id, sequence, who, 'REACTION', description, ms FROM r WHERE scene_id % 9 = 0 AND sequence = 2""")
 def json_decode(spark, sf_dir):
-    return extract.actions(fixtures.RESPONSES.df(spark))
+    """Actions of completions, one for each scene, whole or broken."""
+    return extract.actions(fx.RESPONSES.df(spark, sf_dir))
 
 
 def _outlines(spark, sf_dir):
@@ -1050,10 +1063,20 @@ def script_outline(spark, sf_dir):
     return scripts.select("script_id", "title").join(told, "script_id").join(outline.people(scripts).select("script_id", F.col("canonical_name").alias("speaker"), "role_type"), ["script_id", "speaker"])
 
 
-@query(f"""WITH {duck('scenes')} SELECT scene_id, CASE scene_id WHEN 101 THEN 'AI' WHEN 102 THEN 'AI' WHEN 103 THEN 'AI' END AS source, CASE WHEN scene_id = 104 THEN 'FAILED' ELSE 'COMPLETED' END AS action_status FROM fx_scenes""")
+@query(f"""WITH r AS ({story.RESPONDED}), {duck('scenes')}, m AS (SELECT scene_id FROM fx_scenes WHERE summary IS NOT NULL AND len(regexp_extract_all(summary, {quoted([extract.SPEECH])})) > 0)
+ SELECT scene_id, CASE WHEN scene_id IN (SELECT scene_id FROM r) THEN 'AI' WHEN scene_id IN (SELECT scene_id FROM m) THEN 'REGEX' END AS source, CASE WHEN scene_id IN (SELECT scene_id FROM r) OR scene_id IN (SELECT scene_id FROM m) THEN 'COMPLETED' ELSE 'FAILED' END AS dialogue_status FROM fx_scenes""")
 def content_fallback(spark, sf_dir):
-    scenes = fx.SCENES.df(spark, sf_dir)
-    return extract.with_fallback(scenes, extract.actions(fixtures.RESPONSES.df(spark)), extract.narrated_lines(scenes), "action")
+    """Where the rows of a scene come from: its completion, else lines that its summary tells, else nowhere."""
+    scenes, people = fx.SCENES.df(spark, sf_dir), fx.PEOPLE.df(spark, sf_dir)
+    return extract.with_fallback(scenes, extract.actions(fx.RESPONSES.df(spark, sf_dir)), extract.matched_lines(scenes, people), "dialogue")
+
+
+@query(f"""SELECT o_custkey AS script_id, k AS event_order, name || '的决定' AS title, o_orderpriority AS description, o_orderstatus AS location, CAST(greatest(1, least(5, o_orderkey % 9 - 2)) AS INTEGER) AS importance, [name, other] AS participants,
+ CASE WHEN o_orderkey % 6 = 0 THEN [7, 8, 9]::BIGINT[] ELSE [k, k + 2]::BIGINT[] END AS chapter_ids FROM {story.PEOPLE_TOLD} p WHERE o_orderkey % 10 <> 9""")
+def completion_events(spark, sf_dir):
+    """Events of completions: synonyms of fields, importances held within bounds, all chapters where none are told."""
+    every = F.array(*(F.lit(k).cast("bigint") for k in (7, 8, 9)))
+    return extract.events(fx.TOLD.df(spark, sf_dir), every).select("script_id", "event_order", "title", "description", "location", "importance", "participants", "chapter_ids")
 
 
 # --- flow --------------------------------------------------------------------------------------

@@ -127,11 +127,30 @@ ACTIONS = Story(f"""SELECT user_id AS script_id, event_id AS action_id, scene_id
 EVENTS = Story(f"""SELECT script_id, event_order AS event_id, CAST(event_order AS INT) AS event_order, title, description, location, time_point, conflict_type, importance, {picked('event_order', ['→', '↗', '↑', '↓', None, '↘'])} AS emotional_arc, chapter_ids, character_ids,
  CASE WHEN event_order % 4 = 0 THEN @list() ELSE @list({_name('script_id', 'event_order % 14')}, '小' || {_given('script_id', 'event_order % 5')}, '无名') END AS participants FROM ({PLOT.text})""")
 STEPS = Story("SELECT 's' || n_nationkey AS step, 's' || CAST(floor(n_nationkey / 2) AS INT) AS dep FROM {nation} WHERE n_nationkey > 0 UNION ALL SELECT 's' || n_nationkey, 's' || (n_nationkey - 3) FROM {nation} WHERE n_nationkey > 3 AND n_nationkey % 4 = 1")
+_Q = chr(92) + chr(34)
+#: Completions for scenes: fenced, wrapped, followed by prose, with the same brackets in strings, empty, cut off, or of another kind.
+RESPONSES = Story(f"""SELECT o_custkey AS script_id, o_orderkey AS scene_id, CASE o_orderkey % 9
+  WHEN 0 THEN '{{{{"actions":[{{{{"sequence":1,"character":"' || name || '","actionType":"ACTION","description":"' || name || '握紧拳头","durationMs":' || o_orderkey % 3 * 500 || '}}}},{{{{"sequence":2,"character":"' || other || '","actionType":"反应","description":"' || other || '猛地回头"}}}}]}}}}'
+  WHEN 1 THEN '好的：' || chr(10) || '```json' || chr(10) || '[{{{{"description":"' || name || '愣住了"}}}},{{{{"description":" "}}}},{{{{"actionType":"奇怪","description":"窗外有风","durationMs":0}}}}]' || chr(10) || '```'
+  WHEN 2 THEN {_literal('[{"sequence":7,"description":"a ] b { ' + _Q + ' c"}] 之后')} WHEN 3 THEN NULL WHEN 4 THEN '没有内容' WHEN 5 THEN '{{{{"other": 1}}}}' WHEN 6 THEN '{{{{"actions": [{{{{"description": "' || name || '"'
+  WHEN 7 THEN '[{{{{"sequence":3,"character":" ","description":"  ' || name || '沉默  ","durationMs":-5}}}}]' ELSE '[]' END AS text FROM {_PERSON} p""")
+#: What they say, in the order of their scenes; only DuckDB asks for it.
+RESPONDED = f"""SELECT o_orderkey AS scene_id, 1 AS sequence, name AS who, 'ACTION' AS kind, name || '握紧拳头' AS description, nullif(o_orderkey % 3 * 500, 0)::INTEGER AS ms FROM {_told(_PERSON, _DUCK)} p WHERE o_orderkey % 9 = 0
+ UNION ALL SELECT o_orderkey, 2, other, NULL, other || '猛地回头', 1500 FROM {_told(_PERSON, _DUCK)} p WHERE o_orderkey % 9 = 0
+ UNION ALL SELECT o_orderkey, 1, NULL, NULL, name || '愣住了', 1500 FROM {_told(_PERSON, _DUCK)} p WHERE o_orderkey % 9 = 1
+ UNION ALL SELECT o_orderkey, 3, NULL, NULL, '窗外有风', NULL FROM {_told(_PERSON, _DUCK)} p WHERE o_orderkey % 9 = 1
+ UNION ALL SELECT o_orderkey, 7, NULL, NULL, 'a ] b {{{{ " c', 1500 FROM {_told(_PERSON, _DUCK)} p WHERE o_orderkey % 9 = 2
+ UNION ALL SELECT o_orderkey, 3, NULL, NULL, name || '沉默', NULL FROM {_told(_PERSON, _DUCK)} p WHERE o_orderkey % 9 = 7""".format(orders="orders")
+#: Events as a model tells them: under one or the other name of each field, with importances out of bounds and chapters left out.
+TOLD = Story(f"""SELECT o_custkey AS script_id, o_orderkey, CASE WHEN o_orderkey % 10 = 9 THEN 'Sorry, no events.' WHEN o_orderkey % 4 = 0 THEN '{{{{"events":[' || body || ']}}}}' WHEN o_orderkey % 4 = 1 THEN '{{{{"plotEvents":[' || body || ',{{{{"title":" "}}}}]}}}}' WHEN o_orderkey % 4 = 2 THEN body ELSE 'Here: [' || body || '] ok' END AS text
+ FROM (SELECT *, '{{{{"' || CASE WHEN o_orderkey % 3 = 0 THEN 'event_title' ELSE 'title' END || '":"' || name || '的决定","' || CASE WHEN o_orderkey % 5 = 0 THEN 'detail' ELSE 'description' END || '":"' || o_orderpriority || '","' || CASE WHEN o_orderkey % 2 = 0 THEN 'place' ELSE 'location' END || '":"' || o_orderstatus || '","importance":' || (o_orderkey % 9 - 2) || ',"' || CASE WHEN o_orderkey % 7 = 0 THEN 'event_order' ELSE 'eventOrder' END || '":' || k || ',"participants":["' || name || '","' || other || '"]'
+   || CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE ',"chapterIds":[' || k || ',' || (k + 2) || ']' END || '}}}}' AS body FROM {_PERSON} p) b""")
 _HEADS = ["第1章 穿越", "第一章 觉醒", "番外 往事", "尾声", "Chapter 1 Start", "CHAPTER IV", "1. First", "二、继续", "第十回", "Prologue: a", "前面有人走来", "====", "12. " + "x" * 50, "没有标题的文字"]
 _BODIES = ["林川睁开眼睛", "他醒了", "正文一\n\n正文二", "", "text\nmore", "  ", "作者：佚名\n简介：故事"]
 #: Novels of up to three chapters under heads of all kinds; some have no head, some no text.
 NOVELS = Story(f"""SELECT c_custkey AS novel_id, CASE c_custkey % 9 WHEN 0 THEN b WHEN 1 THEN h || chr(10) || b WHEN 2 THEN '' WHEN 3 THEN b || chr(10) || i || chr(10) || c ELSE h || chr(10) || b || chr(10) || i || chr(10) || c || chr(10) || j || chr(10) || b END AS content
  FROM (SELECT *, {picked('c_custkey', _HEADS)} AS h, {picked('c_custkey / 3', _HEADS)} AS i, {picked('c_custkey / 7', _HEADS)} AS j, {picked('c_custkey / 2', _BODIES)} AS b, {picked('c_custkey / 5', _BODIES)} AS c FROM {{customer}})""")
+PEOPLE_TOLD = _told(_PERSON, _DUCK).format(orders="orders")
 ALL = {n.lower(): t for n, t in list(globals().items()) if isinstance(t, Story)}
 
 
