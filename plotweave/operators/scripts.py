@@ -34,7 +34,7 @@ def last_lines(lines: DataFrame, group: str, order: str, n: int = 3) -> DataFram
 
 def previous_scene_lines(scenes: DataFrame, lines: DataFrame, n: int = 3) -> DataFrame:
     """scene_id and the last n lines of the scene numbered before it in its script."""
-    w = Window.partitionBy("script_id").orderBy("scene_number")
+    w = Window.partitionBy("script_id").orderBy("scene_number", "scene_id")
     before = scenes.select("scene_id", F.lag("scene_id").over(w).alias("previous")).where("previous IS NOT NULL")
     return before.join(last_lines(lines, "scene_id", "sequence", n).withColumnRenamed("scene_id", "previous"), "previous")
 
@@ -47,7 +47,7 @@ def repeated(lines: DataFrame, group: str, order: str, norm: Column) -> DataFram
 
 def split_reasons(scenes: DataFrame, events: DataFrame) -> DataFrame:
     """Why each scene but the first begins: given reason, or place, time, people, conflict, chapter."""
-    w = Window.partitionBy("script_id").orderBy("scene_number")
+    w = Window.partitionBy("script_id").orderBy("scene_number", "scene_id")
     crossing = events.where("conflict_type IS NOT NULL AND size(chapter_ids) > 1").select("script_id").distinct().withColumn("crossing", F.lit(True))
     each = scenes.join(crossing, "script_id", "left")
     before = lambda c: F.lag(c).over(w)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotweave import fixtures, story
+from plotweave import story
 from plotweave import story as fx
 from plotweave.story import duck
 from plotweave.functions import display, distance, extract, names, outline, rules, text
@@ -770,10 +770,10 @@ def insertion_slots(spark, sf_dir):
     return scripts.insertions_at(rows, 1).select("n_nationkey")
 
 
-@query(f"""{_FX}, b AS (SELECT *, lag(location) OVER w AS pl, lag(time_of_day) OVER w AS pt, lag(character_ids) OVER w AS pi, row_number() OVER w AS n FROM fx_scenes WHERE scene_id <> 104 WINDOW w AS (PARTITION BY script_id ORDER BY scene_number))
+@query(f"""{_FX}, b AS (SELECT *, lag(location) OVER w AS pl, lag(time_of_day) OVER w AS pt, lag(character_ids) OVER w AS pi, row_number() OVER w AS n FROM fx_scenes WINDOW w AS (PARTITION BY script_id ORDER BY scene_number, scene_id))
  SELECT scene_id, CASE WHEN n = 1 THEN source_reason WHEN location <> pl THEN 'LOCATION' WHEN time_of_day IS DISTINCT FROM pt THEN 'TIME' WHEN len(list_intersect(character_ids, pi)) / greatest(len(character_ids), len(pi)) < 0.5 THEN 'CHARACTER' ELSE 'CONFLICT' END AS source_reason FROM b""")
 def split_reasons(spark, sf_dir):
-    return scripts.split_reasons(fx.SCENES.df(spark, sf_dir).where("scene_id <> 104"), fx.EVENTS.df(spark, sf_dir)).select("scene_id", "source_reason")
+    return scripts.split_reasons(fx.SCENES.df(spark, sf_dir), fx.EVENTS.df(spark, sf_dir)).select("scene_id", "source_reason")
 
 
 @query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'patched' ELSE n_name END AS n_name, CASE WHEN n_regionkey = 1 THEN 'MANUAL' ELSE 'AI' END AS source FROM nation")
@@ -865,19 +865,66 @@ def export_issues(spark, sf_dir):
     return checks.export_issues(_assembled(spark, sf_dir))
 
 
-@query()
+def _labels(column: str, labels) -> str:
+    return "CASE " + " ".join(f"WHEN {column} = {quoted([k])} THEN {quoted([v])}" for k, v in labels.items()) + f" ELSE {column} END"
+
+
+def _esc(column: str) -> str:
+    return f"replace(replace(coalesce({column}, ''), chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))"
+
+
+_NL = "' || chr(10) || '"
+_HEADER = "CASE WHEN s.interior THEN 'INT' ELSE 'EXT' END || '. ' || coalesce(s.location, '未知地点') || ' - ' || coalesce(s.time_of_day, 'UNKNOWN')"
+#: The items of scenes in order, lines first, each as its text; then scenes, then scripts.
+_SCREEN = lambda said, done, who, mood, summary, scene, title, empty: f"""{_FX}, i AS (
+  SELECT scene_id, sequence, 0 AS kind, dialogue_id AS id, {said} AS t FROM fx_dialogues
+  UNION ALL SELECT scene_id, sequence, 1, action_id, {done} FROM fx_actions),
+ body AS (SELECT scene_id, string_agg(t, '' ORDER BY sequence, kind, id) AS t FROM i GROUP BY 1),
+ seen AS (SELECT scene_id, string_agg(canonical_name, '、' ORDER BY n) AS names FROM (SELECT s.scene_id, p.canonical_name, u.n FROM fx_scenes s, (SELECT unnest(range(1, 3)) AS n) u JOIN fx_people p ON p.script_id = s.script_id AND p.character_id = s.character_ids[u.n]) GROUP BY 1),
+ sc AS (SELECT s.script_id, s.scene_number, s.scene_id, {scene} AS t FROM (SELECT s.*, CASE WHEN len(character_ids) > 0 THEN {who} ELSE '' END AS who, CASE WHEN coalesce(trim(mood), '') = '' THEN '' ELSE {mood} END AS md, CASE WHEN coalesce(trim(summary), '') = '' THEN '' ELSE {summary} END AS sm, coalesce(b.t, '') AS body FROM fx_scenes s LEFT JOIN body b USING (scene_id) LEFT JOIN seen USING (scene_id)) s),
+ whole AS (SELECT script_id, string_agg(t, '' ORDER BY scene_number, scene_id) AS t FROM sc GROUP BY 1)
+ SELECT x.script_id, {title} || coalesce(whole.t, {empty}) AS text FROM fx_scripts x LEFT JOIN whole USING (script_id)"""
+_NOTED = "CASE WHEN coalesce(trim(parenthetical), '') = '' THEN '' ELSE '（' || parenthetical || '）' END"
+_LASTS = "CASE WHEN coalesce(duration_ms, 0) > 0 THEN ' （约' || printf('%.1f', duration_ms / 1000.0) || '秒）' ELSE '' END"
+_TXT = _SCREEN(
+    f"'  ' || coalesce(speaker, '') || CASE WHEN emotion IS NULL THEN '' ELSE '（' || {_labels('emotion', rules.LABEL_EMOTION)} || '）' END || {_NOTED} || '：\"' || coalesce(content, '') || '\"{_NL}{_NL}'",
+    f"'  [' || coalesce({_labels('action_type', rules.LABEL_ACTION)}, '动作') || '] ' || coalesce(description, '') || {_LASTS} || '{_NL}{_NL}'",
+    f"'出场角色：' || coalesce(names, '') || '{_NL}{_NL}'", f"'场景氛围：' || mood || '{_NL}{_NL}'", f"'摘要：' || summary || '{_NL}{_NL}'",
+    f"'{'═' * 39}{_NL}场景 ' || s.scene_number || '：' || {_HEADER} || '{_NL}{'═' * 39}{_NL}{_NL}' || who || md || sm || '{'─' * 39}{_NL}{_NL}' || body || '{'─' * 39}{_NL}{_NL}'",
+    f"'《' || coalesce(x.title, '未命名剧本') || '》{_NL}{_NL}'", f"'（暂无场景内容）{_NL}'",
+)
+_MD = _SCREEN(
+    f"'**' || coalesce(speaker, '') || '**' || CASE WHEN coalesce({_labels('emotion', rules.LABEL_EMOTION)}, '') = '' THEN '' ELSE '（' || {_labels('emotion', rules.LABEL_EMOTION)} || '）' END || {_NOTED} || '：\"' || coalesce(content, '') || '\"{_NL}{_NL}'",
+    f"'*[' || coalesce({_labels('action_type', rules.LABEL_ACTION)}, '动作') || ']* ' || coalesce(description, '') || {_LASTS} || '{_NL}{_NL}'",
+    f"'**出场角色**：' || coalesce(names, '') || '{_NL}{_NL}'", f"'**场景氛围**：' || mood || '{_NL}{_NL}'", f"'> ' || summary || '{_NL}{_NL}'",
+    f"'---{_NL}{_NL}## 场景 ' || s.scene_number || '：' || {_HEADER} || '{_NL}{_NL}' || who || md || sm || body",
+    f"'# 《' || coalesce(x.title, '未命名剧本') || '》{_NL}{_NL}'", f"'> （暂无场景内容）{_NL}'",
+)
+_YAML = f"""{_FX}, d AS (SELECT scene_id, count(*) AS n, string_agg('        - id: ' || CASE WHEN dialogue_id > 0 THEN dialogue_id ELSE 1 END || '{_NL}          speaker: "' || {_esc('speaker')} || '"{_NL}          content: "' || {_esc('content')} || '"{_NL}          emotion: "' || coalesce(emotion, 'CALM') || '"{_NL}' || CASE WHEN coalesce(trim(parenthetical), '') = '' THEN '' ELSE '          parenthetical: "' || {_esc('parenthetical')} || '"{_NL}' END, '' ORDER BY sequence, dialogue_id) AS t FROM fx_dialogues GROUP BY 1),
+ a AS (SELECT scene_id, string_agg('        - id: ' || CASE WHEN action_id > 0 THEN action_id ELSE 1 END || '{_NL}          actionType: "' || {_esc('action_type')} || '"{_NL}          description: "' || {_esc('description')} || '"{_NL}', '' ORDER BY sequence, action_id) AS t FROM fx_actions GROUP BY 1),
+ s AS (SELECT script_id, count(*) AS n, CAST(sum(coalesce(d.n, 0)) AS BIGINT) AS lines, string_agg('    - id: ' || CASE WHEN scene_id > 0 THEN scene_id ELSE 1100 END || '{_NL}      sceneNumber: ' || scene_number || '{_NL}      location: "' || {_esc('location')} || '"{_NL}      timeOfDay: "' || coalesce(time_of_day, 'UNSPECIFIED') || '"{_NL}      interior: ' || interior || '{_NL}      title: "' || {_esc('title')} || '"{_NL}      mood: "' || {_esc('mood')} || '"{_NL}      sceneHeading: "' || {_HEADER} || '"{_NL}'
+   || coalesce('      dialogues:{_NL}' || d.t, '') || coalesce('      actions:{_NL}' || a.t, ''), '' ORDER BY scene_number, scene_id) AS t FROM fx_scenes s LEFT JOIN d USING (scene_id) LEFT JOIN a USING (scene_id) GROUP BY 1),
+ p AS (SELECT script_id, count(*) AS n, string_agg('    - id: ' || CASE WHEN character_id > 0 THEN character_id ELSE 1000 END || '{_NL}      canonicalName: "' || {_esc('canonical_name')} || '"{_NL}      roleType: "' || coalesce(role_type, 'SUPPORTING') || '"{_NL}      gender: "' || coalesce(gender, 'OTHER') || '"{_NL}' || CASE WHEN coalesce(trim(description), '') = '' THEN '' ELSE '      description: "' || {_esc('description')} || '"{_NL}' END
+   || CASE WHEN len(personality) > 0 THEN '      personality:' || array_to_string(list_transform(personality, lambda t: '{_NL}        - "' || {_esc('t')} || '"'), '') || '{_NL}' ELSE '' END || CASE WHEN len(relationships) > 0 THEN '      relationships:{_NL}' || array_to_string(list_transform(relationships, lambda r: '        - target: "' || {_esc('r.target')} || '"{_NL}          relation: "' || {_esc('r.relation')} || '"{_NL}'), '') ELSE '' END, '' ORDER BY pos) AS t FROM fx_people GROUP BY 1)
+ SELECT x.script_id, 'script:{_NL}  id: ' || x.script_id || '{_NL}  novelId: ' || novel_id || '{_NL}  title: "' || {_esc('title')} || '"{_NL}  status: "' || status || '"{_NL}  version: ' || version || '{_NL}  sceneCount: ' || coalesce(s.n, 0) || '{_NL}  characterCount: ' || coalesce(p.n, 0) || '{_NL}  dialogueCount: ' || coalesce(lines, 0) || '{_NL}{_NL}  characters:{_NL}' || coalesce(p.t, '') || '{_NL}  scenes:{_NL}' || coalesce(s.t, '') AS text FROM fx_scripts x LEFT JOIN s USING (script_id) LEFT JOIN p USING (script_id)"""
+
+
+@query(f"SELECT script_id, md5(text) AS hash, length(text) AS chars FROM ({_YAML})")
 def export_yaml(spark, sf_dir):
-    return export.yaml(_assembled(spark, sf_dir))
+    text_ = F.col("yaml")
+    return export.yaml(_assembled(spark, sf_dir)).select("script_id", F.md5(text_).alias("hash"), F.length(text_).cast("bigint").alias("chars"))
 
 
-@query()
+@query(f"SELECT script_id, md5(text) AS hash, length(text) AS chars FROM ({_TXT})")
 def export_txt(spark, sf_dir):
-    return export.txt(_assembled(spark, sf_dir))
+    text_ = F.col("txt")
+    return export.txt(_assembled(spark, sf_dir)).select("script_id", F.md5(text_).alias("hash"), F.length(text_).cast("bigint").alias("chars"))
 
 
-@query()
+@query(f"SELECT script_id, md5(text) AS hash, length(text) AS chars FROM ({_MD})")
 def export_markdown(spark, sf_dir):
-    return export.markdown(_assembled(spark, sf_dir))
+    text_ = F.col("md")
+    return export.markdown(_assembled(spark, sf_dir)).select("script_id", F.md5(text_).alias("hash"), F.length(text_).cast("bigint").alias("chars"))
 
 
 @query(f"""{_FX} SELECT scene_id, CASE WHEN interior THEN 'INT' ELSE 'EXT' END || '. ' || coalesce(location, '未知地点') || ' - ' || time_of_day AS header, concat_ws(' | ', 'S' || lpad(CAST(scene_number AS VARCHAR), 3, '0'), CASE WHEN interior THEN 'INT' ELSE 'EXT' END || '. ' || coalesce(location, '未知地点') || ' - ' || time_of_day, title, summary) AS line FROM fx_scenes""")

@@ -6,11 +6,14 @@ one task and no Python runs.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.functions.rules import LABEL_ACTION, LABEL_EMOTION, blank, labelled
 from plotweave.functions.text import escaped, safe_file_name, scene_header
+from plotweave.sources.shared import delete
 
 
 def _s(*parts) -> Column:
@@ -137,6 +140,35 @@ def markdown(scripts: DataFrame) -> DataFrame:
     return _screenplay(scripts, lambda t: _s("# 《", t, "》\n\n"), "> （暂无场景内容）\n", scene, "md")
 
 
-def write(texts: DataFrame, column: str, path: str) -> None:
-    """A folder for each script, named by its title made safe and its id, since titles may be equal."""
-    texts.select(F.concat_ws("-", safe_file_name(F.coalesce("title", F.lit(""))), F.col("script_id").cast("string")).alias("name"), F.col(column).alias("value")).write.partitionBy("name").mode("overwrite").text(path)
+def named() -> Column:
+    """A file's name: the title made safe, and the id, since titles may be equal."""
+    return F.concat_ws("-", safe_file_name(F.coalesce("title", F.lit(""))), F.col("script_id").cast("string"))
+
+
+def write(texts: DataFrame, column: str, path: str, extension: str) -> int:
+    """A file for each script in the folder `path`, in two steps; returns how many.
+
+    Tasks write the texts beside the folder, so one that fails leaves every old file as it was; when all
+    are there, each is renamed into its place, where the store replaces a file as a whole. What
+    is cut short there can be run again. Files of scripts that are not in `texts` stay. A file
+    ends with a line feed, whether its text does or not; a null text has an empty file.
+    """
+    spark = texts.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+    try:
+        # A row is a script; its text is one record, which the sink ends with a line feed, so its folder gets one file.
+        texts.select(named().alias("name"), F.coalesce(F.regexp_replace(column, "\n\\z", ""), F.lit("")).alias("value")).write.partitionBy("name").text(staged)
+        files = jvm.org.apache.hadoop.fs.Path(staged).getFileSystem(conf).listFiles(jvm.org.apache.hadoop.fs.Path(staged), True)
+        store, n = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.org.apache.hadoop.fs.Path(staged).toUri(), conf), 0
+        replaced = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        replaced[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        while files.hasNext():
+            at = files.next().getPath()
+            if at.getName().startswith("part-"):
+                name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(at.getParent().getName().removeprefix("name="))
+                store.rename(at, jvm.org.apache.hadoop.fs.Path(path, f"{name}.{extension}"), replaced)
+                n += 1
+        return n
+    finally:
+        delete(spark, staged)

@@ -1,7 +1,7 @@
+import fixtures as fx
 import pytest
 from pyspark.sql import functions as F
 
-from plotweave import fixtures as fx
 from plotweave import queries
 from plotweave.functions import extract, names
 from plotweave.operators import chapters, chunks, entities, events, scripts
@@ -102,7 +102,7 @@ def test_decoders(spark):
 
 
 def test_exports(spark):
-    made = queries._assembled(spark)
+    made = scripts.assembled(fx.SCRIPTS.df(spark), fx.PEOPLE.df(spark), fx.SCENES.df(spark), fx.DIALOGUES.df(spark).drop("script_id"), fx.ACTIONS.df(spark).drop("script_id"))
     yaml = {r.script_id: r.yaml for r in export.yaml(made).collect()}[1]
     assert '  title: "风起\\"云\\"涌"\n' in yaml and yaml.count("          speaker:") == 7 and yaml.count("          actionType:") == 5
     txt = {r.script_id: r.txt for r in export.txt(made).collect()}
@@ -211,10 +211,20 @@ def test_library_does_not_import_the_llm_package():
             assert not re.search(r"plotweave\.llm|from plotweave import llm", f.read_text()), f
 
 
-def test_exports_are_written(spark, tmp_path):
-    rows = spark.createDataFrame([(7, "a/b:c", "text"), (8, "a/b:c", "other")], "script_id bigint, title string, txt string")
-    export.write(rows, "txt", str(tmp_path / "out"))
-    assert (tmp_path / "out" / "name=a_b_c-7").is_dir() and (tmp_path / "out" / "name=a_b_c-8").is_dir()
+def test_exports_are_written_as_a_whole(spark, tmp_path):
+    out = tmp_path / "out"
+    rows = spark.createDataFrame([(7, "a/b:c", "text\nmore\n"), (8, "a/b:c", "other"), (9, None, "100% = 'x'\n\n"), (10, "é%20", None)], "script_id bigint, title string, txt string").repartition(3)
+    assert export.write(rows, "txt", str(out), "txt") == 4
+    held = lambda: {f.name: f.read_text() for f in out.iterdir() if not f.name.startswith(".")}
+    want = {"a_b_c-7.txt": "text\nmore\n", "a_b_c-8.txt": "other\n", "-9.txt": "100% = 'x'\n\n", "é%20-10.txt": "\n"}
+    assert held() == want
+    # A failing task leaves what was there.
+    broken = rows.withColumn("txt", F.when(F.col("script_id") == 8, F.raise_error(F.lit("no"))).otherwise(F.lit("new")))
+    with pytest.raises(Exception, match="no"):
+        export.write(broken, "txt", str(out), "txt")
+    assert held() == want
+    assert export.write(rows.where("script_id = 7").withColumn("txt", F.lit("new")), "txt", str(out), "txt") == 1
+    assert held() == want | {"a_b_c-7.txt": "new\n"}
 
 
 def test_a_stray_scene_number_is_one_range(spark):
