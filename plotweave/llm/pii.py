@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plotweave.llm.bytekit import CHUNK_BYTES, LOWER, chunks, utf8
+from plotweave.llm.bytekit import CHUNK_BYTES, LOWER, chunks, gather_ranges, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind (index in KINDS), end
@@ -52,8 +52,12 @@ _OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|\s+dot\s+)"
 _AT = rf"(?:{_OPEN}(?:at|@){_CLOSE}|\s+at\s+|\s+@\s+)"
 _LABEL = r"[A-Za-z0-9-]+"
-#: local at label dot label, with at least one disguise; the groups are the separators' places.
-_MAIL = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*(?:{_AT}|@){_LABEL}(?:(?:\.|{_DOT}){_LABEL})+")
+_PIECE = r"[A-Za-z0-9_%+-]+"
+#: An address is looked for around its separator, so that words that are none cost linear time: the domain after it,
+#: then, in the reversed text, the pieces before it. White space belongs to a separator from its first character on.
+_SEPARATOR = re.compile(rf"(?i)(?<!\s){_AT}|@")
+_AFTER = re.compile(rf"(?i){_LABEL}(?:(?:\.|{_DOT}){_LABEL})+")
+_BEFORE = re.compile(rf"(?i)(?:\.|\s*[\])}}>]\s*(?:tod|\.)\s*[\[({{<]\s*|\s+tod\s+)?({_PIECE})")
 _MAIL_AT = re.compile(rf"(?i){_AT}")
 _ANY_DOT = re.compile(rf"(?i){_DOT}")
 _DIGIT_DOT = re.compile(rf"(?i)(?<=[0-9]){_DOT}(?=[0-9])")
@@ -105,7 +109,7 @@ class Rewritten:
 
     def __init__(self, source: str):
         self.text = source
-        self.changed: list[bool] | None = None  # until the first edit
+        self.changed: np.ndarray | None = None  # until the first edit
 
     def edit(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces the given ranges, in order and apart from one another."""
@@ -113,20 +117,26 @@ class Rewritten:
             return
         if self.changed is None:
             n = len(self.text)
-            self.start, self.end, self.changed = list(range(n)), list(range(1, n + 1)), [False] * n
-        text, start, end, changed, at = [], [], [], [], 0
-        for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
-            text.append(self.text[at:a])
-            start += self.start[at:a]
-            end += self.end[at:a]
-            changed += self.changed[at:a]
-            if b > a:
-                text.append(new)
-                start += [self.start[a]] * len(new)
-                end += [self.end[b - 1]] * len(new)
-                changed += [True] * len(new)
+            self.start, self.end, self.changed = np.arange(n, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32), np.zeros(n, bool)
+        text, at = [], 0
+        for a, b, new in edits:
+            text += (self.text[at:a], new)
             at = b
-        self.text, self.start, self.end, self.changed = "".join(text), start, end, changed
+        text.append(self.text[at:])
+        # Each edit is what is kept before it, then its new characters; the last part is the rest.
+        begin, stop, size = (np.array(x, np.int64) for x in zip(*((a, b, len(new)) for a, b, new in edits), strict=True))
+        here = np.concatenate([[0], stop])
+        kept = np.concatenate([begin, [len(self.text)]]) - here
+        old = gather_ranges(here, kept)
+        fresh = np.cumsum(kept)[:-1].repeat(size)
+        place = np.insert(old, fresh, -1)
+        new = place < 0
+        each = [np.empty(len(place), np.int32) for _ in range(2)]
+        for out, held, edge in zip(each, (self.start, self.end), (begin, stop - 1), strict=True):
+            out[~new], out[new] = held[old], held[edge].repeat(size)
+        changed = np.ones(len(place), bool)
+        changed[~new] = self.changed[old]
+        self.text, (self.start, self.end), self.changed = "".join(text), each, changed
 
 
 def _letters(text: str) -> list[tuple[int, int, str]]:
@@ -167,11 +177,45 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _addresses(text: str):
+    """Ranges of local at label dot label, plain or disguised, from the leftmost piece that may begin one."""
+    back, n, done = None, len(text), 0
+    at = _SEPARATOR.search(text)
+    while at:
+        found = _AFTER.match(text, at.end()) if at.start() > done and text[at.start() - 1] in _LOCAL_CHARS else None
+        start = None
+        if found:
+            back = text[::-1] if back is None else back
+            k = n - at.start()
+            piece = _BEFORE.match(back, k)
+            first = True
+            while piece and (not first or piece.start(1) == k):
+                # A piece is cut where the address before it ends, or its part of a longer word is no beginning.
+                here = max(n - piece.end(1), done)
+                if here >= n - piece.start(1):
+                    break
+                if here == 0 or text[here - 1] not in _LOCAL_CHARS:
+                    start = here
+                if here == done or n - piece.end() < done:
+                    break
+                k, first = piece.end(), False
+                piece = _BEFORE.match(back, k)
+                if piece and piece.start(1) == k:  # no separator between the two
+                    break
+        if start is not None:
+            yield start, found.end()
+            done = found.end()
+            at = _SEPARATOR.search(text, done)
+        else:
+            at = _SEPARATOR.search(text, at.start() + 1 if at[0] == "@" else at.start() + max(1, len(at[0].rstrip()) - 1))
+
+
 def _mail(text: str) -> list[tuple[int, int, str]]:
     edits = []
-    for m in _MAIL.finditer(text):
-        inside = [(m.start() + x.start(), m.start() + x.end(), "@") for x in _MAIL_AT.finditer(m[0])]
-        inside += [(m.start() + x.start(), m.start() + x.end(), ".") for x in _ANY_DOT.finditer(m[0])]
+    for begin, end in _addresses(text):
+        address = text[begin:end]
+        inside = [(begin + x.start(), begin + x.end(), "@") for x in _MAIL_AT.finditer(address)]
+        inside += [(begin + x.start(), begin + x.end(), ".") for x in _ANY_DOT.finditer(address)]
         bare_at = any("at" == text[a:b].strip().lower() for a, b, c in inside if c == "@")
         dots = [text[a:b] for a, b, c in inside if c == "."]
         if bare_at and not dots:  # "look at example.com" is plain speech
@@ -197,8 +241,8 @@ def disguised(text: str, plain: list[Span]) -> list[Span]:
         return []
     out = []
     for start, kind, end in detect(made.text):
-        a, b = made.start[start], made.end[end - 1]
-        touched = True in made.changed[start:end] or b - a != end - start
+        a, b = int(made.start[start]), int(made.end[end - 1])
+        touched = made.changed[start:end].any() or b - a != end - start
         if touched and not any(s <= a and b <= e for s, _, e in plain):
             out.append((a, kind, b))
     return out

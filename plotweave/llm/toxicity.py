@@ -192,12 +192,16 @@ class Bags:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> Subwords:
-    """Trains on the driver on whole texts: `rows` of each class at most, and `most_bytes` of each class at most (in the order of a hash of the id)."""
+    """Trains on the driver on whole texts: `rows` of each class at most, and `most_bytes` of each class at most (in the order of a hash of the id).
+
+    A text of more than a sixteenth of `most_bytes` is not learned from (it is scored like all others),
+    so that no text takes the place of many.
+    """
     sample, sizes = fit_sample(docs, labels, "toxic", learn, rows)
     sample = written(sample, "sample")
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lengths = sample.select("doc_id", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
-    some = lengths.withColumn("upto", F.sum("bytes").over(order)).where(F.col("upto") <= most_bytes).select("doc_id").distinct()
+    some = lengths.where(F.col("bytes") <= most_bytes // 16).withColumn("upto", F.sum("bytes").over(order)).where(F.col("upto") <= most_bytes).select("doc_id").distinct()
     made = sample.join(some, "doc_id", "left_semi").toArrow()
     made = made.take(np.lexsort((pc.binary_length(made["text"].fill_null("")).to_numpy(), made["doc_id"].to_numpy())))
     texts = [(x or "").encode() for x in made["text"].to_pylist()]
