@@ -48,15 +48,19 @@ def chapter_type(header: Column) -> Column:
     return out
 
 
+def split_lines(novels: DataFrame, key: str = "novel_id", content: str = "content") -> DataFrame:
+    """key, line_no and line of each line, without a shuffle; what follows the last line feed is a line only if it is not empty."""
+    each = novels.select(key, F.posexplode(F.split(content, "\n")).alias("line_no", "line"), F.size(F.split(content, "\n")).alias("_n"))
+    return each.where(~((F.col("line_no") == F.col("_n") - 1) & (F.col("line") == ""))).drop("_n")
+
+
 def lines(novels: DataFrame, key: str = "novel_id", content: str = "content") -> DataFrame:
     """key, line_no, line and offset of each line, which counts one character for its end.
 
     The only shuffle is by novel, for the running sum of lengths.
     """
-    each = novels.select(key, F.posexplode(F.split(content, "\n")).alias("line_no", "line"), F.size(F.split(content, "\n")).alias("_n"))
-    each = each.where(~((F.col("line_no") == F.col("_n") - 1) & (F.col("line") == ""))).drop("_n")
     before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return each.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("bigint"))
+    return split_lines(novels, key, content).withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("bigint"))
 
 
 def contents(novels: DataFrame, key: str = "novel_id", content: str = "content") -> DataFrame:

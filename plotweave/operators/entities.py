@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions.names import noise_reason, same_person
+from plotweave.sources.shared import removed, stored
 
 
 def without_noise(people: DataFrame) -> DataFrame:
@@ -30,11 +31,11 @@ def components(people: DataFrame, links: DataFrame) -> DataFrame:
     """script_id, pos, root: the smallest position that links reach.
 
     Alternating stars: neighbours are linked to the smallest one, first the larger ones, then the
-    others, so rounds grow with the logarithm of a component. Each round cuts its lineage in
-    `spark.checkpoint.dir` (or, on a local master without one, in memory and disk).
+    others, so rounds grow with the logarithm of a component. Each round is a table in the
+    shared folder, which the next one replaces.
     """
     script = "script_id"
-    edges = _cut(links.where("a <> b").select(script, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = stored(links.where("a <> b").select(script, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     while (now := tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(script, "a", "b"))).first())) != state and now[0]:
         state = now
@@ -43,19 +44,12 @@ def components(people: DataFrame, links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, [script, "a"]).select(script, F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy(script, "a").agg(F.min("b").alias("m"))
         small = large.join(least, [script, "a"]).where("b <> m").select(script, F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = _cut(small.unionByName(least.select(script, "a", F.col("m").alias("b"))).distinct())
+        before, edges = edges, stored(small.unionByName(least.select(script, "a", F.col("m").alias("b"))).distinct(), "edges")
+        removed(before)
     roots = edges.groupBy(script, F.col("a").alias("pos")).agg(F.min("b").alias("root"))
     return people.select(script, "pos").join(roots, [script, "pos"], "left").select(script, "pos", F.coalesce("root", "pos").alias("root"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return df.checkpoint()
-    return df.persist()
-
-
 def resolved(people: DataFrame, roots: DataFrame) -> DataFrame:
     """One row a person: canonical name, aliases, names merged.
 

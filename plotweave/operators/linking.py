@@ -105,6 +105,13 @@ def linked_lines(lines: DataFrame, people: DataFrame) -> DataFrame:
     return exact.join(loose, ["script_id", "speaker"], "left").withColumn("character_id", F.coalesce("character_id", "found")).drop("found")
 
 
+def action_names(actions: DataFrame, people: DataFrame) -> DataFrame:
+    """Actions (script_id, action_id, name) with the character_id of the person of that name, else of the first whose name contains it or is contained in it."""
+    told = actions.select("script_id", F.col("action_id").alias("line_id"), F.col("name").alias("speaker"))
+    found = linked_lines(told.withColumn("character_id", F.lit(None).cast("bigint")), people)
+    return actions.drop("character_id").join(found.select(F.col("line_id").alias("action_id"), "character_id"), "action_id")
+
+
 def _told(people: DataFrame, aliases: bool = True) -> DataFrame:
     """script_id, name, level (1 canonical, 2 alias), pos and character_id of each name of each person."""
     own = people.select("script_id", F.col("canonical_name").alias("name"), F.lit(1).alias("level"), "pos", "character_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotweave.operators.order import placed
+
 
 def interleaved(dialogues: DataFrame, actions: DataFrame, dialogue_first: bool = False) -> DataFrame:
     """scene_id, sequence, item_type, item_id, speaker, text of both kinds; ties: actions first unless said otherwise."""
@@ -112,17 +114,11 @@ def insertions_at(insertions: DataFrame, scene_index: int | None) -> DataFrame:
 
 
 def replaced(rows: DataFrame, fresh: DataFrame, group: str, key: str) -> DataFrame:
-    """All rows of the groups in `fresh` replaced by it; keys follow the largest one kept.
-
-    Rows are numbered within their group, from the number of rows of the groups before it.
-    """
+    """All rows of the groups in `fresh` replaced by it; keys follow the largest one of all, in the order of groups and then of the other columns."""
     kept = rows.join(fresh.select(group).distinct(), group, "left_anti")
     last = rows.agg(F.coalesce(F.max(key), F.lit(0)).alias("last"))
-    sizes = fresh.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(group, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))  # one small row a group
-    w = Window.partitionBy(group).orderBy(*[c for c in fresh.columns if c not in (group, key)])
-    numbered = fresh.drop(key).join(bases, group).withColumn("_n", F.row_number().over(w) + F.col("_base")).crossJoin(F.broadcast(last)).withColumn(key, F.col("last") + F.col("_n")).drop("_n", "_base", "last")  # one row
+    order = [group, *(c for c in fresh.columns if c not in (group, key))]
+    numbered = placed(fresh.drop(key), "_n", *order).crossJoin(F.broadcast(last)).withColumn(key, (F.col("last") + F.col("_n")).cast(rows.schema[key].dataType))  # one row
     return kept.unionByName(numbered.select(*rows.columns))
 
 

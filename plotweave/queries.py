@@ -357,13 +357,14 @@ def upload_lines(spark, sf_dir):
     return found.select(F.regexp_extract("file", "file=([0-9]+)/", 1).cast("bigint").alias("file"), "encoding", "line_no", "line")
 
 
-@query("SELECT n_nationkey AS novel_id, n_nationkey AS chunk_index, CAST(25 * 1000.0 * n_nationkey / (n_regionkey * 10) AS DOUBLE) AS chars FROM nation WHERE n_regionkey BETWEEN 1 AND 2 OR n_nationkey % 5 BETWEEN 1 AND 2")
+@query("""SELECT o_custkey AS novel_id, o_orderkey AS chunk_index, o_custkey % 5 = 1 OR o_orderkey % 7 = 1 AS has_first, CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE o_orderkey * 25 * 1000.0::DOUBLE / (o_custkey % 4 * 10) END AS chars, CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE (o_orderkey % 9) * 1000.0::DOUBLE / (o_custkey % 4 * 10) END AS chunks
+ FROM orders WHERE o_orderkey % 7 BETWEEN 1 AND 2 OR o_custkey % 5 BETWEEN 1 AND 2""")
 def chunk_range(spark, sf_dir):
-    """Chunks that hold a chapter of a range, with characters a second."""
-    n = table(spark, sf_dir, "nation")
-    made = n.select(F.col("n_nationkey").alias("novel_id"), F.col("n_nationkey").alias("chunk_index"), F.array(F.col("n_regionkey").cast("bigint"), (F.col("n_nationkey") % 5).cast("bigint")).alias("chapter_ids"), "n_regionkey")
-    rate = chunks.throughput(F.col("novel_id") * 25, F.lit(1), F.col("n_regionkey") * 10)[0]
-    return chunks.by_chapters(made, 1, 2).select("novel_id", "chunk_index", F.when(F.col("n_regionkey") > 0, rate).alias("chars"))
+    """Chunks that hold a chapter of a range, whether they hold its first one, and characters and chunks a second."""
+    o = table(spark, sf_dir, "orders")
+    made = o.select(F.col("o_custkey").alias("novel_id"), F.col("o_orderkey").alias("chunk_index"), F.array(F.col("o_orderkey") % 7, F.col("o_custkey") % 5).alias("chapter_ids"))
+    chars, rate = chunks.throughput(F.col("chunk_index") * 25, F.col("chunk_index") % 9, F.col("novel_id") % 4 * 10)
+    return chunks.by_chapters(made, 1, 2).select("novel_id", "chunk_index", chunks.overlaps(F.lit(1), F.col("chapter_ids")).alias("has_first"), chars.alias("chars"), rate.alias("chunks"))
 
 
 # --- rules -------------------------------------------------------------------------------------
@@ -718,7 +719,7 @@ def previous_lines(spark, sf_dir):
  SELECT k AS doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(nth AS INTEGER) AS nth FROM (SELECT k, line_no, row_number() OVER (PARTITION BY k, regexp_replace(line, '[，。！？：；、"“”''‘’（）—…\\s]', '', 'g') ORDER BY line_no) AS nth FROM ln) WHERE nth > 1""")
 def repetition(spark, sf_dir):
     """Lines of a document that an earlier line of it has said, whatever the punctuation."""
-    rows = chapters.lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    rows = chapters.split_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
     return scripts.repeated(rows, "doc_id", "line_no", text.normalised_line(F.col("line"))).select("doc_id", F.col("line_no").cast("int").alias("line_no"), "nth")
 
 
@@ -789,10 +790,13 @@ def upsert_rows(spark, sf_dir):
     return scripts.upserted(rows, spark.range(20, 26).select(F.col("id").cast("int").alias("n_nationkey"), F.lit("new").alias("n_name")), "n_nationkey")
 
 
-@query("SELECT n_regionkey AS script_id, n_nationkey AS character_id, n_name AS name FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 1, CAST(24 + row_number() OVER (ORDER BY n_name) AS INTEGER), n_name FROM nation WHERE n_regionkey = 1 AND n_nationkey < 20")
+@query("""WITH f AS (SELECT c_nationkey, reverse(c_name) AS name FROM customer WHERE c_nationkey % 3 = 1 AND c_custkey % 4 <> 0)
+ SELECT c_nationkey AS script_id, c_custkey AS character_id, c_name AS name FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM f)
+ UNION ALL SELECT c_nationkey, (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY c_nationkey, name), name FROM f""")
 def replace_group(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("script_id"), F.col("n_nationkey").alias("character_id"), F.col("n_name").alias("name"))
-    return scripts.replaced(rows, rows.where("script_id = 1 AND character_id < 20"), "script_id", "character_id")
+    """The people of every third nation replaced by others."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("script_id"), F.col("c_custkey").alias("character_id"), F.col("c_name").alias("name"))
+    return scripts.replaced(rows, rows.where("script_id % 3 = 1 AND character_id % 4 <> 0").withColumn("name", F.reverse("name")), "script_id", "character_id")
 
 
 # --- checks ------------------------------------------------------------------------------------
@@ -1093,6 +1097,17 @@ def json_decode(spark, sf_dir):
     return extract.actions(fx.RESPONSES.df(spark, sf_dir))
 
 
+@query(f"""WITH r AS ({story.RESPONDED}), {duck('people', 'scenes')}, {_NM}, a AS (SELECT r.scene_id * 10 + r.sequence AS action_id, s.script_id, trim(r.who) AS who FROM r JOIN fx_scenes s USING (scene_id)),
+ c AS (SELECT a.action_id, n.character_id, CASE WHEN n.name = a.who THEN 0 ELSE 1 END AS level, n.pos, n.name FROM a JOIN nm n ON n.script_id = a.script_id AND (contains(n.name, a.who) OR contains(a.who, n.name))),
+ b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY action_id ORDER BY level, pos, name) = 1)
+ SELECT a.action_id, a.who AS name, b.character_id FROM a LEFT JOIN b USING (action_id)""")
+def action_names(spark, sf_dir):
+    """The persons whom the actions of completions name."""
+    told = fx.RESPONSES.df(spark, sf_dir)
+    actions = extract.actions(told).join(told.select("script_id", "scene_id"), "scene_id").select("script_id", (F.col("scene_id") * 10 + F.col("sequence")).alias("action_id"), "name")
+    return linking.action_names(actions, fx.PEOPLE.df(spark, sf_dir)).select("action_id", "name", "character_id")
+
+
 def _outlines(spark, sf_dir):
     """A completion for each order: fenced or bare, its script under one of three keys or at the root, with one or the other name of each field."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").cast("string").alias("who"), "o_orderpriority", "o_orderstatus")
