@@ -1141,6 +1141,26 @@ def completion_events(spark, sf_dir):
     return extract.events(fx.TOLD.df(spark, sf_dir), every).select("script_id", "event_order", "title", "description", "location", "importance", "participants", "chapter_ids")
 
 
+@query(f"""SELECT o_orderkey AS script_id, 0 AS pos, name, CASE WHEN o_orderkey % 3 = 0 THEN 'MINOR' ELSE 'SUPPORTING' END AS role_type, CASE WHEN o_orderkey % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE [given || '哥'] END AS aliases FROM {story.PEOPLE_TOLD} p WHERE o_orderkey % 8 <> 7
+ UNION ALL SELECT o_orderkey, 1, other, 'SUPPORTING', [] FROM {story.PEOPLE_TOLD} p WHERE o_orderkey % 8 <> 7""")
+def completion_people(spark, sf_dir):
+    """People of completions, in an array or under one of three keys."""
+    return extract.people(fx.CASTED.df(spark, sf_dir)).select("script_id", "pos", "name", "role_type", "aliases")
+
+
+@query(f"""SELECT o_orderkey AS script_id, CAST(CASE WHEN o_orderkey % 3 < 2 THEN k ELSE n END AS INTEGER) AS scene_number, name AS summary, CASE WHEN o_orderkey % 5 = 0 THEN '街' ELSE '未知地点' END AS location, o_orderkey % 5 <> 0 AS interior, 'DAWN' AS time_of_day
+ FROM {story.PEOPLE_TOLD} p JOIN (VALUES (1), (2)) v(n) ON n = 1 OR o_orderkey % 8 < 3 WHERE o_orderkey % 8 <> 7""")
+def completion_scenes(spark, sf_dir):
+    """Scenes of completions; their numbers may be strings, fractions or missing."""
+    return extract.scenes(fx.SCENED.df(spark, sf_dir)).select("script_id", "scene_number", "summary", "location", "interior", "time_of_day")
+
+
+@query(f"SELECT o_orderkey AS scene_id, CAST(1 AS INTEGER) AS sequence, name AS speaker, o_orderpriority AS content, 'HAPPY' AS emotion FROM {story.PEOPLE_TOLD} p")
+def completion_lines(spark, sf_dir):
+    """Lines of completions, under one of five keys or alone."""
+    return extract.dialogues(fx.LINED.df(spark, sf_dir)).select("scene_id", "sequence", "speaker", "content", "emotion")
+
+
 # --- flow --------------------------------------------------------------------------------------
 
 

@@ -145,6 +145,13 @@ RESPONDED = f"""SELECT o_orderkey AS scene_id, 1 AS sequence, name AS who, 'ACTI
 TOLD = Story(f"""SELECT o_custkey AS script_id, o_orderkey, CASE WHEN o_orderkey % 10 = 9 THEN 'Sorry, no events.' WHEN o_orderkey % 4 = 0 THEN '{{{{"events":[' || body || ']}}}}' WHEN o_orderkey % 4 = 1 THEN '{{{{"plotEvents":[' || body || ',{{{{"title":" "}}}}]}}}}' WHEN o_orderkey % 4 = 2 THEN body ELSE 'Here: [' || body || '] ok' END AS text
  FROM (SELECT *, '{{{{"' || CASE WHEN o_orderkey % 3 = 0 THEN 'event_title' ELSE 'title' END || '":"' || name || '的决定","' || CASE WHEN o_orderkey % 5 = 0 THEN 'detail' ELSE 'description' END || '":"' || o_orderpriority || '","' || CASE WHEN o_orderkey % 2 = 0 THEN 'place' ELSE 'location' END || '":"' || o_orderstatus || '","importance":' || (o_orderkey % 9 - 2) || ',"' || CASE WHEN o_orderkey % 7 = 0 THEN 'event_order' ELSE 'eventOrder' END || '":' || k || ',"participants":["' || name || '","' || other || '"]'
    || CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE ',"chapterIds":[' || k || ',' || (k + 2) || ']' END || '}}}}' AS body FROM {_PERSON} p) b""")
+#: People, scenes and lines as a model tells them; numbers may be strings, and some completions are broken.
+CASTED = Story(f"""SELECT o_orderkey AS script_id, CASE WHEN o_orderkey % 8 = 7 THEN '[{{{{"name":"' || name ELSE head || '[{{{{"' || CASE WHEN o_orderkey % 2 = 0 THEN 'name' ELSE 'canonicalName' END || '":"' || name || '","roleType":"' || CASE WHEN o_orderkey % 3 = 0 THEN 'minor' ELSE 'hero' END || '"' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ',"aliases":["' || given || '哥"]' END || '}}}},{{{{"name":"' || other || '","gender":null}}}}]' || tail END AS text
+ FROM (SELECT *, {picked('o_custkey', ['', '{"characters":', '{"data":', '{"result":'])} AS head, {picked('o_custkey', ['', '}', '}', '}'])} AS tail FROM {_PERSON} p) q""")
+SCENED = Story(f"""SELECT o_orderkey AS script_id, CASE WHEN o_orderkey % 8 = 7 THEN 'nothing' WHEN o_orderkey % 8 < 3 THEN '{{{{"scenes":[' || body || ',' || body || ']}}}}' ELSE 'Here it is: ' || body END AS text
+ FROM (SELECT *, '{{{{"' || CASE WHEN o_orderkey % 2 = 0 THEN 'sceneNumber' ELSE 'index' END || '":' || CASE WHEN o_orderkey % 3 = 0 THEN '"' || k || '"' WHEN o_orderkey % 3 = 1 THEN k || '.0' ELSE 'null' END || ',"summary":"' || name || '"' || CASE WHEN o_orderkey % 5 = 0 THEN ',"location":"街","interior":false' ELSE '' END || ',"timeOfDay":"清晨"}}}}' AS body FROM {_PERSON} p) q""")
+LINED = Story(f"""SELECT o_orderkey AS scene_id, CASE WHEN o_orderkey % 6 = 5 THEN body ELSE '{{{{"' || {picked('o_custkey', ['dialogues', 'dialogue', 'lines', 'data', 'result'])} || '":[{{{{"content":" "}}}},' || body || ']}}}}' END AS text
+ FROM (SELECT *, '{{{{"' || CASE WHEN o_orderkey % 2 = 0 THEN 'speaker' ELSE 'character' END || '":"' || name || '","' || CASE WHEN o_orderkey % 3 = 0 THEN 'text' ELSE 'content' END || '":"' || o_orderpriority || '","emotion":"开心"}}}}' AS body FROM {_PERSON} p) q""")
 _HEADS = ["第1章 穿越", "第一章 觉醒", "番外 往事", "尾声", "Chapter 1 Start", "CHAPTER IV", "1. First", "二、继续", "第十回", "Prologue: a", "前面有人走来", "====", "12. " + "x" * 50, "没有标题的文字"]
 _BODIES = ["林川睁开眼睛", "他醒了", "正文一\n\n正文二", "", "text\nmore", "  ", "作者：佚名\n简介：故事"]
 #: Novels of up to three chapters under heads of all kinds; some have no head, some no text.

@@ -267,3 +267,9 @@ def test_whole_scripts_are_decoded_under_any_field_names(spark):
     assert [(r.script_id, r.nth, r.scene_number, r.title, r.summary, r.time_of_day, r.interior) for r in outline.scenes(scripts).orderBy("script_id", "nth").collect()] == [(1, 1, 7, "场景7", "夜", "NIGHT", True), (1, 2, 3, "二", "二", "UNKNOWN", True), (2, 1, 1, "场景1", "", "UNKNOWN", False)]
     assert [(r.sequence, r.speaker, r.content) for r in outline.lines(scripts).collect()] == [(1, "林川", "走吧"), (2, "王磊", "")]
     assert [(r.sequence, r.action_type, r.description) for r in outline.actions(scripts).collect()] == [(1, "ACTION", "跑")]
+
+
+def test_fields_of_variants_are_tolerant(spark):
+    text = '[{"sequence":"3","description":12,"durationMs":1500.0},{"sequence":null,"description":"x","durationMs":"soon","character":["a"]},{"description":{"a":1}},{"description":true,"sequence":[1]}]'
+    got = [(r.sequence, r.description, r.duration_ms, r.name) for r in extract.actions(spark.createDataFrame([(1, text), (2, "[1, null]"), (3, '{"actions":{"description":"x"}}')], "scene_id bigint, text string")).orderBy("sequence").collect()]
+    assert got[:2] == [(2, "x", 1500, '["a"]'), (3, "12", 1500, None)] and len(got) == 4
