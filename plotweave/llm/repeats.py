@@ -108,7 +108,8 @@ def _firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) ->
 
 
 _ANCHORS = "bucket int, runs binary, repeats binary, crowd binary, crowded binary"
-_RUNS = [np.int64, np.int32, np.int32, np.uint64, np.uint64]
+_PLACES = [np.int64, np.int32, np.int32]
+_RUNS = [*_PLACES, np.uint64, np.uint64]
 
 
 def _map_anchors(n_buckets: int, length: int, crowd: int):
@@ -197,7 +198,11 @@ def _reduce_anchors(hot: int):
 
 
 def _map_contexts(n_buckets: int, length: int):
-    """Bytes of the requested runs, by bucket; windows of hot anchors one by one, equal ones of a task once."""
+    """Bytes of the requested runs, by bucket; windows of hot anchors one by one, by their own bytes.
+
+    Of equal hot windows of a batch only the first goes to its bucket. The others are repeats, whatever
+    other tasks hold, and are told as such: places without bytes, to a bucket of the batch.
+    """
 
     def run(batches):
         for batch in batches:
@@ -220,6 +225,15 @@ def _map_contexts(n_buckets: int, length: int):
                 pieces = data[gather_ranges(begin[which], np.full(len(which), length))]
                 value = RollingHash(pieces)(np.arange(len(which)) * length, (np.arange(len(which)) + 1) * length)
                 bucket[which] = (value % np.uint64(n_buckets)).astype(np.int64)
+                first, fresh = _firsts((value,), ids[row[which]], start[which])
+                again = which[first[~fresh]]
+                runs = merged_runs(ids[row[again]], start[again], windows[again])
+                if len(again):
+                    share = np.uint64(mix64(np.array([int(ids[0]) & ((1 << 63) - 1)], np.uint64))[0]) % np.uint64(n_buckets)
+                    yield told([int(share)], [_packed(*(np.zeros(0, t) for t in _PLACES))], [b""], [_packed(*(x.astype(t) for x, t in zip(runs, _PLACES, strict=True)))])
+                stay = np.ones(len(bucket), bool)
+                stay[again] = False
+                start, windows, bucket, row, begin = (x[stay] for x in (start, windows, bucket, row, begin))
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(order) else order
             out_b, out_m, out_t = [], [], []
@@ -229,7 +243,10 @@ def _map_contexts(n_buckets: int, length: int):
                 out_m.append(_packed(ids[row[mine]], start[mine].astype(np.int32), windows[mine].astype(np.int32)))
                 out_t.append(data[gather_ranges(begin[mine], windows[mine] + length - 1)].tobytes())
             if out_b:
-                yield pa.record_batch([pa.array(out_b, pa.int32()), pa.array(out_m, pa.binary()), pa.array(out_t, pa.binary())], ["bucket", "meta", "bytes"])
+                yield told(out_b, out_m, out_t, [None] * len(out_b))
+
+    def told(bucket, meta, data, repeats):
+        return pa.record_batch([pa.array(bucket, pa.int32()), *(pa.array(x, pa.binary()) for x in (meta, data, repeats))], ["bucket", "meta", "bytes", "repeats"])
 
     return run
 
@@ -301,9 +318,10 @@ def repeated_windows(meta: list[np.ndarray], data: np.ndarray, length: int) -> t
 
 def _reduce_contexts(length: int):
     def run(table: pa.Table) -> pa.Table:
-        meta = [c.astype(np.int64) for c in _unpacked(table["meta"].to_pylist(), [np.int64, np.int32, np.int32])]
+        meta = [c.astype(np.int64) for c in _unpacked(table["meta"].to_pylist(), _PLACES)]
         data = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
-        doc, start, windows = repeated_windows(meta, data, length)
+        again = [c.astype(np.int64) for c in _unpacked([x for x in table["repeats"].to_pylist() if x], _PLACES)]
+        doc, start, windows = merged_runs(*(np.concatenate(x) for x in zip(repeated_windows(meta, data, length), again, strict=True)))
         n = len(doc)
         return pa.table({"doc": doc.astype(np.int64), "kind": np.zeros(n, np.int32), "start": start.astype(np.int32), "windows": windows.astype(np.int32), "bucket": np.zeros(n, np.int32)})
 
@@ -358,7 +376,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = True)
     found = written(mapped.groupBy("bucket").applyInArrow(_reduce_anchors(HOT_RUNS), _FOUND), "runs")
     requests = found.where(f"kind <> {_RUN}").groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "bucket", "kind")).alias("asked"))
     texts = rows.join(requests.hint("shuffle_hash"), "doc").select("doc", "text", "asked")
-    contexts = texts.mapInArrow(_map_contexts(n_buckets, length), "bucket int, meta binary, bytes binary")
+    contexts = texts.mapInArrow(_map_contexts(n_buckets, length), "bucket int, meta binary, bytes binary, repeats binary")
     partial = written(contexts.groupBy("bucket").applyInArrow(_reduce_contexts(length), _FOUND), "shared")
     runs = found.where(f"kind = {_RUN}").unionByName(partial).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
     run, schema = _cut(length, kind)
