@@ -1068,9 +1068,12 @@ def event_predicates(spark, sf_dir):
 _SAID = lambda pattern: f"unnest(list_zip(regexp_extract_all(summary, {quoted([pattern])}, 1), regexp_extract_all(summary, {quoted([pattern])}, 2), range(1, len(regexp_extract_all(summary, {quoted([pattern])}, 1)) + 1))) AS x"
 
 
-@query(f"""WITH {duck('scenes', 'people')}, m AS (SELECT scene_id, trim(x[1]) AS who, trim(x[2]) AS said, x[3] AS nth FROM (SELECT scene_id, {_SAID(extract.SPEECH)} FROM fx_scenes WHERE summary IS NOT NULL)),
- k AS (SELECT scene_id, nth, said, arg_min(canonical_name, pos) AS speaker FROM m JOIN fx_people ON contains(canonical_name, who) OR contains(who, canonical_name) WHERE length(who) > 1 AND who NOT IN ({quoted(extract.NOBODY)}) GROUP BY 1, 2, 3)
- SELECT scene_id, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY nth) AS INTEGER) AS sequence, speaker, said AS content FROM k""")
+_MATCHED = f"""m AS (SELECT script_id, scene_id, trim(x[1]) AS who, trim(x[2]) AS said, x[3] AS nth FROM (SELECT script_id, scene_id, {_SAID(extract.SPEECH)} FROM fx_scenes WHERE summary IS NOT NULL)),
+ k AS (SELECT m.scene_id, nth, said, arg_min(canonical_name, pos) AS speaker FROM m JOIN fx_people p ON p.script_id = m.script_id AND (contains(canonical_name, who) OR contains(who, canonical_name)) WHERE length(who) > 1 AND who NOT IN ({quoted(extract.NOBODY)}) GROUP BY 1, 2, 3),
+ matched AS (SELECT scene_id, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY nth) AS INTEGER) AS sequence, speaker, said AS content FROM k QUALIFY sequence <= {extract.MOST})"""
+
+
+@query(f"WITH {duck('scenes', 'people')}, {_MATCHED} SELECT * FROM matched")
 def speech_matched(spark, sf_dir):
     return extract.matched_lines(fx.SCENES.df(spark, sf_dir), fx.PEOPLE.df(spark, sf_dir)).select("scene_id", "sequence", "speaker", "content")
 
@@ -1082,7 +1085,12 @@ def speech_quoted(spark, sf_dir):
     return extract.quoted_lines(scenes, fx.PEOPLE.df(spark, sf_dir)).select("scene_id", "sequence", "speaker", "content")
 
 
-@query()
+_NOISE = _sql_of(quick_noise).split("SELECT pos, ", 1)[1].rsplit(" AS noise FROM ns", 1)[0]
+
+
+@query(f"""WITH {duck('scenes', 'people')}, {_MATCHED}, fx_names AS (SELECT scene_id, trim(x[1]) AS name, trim(x[2]) AS content, x[3] AS nth, NULL::VARCHAR AS description FROM (SELECT scene_id, {_SAID(extract.NARRATED)} FROM fx_scenes WHERE summary IS NOT NULL)), {_NAME},
+ narrated AS (SELECT scene_id, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY nth) AS INTEGER) AS sequence, name AS speaker, content FROM ns WHERE content <> '' AND length(name) <= 4 AND NOT ({_NOISE}) QUALIFY sequence <= {extract.MOST})
+ SELECT * FROM matched UNION ALL SELECT * FROM narrated""")
 def speech_extract(spark, sf_dir):
     scenes = fx.SCENES.df(spark, sf_dir)
     people = fx.PEOPLE.df(spark, sf_dir)
