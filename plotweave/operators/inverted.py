@@ -23,7 +23,7 @@ from plotweave.sources.shared import folder, fresh_path
 
 BUCKETS, SPREAD = 64, 8
 #: Bytes of text whose tokens a task holds at a time.
-SLICE = 4 << 20
+SLICE = 1 << 20
 # Separators of keyword tokens.
 _SEPARATORS = "[ \t\n\x0b\f\r，,。.!！?？;；:：、]+"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -490,13 +490,14 @@ def entity_resolve(spark, sf_dir):
     return entities.resolve(fx.PEOPLE.df(spark, sf_dir)).select("script_id", "canonical_name", "merged")
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey + 5 AS b FROM nation WHERE n_nationkey < 15 AND n_nationkey % 7 <> 3),
- u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, root) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.n)
- SELECT CAST(1 AS BIGINT) AS script_id, n AS pos, min(root) AS root FROM r GROUP BY n""")
+@query("""WITH o AS (SELECT *, sum(CASE WHEN o_orderkey % 5 = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS part FROM orders)
+ SELECT o_custkey AS script_id, o_orderkey AS pos, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus, part) AS root FROM o""")
 def entity_components(spark, sf_dir):
-    people = table(spark, sf_dir, "nation").select(F.lit(1).cast("bigint").alias("script_id"), F.col("n_nationkey").alias("pos"))
-    links = people.where("pos < 15 AND pos % 7 <> 3").select("script_id", F.col("pos").alias("a"), (F.col("pos") + 5).alias("b"))
-    return entities.components(people, links)
+    """Orders of a customer, each linked to the one before it of the same status, but for every fifth: chains, whose smallest order is found."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("script_id"), F.col("o_orderkey").alias("pos"), "o_orderstatus")
+    before = F.lag("pos").over(Window.partitionBy("script_id", "o_orderstatus").orderBy("pos"))
+    links = o.withColumn("b", before).where("b IS NOT NULL AND pos % 5 <> 3").select("script_id", F.col("pos").alias("a"), "b")
+    return entities.components(o.select("script_id", "pos"), links)
 
 
 @query(f"WITH {duck('people')} SELECT canonical_name AS name FROM fx_people WHERE canonical_name NOT IN ('林川', '王磊') AND NOT list_contains(aliases, '大壮')")
