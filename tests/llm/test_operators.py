@@ -849,7 +849,7 @@ def test_registered_queries(spark):
     import __spark_entry__ as entry
 
     found = {re.match(r"op\d+_", n)[0] for n in entry.queries() if n.startswith("op")}
-    assert found == {f"op{k}_" for k in range(1, 11)} and "pipeline" in entry.queries()
+    assert found == {f"op{k}_" for k in range(1, 14)} and "pipeline" in entry.queries()
     from engines import connect, duck_rows, spark_rows
 
     assert spark_rows(entry.queries()["op3_decontaminate"](spark, DATA)) == duck_rows(connect(), entry.oracle_sql()["op3_decontaminate"])
