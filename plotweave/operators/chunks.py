@@ -21,11 +21,11 @@ ENDS = frozenset("。！？；\n…~\"」』")
 SCHEMA = "novel_id bigint, chunk_index int, chapter_ids array<bigint>, raw string, start_offset bigint, end_offset bigint"
 
 
-def split_point(text: str, at: int, search: int = SEARCH) -> int:
-    """After the last sentence end before `at`, or the first one behind it, or `at` itself."""
+def split_point(text: str, at: int, search: int = SEARCH, first: int = 0) -> int:
+    """After the last sentence end before `at`, and not before `first`, or the first one behind it, or `at` itself."""
     if at >= len(text):
         return len(text)
-    back = next((i + 1 for i in range(at - 1, max(0, at - search) - 1, -1) if text[i] in ENDS), None)
+    back = next((i + 1 for i in range(at - 1, max(first, at - search) - 1, -1) if text[i] in ENDS), None)
     return back or next((i + 1 for i in range(at, min(len(text), at + search)) if text[i] in ENDS), at)
 
 
@@ -36,12 +36,12 @@ def overlapping(parts: list[tuple[int, str]], size: int = CHUNK_CHARS, overlap:
     for chapter, text in parts:
         if not text or not text.strip():
             continue
-        held, ids = held + text, [*ids, chapter]
-        while len(held) >= size:
-            cut = split_point(held, size)
-            out.append((list(ids), held[:cut], start, start + cut))
-            keep = max(0, cut - overlap)
-            held, start, ids = held[keep:], start + keep, ids[-2:]
+        held, ids, at = held + text, [*ids, chapter], 0
+        while len(held) - at >= size:  # a place in the part moves on, so that what is left is not copied for each chunk
+            cut = split_point(held, at + size, first=at)
+            out.append((list(ids), held[at:cut], start + at, start + cut))
+            at, ids = max(at, cut - overlap), ids[-2:]
+        held, start = held[at:], start + at
     if held:
         out.append((ids, held, start, start + len(held)))
     return out
@@ -51,16 +51,38 @@ def _finished(rows: DataFrame) -> DataFrame:
     return rows.withColumn("content", F.trim(F.col("raw"))).withColumn("token_count", estimate_tokens(F.col("raw"))).drop("raw")
 
 
+#: Chunks that are given on together.
+MOST_ROWS = 1000
+_COLUMNS = ["novel_id", "chunk_index", "chapter_ids", "raw", "start_offset", "end_offset"]
+
+
 def chunks(chapters: DataFrame) -> DataFrame:
-    """novel_id, chunk_index, chapter_ids, start_offset, end_offset, content, token_count from (novel_id, chapter_id, chapter_number, content)."""
+    """novel_id, chunk_index, chapter_ids, start_offset, end_offset, content, token_count from (novel_id, chapter_id, chapter_number, content).
+
+    Where every novel is one chapter, as one count of ids tells, its text is cut where it is read; else
+    the chapters of a novel meet in a group.
+    """
+
+    def made(novel, parts) -> list[tuple]:
+        return [(novel, k, ids, text, a, b) for k, (ids, text, a, b) in enumerate(overlapping(parts))]
+
+    def whole(batches):
+        for pdf in batches:
+            rows = []
+            for novel, chapter, text in zip(pdf["novel_id"], pdf["chapter_id"], pdf["content"], strict=True):
+                rows += made(novel, [(chapter, text)])
+                if len(rows) >= MOST_ROWS:
+                    yield pd.DataFrame(rows, columns=_COLUMNS)
+                    rows = []
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["chapter_number", "chapter_id"])
-        made = overlapping(list(zip(pdf["chapter_id"], pdf["content"], strict=True)))
-        novel = pdf["novel_id"].iloc[0]
-        return pd.DataFrame([(novel, k, ids, text, a, b) for k, (ids, text, a, b) in enumerate(made)], columns=["novel_id", "chunk_index", "chapter_ids", "raw", "start_offset", "end_offset"])
+        return pd.DataFrame(made(pdf["novel_id"].iloc[0], list(zip(pdf["chapter_id"], pdf["content"], strict=True))), columns=_COLUMNS)
 
     source = chapters.select("novel_id", "chapter_id", "chapter_number", "content")
+    if source.where("novel_id IS NULL").isEmpty() and source.groupBy("novel_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return _finished(source.select("novel_id", "chapter_id", "content").mapInPandas(whole, SCHEMA))
     return _finished(source.groupBy("novel_id").applyInPandas(run, SCHEMA))
 
 

@@ -273,3 +273,12 @@ def test_fields_of_variants_are_tolerant(spark):
     text = '[{"sequence":"3","description":12,"durationMs":1500.0},{"sequence":null,"description":"x","durationMs":"soon","character":["a"]},{"description":{"a":1}},{"description":true,"sequence":[1]}]'
     got = [(r.sequence, r.description, r.duration_ms, r.name) for r in extract.actions(spark.createDataFrame([(1, text), (2, "[1, null]"), (3, '{"actions":{"description":"x"}}')], "scene_id bigint, text string")).orderBy("sequence").collect()]
     assert got[:2] == [(2, "x", 1500, '["a"]'), (3, "12", 1500, None)] and len(got) == 4
+
+
+def test_chunks_of_one_or_more_chapters_are_the_same(spark):
+    text_ = "他走在路上。" * 3000
+    one = spark.createDataFrame([(1, 1, 1, text_), (2, 2, 1, None), (3, 3, 1, " "), (4, 4, 1, "x" * 9000)], "novel_id bigint, chapter_id bigint, chapter_number int, content string")
+    more = one.unionByName(one.where("novel_id = 2").withColumn("chapter_number", F.lit(2)))
+    assert "MapInPandas" in chunks.chunks(one)._jdf.queryExecution().toString()
+    rows = lambda df: sorted(map(str, chunks.chunks(df).collect()))
+    assert rows(one) == rows(more) and len(rows(one)) > 10
