@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotweave.llm.bytekit import LOWER, LOWER_ALNUM, chunks, dropped, fresh, tokens, utf8, written
+from plotweave.llm.bytekit import LOWER, LOWER_ALNUM, chunks, dropped, tokens, utf8, written
 
 #: Buckets, longest run of words, least words of a document that may be drawn, and the part that is drawn.
 BUCKETS, LEAST_WORDS, RATE = 10_000, 20, 5 / 100
