@@ -259,12 +259,13 @@ def ranks(data: np.ndarray, length: int) -> tuple[np.ndarray, int]:
         key = (key << np.uint64(8)) | padded[i : i + len(data)].astype(np.uint64)
     half = 8
     rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    del key, padded
     while half * 2 <= length:
         after = np.zeros(len(rank), np.int64)
         after[: max(0, len(rank) - half)] = rank[half:] + 1
         rank = np.unique(rank << 32 | after, return_inverse=True)[1].astype(np.int64)
         half *= 2
-    return rank, half
+    return rank.astype(np.int32), half
 
 
 def longest_previous(position: np.ndarray, common: np.ndarray) -> np.ndarray:
