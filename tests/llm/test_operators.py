@@ -486,6 +486,24 @@ def test_edit_similarity(spark):
         assert (k in got) == want, (x, y)
 
 
+def test_links_without_equal_words_and_with_one_block(spark):
+    """A letter changed in each of many long words is a link; so is a line that agrees with another in one of six blocks."""
+    long = [f"{c * 3}internationalisation{c}" for c in "abcdefghij"]
+    typos = " ".join(w.replace("nation", "nazion") if k % 5 < 4 else w for k, w in enumerate(long))
+    rows = spark.createDataFrame([(" ".join(long), typos)], "a string, b string")
+    assert lines.similar(rows, "a", "b").count() == 1
+    words = [f"{chr(97 + k % 26)}{k}measure" for k in range(48)]
+    variant = lambda m, at: " ".join("q" + w if k in at else w + "s" * (k in (9, 17, 25, 33, 41) and m) for k, w in enumerate(words))
+    # x stays away from the hub `a`, to which copies with changes elsewhere belong; y is near x alone.
+    x = " ".join(w + ("zzz" if 8 <= k < 40 else "") for k, w in enumerate(words))
+    y = x.replace("1measurezzz", "1measzzz").replace("7measurezzz", "7measzzz").replace("3measurezzz", "3measzzz")
+    copies = [variant(m, {p}) for m in (0, 1) for p in (1, 44)]
+    texts = [*copies, x, y]
+    assert edits(x, y) <= 0.1 * max(len(x), len(y)) and all(edits(x, c) > 0.1 * max(len(x), len(c)) for c in copies)
+    got = {r.doc_id: r.n_removed for r in lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 1}
+
+
 def test_a_block_is_a_simhash_of_its_run_and_keeps_changes_to_itself(spark):
     rng = random.Random(2)
     texts = []
