@@ -504,6 +504,40 @@ def test_links_without_equal_words_and_with_one_block(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 1}
 
 
+@pytest.mark.parametrize("similarity", [0.9, 0.8])
+def test_short_similar_lines_always_meet(spark, similarity):
+    """Up to 49 characters, whatever the script and wherever the edits are; with few words up to 99."""
+    rng = random.Random(8)
+    pairs = []
+    for k in range(400):
+        letters = rng.choice(["abc ", "abcdefgh  ", "天地玄黄宇宙洪荒", "ab"])
+        n = rng.choice([25, 26, 29, 30, 33, 39, 40, 44, 48]) if k % 4 else 80
+        x = " ".join("".join(rng.choice(letters if n < 80 else "abcde") for _ in range(n)).split())
+        y, most = x, math.floor((1 - similarity) * len(x) + 1e-9)
+        for _ in range(most if k % 3 else rng.randint(1, most)):
+            at = rng.randrange(len(y))
+            y = rng.choice([y[:at] + rng.choice("abz") + y[at + 1 :], y[:at] + y[at + 1 :], y[:at] + rng.choice("abz") + y[at:]])
+        y = " ".join(y.split())
+        if x != y and min(len(x), len(y)) >= 25 and max(len(x), len(y)) <= (49 if n < 80 else 99) and edits(x, y) <= math.floor((1 - similarity) * max(len(x), len(y)) + 1e-9):
+            pairs.append((x, y))
+    assert len(pairs) > 150
+    rows = spark.createDataFrame([(k, t.split(" ")) for k, p in enumerate(pairs) for k, t in zip((2 * k, 2 * k + 1), p, strict=True)], "h int, words array<string>")
+    keys = {}
+    for r in lines.with_blocks(rows, ["h"], similarity=similarity).where("key IS NOT NULL").collect():
+        keys.setdefault(r.h, set()).add(r.key)
+    assert [p for k, p in enumerate(pairs) if not keys[2 * k] & keys[2 * k + 1]] == []
+
+
+def test_lines_without_blanks_and_of_few_words(spark):
+    chinese = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律"
+    long = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(300))
+    latin = "internationalization configuration documentation management"
+    texts = [chinese, chinese[:-1] + "吕", latin, latin + "s", latin.replace("fig", "fog"), long, long[:150] + "一" + long[151:], "ab cd efgh", "ab cd efghi"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r.n_removed for r in lines.deduplicated(df).orderBy("doc_id").collect()] == [0, 1, 0, 1, 1, 0, 1, 0, 0]
+    assert [r.n_removed for r in lines.deduplicated(df, least_words=0).orderBy("doc_id").collect()] == [0, 1, 0, 1, 1, 0, 1, 0, 1]
+
+
 def test_a_block_is_a_simhash_of_its_run_and_keeps_changes_to_itself(spark):
     rng = random.Random(2)
     texts = []
