@@ -17,20 +17,24 @@ short by definition, are dealt by both hashes. Buckets tell one another the tabl
 and each shard gets what its words and pairs ask for and scores its documents. No table of all
 words exists in one place.
 
-While seating, a bucket takes totals of other buckets to be like its own (words are dealt by a
-hash); the totals that scores are made of are exact, so the probabilities of all words after any
+A sweep seats all buckets at the same time, each given the seats of all others after the sweep
+before. Between two sweeps the buckets' tables of each context meet at the context's home and
+their sum goes back to those that asked; totals of the parent, and customers and tables of the
+frequent words, are sums that all buckets are told. So the probabilities of all words after any
 context add up to one. Contexts are told apart by 32 bits of hash.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.bytekit import CHUNK_BYTES, LOWER, NOT_SPACE, RollingHash, chunks, hash_bytes, tokens, utf8, written
+from plotweave.llm.bytekit import CHUNK_BYTES, LOWER, NOT_SPACE, RollingHash, chunks, dropped, hash_bytes, tokens, utf8, written
 from plotweave.llm.quality import remainder
 
 SHARD_BYTES = 8 << 20
@@ -207,16 +211,34 @@ def _by_bucket(n_buckets: int, frequent: np.ndarray):
     return run
 
 
-#: Rows of a bucket: answers about a shard's pairs; words, counts, customers of the parent and what shards ask (home);
-#: the same of frequent words, for their home; tables of contexts, for the context's home; totals.
-_PAIRS, _HOME, _PART, _TABLES, _SUMS = range(5)
-_TOLD = "kind int, bucket int, shard bigint, a binary, b binary, c binary, sums array<double>"
+#: Rows of a bucket: answers about a shard's pairs; words, counts, customers and tables of the parent and what shards ask (home);
+#: tables of contexts, for the context's home; totals; its words and pairs; which of them a shard has; its seats; all tables of its contexts.
+_PAIRS, _HOME, _TABLES, _SUMS, _SEATS, _LINKS, _OWN, _MET = range(8)
+_TOLD = "kind int, bucket int, shard bigint, a binary, b binary, c binary, d binary, sums array<double>"
+
+
+def planes(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers by the place of their bytes."""
+    return np.ascontiguousarray(x, np.uint32).view(np.uint8).reshape(-1, 4).T.copy()
+
+
+def unplanes(blob) -> np.ndarray:
+    return np.ascontiguousarray(unsqueezed(blob, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, modulo 2^32."""
+    return planes(np.diff(x.astype(np.uint32), prepend=np.uint32(0)))
+
+
+def unsteps(blob) -> np.ndarray:
+    return np.cumsum(unplanes(blob), dtype=np.uint32)
 
 
 def _told(rows: list[tuple]) -> pa.Table:
-    """rows: kind, bucket, shard, up to three arrays, sums."""
+    """rows: kind, bucket, shard, up to four arrays, sums."""
     column = lambda k: pa.array([squeezed(r[3][k]) if len(r[3]) > k else b"" for r in rows], pa.binary())
-    return pa.table({"kind": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([int(r[1]) for r in rows], pa.int32()), "shard": pa.array([r[2] for r in rows], pa.int64()), "a": column(0), "b": column(1), "c": column(2), "sums": pa.array([list(r[4]) for r in rows], pa.list_(pa.float64()))})
+    return pa.table({"kind": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([int(r[1]) for r in rows], pa.int32()), "shard": pa.array([r[2] for r in rows], pa.int64()), "a": column(0), "b": column(1), "c": column(2), "d": column(3), "sums": pa.array([list(r[4]) for r in rows], pa.list_(pa.float64()))})
 
 
 def _cuts(value: np.ndarray, n_buckets: int):
@@ -225,7 +247,88 @@ def _cuts(value: np.ndarray, n_buckets: int):
     return [(b, slice(cut[b], cut[b + 1])) for b in np.flatnonzero(cut[1:] > cut[:-1])]
 
 
-def _seat_words(n_buckets: int, frequent: np.ndarray):
+@dataclass
+class Totals:
+    """What all buckets are told after a sweep: known words, tables of all contexts, tables of the parent, and of each frequent word its tokens, customers and tables."""
+
+    types: int
+    customers: int
+    tables: int
+    total: np.ndarray
+    c1: np.ndarray
+    t1: np.ndarray
+
+    def uniform(self) -> float:
+        return 1.0 / (self.types + 1)
+
+
+def totals(sums: np.ndarray, before: Totals | None, sweep: int) -> Totals:
+    """From the buckets' sums, and the totals they seated with: frequent words (1 / FREQUENT at most) are seated in the parent here."""
+    c1, total = (x.astype(np.int64) for x in np.split(sums[3:], 2))
+    if before is None:
+        t1 = np.minimum(c1, 1)
+    else:
+        t1 = seated(c1, before.tables - before.t1, np.full(len(c1), before.uniform()), D1, S1, np.random.default_rng((SEED, sweep)))
+    return Totals(int(sums[0]) + int((total > 0).sum()), int(sums[1] + c1.sum()), int(sums[2] + t1.sum()), total, c1, t1)
+
+
+class Bucket:
+    """Words, pairs (word, context) in order with their counts, and contexts of a bucket."""
+
+    def __init__(self, words: np.ndarray, word: np.ndarray, c2: np.ndarray, contexts: np.ndarray, context: np.ndarray, frequent: np.ndarray):
+        self.words, self.word, self.c2, self.contexts, self.context = words, word, c2, contexts, context
+        self.often = np.searchsorted(words, frequent)  # every bucket lists all frequent words
+        self.plain = np.ones(len(words), bool)
+        self.plain[self.often] = False
+        self.total = np.bincount(word, c2, len(words)).astype(np.int64)
+
+    @classmethod
+    def read(cls, table: pa.Table, frequent: np.ndarray) -> Bucket:
+        row = int(np.flatnonzero(table["kind"].to_numpy() == _SEATS)[0])
+        blob = lambda name: table[name][row].as_buffer()
+        words, numbers = unsqueezed(blob("a"), np.uint64), unplanes(blob("b")).astype(np.int64)
+        word = np.repeat(np.arange(len(words)), numbers[: len(words)])
+        return cls(words, word, numbers[len(words) :], unsteps(blob("c")), unplanes(blob("d")).astype(np.int64), frequent)
+
+    def row(self, own: int) -> tuple:
+        each = np.bincount(self.word, minlength=len(self.words))
+        return (_SEATS, own, -1, (self.words, planes(np.concatenate([each, self.c2])), steps(self.contexts), planes(self.context)), ())
+
+    def customers(self, t2: np.ndarray) -> np.ndarray:
+        """Of each word in the parent; of frequent ones, those of this bucket."""
+        return np.bincount(self.word, t2, len(self.words)).astype(np.int64)
+
+    def tables(self, t2: np.ndarray) -> np.ndarray:
+        """Of each context, those of this bucket."""
+        return np.bincount(self.context, t2, len(self.contexts)).astype(np.int64)
+
+    def swept(self, t2: np.ndarray, t1: np.ndarray, met: np.ndarray, told: Totals, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Tables of pairs, and of plain words in the parent, after all get up and sit down again; met: all tables of each context."""
+        c1, t1 = self.customers(t2), t1.copy()
+        c1[self.often], t1[self.often] = told.c1, told.t1
+        uniform = np.full(len(self.words), told.uniform())
+        parent = (np.maximum(c1 - D1 * t1, 0) + (S1 + D1 * told.tables) * uniform) / (S1 + told.customers)
+        t2 = seated(self.c2, met[self.context] - t2, parent[self.word], D2, S2, rng)
+        return t2, seated(self.customers(t2) * self.plain, told.tables - t1, uniform, D1, S1, rng)
+
+    def posts(self, own: int, n_buckets: int, t2: list[np.ndarray], t1: list[np.ndarray]) -> list[tuple]:
+        """Seats for the next sweep (the last ones first, then those of samples), tables for the contexts' homes, and sums of the last ones."""
+        c1, here = self.customers(t2[0]), self.tables(t2[0])
+        sums = [(self.total[self.plain] > 0).sum(), c1[self.plain].sum(), t1[0].sum(), *c1[self.often], *self.total[self.often]]
+        rows: list[tuple] = [(_OWN, own, -1, (planes(np.concatenate(t2)), planes(np.concatenate(t1))), [float(x) for x in sums])]
+        return rows + [(_TABLES, b, own, (steps(self.contexts[some]), planes(here[some])), ()) for b, some in _cuts(self.contexts, n_buckets)]
+
+
+def _seats(table: pa.Table, bucket: Bucket) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of a bucket's row: tables of pairs and of plain words, the last ones first."""
+    row = int(np.flatnonzero(table["kind"].to_numpy() == _OWN)[0])
+    t2, t1 = (unplanes(table[name][row].as_buffer()).astype(np.int64).reshape(-1, n) if n else [np.zeros(0, np.int64)] * SAMPLES for name, n in (("a", len(bucket.c2)), ("b", len(bucket.words))))
+    return list(t2), list(t1)
+
+
+def _gather(n_buckets: int, frequent: np.ndarray):
+    """A bucket's words and pairs, which of them each shard has, and the first seats: one table for each dish."""
+
     def run(table: pa.Table) -> pa.Table:
         own = table["bucket"][0].as_py()
         parts = {c: [unsqueezed(x, kind) for x in table[c].to_pylist()] for c, kind in (("words", np.uint64), ("n_pairs", np.uint32), ("contexts", np.uint32), ("counts", np.int32), ("often", np.uint16), ("often_contexts", np.uint32), ("often_counts", np.int32))}
@@ -239,53 +342,77 @@ def _seat_words(n_buckets: int, frequent: np.ndarray):
         word = np.concatenate([np.repeat(index, per_word), of_frequent[often]])
         pairs, at = np.unique(word << 32 | context.astype(np.int64), return_inverse=True)
         c2 = np.bincount(at, count, len(pairs)).astype(np.int64)
-        word, hashed = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.uint32)
-        contexts, context = np.unique(hashed, return_inverse=True)
-        total = np.bincount(word, c2, len(words)).astype(np.int64)
-        shared = np.ones(len(words), np.int64)  # buckets that a word's pairs are dealt to
-        shared[of_frequent] = n_buckets
-        rng = np.random.default_rng((SEED, own))
-        t2 = np.minimum(c2, 1)
-        c1 = np.bincount(word, t2, len(words)).astype(np.int64)
-        t1 = np.minimum(c1, 1)
-        types = int((total > 0).sum())
-        uniform = np.full(len(words), 1.0 / (types * n_buckets + 1))
-        tables, customers, met = [], [], []
-        for sweep in range(BURN_IN + SAMPLES):
-            # Other buckets are taken to be like this one.
-            all1, tables1 = int(c1.sum()) * n_buckets, int(t1.sum()) * n_buckets
-            parent = shared * (np.maximum(c1 - D1 * t1, 0) + (S1 + D1 * tables1) * uniform) / (S1 + all1)
-            here = np.bincount(context, t2, len(contexts)).astype(np.int64)
-            elsewhere = here + np.maximum(here - 1, 0) * (n_buckets - 1)
-            t2 = seated(c2, elsewhere[context] - t2, parent[word], D2, S2, rng)
-            c1 = np.bincount(word, t2, len(words)).astype(np.int64)
-            t1 = seated(c1, tables1 - t1, uniform, D1, S1, rng)
-            if sweep >= BURN_IN:
-                tables.append(t2)
-                customers.append(c1)
-                met.append(np.bincount(context, t2, len(contexts)).astype(np.int32))
-        small = lambda xs, at_: np.concatenate([x[at_].astype(np.int64) for x in xs])
-        rows: list[tuple] = []
+        contexts, context = np.unique((pairs & 0xFFFFFFFF).astype(np.uint32), return_inverse=True)
+        bucket = Bucket(words, pairs >> 32, c2, contexts, context, frequent)
         of_word, of_plain, of_often = np.cumsum(n_words) - n_words, np.cumsum(n_plain) - n_plain, np.cumsum(n_often) - n_often + n_plain.sum()
+        rows = [bucket.row(own)]
         for k, shard in enumerate(table["shard"].to_pylist()):
             mine = np.concatenate([at[of_plain[k] : of_plain[k] + n_plain[k]], at[of_often[k] : of_often[k] + n_often[k]]])
-            rows.append((_PAIRS, own, shard, (small([c2, *tables], mine),), ()))
-            rows.append((_HOME, own, shard, (index[of_word[k] : of_word[k] + n_words[k]].astype(np.uint32),), ()))
-        plain = np.ones(len(words), bool)
-        plain[of_frequent] = False
-        home = in_bucket(words, n_buckets) == own
-        rows.append((_HOME, own, -1, (words, small([total, *customers], slice(None)) * np.tile(plain & home, 1 + SAMPLES),), ()))
-        for b, some in _cuts(frequent, n_buckets):
-            rows.append((_PART, b, -1, (frequent[some], small([total, *customers], of_frequent[some])), ()))
-        for b, some in _cuts(contexts, n_buckets):
-            rows.append((_TABLES, b, -1, (contexts[some], small(met, some)), ()))
+            rows.append((_LINKS, own, shard, (steps(mine), planes(index[of_word[k] : of_word[k] + n_words[k]])), ()))
+        t2 = np.minimum(c2, 1)
+        return _told(rows + bucket.posts(own, n_buckets, [t2], [np.minimum(bucket.customers(t2), 1) * bucket.plain]))
+
+    return run
+
+
+def _exchange(table: pa.Table) -> pa.Table:
+    """At a home, each context's tables in all buckets are added up and told to those that have it; a bucket's own seats stay as they are."""
+    kind, home = table["kind"].to_numpy(), table["bucket"][0].as_py()
+    asked = np.flatnonzero(kind == _TABLES)
+    out = [table.filter(pa.array(kind == _OWN))]
+    if len(asked):
+        contexts, here = ([read(table[c][int(k)].as_buffer()) for k in asked] for c, read in (("a", unsteps), ("b", unplanes)))
+        every, at = np.unique(np.concatenate(contexts), return_inverse=True)
+        met = np.bincount(at, np.concatenate(here), len(every)).astype(np.uint32)[at]
+        upto = np.cumsum([0, *map(len, contexts)])
+        senders = table["shard"].to_pylist()
+        out.append(_told([(_MET, senders[int(k)], home, (planes(met[upto[i] : upto[i + 1]]),), ()) for i, k in enumerate(asked)]).cast(table.schema))
+    return pa.concat_tables(out)
+
+
+def _seat_words(n_buckets: int, frequent: np.ndarray, sweep: int, told: Totals):
+    """One sweep of a bucket, given all tables of its contexts and the totals after the sweep before."""
+
+    def run(static: pa.Table, inbox: pa.Table) -> pa.Table:
+        own = static["bucket"][0].as_py()
+        bucket = Bucket.read(static, frequent)
+        t2, t1 = _seats(inbox, bucket)
+        replies = np.flatnonzero(inbox["kind"].to_numpy() == _MET)
+        replies = replies[np.argsort(inbox["shard"].to_numpy()[replies])]  # homes are ranges of contexts
+        met = np.concatenate([np.zeros(0, np.uint32), *(unplanes(inbox["a"][int(k)].as_buffer()) for k in replies)]).astype(np.int64)
+        last2, last1 = bucket.swept(t2[0], t1[0], met, told, np.random.default_rng((SEED, own, sweep)))
+        samples = sweep - BURN_IN if sweep > BURN_IN else 0  # of those before
+        return _told(bucket.posts(own, n_buckets, [last2, *t2[:samples]], [last1, *t1[:samples]]))
+
+    return run
+
+
+def _answer(n_buckets: int, frequent: np.ndarray, told: list[Totals]):
+    """What a bucket tells shards and homes after the last sweep; told: the totals of the samples, the last one first."""
+
+    def run(gathered: pa.Table, inbox: pa.Table) -> pa.Table:
+        own = gathered["bucket"][0].as_py()
+        bucket = Bucket.read(gathered, frequent)
+        t2, t1 = _seats(inbox, bucket)
+        known = np.array([bucket.total, *map(bucket.customers, t2), *t1])
+        home = in_bucket(frequent, n_buckets) == own
+        known[:, bucket.often] = np.array([told[0].total, *(x.c1 for x in told), *(x.t1 for x in told)]) * home
+        met = [bucket.tables(x).astype(np.int64) for x in t2]
+        rows: list[tuple] = [(_HOME, own, -1, (bucket.words, known.ravel()), ())]
+        columns = np.array([bucket.c2, *t2])
+        for k in np.flatnonzero(gathered["kind"].to_numpy() == _LINKS):
+            shard = gathered["shard"][int(k)].as_py()
+            rows.append((_PAIRS, own, shard, (columns[:, unsteps(gathered["a"][int(k)].as_buffer())].ravel(),), ()))
+            rows.append((_HOME, own, shard, (unplanes(gathered["b"][int(k)].as_buffer()),), ()))
+        for b, some in _cuts(bucket.contexts, n_buckets):
+            rows.append((_TABLES, b, -1, (bucket.contexts[some], np.concatenate([x[some] for x in met])), ()))
         return _told(rows)
 
     return run
 
 
 def _meet(n_buckets: int):
-    """At its home, a word's counts and customers are whole, the parent is seated for it, and its tables as a context are added up."""
+    """At its home, a word's tables as a context are added up."""
 
     def run(table: pa.Table) -> pa.Table:
         own = table["bucket"][0].as_py()
@@ -294,22 +421,9 @@ def _meet(n_buckets: int):
         arrays = lambda which, x, t: [unsqueezed(x[int(k)].as_buffer(), t) for k in np.flatnonzero(which)]
         listed = (kind == _HOME) & (shard < 0)
         words = np.concatenate([np.zeros(0, np.uint64), *arrays(listed, a, np.uint64)])
-        known = np.concatenate([np.zeros((1 + SAMPLES, 0), np.int64), *(x.reshape(1 + SAMPLES, -1) for x in arrays(listed, b, np.int64))], axis=1)
-        for more, x in zip(arrays(kind == _PART, a, np.uint64), arrays(kind == _PART, b, np.int64), strict=True):
-            at = np.searchsorted(words, more)
-            there = (at < len(words)) & (words[np.minimum(at, max(0, len(words) - 1))] == more) if len(words) else np.zeros(len(more), bool)
-            known[:, at[there]] += x.reshape(1 + SAMPLES, -1)[:, there]
+        known = np.concatenate([np.zeros((1 + 2 * SAMPLES, 0), np.int64), *(x.reshape(1 + 2 * SAMPLES, -1) for x in arrays(listed, b, np.int64))], axis=1)
         mine = in_bucket(words, n_buckets) == own
-        total, customers = known[0], known[1:]
-        types = int((total[mine] > 0).sum())
-        rng = np.random.default_rng((SEED, own, 1))
-        uniform = np.full(len(words), 1.0 / (types * n_buckets + 1))
-        seats = []
-        for c1 in customers:
-            t1 = np.minimum(c1, 1)
-            for _ in range(BURN_IN):
-                t1 = seated(c1, int(t1[mine].sum()) * n_buckets - t1, uniform, D1, S1, rng)
-            seats.append(t1)
+        total = known[0]
         # Contexts: the words' upper 32 bits, and the start. Tables and customers of words with equal bits are one restaurant's.
         high = (words >> np.uint64(32)).astype(np.uint32)
         asked, context = np.unique(high, return_inverse=True)
@@ -322,12 +436,12 @@ def _meet(n_buckets: int):
             at = np.searchsorted(asked, more)
             there = (at < len(asked)) & (asked[np.minimum(at, max(0, len(asked) - 1))] == more) if len(asked) else np.zeros(len(more), bool)
             met[:, at[there]] += x[:, there]
-        columns = np.concatenate([[total, guests[context]], customers, seats, met[:, context]]) if len(words) else np.zeros((2 + 3 * SAMPLES, 0), np.int64)
+        columns = np.concatenate([[total, guests[context]], known[1:], met[:, context]]) if len(words) else np.zeros((2 + 3 * SAMPLES, 0), np.int64)
         rows: list[tuple] = []
         for k in np.flatnonzero((kind == _HOME) & (shard >= 0)):
             rows.append((_HOME, own, int(shard[k]), (columns[:, unsqueezed(a[int(k)].as_buffer(), np.uint32)],), ()))
         ends = total[mine & (words == END)].sum()
-        rows.append((_SUMS, own, -1, (), [total[mine].sum(), types, ends, *start, *(c[mine].sum() for c in customers), *(t[mine].sum() for t in seats)]))
+        rows.append((_SUMS, own, -1, (), [total[mine].sum(), ends, *start]))
         return _told(rows)
 
     return run
@@ -379,6 +493,15 @@ def _score(all_tokens: int, all_types: int, ends: int, start: np.ndarray, c1: np
     return run
 
 
+def _sums(table: DataFrame, n: int) -> np.ndarray:
+    """The buckets' sums, added up place by place."""
+    found = table.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(n)
+    for r in found:
+        out[r["k"]] = r["x"]
+    return out
+
+
 def scored(docs: DataFrame, held_out: Column | None = None, by_token: bool = False, share: float = FREQUENT, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of each row; by_token: also token_scores.
 
@@ -396,12 +519,23 @@ def scored(docs: DataFrame, held_out: Column | None = None, by_token: bool = Fal
     top = shards.select(F.explode("top").alias("t")).groupBy("t.word").agg(F.sum("t.n").alias("n")).where(F.col("n") >= F.lit(share * n))
     frequent = np.sort(np.array([r["word"] for r in top.collect()], np.int64).view(np.uint64))  # 1 / FREQUENT words at most
     asked = shards.drop("n", "top").mapInArrow(_by_bucket(n_buckets, frequent), _ASKED)
-    told = written(asked.groupBy("bucket").applyInArrow(_seat_words(n_buckets, frequent), _TOLD), "seats")
-    met = written(told.where(f"kind <> {_PAIRS}").groupBy("bucket").applyInArrow(_meet(n_buckets), _TOLD), "answers")
-    totals = met.where(f"kind = {_SUMS}").select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
-    sums = {r["k"]: r["x"] for r in totals.collect()}  # 3 + 3 * SAMPLES numbers
-    part = lambda k: np.array([sums.get(3 + k * SAMPLES + s, 0.0) for s in range(SAMPLES)])
-    run = _score(int(sums.get(0, 0)), int(sums.get(1, 0)), int(sums.get(2, 0)), part(0), part(1), part(2), n_buckets, frequent, by_token)
-    answers = told.where(f"kind = {_PAIRS}").unionByName(met.where(f"kind = {_HOME}")).select("shard", "kind", "bucket", "a")
+    gathered = written(asked.groupBy("bucket").applyInArrow(_gather(n_buckets, frequent), _TOLD), "buckets")
+    static = gathered.where(f"kind = {_SEATS}").groupBy("bucket")
+    seats, told = gathered, [totals(_sums(gathered, 3 + 2 * len(frequent)), None, 0)]
+    for sweep in range(BURN_IN + SAMPLES):
+        inbox = seats.where(f"kind IN ({_OWN}, {_TABLES})").groupBy("bucket").applyInArrow(_exchange, _TOLD)
+        after = written(static.cogroup(inbox.groupBy("bucket")).applyInArrow(_seat_words(n_buckets, frequent, sweep, told[0]), _TOLD), "seats")
+        if sweep:
+            dropped(seats)
+        seats = after
+        told.insert(0, totals(_sums(seats, 3 + 2 * len(frequent)), told[0], sweep))
+    told = told[:SAMPLES]
+    every = gathered.where(f"kind IN ({_SEATS}, {_LINKS})").groupBy("bucket").cogroup(seats.where(f"kind = {_OWN}").groupBy("bucket"))
+    answered = written(every.applyInArrow(_answer(n_buckets, frequent, told), _TOLD), "answers")
+    dropped(gathered, seats)
+    met = written(answered.where(f"kind <> {_PAIRS}").groupBy("bucket").applyInArrow(_meet(n_buckets), _TOLD), "words")
+    sums = _sums(met, 2 + SAMPLES)
+    run = _score(int(sums[0]), told[0].types, int(sums[1]), sums[2:], np.array([x.customers for x in told]), np.array([x.tables for x in told]), n_buckets, frequent, by_token)
+    answers = answered.where(f"kind = {_PAIRS}").unionByName(met.where(f"kind = {_HOME}")).select("shard", "kind", "bucket", "a")
     out = shards.drop("n", "top").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double" + ", token_scores array<double>" * by_token)
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -628,6 +628,26 @@ def test_seats_of_single_customers_leave_no_choice(spark, share, buckets):
     assert tables1 is not None or len({*got[11].token_scores}) == 4  # two samples may differ in the end's tables
 
 
+def test_seats_do_not_depend_on_the_number_of_buckets(spark):
+    """Few words of very unequal counts, so that buckets are unlike: one bucket and 32, of plain and frequent words, give the same scores but for sampling."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices([f"w{i}" for i in range(12)], [2.0**-i for i in range(12)])[0] for _ in range(60))) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    scores = []
+    for share, buckets in ((0.9, 1), (0.05, 32)):
+        got = hpylm.scored(docs, F.col("doc_id") % 4 == 0, share=share, least_buckets=buckets).where("held_out").collect()
+        scores.append(sum(r.score for r in got) / sum(r.n_tokens for r in got))
+    assert abs(scores[0] - scores[1]) < 0.005
+
+
+def test_tables_of_a_context_meet_and_are_told_to_all_that_have_it():
+    sent = {0: ([3, 9, 2**31 + 5], [1, 4, 2]), 1: ([9], [10]), 2: ([3, 2**31 + 5], [100, 7])}
+    table = hpylm._told([(hpylm._TABLES, 5, b, (hpylm.steps(np.array(c)), hpylm.planes(np.array(n))), ()) for b, (c, n) in sent.items()])
+    out = hpylm._exchange(table)
+    got = {b: hpylm.unplanes(a.as_buffer()).tolist() for b, a in zip(out["bucket"].to_pylist(), out["a"], strict=True)}
+    assert got == {0: [101, 14, 9], 1: [14], 2: [101, 9]} and out["shard"].to_pylist() == [5, 5, 5]
+
+
 def test_seated_customers_follow_the_restaurant():
     """Mean tables of one dish against the chain of customers simulated one by one."""
     count, rest, parent, d, s = 12, 5, 0.2, 0.5, 2.0
