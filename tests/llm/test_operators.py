@@ -528,6 +528,46 @@ def test_short_similar_lines_always_meet(spark, similarity):
     assert [p for k, p in enumerate(pairs) if not keys[2 * k] & keys[2 * k + 1]] == []
 
 
+def test_letters_rule_no_link_out(spark):
+    """Edits flip at most two bits each, lengths told; counts beyond 32 and other scripts included."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(600):
+        x = "".join(rng.choice("aabcxyz  0é天") for _ in range(rng.choice([5, 40, 700])))
+        y, n = x, rng.randint(0, 6)
+        for _ in range(n):
+            at = rng.randrange(len(y))
+            y = rng.choice([y[:at] + rng.choice("aq 1地") + y[at + 1 :], y[:at] + y[at + 1 :], y[:at] + rng.choice("aq 1地") + y[at:]]) or "a"
+        rows.append((k, n, x, y))
+    df = spark.createDataFrame(rows, "k int, n int, x string, y string")
+    told = df.select("k", "n", "x", "y", *lines.letters(F.col("x")), *(c.alias(f"other_{i}") for i, c in enumerate(lines.letters(F.col("y")))))
+    bits = lines.differing([f"letters_{i}" for i in range(7)], [f"other_{i}" for i in range(7)])
+    got = told.select("n", "x", "y", bits.alias("bits")).collect()
+    assert all(r.bits <= 2 * r.n - abs(len(r.x) - len(r.y)) for r in got)
+    assert any(r.bits > r.n for r in got if r.n == 6)
+    far = spark.createDataFrame([("abc" * 20, "xyz" * 20)], "x string, y string")
+    apart = far.select(*lines.letters(F.col("x")), *(c.alias(f"other_{i}") for i, c in enumerate(lines.letters(F.col("y")))))
+    assert apart.select(bits.alias("bits")).first().bits == 16 * 3 - 3 * (20 - 16) + 16 * 3 - 3 * (20 - 16)
+
+
+def test_unlike_lines_with_a_common_run_are_not_paired(spark, monkeypatch):
+    """Lines that begin alike and are no links otherwise; one of them has a link in another hub's shadow."""
+    rng = random.Random(10)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[k % 9 : k % 9 + 9]) for _ in range(rng.randint(3, 8)))
+    texts = ["it is known that " + " ".join(word(k) for _ in range(12)) for k in range(60)]
+    texts.append(texts[30][:-1] + "0")
+    tested, test = [], lines.Lines.test
+
+    def counted(self, pairs):
+        tested.append(pairs.count())
+        return test(self, pairs)
+
+    monkeypatch.setattr(lines.Lines, "test", counted)
+    got = {r.doc_id: r.n_removed for r in lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {k: int(k == 60) for k in range(61)}
+    assert tested[-1] < 200
+
+
 def test_lines_without_blanks_and_of_few_words(spark):
     chinese = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律"
     long = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(300))
