@@ -568,6 +568,33 @@ def test_unlike_lines_with_a_common_run_are_not_paired(spark, monkeypatch):
     assert tested[-1] < 200
 
 
+def test_lines_with_a_common_passage_make_no_rows_of_pairs(spark, monkeypatch):
+    """Lines that end alike and differ in a fifth of their letters, which counts of letters do not tell; one is linked to another."""
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("eeettaaoinshrd") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    passage = words(60)
+    texts = [f"{words(20)} {passage}" for _ in range(60)]
+    texts.append(texts[30].replace("e", "x", 12))
+    tested, test = [], lines.Lines.test
+
+    def counted(self, pairs):
+        tested.append(pairs.count())
+        return test(self, pairs)
+
+    monkeypatch.setattr(lines.Lines, "test", counted)
+    got = {r.doc_id: r.n_removed for r in lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {k: int(k == 60) for k in range(61)}
+    assert tested[-1] <= 1
+
+
+def test_keys_within_another_are_left_out(spark):
+    """Key 2's nodes all have key 1 too, key 3 has the same nodes as key 4; 5 has a node that is elsewhere."""
+    held = {1: [1, 2, 3, 4], 2: [2, 3], 3: [7, 8], 4: [7, 8], 5: [4, 10], 6: [9]}
+    rows = [(k, n, n) for k, nodes in held.items() for n in nodes]
+    got = lines.widest(spark.createDataFrame(rows, "key bigint, node bigint, root bigint")).collect()
+    assert {r.key for r in got} == {1, 4, 5, 6} and len(got) == 9
+
+
 def test_lines_without_blanks_and_of_few_words(spark):
     chinese = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律"
     long = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(300))
