@@ -88,7 +88,8 @@ def _grouped(texts: DataFrame, names: DataFrame, group_bytes: int) -> DataFrame:
     counts = parts(texts, "text", "salts").join(parts(names, "name", "blocks"), "script_id").select("script_id", F.greatest("salts", F.lit(1)).alias("salts"), F.greatest("blocks", F.lit(1)).alias("blocks"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = texts.join(counts, "script_id").withColumn("salt", F.pmod(F.xxhash64("text_id", "text"), "salts").cast("int")).withColumn("block", spread("blocks")).select("script_id", "salt", "block", "text_id", "text")
-    theirs = names.join(counts, "script_id").withColumn("block", F.pmod(F.xxhash64("name"), "blocks").cast("int")).withColumn("salt", spread("salts")).select("script_id", "salt", "block", "name")
+    # Texts may be names of the same table; the keys of both sides are told apart by columns of their own.
+    theirs = names.join(counts, "script_id").withColumn("block", F.pmod(F.xxhash64("name"), "blocks").cast("int")).withColumn("salt", spread("salts")).select(F.col("script_id").alias("of"), F.col("salt").alias("of_salt"), F.col("block").alias("of_block"), "name")
     schema = _fields(texts.schema["script_id"], texts.schema["text_id"])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -98,5 +99,4 @@ def _grouped(texts: DataFrame, names: DataFrame, group_bytes: int) -> DataFrame:
         at = pa.array([i for i, _ in rows], pa.int64())
         return pa.Table.from_arrays([left["script_id"].take(at), left["text_id"].take(at), pa.array([n for _, n in rows], pa.string())], schema.names)
 
-    keys = ("script_id", "salt", "block")
-    return mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(run, schema)
+    return mine.groupBy("script_id", "salt", "block").cogroup(theirs.groupBy("of", "of_salt", "of_block")).applyInArrow(run, schema)

@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from engines import DATA, connect, duck_rows, spark_rows
 from pyspark.sql import functions as F
 
-from plotweave.operators import linking
+from plotweave.operators import events, linking
 from plotweave.operators.mentions import mentions
+from plotweave.queries import ORACLES, QUERIES
 
 
 def _story(seed=3):
@@ -58,3 +60,29 @@ def test_many_texts_of_one_script_are_dealt_out(spark):
     t = spark.range(400).select(F.lit(1).alias("script_id"), F.col("id").alias("text_id"), F.lit("x" * 100 + " name").alias("text"))
     n = spark.createDataFrame([(1, "name"), (1, "me")], "script_id int, name string")
     assert mentions(t, n, most_bytes=0, group_bytes=1000).count() == 800
+
+
+@pytest.fixture
+def many_names(monkeypatch):
+    """Names are too many to be broadcast."""
+    monkeypatch.setattr(mentions, "__defaults__", (-1, 0, 16 << 20))
+
+
+def test_texts_and_names_of_one_table(spark):
+    t = spark.createDataFrame([(1, "abc"), (1, "b"), (2, "b"), (2, "cb")], "script_id bigint, name string").distinct()
+    got = sorted(map(tuple, mentions(t.select("script_id", F.col("name").alias("text_id"), F.col("name").alias("text")), t, most_names=-1).collect()))
+    assert got == [(1, "abc", "abc"), (1, "abc", "b"), (1, "b", "b"), (2, "b", "b"), (2, "cb", "b"), (2, "cb", "cb")]
+
+
+def test_long_titles_that_are_many(spark, many_names):
+    rows = [(1, 1, "a" * 30 + "b"), (1, 2, "a" * 30), (1, 3, "b"), (1, 4, "c d"), (2, 5, "a" * 30)]
+    e = spark.createDataFrame(rows, "script_id bigint, event_order bigint, title string").withColumn("location", F.lit(None).cast("string")).withColumn("time_point", F.lit(None).cast("string"))
+    assert sorted(map(tuple, events.same_pairs(e).collect())) == [(1, 1, 2), (1, 1, 3)]
+
+
+def _as_sql(spark, name):
+    assert spark_rows(QUERIES[name](spark, DATA)) == duck_rows(connect(), ORACLES[name])
+
+
+def test_event_pairs_of_many_titles(spark, many_names):
+    _as_sql(spark, "event_pairs")
