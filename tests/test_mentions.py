@@ -86,3 +86,7 @@ def _as_sql(spark, name):
 
 def test_event_pairs_of_many_titles(spark, many_names):
     _as_sql(spark, "event_pairs")
+
+
+def test_plot_firsts_of_many_titles(spark, many_names):
+    _as_sql(spark, "plot_firsts")
