@@ -90,3 +90,7 @@ def test_event_pairs_of_many_titles(spark, many_names):
 
 def test_plot_firsts_of_many_titles(spark, many_names):
     _as_sql(spark, "plot_firsts")
+
+
+def test_plot_pairs_of_many_titles(spark, many_names):
+    _as_sql(spark, "plot_pairs")
