@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plotweave.functions.text import character_jaccard
 from plotweave.operators.linking import within
+from plotweave.sources.shared import stored
 
 SIMILAR = 0.70
 #: Positions at which a stage ends.
@@ -76,9 +77,9 @@ def similar_titles(titles: DataFrame, similarity: float = SIMILAR) -> DataFrame:
 
 def same_titles(events: DataFrame) -> DataFrame:
     """script_id, x, y: pairs of titles (without white space) of a script that tell the same event, each title with itself, in both orders."""
-    every = titles(events)
-    bare = events.where("title IS NOT NULL").select("script_id", F.regexp_replace("title", r"\s+", "").alias("x")).distinct()
-    similar = similar_titles(every)
+    # Kept, as they are read several times: nothing after this makes the events again.
+    bare = stored(events.where("title IS NOT NULL").select("script_id", F.regexp_replace("title", r"\s+", "").alias("x")).distinct(), "titles")
+    similar = similar_titles(stored(titles(bare.withColumnRenamed("x", "title")), "title-characters"))
     inside = within(bare.select("script_id", F.col("x").alias("inner")), bare.select("script_id", F.col("x").alias("outer"))).select("script_id", F.col("inner").alias("x"), F.col("outer").alias("y"))
     one = similar.unionByName(inside)
     return one.unionByName(one.select("script_id", F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
@@ -193,7 +194,7 @@ def merged_into(existing: DataFrame, found: DataFrame) -> DataFrame:
     """
     columns = [x.split()[0] for x in _MERGED.split(", ")]
     body = [c for c in columns if c not in ("script_id", "event_order")]
-    links = first_same(existing, found)
+    links = stored(first_same(existing, found), "first-same")
     taken = links.where("a IS NOT NULL").groupBy("script_id", "a").agg(F.min("b").alias("b"))
     new = found.select("script_id", F.col("event_order").alias("b"), F.struct(*body).alias("y"))
     old = existing.select("script_id", F.col("event_order").alias("a"), F.struct(*body).alias("x")).join(taken, ["script_id", "a"], "left").join(new, ["script_id", "b"], "left")

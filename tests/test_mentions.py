@@ -94,3 +94,7 @@ def test_plot_firsts_of_many_titles(spark, many_names):
 
 def test_plot_pairs_of_many_titles(spark, many_names):
     _as_sql(spark, "plot_pairs")
+
+
+def test_plot_merged_of_many_titles(spark, many_names):
+    _as_sql(spark, "plot_merged")
