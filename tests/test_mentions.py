@@ -98,3 +98,12 @@ def test_plot_pairs_of_many_titles(spark, many_names):
 
 def test_plot_merged_of_many_titles(spark, many_names):
     _as_sql(spark, "plot_merged")
+
+
+def _plan(spark, name):
+    return QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_speech_matched_makes_people_once(spark):
+    plan = _plan(spark, "speech_matched")
+    assert "Window" not in plan and "MapInArrow" not in plan
