@@ -107,3 +107,7 @@ def _plan(spark, name):
 def test_speech_matched_makes_people_once(spark):
     plan = _plan(spark, "speech_matched")
     assert "Window" not in plan and "MapInArrow" not in plan
+
+
+def test_speech_extract_searches_no_short_names(spark):
+    assert "MapInArrow" not in _plan(spark, "speech_extract")
