@@ -111,3 +111,7 @@ def test_speech_matched_makes_people_once(spark):
 
 def test_speech_extract_searches_no_short_names(spark):
     assert "MapInArrow" not in _plan(spark, "speech_extract")
+
+
+def test_content_fallback_searches_no_short_names(spark):
+    assert "MapInArrow" not in _plan(spark, "content_fallback")
