@@ -32,6 +32,8 @@ _DECORATION = r"^[-=*_#~]{3,}$"
 _OUTLINE = "^[零一二三四五六七八九十百千万]+[、]\\s*.{1,60}$"
 _NUMBERED = r"^\d+[.)、]\s*(?=.{1,40}$).{1,60}$"
 TYPES = [("PROLOGUE", "^(?:序|楔|引|前|prologue|foreword)"), ("EPILOGUE", "^(?:终|尾|epilogue|afterword|后记|结语|补遗)"), ("INTERLUDE", "^(?:番外|interlude|外传|特别篇)")]
+#: White space as SQL's patterns have it.
+WHITE = r"[\t\n\f\r 　]"
 PREAMBLE, WHOLE = "序章", "第1章"
 
 
@@ -96,6 +98,28 @@ def chapters(novels: DataFrame, key: str = "novel_id", content: str = "content")
     )
 
 
+def whole(texts: DataFrame, key: str = "novel_id", content: str = "content") -> DataFrame:
+    """The same columns, each text being one chapter whatever its lines are, and with them the other columns of texts.
+
+    Every row is a chapter of its own, blank ones and those of equal or null keys too; a null text has no length.
+    """
+    t = F.col(content)
+    full = F.when(t.endswith("\n"), t).otherwise(F.concat(t, F.lit("\n")))
+    made = texts.withColumn("_content", full)
+    others = [c for c in texts.columns if c not in (key, content)]
+    return made.select(
+        key,
+        F.lit(1).alias("chapter_number"),
+        F.lit(WHOLE).alias("title"),
+        F.lit("NORMAL").alias("type"),
+        F.col("_content").alias("content"),
+        F.length("_content").alias("char_count"),
+        F.lit(0).cast("bigint").alias("start_offset"),
+        F.length("_content").cast("bigint").alias("end_offset"),
+        *others,
+    )
+
+
 def novel(chapters_: DataFrame, key: str = "novel_id") -> DataFrame:
     """One row a novel: totals and status; a novel without chapters has none."""
     return chapters_.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("chapter_count"), F.sum("char_count").cast("bigint").alias("total_chars")).withColumn("status", F.lit("PARSED"))
