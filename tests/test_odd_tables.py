@@ -24,3 +24,7 @@ DOCUMENTS = ([(k, t, f"src{k % 3}") for k, t in enumerate(_TEXTS)] + [(1, "twice
 
 def test_documents_are_whole_chapters(spark, tmp_path):
     assert len(_same(spark, tmp_path, "chapters_default", documents=DOCUMENTS)) == 13
+
+
+def test_totals_count_every_document(spark, tmp_path):
+    assert len(_same(spark, tmp_path, "novel_totals", documents=DOCUMENTS)) == 4
