@@ -4,6 +4,7 @@ import duckdb
 from engines import duck_rows, spark_rows
 
 from plotweave.queries import ORACLES, QUERIES
+from plotweave.sources import text
 
 
 def _same(spark, folder, name, **tables):
@@ -28,3 +29,15 @@ def test_documents_are_whole_chapters(spark, tmp_path):
 
 def test_totals_count_every_document(spark, tmp_path):
     assert len(_same(spark, tmp_path, "novel_totals", documents=DOCUMENTS)) == 4
+
+
+def test_short_conversations_are_decoded(spark, tmp_path):
+    # Of every encoding: one line, few letters beyond ASCII, turns without a text, no text at all.
+    texts = {0: ["abc"], 1: ["abcdef", "ghijkl"], 2: ["", "x1"], 3: [None, "Abcdef"], 4: [None]}
+    rows = [(kind + 4 * k, turn, "user", t) for kind in range(4) for k in range(60) for turn, t in enumerate(texts[k % 5])]
+    _same(spark, tmp_path, "upload_decoding", conversations=(rows, "conv_id bigint, turn bigint, role string, text string"))
+
+
+def test_western_text_was_not_encoded_twice():
+    for t in ("Élève là-bas, où ça ? Très bien.", "Über die Brücke für Größe", "naïve café", "señor, ¿qué tal?"):
+        assert text.encoding(t.encode()) != text.DOUBLED
