@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +55,24 @@ def test_answers_are_kept_for_a_time(spark, tmp_path, parts):
         state.replayed(state.answered(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in" / "*")), 100_000, "1 second"), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = sorted((r.event_id, r.hit, r.answer) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(1, False, None), (3, True, "one"), (4, False, None), (6, True, "two"), (7, True, "two"), (8, False, None), (10, True, "three"), (12, False, None)]
+
+
+def test_answers_of_many_keys_are_told_at_once():
+    rng = random.Random(9)
+    held, want, kept = {}, [], pd.DataFrame({"key": [], "answer": [], "made_ms": []})
+    for batch in range(4):
+        rows = [(f"k{rng.randrange(40)}", k, pd.Timestamp(10**9 * (1000 + 100 * batch) + rng.randrange(10**11)), rng.choice([None, None, f"a{batch}.{k}"])) for k in range(300)]
+        found, kept = state.told(kept, pd.DataFrame(rows, columns=["key", "event_id", "ts", "answer"]), 40_000)
+        want = []
+        for key, k, ts, answer in sorted(rows, key=lambda r: (r[2], r[1])):
+            now = ts.value // 1_000_000
+            if key in held and now - held[key][1] > 40_000:
+                del held[key]
+            if answer is None:
+                want.append((key, k, key in held, held[key][0] if key in held else None))
+            else:
+                held[key] = (answer, now)
+        assert sorted(found.itertuples(index=False, name=None)) == sorted(want)
+        asked = {r[0] for r in rows}
+        assert sorted(kept.itertuples(index=False, name=None)) == sorted((k, *v) for k, v in held.items() if k in asked)
+        held = {k: v for k, v in held.items() if k in asked}
