@@ -115,3 +115,8 @@ def test_speech_extract_searches_no_short_names(spark):
 
 def test_content_fallback_searches_no_short_names(spark):
     assert "MapInArrow" not in _plan(spark, "content_fallback")
+
+
+def test_speaker_link_makes_people_once(spark):
+    # What is left is of the lines, whose scenes are numbered by two windows.
+    assert _plan(spark, "speaker_link").count("Window [") <= 2
