@@ -41,3 +41,8 @@ def test_short_conversations_are_decoded(spark, tmp_path):
 def test_western_text_was_not_encoded_twice():
     for t in ("Élève là-bas, où ça ? Très bien.", "Über die Brücke für Größe", "naïve café", "señor, ¿qué tal?"):
         assert text.encoding(t.encode()) != text.DOUBLED
+
+
+def test_a_script_is_decoded_once(spark):
+    plan = QUERIES["script_outline"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "extract_json" not in plan
