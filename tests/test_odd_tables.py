@@ -1,8 +1,10 @@
 """Queries over tables with rows that the given ones seldom have, against DuckDB."""
 
 import duckdb
+import numpy as np
 from engines import duck_rows, spark_rows
 
+from plotweave.operators import nearest
 from plotweave.queries import ORACLES, QUERIES
 from plotweave.sources import text
 
@@ -46,3 +48,20 @@ def test_western_text_was_not_encoded_twice():
 def test_a_script_is_decoded_once(spark):
     plan = QUERIES["script_outline"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "extract_json" not in plan
+
+
+def test_cosines_of_odd_vectors(spark, tmp_path):
+    vectors = [[1.0, 0.0], [0.5, -2.0], [0.0, 0.0], None, [3.0, 4.0], [float("inf"), 1.0]]
+    rows = [(k, vectors[k % 6], k % 7 % 3 if k % 7 else None) for k in range(150)] + [(20, [1.0, 1.0], 0), (None, [1.0, 1.0], 0)]
+    assert len(_same(spark, tmp_path, "cosine_pairs", embeddings=(rows, "vec_id bigint, embedding array<float>, label int"))) > 200
+
+
+def test_cosines_come_from_products_of_blocks(spark):
+    rows = [(k, k % 2, [float(k % 5 + 1), float(k % 3), 1.0]) for k in range(60)]
+    v = spark.createDataFrame(rows, "doc bigint, label int, v array<float>")
+    made = nearest.pairs(v, v.where("doc % 4 = 1").withColumnRenamed("doc", "query_id"), 7)
+    assert "aggregate(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    unit = {k: np.array(x) / np.linalg.norm(x) for k, _, x in rows}
+    got = {(r.query_id, r.doc): r.score for r in made.collect()}
+    assert got.keys() == {(a, b) for a in range(1, 60, 4) for b in range(60) if a != b and a % 2 == b % 2}
+    assert all(abs(s - unit[a] @ unit[b]) < 1e-12 for (a, b), s in got.items())
